@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of text that a task's working set is planned for.
 TARGET_BYTES = 24 << 20
@@ -68,3 +69,8 @@ def by_bytes(batches: Iterable[pa.RecordBatch], column: str, limit: int) -> Iter
                 start, total = i, 0
             total += n
         yield batch.slice(start)
+
+
+def widened(df: DataFrame, *added: tuple[str, str]) -> T.StructType:
+    """The schema of df with columns of (name, type) after its own."""
+    return T.StructType([*df.schema.fields, *(T.StructField(n, T._parse_datatype_string(t)) for n, t in added)])

@@ -23,6 +23,27 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "window_id", F.col("queue").alias("source"))
 
 
+def fold(modulus: int, value: int):
+    """Whether crc32 of the doc_id as text leaves `value`."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == value, F.lit(False))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.quality import fit, score
+
+    docs = documents(spark, sf_dir, "doc_id", "text", "n_chars")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~fold(4, 2))
+    return score(docs, fit(docs, labels)).select("doc_id", fold(4, 2).alias("held_out"), "score", "predicted")
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.language import fit, identify
+
+    docs = documents(spark, sf_dir, "doc_id", "text", "lang")
+    found = identify(docs.select("doc_id", "text"), fit(docs.where(~fold(5, 0))))
+    return found.select("doc_id", fold(5, 0).alias("held_out"), "lang_pred", "score", "margin", "accepted")
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factloom.llm.secrets import BASE_KINDS, scan
 
@@ -40,6 +61,13 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.token_counts import count_tokens, zipf_vocabulary
+
+    found = count_tokens(documents(spark, sf_dir, "doc_id", "text"), zipf_vocabulary(tokenizer_path("piece_bpe_32k.model")))
+    return found.select("doc_id", "n_tokens", "token_score")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factloom.llm.decontamination import find_matches
 
@@ -50,9 +78,12 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op5_quality": op5_quality,
+    "op6_language": op6_language,
     "op7_secrets": op7_secrets,
     "op8_sharding": op8_sharding,
     "op9_decontamination": op9_decontamination,
+    "op10_token_counts": op10_token_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {}
