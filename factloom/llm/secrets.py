@@ -93,8 +93,9 @@ def scan(versions: DataFrame, ledger_path: str, *, text_col: str = "text", rules
     # A blob is keyed on its digest alone when it is sought, and its text travels once: copies are merged before the shuffle, task by task.
     unseen = keyed.select("blob", text.alias("text")).join(seen, "blob", "left_anti").groupBy("blob").agg(F.first("text").alias("text"))
     scan_blobs(unseen, rules).write.mode("append").parquet(ledger_path)
-    now = ledger(spark, ledger_path).where(F.col("rule_version") == rule_version(rules)).dropDuplicates(["blob"]).select("blob", "spans")
-    return keyed.join(now, "blob", "left")
+    # Blobs with findings are few, and each is in the ledger once, so a blob with very many copies can be split in the join.
+    found = ledger(spark, ledger_path).where((F.col("rule_version") == rule_version(rules)) & (F.size("spans") > 0)).select("blob", "spans")
+    return keyed.join(found, "blob", "left").withColumn("spans", F.coalesce("spans", F.lit([]).cast(SPAN_TYPE)))
 
 
 def redact(text: str, spans: list[tuple[int, int]], mark: str = "[SECRET]") -> str:
