@@ -23,6 +23,12 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "window_id", F.col("queue").alias("source"))
 
 
+def op2_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.syncmers import compare_with_edits
+
+    return compare_with_edits(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def fold(modulus: int, value: int):
     """Whether crc32 of the doc_id as text leaves `value`."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == value, F.lit(False))
@@ -78,6 +84,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_syncmers": op2_syncmers,
     "op5_quality": op5_quality,
     "op6_language": op6_language,
     "op7_secrets": op7_secrets,
