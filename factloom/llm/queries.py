@@ -29,6 +29,12 @@ def op2_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_edits(documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.minhash import near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir, "doc_id", "text"), words=3, percent=85)
+
+
 def fold(modulus: int, value: int):
     """Whether crc32 of the doc_id as text leaves `value`."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == value, F.lit(False))
@@ -85,6 +91,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_syncmers": op2_syncmers,
+    "op3_minhash": op3_minhash,
     "op5_quality": op5_quality,
     "op6_language": op6_language,
     "op7_secrets": op7_secrets,
