@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import by_bytes, text_of
+from factloom.llm.common import by_bytes, durable, shared_dir, text_of
 
 # The kinds in the order in which ties are listed, their patterns,
 # what a quick look for one of these strings must find before the pattern runs,
@@ -34,6 +34,8 @@ RULES: list[tuple[str, str, tuple[str, ...], int, int]] = [
 ]
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = [r[0] for r in RULES]
+#: New blobs whose digests are sent to all tasks (64 bytes each); more are joined.
+SENT_DIGESTS = 100_000
 SPAN_TYPE = "array<struct<kind:string,start:bigint,end:bigint>>"
 
 
@@ -90,8 +92,12 @@ def scan(versions: DataFrame, ledger_path: str, *, text_col: str = "text", rules
     text = text_of(text_col)
     keyed = versions.drop("blob", "rule_version", "spans").withColumn("blob", F.sha2(text.cast("binary"), 256))
     seen = ledger(spark, ledger_path).where(F.col("rule_version") == rule_version(rules)).select("blob")
-    # A blob is keyed on its digest alone when it is sought, and its text travels once: copies are merged before the shuffle, task by task.
-    unseen = keyed.select("blob", text.alias("text")).join(seen, "blob", "left_anti").groupBy("blob").agg(F.first("text").alias("text"))
+    fresh = durable(keyed.select("blob").distinct().join(seen, "blob", "left_anti"), shared_dir(spark), "fresh")
+    texts = keyed.select("blob", text.alias("text"))
+    if fresh.count() <= SENT_DIGESTS:  # only the texts of new blobs are moved
+        unseen = texts.join(F.broadcast(fresh), "blob", "left_semi").groupBy("blob").agg(F.first("text").alias("text"))
+    else:  # copies are merged within each task before they are moved, so that a hot blob isn't
+        unseen = texts.groupBy("blob").agg(F.first("text").alias("text")).join(fresh, "blob", "left_semi")
     scan_blobs(unseen, rules).write.mode("append").parquet(ledger_path)
     # Blobs with findings are few, and each is in the ledger once, so a blob with very many copies can be split in the join.
     found = ledger(spark, ledger_path).where((F.col("rule_version") == rule_version(rules)) & (F.size("spans") > 0)).select("blob", "spans")
