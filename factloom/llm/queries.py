@@ -40,6 +40,13 @@ def fold(modulus: int, value: int):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == value, F.lit(False))
 
 
+def op4_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.ppm import score
+
+    found = score(documents(spark, sf_dir, "doc_id", "text"), ~fold(7, 2))
+    return found.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factloom.llm.quality import fit, score
 
@@ -92,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_syncmers": op2_syncmers,
     "op3_minhash": op3_minhash,
+    "op4_ppm": op4_ppm,
     "op5_quality": op5_quality,
     "op6_language": op6_language,
     "op7_secrets": op7_secrets,
