@@ -14,7 +14,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.common import by_bytes, durable, shared_dir, text_of
@@ -34,7 +34,7 @@ RULES: list[tuple[str, str, tuple[str, ...], int, int]] = [
 ]
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = [r[0] for r in RULES]
-#: New blobs whose digests are sent to all tasks (64 bytes each); more are joined.
+#: New blobs whose digests, or findings (blobs and spans) that are sent to all tasks (below 100 bytes each); more are joined.
 SENT_DIGESTS = 100_000
 SPAN_TYPE = "array<struct<kind:string,start:bigint,end:bigint>>"
 
@@ -101,14 +101,18 @@ def scan(versions: DataFrame, ledger_path: str, *, text_col: str = "text", rules
     scan_blobs(unseen, rules).write.mode("append").parquet(ledger_path)
     # Blobs with findings are few, and each is in the ledger once, so a blob with very many copies can be split in the join.
     found = ledger(spark, ledger_path).where((F.col("rule_version") == rule_version(rules)) & (F.size("spans") > 0)).select("blob", "spans")
+    if (found.agg(F.sum(F.size("spans") + 1)).first()[0] or 0) <= SENT_DIGESTS:
+        found = F.broadcast(found)
     return keyed.join(found, "blob", "left").withColumn("spans", F.coalesce("spans", F.lit([]).cast(SPAN_TYPE)))
 
 
-def redact(text: str, spans: list[tuple[int, int]], mark: str = "[SECRET]") -> str:
-    """The text with the spans, overlapping ones merged, replaced by mark."""
-    out, at = [], 0
-    for start, end in sorted(spans):
-        if start >= at:
-            out += [text[at:start], mark]
-        at = max(at, end)
-    return "".join([*out, text[at:]])
+def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
+    """The text with its spans (sorted by start; overlapping ones as one) replaced by mark."""
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
+
+    def step(acc: Column, span: Column) -> Column:
+        kept = F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), (span["start"] - acc["at"]).cast("int")), F.lit(mark))
+        return F.struct(F.greatest(acc["at"], span["end"]).alias("at"), F.when(span["start"] >= acc["at"], kept).otherwise(acc["out"]).alias("out"))
+
+    whole = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.lit((1 << 31) - 1))))
+    return F.when(F.size(spans) > 0, whole).otherwise(text)
