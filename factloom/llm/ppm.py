@@ -14,7 +14,7 @@ size. Each chunk lists its distinct grams with their counts in training texts,
 by hash groups; the groups add up the counts; the grams' log probabilities are
 computed by groups of contexts that share their last bytes (orders below that
 come from tables of at most 2 ** 16 rows); and every chunk gets back the
-values of the grams it listed, in the order it listed them. Word counts for
+grams it listed with their values. Word counts for
 the base score go the same way. So memory is bounded by the chunk, whatever
 the size of the corpus or of the trie.
 """
@@ -26,18 +26,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import TARGET_BYTES, chunks_for, durable, shared_dir, text_of
+from factloom.llm.common import chunks_for, durable, shared_dir, text_of
 
 ORDER = 5
 #: Bytes that UTF-8 lacks stand for what is before a text and for its end.
 BEFORE, END = b"\xfe", b"\xff"
 SYMBOLS = 255
 #: Bytes that are sorted at a time, and documents among them (their number must fit in 16 bits).
-BATCH, BATCH_DOCS = 4 << 20, 60_000
+BATCH, BATCH_DOCS = 2 << 20, 60_000
 GROUP_GRAMS = 1_000_000
+#: Text of a chunk; what a task holds is in proportion to it.
+CHUNK_BYTES = 16 << 20
 U = np.uint64
 
 
@@ -86,19 +89,25 @@ def sorted_runs(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return k[new], np.cumsum(new) - 1, (both & U(0xFFFF)).astype(np.int64)
 
 
-def word_hashes(texts: list[str], cache: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of all words and ends, tokens of each text). Words: lower-cased in A-Z, cut at ASCII white space."""
+def word_runs(texts: list[str], cache: dict[bytes, int]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+    """Batches of (document numbers, hashes of their words and ends, tokens of each). Words: lower-cased in A-Z, cut at ASCII white space."""
     import xxhash
 
-    out, sizes = [], []
-    for t in texts:
+    docs, out, sizes, total = [], [], [], 0
+    for i, t in enumerate(texts):
         words = t.encode("utf-8", "replace").lower().split()
         for w in words:
             if w not in cache:
                 cache[w] = xxhash.xxh3_64_intdigest(w)
+        docs.append(i)
         out.append(np.fromiter((*map(cache.__getitem__, words), END_TOKEN), U, len(words) + 1))
         sizes.append(len(words) + 1)
-    return (np.concatenate(out) if out else np.zeros(0, U)), np.array(sizes, np.int64)
+        total += len(words) + 1
+        if total > BATCH // 4:
+            yield docs, np.concatenate(out), np.array(sizes, np.int64)
+            docs, out, sizes, total = [], [], [], 0
+    if docs:
+        yield docs, np.concatenate(out), np.array(sizes, np.int64)
 
 
 #: The end's key; a hash of a byte string that is no word.
@@ -123,8 +132,13 @@ def listed(texts: list[str], train: list[bool]) -> tuple[tuple[np.ndarray, np.nd
         found.append((k, np.bincount(run, train_[np.array(docs)][part], len(k)).astype(np.int64)))
         if len(found) > 3:
             found = [merged(found)]
-    words, sizes = word_hashes(texts, {})
-    return merged(found), merged([(words, np.repeat(train_, sizes))])
+    grams_ = merged(found)
+    found, cache = [], {}
+    for docs, words, sizes in word_runs(texts, cache):
+        found.append(merged([(words, np.repeat(train_[np.array(docs)], sizes))]))
+        if len(found) > 3:
+            found = [merged(found)]
+    return grams_, merged(found)
 
 
 def groups_of(keys: np.ndarray, many: int) -> np.ndarray:
@@ -145,9 +159,9 @@ def restored(data: bytes, dtype: type) -> np.ndarray:
 
 
 LISTING = "chunk int, kind int, g int, n int, keys binary, counts binary"
-VALUES = "chunk int, kind int, g int, vals binary"
+VALUES = "chunk int, kind int, g int, keys binary, vals binary"
 LISTING_ARROW = pa.schema([("chunk", pa.int32()), ("kind", pa.int32()), ("g", pa.int32()), ("n", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
-VALUES_ARROW = pa.schema([("chunk", pa.int32()), ("kind", pa.int32()), ("g", pa.int32()), ("vals", pa.binary())])
+VALUES_ARROW = pa.schema([("chunk", pa.int32()), ("kind", pa.int32()), ("g", pa.int32()), ("keys", pa.binary()), ("vals", pa.binary())])
 
 
 def list_chunk(many: int):
@@ -189,7 +203,7 @@ def count_words(table: pa.Table) -> pa.Table:
     values = [compressed(c[np.searchsorted(k, x)].astype("<u4")) for x in keys]
     values.append(np.array([(c > 0).sum(), c.sum()], np.int64).tobytes())
     g = table.column("g")[0].as_py()
-    return pa.table([pa.array([*table.column("chunk").to_pylist(), -1], pa.int32()), pa.array([1] * len(values), pa.int32()), pa.array([g] * len(values), pa.int32()), pa.array(values, pa.binary())], schema=VALUES_ARROW)
+    return pa.table([pa.array([*table.column("chunk").to_pylist(), -1], pa.int32()), pa.array([1] * len(values), pa.int32()), pa.array([g] * len(values), pa.int32()), pa.array([*table.column("keys").to_pylist(), None], pa.binary()), pa.array(values, pa.binary())], schema=VALUES_ARROW)
 
 
 def hand_back(model: pa.Table, table: pa.Table) -> pa.Table:
@@ -198,7 +212,7 @@ def hand_back(model: pa.Table, table: pa.Table) -> pa.Table:
     order = np.argsort(k)
     k, value = k[order], value[order]
     values = [compressed(value[np.searchsorted(k, x)].astype("<f4")) for x in keys_of(table)]
-    return pa.table([table.column("chunk"), pa.array([0] * len(values), pa.int32()), table.column("g"), pa.array(values, pa.binary())], schema=VALUES_ARROW)
+    return pa.table([table.column("chunk"), pa.array([0] * len(values), pa.int32()), table.column("g"), table.column("keys"), pa.array(values, pa.binary())], schema=VALUES_ARROW)
 
 
 # --- the model --------------------------------------------------------------
@@ -252,30 +266,33 @@ def log_probabilities(k: np.ndarray, c: np.ndarray, pairs: np.ndarray, pair_coun
     return out
 
 
-def score_chunk(many: int, words: int, tokens: int):
+def score_chunk(words: int, tokens: int):
     """Score a chunk's documents with the values that came back."""
 
-    def values_of(table: pa.Table, kind: int, dtype: type, keys: np.ndarray) -> np.ndarray:
-        found = {g: v for k, g, v in zip(*(table.column(c).to_pylist() for c in ("kind", "g", "vals")), strict=True) if k == kind}
-        out = np.empty(len(keys), dtype)
-        out[np.argsort(groups_of(keys, many), kind="stable")] = np.concatenate([restored(found[g], dtype) for g in sorted(found)]) if found else []
-        return out
+    def values_of(table: pa.Table, kind: int, dtype: type) -> tuple[np.ndarray, np.ndarray]:
+        own = table.filter(pa.compute.equal(table.column("kind"), kind))
+        keys = np.concatenate([np.zeros(0, U), *keys_of(own)])
+        values = np.concatenate([np.zeros(0, dtype), *(restored(v, dtype) for v in own.column("vals").to_pylist())])
+        order = np.argsort(keys)
+        return keys[order], values[order].astype(float)
 
     def run(docs: pa.Table, table: pa.Table) -> pa.Table:
         texts = docs.column("text").to_pylist()
-        scores = np.zeros(len(texts))
-        runs = [(np.array(at), *sorted_runs(parts)) for at, parts in segments(texts)]
-        keys = np.unique(np.concatenate([r[1] for r in runs])) if runs else np.zeros(0, U)
-        lp = values_of(table, 0, np.float32, keys).astype(float)
-        for at, k, run_, part in runs:
-            scores += np.bincount(at[part], lp[np.searchsorted(keys, k)][run_], len(texts))
-        hashes, sizes = word_hashes(texts, {})
-        distinct, which = np.unique(hashes, return_inverse=True)
-        count = values_of(table, 1, np.uint32, distinct).astype(float)[which]
-        doc = np.repeat(np.arange(len(texts)), sizes)
-        base = np.bincount(doc, np.log10((count + 1) / (tokens + words + 1)), len(texts))
-        known = np.bincount(doc, count > 0, len(texts)).astype(np.int64)
-        return pa.table([docs.column("id"), docs.column("train"), pa.array(sizes), pa.array(known), pa.array(np.full(len(texts), tokens, np.int64)), pa.array(base), pa.array(scores)], names=["id", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        n = len(texts)
+        scores, base, known, sizes_ = np.zeros(n), np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        keys, lp = values_of(table, 0, np.float32)
+        for at, parts in segments(texts):
+            k, run_, part = sorted_runs(parts)
+            scores += np.bincount(np.array(at)[part], lp[np.searchsorted(keys, k)][run_], n)
+        keys, counts = values_of(table, 1, np.uint32)
+        for at, hashes, sizes in word_runs(texts, {}):
+            distinct, which = np.unique(hashes, return_inverse=True)
+            count = counts[np.searchsorted(keys, distinct)][which]
+            doc = np.repeat(np.array(at), sizes)
+            base += np.bincount(doc, np.log10((count + 1) / (tokens + words + 1)), n)
+            known += np.bincount(doc, count > 0, n).astype(np.int64)
+            sizes_[at] = sizes
+        return pa.table([docs.column("id"), docs.column("train"), pa.array(sizes_), pa.array(known), pa.array(np.full(n, tokens, np.int64)), pa.array(base), pa.array(scores)], names=["id", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return run
 
@@ -283,7 +300,7 @@ def score_chunk(many: int, words: int, tokens: int):
 # --- operator -----------------------------------------------------------------
 
 
-def score(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = TARGET_BYTES) -> DataFrame:
+def score(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """(id, train, n_tokens, n_known, train_tokens, base_score, score) of each row.
 
     `train` marks the rows that the model learns from; all rows are scored with
@@ -323,5 +340,5 @@ def score(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: s
     modelled = durable(near.groupBy("part").applyInArrow(model, "g int, k bigint, lp double"), folder, "model")
     back = modelled.groupBy("g").cogroup(listing.where("kind = 0").select("g", "chunk", "keys").groupBy("g")).applyInArrow(hand_back, VALUES)
     values = durable(back.union(words.where("chunk >= 0")), folder, "values")
-    done = rows.groupBy("chunk").cogroup(values.groupBy("chunk")).applyInArrow(score_chunk(many, known, tokens), f"id {id_type}, train boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    done = rows.groupBy("chunk").cogroup(values.groupBy("chunk")).applyInArrow(score_chunk(known, tokens), f"id {id_type}, train boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
     return done.withColumnRenamed("id", id_col)
