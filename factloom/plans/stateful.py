@@ -14,11 +14,11 @@ from factloom.sources.tables import records, table
 
 
 @query("""WITH r AS (SELECT strftime(ts, '%Y-%m-%d') AS day, event_id, floor(sum(value) OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id)) AS spent FROM events), x AS (SELECT day, unnest([0.75, 0.9, 1.0]) AS alert, event_id, spent FROM r)
-  SELECT day, alert::DOUBLE AS alert, arg_min(event_id, spent * 100000000 + event_id) AS at FROM x WHERE spent >= alert * 10000 GROUP BY day, alert""")
+  SELECT day, alert::DOUBLE AS alert, arg_min(event_id, spent * 100000000 + event_id) AS at FROM x WHERE spent >= alert * 1000 GROUP BY day, alert""")
 def budget_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """When each day's spending reached three quarters, nine tenths and all of its budget."""
     e = table(spark, sf_dir, "events", "event_id", "ts", "value").withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
-    return S.budget_ledger(e, "day", "ts", "event_id", "value", 10000.0)
+    return S.budget_ledger(e, "day", "ts", "event_id", "value", 1000.0)
 
 
 @query("SELECT user_id, arg_min(event_type, event_id) AS owner, min(event_id) AS claimed, count(*) - 1 AS lost FROM events GROUP BY user_id")
