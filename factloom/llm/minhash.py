@@ -5,16 +5,18 @@ signature has REGISTERS registers; a register keeps, of the smallest hash that
 falls in its bucket, the number of leading zeros and the next MANTISSA bits.
 Bands of ROWS registers make candidates; a Jaccard estimate from the registers,
 corrected for chance collisions, drops hopeless ones; links are confirmed on
-the full sets. With 51 bands of 5 registers a pair at 0.8 is missed with a
-probability of 2e-9, at 0.85 with 1e-13.
+the full sets. With 73 bands of 7 registers a pair at 0.8 is missed with a
+probability of 3e-8, at 0.85 with 5e-13.
 
 Pairs are never listed within a bucket. Equal sets are one class from the
 start. Each class is first compared with the smallest class of each of its
 buckets, and the confirmed links are joined to components. What can still be
 missing is a link between two components that meet in a bucket; only such
 buckets are opened, in blocks of bounded size, and only pairs across components
-whose estimate is near the threshold come out. So groups of copies cost about
-as many comparisons as they have members, and no link is lost.
+whose estimate is near the threshold come out, each from the first band it
+shares. So groups of copies cost about as many comparisons as they have
+members, and no link is lost. To confirm pairs, their sets are sent to units of
+bounded size that hold related documents, once a unit and not once a pair.
 """
 
 from __future__ import annotations
@@ -29,12 +31,17 @@ from pyspark.sql import functions as F
 
 from factloom.llm.common import by_bytes, durable, shared_dir, text_of
 
-REGISTERS, MANTISSA, ROWS = 256, 10, 5
+REGISTERS, MANTISSA, ROWS = 512, 10, 7
 BANDS = REGISTERS // ROWS
 #: Rows of an opened bucket that are compared with each other in one piece of work.
 BLOCK_ROWS = 256
-CACHE_WORDS = 400_000
+#: Nodes whose ids are sent to all tasks (16 bytes each) to pick their texts; more are joined.
+SENT_NODES = 500_000
+CACHE_WORDS = 150_000
 U = np.uint64
+#: Registers that an empty one looks at, in its own random order.
+TRIES = 48
+ORDER = np.random.default_rng(7).integers(0, REGISTERS, (REGISTERS, TRIES))
 
 
 # --- sets and signatures ----------------------------------------------------
@@ -91,6 +98,28 @@ def registers(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+def densified(signatures: np.ndarray) -> np.ndarray:
+    """Signatures whose empty registers take the value of another: the first filled one in a fixed random order of their own.
+
+    A set with fewer elements than registers would else have bands of one or two values, which
+    sets with little in common share.
+    """
+    out, filled = signatures.copy(), signatures > 0
+    row, register = np.nonzero(~filled & filled.any(axis=1)[:, None])
+    for t in range(TRIES):
+        if not len(row):
+            break
+        source = ORDER[register, t]
+        hit = filled[row, source]
+        out[row[hit], register[hit]] = signatures[row[hit], source[hit]]
+        row, register = row[~hit], register[~hit]
+    for r in np.unique(row):  # very small sets: the next filled register
+        at = np.flatnonzero(filled[r])
+        own = register[row == r]
+        out[r, own] = signatures[r, at[np.searchsorted(at, own) % len(at)]]
+    return out
+
+
 def chance(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     """Expected share of registers in which sets of n and m elements agree though they share nothing."""
     a, b = np.asarray(n, float) / REGISTERS, np.asarray(m, float) / REGISTERS
@@ -111,18 +140,26 @@ def estimate(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray) -> tupl
 def hopeful(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
     """Pairs that may reach the threshold: by their sizes, and by an estimate not over five standard errors below it."""
     t = percent / 100
-    j, used = estimate(x, y, n, m)
-    return (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (j >= t - 5 * np.sqrt(t * (1 - t) / np.maximum(used, 1)))
-
-
-def band_keys(signatures: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) of each band that isn't empty, of signatures in rows."""
+    used = ((x > 0) | (y > 0)).sum(-1)
+    # Registers sample the united set without replacement: the fuller the sample, the smaller the error.
+    left = np.maximum(0.05, 1 - used * (1 + t) / np.maximum(np.asarray(n) + m, 1))
+    least = t - 0.01 - 5 * np.sqrt(t * (1 - t) / np.maximum(used, 1) * left)
+    ok = (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (((x == y) & (x > 0)).sum(-1) >= least * used)
+    at = np.flatnonzero(ok)  # the correction only lowers an estimate
+    if len(at):
+        x, y, n, m = (np.broadcast_to(v, s)[at] for v, s in ((x, (len(ok), REGISTERS)), (y, (len(ok), REGISTERS)), (n, ok.shape), (m, ok.shape)))
+        ok[at] = estimate(x, y, n, m)[0] >= least[at]
+    return ok
+
+
+def band_keys(signatures: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, band, key) of each band, of densified signatures in rows."""
     bands = signatures[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS).astype(U)
     key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=U), bands.shape[:2])
     for r in range(ROWS):
         key = mix(key * U(0x9E3779B97F4A7C15) + bands[:, :, r])
     row, band = np.nonzero(bands.any(axis=2))
-    return row, key[row, band].view(np.int64)
+    return row, band, key[row, band].view(np.int64)
 
 
 # --- steps ------------------------------------------------------------------
@@ -149,16 +186,16 @@ def sign(docs: DataFrame, words: int) -> DataFrame:
 
 
 def bands(classes: DataFrame) -> DataFrame:
-    """(key, node) for each filled band of (node, signature)."""
+    """(key, band, node) for each filled band of (node, signature)."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
                 batch = whole.slice(at, 2000)
-                row, key = band_keys(matrix(batch.column("signature")))
-                yield pa.RecordBatch.from_arrays([pa.array(key), batch.column("node").take(pa.array(row))], names=["key", "node"])
+                row, band, key = band_keys(densified(matrix(batch.column("signature"))))
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(band.astype(np.int32)), batch.column("node").take(pa.array(row))], names=["key", "band", "node"])
 
-    return classes.select("node", "signature").mapInArrow(each, "key bigint, node bigint")
+    return classes.select("node", "signature").mapInArrow(each, "key bigint, band int, node bigint")
 
 
 def matrix(signatures: pa.Array) -> np.ndarray:
@@ -178,37 +215,72 @@ def plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(each, "a bigint, b bigint").distinct()
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, nodes_of: DataFrame, words: int, percent: int, folder: str, name: str) -> DataFrame:
+def units(pairs: DataFrame, folder: str, name: str, unit_nodes: int) -> tuple[DataFrame, DataFrame]:
+    """The pairs with a unit (f, i, j) each, and the (uf, ui, uj, node) whose sets the units need.
+
+    Pairs hang together in families. Small families share units by hash; a
+    large one is dealt into blocks, and a unit holds the pairs of two blocks.
+    """
+    family = components(pairs, folder, f"{name}_family")
+    sizes = family.groupBy("component").agg((F.count("*") + 1).alias("size"))
+    large = durable(sizes.where(F.col("size") > unit_nodes), folder, f"{name}_large")
+    shares = max(1, -(-(family.count()) // unit_nodes))
+    home = pairs.join(family.withColumnRenamed("node", "b"), "b", "left").select("a", "b", F.coalesce("component", "b").alias("component")).join(large, "component", "left")
+    block = lambda x: F.pmod(F.xxhash64(x), F.ceil(F.col("size") / unit_nodes)).cast("int")
+    small = F.col("size").isNull()
+    home = home.select(
+        "a", "b", F.when(small, F.pmod(F.xxhash64("component"), F.lit(shares)) - shares).otherwise(F.col("component")).alias("f"),
+        F.when(small, -1).otherwise(F.least(block("a"), block("b"))).alias("i"), F.when(small, -1).otherwise(F.greatest(block("a"), block("b"))).alias("j"),
+    )
+    home = durable(home, folder, f"{name}_units")
+    unit = [F.col("f").alias("uf"), F.col("i").alias("ui"), F.col("j").alias("uj")]
+    return home, home.select(*unit, F.col("a").alias("node")).union(home.select(*unit, "b")).distinct()
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int, folder: str, name: str, unit_nodes: int) -> DataFrame:
     """The pairs whose full sets are alike enough. Texts are shingled anew for the documents in question only."""
-    pairs = durable(pairs, folder, f"{name}_pairs")
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    pairs, needed = units(durable(pairs, folder, f"{name}_pairs"), folder, name, unit_nodes)
+    wanted = durable(needed.select(F.col("node").alias("id")).distinct(), folder, f"{name}_wanted")
+    if wanted.count() <= SENT_NODES:
+        wanted = F.broadcast(wanted)
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Shingler(words)
         for batch in by_bytes(batches, "text", 8 << 20):
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([make(t).tobytes() for t in batch.column("text").to_pylist()], pa.binary())], names=["node", "shingles"])
 
-    sets = durable(docs.join(wanted.withColumnRenamed("node", "id"), "id", "left_semi").select("id", "text").mapInArrow(shingle, "node bigint, shingles binary"), folder, f"{name}_sets")
+    sets = docs.join(wanted, "id", "left_semi").select("id", "text").distinct().mapInArrow(shingle, "node bigint, shingles binary")
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in by_bytes([whole], "x", 32 << 20):
-                ok = []
-                for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                    p, q = np.frombuffer(x, U), np.frombuffer(y, U)
-                    if len(p) > len(q):
-                        p, q = q, p
-                    at = np.minimum(np.searchsorted(q, p), max(0, len(q) - 1))
-                    shared = int((q[at] == p).sum()) if len(q) else 0
-                    ok.append(shared > 0 and 100 * shared >= percent * (len(p) + len(q) - shared))
-                yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+    def verify(pairs: pa.Table, rows: pa.Table) -> pa.Table:
+        of: dict[int, list[np.ndarray]] = {}
+        for node, x in zip(rows.column("node").to_pylist(), rows.column("shingles").to_pylist(), strict=True):
+            of.setdefault(node, []).append(np.frombuffer(x, U))
+        ab = zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True)
+        ok = [any(alike(x, y, percent) for x in of.get(a, ()) for y in of.get(b, ())) for a, b in ab]
+        return pairs.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    sent = needed.join(sets, "node")
+    links = pairs.groupBy("f", "i", "j").cogroup(sent.groupBy("uf", "ui", "uj")).applyInArrow(verify, "a bigint, b bigint")
+    return durable(links, folder, f"{name}_links")
 
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    return durable(both.select("a", "b", "x", "y").mapInArrow(verify, "a bigint, b bigint"), folder, f"{name}_links")
+
+def alike(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets reach the threshold."""
+    if len(p) > len(q):
+        p, q = q, p
+    if not len(p) or 100 * len(p) < percent * len(q):
+        return False
+    at = np.minimum(np.searchsorted(q, p), len(q) - 1)
+    shared = int((q[at] == p).sum())
+    return 100 * shared >= percent * (len(p) + len(q) - shared)
 
 
 def components(links: DataFrame, folder: str, name: str) -> DataFrame:
-    """(node, component: smallest node reachable) of every node in links (a, b), by alternating large and small stars."""
+    """(node, component: smallest node reachable) of every node in links (a, b), by alternating large and small stars.
+
+    The least neighbours are written before they are joined, so that Spark can
+    split the edges of a node that has very many.
+    """
     edges = durable(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where(F.col("u") != F.col("v")).distinct(), folder, f"{name}_0")
     state, step = None, 0
     while True:
@@ -217,18 +289,19 @@ def components(links: DataFrame, folder: str, name: str) -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
         state, step = now, step + 1
         ways = edges.union(edges.select("v", "u"))
-        low = ways.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = durable(ways.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), folder, f"{name}_{step}_low")
         large = durable(ways.where(F.col("v") > F.col("u")).join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), folder, f"{name}_{step}_large")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = durable(large.groupBy("u").agg(F.min("v").alias("m")), folder, f"{name}_{step}_lower")
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") != F.col("v")).union(low.select("u", F.col("m").alias("v")))
         edges = durable(small.distinct(), folder, f"{name}_{step}")
 
 
 def across(open_rows: DataFrame, percent: int) -> DataFrame:
-    """Hopeful pairs across components from rows (key, i, j, side, node, component, n, signature), sorted by (key, i, j) within partitions."""
+    """Hopeful pairs across components from rows (key, i, j, band, side, node, component, n, signature), sorted by (key, i, j) within partitions."""
 
     def pairs(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         side, node, part, n, s = (t.column("side").to_numpy(), t.column("node").to_numpy(), t.column("component").to_numpy(), t.column("n").to_numpy(), matrix(t.column("signature")))
+        before = int(t.column("band")[0].as_py()) * ROWS
         left = np.flatnonzero(side <= 0)
         right = np.flatnonzero(side >= 0)
         a, b = [], []
@@ -236,7 +309,12 @@ def across(open_rows: DataFrame, percent: int) -> DataFrame:
             y = right[part[right] != part[x]]
             y = y[node[y] > node[x]] if side[x] == 0 else y
             if len(y):
-                ok = y[hopeful(s[x], s[y], n[x], n[y], percent)]
+                y = y[hopeful(s[x], s[y], n[x], n[y], percent)]
+            if len(y) and before:  # not those that an earlier band has brought together
+                both = densified(s[np.append(x, y)])[:, :before].reshape(len(y) + 1, -1, ROWS)
+                y = y[~(both[1:] == both[0]).all(axis=2).any(axis=1)]
+            if len(y):
+                ok = y
                 a.append(np.minimum(node[x], node[ok]))
                 b.append(np.maximum(node[x], node[ok]))
         return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
@@ -273,7 +351,7 @@ def blocks(members: DataFrame, sizes: DataFrame, classes: DataFrame, block_rows:
     rows = rows.withColumn("many", many).withColumn("own", F.pmod(F.xxhash64("node"), F.col("many")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("many") - 1)))
     side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), -1).otherwise(1)
-    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"), "node", "component", "n", "signature")
+    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"), "band", "node", "component", "n", "signature")
     return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
 
@@ -306,14 +384,14 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     leaders = durable(banded.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).where(F.col("a") < F.col("z")).select("key", "a"), folder, "leaders")
     shared = durable(banded.join(leaders, "key"), folder, "shared")
     stars = shared.where(F.col("node") > F.col("a")).select("a", F.col("node").alias("b")).distinct()
-    links = confirmed(plausible(stars, classes, percent), rows, classes, words, percent, folder, "star")
+    links = confirmed(plausible(stars, classes, percent), rows, words, percent, folder, "star", block_rows)
     found = components(links, folder, "first")
 
-    members = shared.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    members = shared.select("key", "band", "node").join(found, "node", "left").select("key", "band", "node", F.coalesce("component", "node").alias("component"))
     members = durable(members, folder, "members")
     sizes = durable(members.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).where(F.col("low") < F.col("high")).select("key", "size"), folder, "open")
     rest = across(blocks(members, sizes, classes, block_rows), percent).distinct()
-    more = confirmed(rest, rows, classes, words, percent, folder, "rest")
+    more = confirmed(rest, rows, words, percent, folder, "rest", block_rows)
     if not more.isEmpty():
         found = components(links.union(more), folder, "second")
 
