@@ -24,7 +24,7 @@ from factloom.llm.common import by_bytes, widened
 # The word mark, and what an unknown character costs below the lowest score.
 MARK, UNKNOWN_PENALTY = "▁", 10.0
 #: Words whose counts a worker remembers; when full, it starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 
 
 def zipf_vocabulary(model_path: str) -> list[tuple[str, float]]:
