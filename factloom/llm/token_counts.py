@@ -4,7 +4,8 @@ The rules are those of the `tokenizers` library's Unigram model behind a
 Metaspace pre-tokenizer: spaces become "▁", which begins each word and the text;
 a word's segmentation has the greatest sum of piece scores; of equal sums the
 one whose last piece begins first wins; a character without a piece of its own
-may be unknown at the lowest score less 10, and counts as its UTF-8 bytes. An
+may be unknown at the lowest score less 10, and counts as its UTF-8 bytes (or,
+where the vocabulary has no byte pieces, as one with the unknown ones beside it). An
 Aho-Corasick automaton lists, for every end in a word, the pieces that end
 there, the longest first, and one pass carries the best score and its number of
 pieces. No segmentation is kept.
@@ -58,31 +59,33 @@ class Counter:
 
     def word(self, word: str) -> tuple[int, float]:
         """(pieces, score) of the best segmentation of one word."""
-        n, bytes_of = len(word), self.fallback
-        best, count = [0.0] + [-math.inf] * n, [0] * (n + 1)
+        n = len(word)
+        best, count, strange = [0.0] + [-math.inf] * n, [0] * (n + 1), [False] * (n + 1)
         end, single = 0, True
         for last, (length, score) in () if self.empty else self.automaton.iter(word):
             while end <= last:  # all pieces that end at `end` have been seen
                 if not single:
-                    self._unknown(word, end, best, count, bytes_of)
+                    self._unknown(word, end, best, count, strange)
                 end, single = end + 1, False
             start = end - length
             candidate = best[start] + score
             if candidate > best[end]:
-                best[end], count[end] = candidate, count[start] + 1
+                best[end], count[end], strange[end] = candidate, count[start] + 1, False
             single = single or length == 1
         while True:
             if not single:
-                self._unknown(word, end, best, count, bytes_of)
+                self._unknown(word, end, best, count, strange)
             if end == n:
                 break
             end, single = end + 1, False
         return count[n], best[n]
 
-    def _unknown(self, word: str, end: int, best: list[float], count: list[int], bytes_of: bool) -> None:
+    def _unknown(self, word: str, end: int, best: list[float], count: list[int], strange: list[bool]) -> None:
+        """The last character as unknown: its bytes, or, without byte pieces, one piece with the unknown ones right before it."""
         candidate = best[end - 1] + self.unknown
         if candidate > best[end]:
-            best[end], count[end] = candidate, count[end - 1] + (len(word[end - 1].encode("utf-8", "surrogatepass")) if bytes_of else 1)
+            more = len(word[end - 1].encode("utf-8", "surrogatepass")) if self.fallback else int(not strange[end - 1])
+            best[end], count[end], strange[end] = candidate, count[end - 1] + more, True
 
     def text(self, text: str) -> tuple[int, float]:
         """(pieces, score) of a text."""
