@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Intervention families and the substrings that show them, in order.
@@ -77,7 +77,10 @@ EXCLUDE = [r"^\s*$", r"(?:login|signup|subscribe|password|cookie)", r"(?:spam|sc
 
 def has_any(text: Column, words: list[str]) -> Column:
     """Whether text has any of the words as a substring."""
-    return F.greatest(*(F.contains(text, F.lit(w)) for w in words)) if len(words) > 1 else F.contains(text, F.lit(words[0]))
+    found = F.contains(text, F.lit(words[0]))
+    for w in words[1:]:
+        found = found | F.contains(text, F.lit(w))
+    return found
 
 
 def plain(text: Column) -> Column:
@@ -91,6 +94,13 @@ def families(text: Column) -> Column:
     return F.array_compact(F.array(*(F.when(has_any(t, words), F.lit(name)) for name, words in FAMILIES.items())))
 
 
+def family_counts(df: DataFrame, text: str, id_col: str) -> DataFrame:
+    """(family, n, first_id) of the families that occur: one aggregate as wide as the families, then turned, so rows are neither multiplied nor shuffled."""
+    flags = df.select(F.col(id_col).alias("id"), plain(F.col(text)).alias("t")).select("id", *(F.when(has_any(F.col("t"), w), F.col("id")).alias(f) for f, w in FAMILIES.items()))
+    wide = flags.agg(*(F.struct(F.count(f).alias("n"), F.min(f).alias("first_id")).alias(f) for f in FAMILIES))
+    return wide.select(F.explode(F.array(*(F.struct(F.lit(f).alias("family"), F.col(f)["n"].alias("n"), F.col(f)["first_id"].alias("first_id")) for f in FAMILIES))).alias("r")).select("r.*").where("n > 0")
+
+
 def result_status(text: Column) -> Column:
     """The last of the statuses that match, or unknown."""
     t = plain(text)

@@ -22,14 +22,13 @@ _STATUS = "COALESCE(" + ", ".join(f"CASE WHEN {_any(R.STATUSES[s])} THEN '{s}' E
 @query(f"SELECT family, count(*) AS n, min(id) AS first_id FROM (SELECT id, unnest({_FAMILIES}) AS family FROM (SELECT id, {_T} AS t FROM notes)) GROUP BY family")
 def family_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records by intervention family."""
-    found = notes(spark, sf_dir).select("id", F.explode(R.families(F.col("note"))).alias("family"))
-    return found.groupBy("family").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
+    return R.family_counts(notes(spark, sf_dir), "note", "id")
 
 
 @query("SELECT family, count(*) AS n FROM (SELECT unnest(" + _FAMILIES + ") AS family FROM (SELECT translate(lower(text), '-–', '  ') AS t FROM documents)) GROUP BY family")
 def family_detection_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same over the raw documents."""
-    return table(spark, sf_dir, "documents", "text").select(F.explode(R.families(F.col("text"))).alias("family")).groupBy("family").agg(F.count("*").alias("n"))
+    return R.family_counts(table(spark, sf_dir, "documents", "doc_id", "text"), "text", "doc_id").drop("first_id")
 
 
 @query(f"SELECT id, {_STATUS} AS status FROM (SELECT id, {_T} AS t FROM notes)")
