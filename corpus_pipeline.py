@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import decontamination, minhash, packing, quality, secrets
+from factloom.llm import common, decontamination, minhash, packing, quality, secrets
 from factloom.llm.common import durable, shared_dir
 from factloom.llm.queries import tokenizer_path
 
@@ -74,7 +74,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_dir(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for number, (_, stage) in enumerate(STAGES):
+        before = len(common.folders)
         docs = stage(spark, docs, sf_dir)
         if number < len(STAGES) - 1:
             docs = durable(docs, folder, f"stage{number}")
+            common.sweep(spark, common.folders[before:])
     return docs

@@ -16,17 +16,31 @@ from pyspark.sql import types as T
 TARGET_BYTES = 24 << 20
 
 
+#: Folders that this process has asked for.
+folders: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share.
+    """The name of a new folder below spark.checkpoint.dir, which driver and executors share.
 
     The setting is read from the session; only where it is unset (as in tests)
-    is a local folder made and set.
+    is a local folder made and set. What operators write there is needed until
+    their result has been used; see sweep().
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = tempfile.mkdtemp(prefix="factloom-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/factloom-{uuid.uuid4().hex}"
+    folders.append(f"{root.rstrip('/')}/factloom-{uuid.uuid4().hex}")
+    return folders[-1]
+
+
+def sweep(spark: SparkSession, done: list[str]) -> None:
+    """Delete shared folders whose results have been used."""
+    for folder in done:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        folders.remove(folder)
 
 
 def durable(df: DataFrame, folder: str, name: str) -> DataFrame:
