@@ -103,17 +103,41 @@ def top_absent(pairs: DataFrame, group: str, value: str, pool: int = 50, most: i
     return present.join(F.broadcast(ranked)).select(group, F.array_join(F.slice(F.array_except("pool", "present"), 1, most), ",").alias("absent"))
 
 
+def positions(values: DataFrame, key: str, value: str, parts: int = 64) -> DataFrame:
+    """(key, value, c, lo, n): each distinct value of a key, how often it occurs, how many of the key's n values are smaller.
+
+    Equal values are counted before they are moved, and a key's distinct values
+    are ranked in `parts` ranges of about equal size, so that no key's values
+    meet in one task, however many it has.
+    """
+    counts = values.groupBy(key, value).agg(F.count("*").alias("c"))
+    splits = counts.groupBy(key).agg(F.percentile_approx(value, [i / parts for i in range(1, parts)], 1000).alias("splits"), F.sum("c").alias("n"))
+    placed = counts.join(splits, key).withColumn("part", F.size(F.filter("splits", lambda s: s < F.col(value)))).drop("splits")
+    cells = placed.groupBy(key, "part").agg(F.sum("c").alias("m"))
+    before = Window.partitionBy(key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.select(key, "part", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("base"))
+    inner = Window.partitionBy(key, "part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    return placed.join(cells, [key, "part"]).select(key, value, "c", "n", (F.col("base") + F.coalesce(F.sum("c").over(inner), F.lit(0))).alias("lo"))
+
+
+def at_position(value: str, place: Column) -> Column:
+    """As an aggregate over positions(): the value at a place counted from 0."""
+    return F.max(F.when((F.col("lo") <= place) & (place < F.col("lo") + F.col("c")), F.col(value)))
+
+
 def outcome_ranges(values: DataFrame, key: str, value: str) -> DataFrame:
     """Low, median and high of each key's values, outliers beyond 1.5 quartile ranges left out from six values on.
 
-    Quartiles are the values at positions n/4 and 3n/4 of the sorted ones. The
-    positions are looked up by rank, so that no key's values meet in one row.
+    Quartiles are the values at positions n/4 and 3n/4 of the sorted ones.
     """
-    w = Window.partitionBy(key).orderBy(value)
-    ranked = values.select(key, value).withColumn("rank", F.row_number().over(w) - 1).withColumn("n", F.count("*").over(Window.partitionBy(key)))
-    q = lambda k: F.max(F.when(F.col("rank") == F.floor(k * F.col("n") / 4), F.col(value))).over(Window.partitionBy(key))
-    fenced = ranked.withColumn("q1", q(1)).withColumn("q3", q(3))
-    inside = F.col(value).between(F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")), F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
-    kept = fenced.where((F.col("n") < 6) | inside)
+    placed = positions(values, key, value)
+    n, v = F.col("n"), F.col(value)
+    quartiles = placed.groupBy(key).agg(at_position(value, F.floor(n / 4)).alias("q1"), at_position(value, F.floor(3 * n / 4)).alias("q3"))
+    inside = v.between(F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")), F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
+    kept = placed.join(quartiles, key).where((n < 6) | inside)
+    # What is kept lies together in the order, so places among it are those in the order less the first.
+    ends = kept.groupBy(key).agg(F.min("lo").alias("first"), F.sum("c").alias("m"))
     method = F.when(F.max("n") >= 6, "median_iqr").when(F.max("n") == 1, "single_value").otherwise("median_minmax")
-    return kept.groupBy(key).agg(half_up(F.min(value), 1).alias("low"), half_up(F.median(value), 1).alias("median"), half_up(F.max(value), 1).alias("high"), F.max("n").alias("sample_size"), method.alias("method"))
+    low, high = (at_position(value, F.col("first") + F.floor((F.col("m") - k) / 2)) for k in (1, 0))
+    out = kept.join(ends, key).groupBy(key).agg(F.min(value).alias("low"), ((low + high) / 2).alias("median"), F.max(value).alias("high"), F.max("n").alias("sample_size"), method.alias("method"))
+    return out.select(key, *(half_up(F.col(c), 1).alias(c) for c in ("low", "median", "high")), "sample_size", "method")

@@ -210,10 +210,8 @@ def unit_economics(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT event_type, max(value) FILTER (k = CAST(floor(n * 0.5::DOUBLE) AS BIGINT)) AS p50, max(value) FILTER (k = CAST(floor(n * 0.95::DOUBLE) AS BIGINT)) AS p95, max(value) FILTER (k = CAST(floor(n * 0.99::DOUBLE) AS BIGINT)) AS p99 FROM e GROUP BY 1""")
 def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values at the positions n/2, 0.95 n and 0.99 n, by type."""
-    from pyspark.sql import Window
-
-    e = table(spark, sf_dir, "events", "event_id", "event_type", "value").withColumn("k", F.row_number().over(Window.partitionBy("event_type").orderBy("value", "event_id")) - 1).withColumn("n", F.count("*").over(Window.partitionBy("event_type")))
-    return e.groupBy("event_type").agg(*(F.max(F.when(F.col("k") == F.floor(F.col("n") * p), F.col("value"))).alias(f"p{round(p * 100)}") for p in (0.5, 0.95, 0.99)))
+    e = C.positions(table(spark, sf_dir, "events", "event_type", "value"), "event_type", "value")
+    return e.groupBy("event_type").agg(*(C.at_position("value", F.floor(F.col("n") * p)).alias(f"p{round(p * 100)}") for p in (0.5, 0.95, 0.99)))
 
 
 @query(f"""WITH m AS (SELECT d.doc_id, l.quality = 1 AS want, length(d.text) > 300 AS got FROM documents d JOIN labels l USING (doc_id)), s AS (SELECT count(*) FILTER (want AND got) AS tp, count(*) FILTER (got) AS p, count(*) FILTER (want) AS w FROM m)
