@@ -61,7 +61,7 @@ def peer_consistency(records: DataFrame, group: str) -> DataFrame:
     totals = records.groupBy(group).agg(F.count("*").alias("n"), F.count_if(good).alias("g"))
     ratio = (F.col("g") - F.when(good, 1).otherwise(0)) / (F.col("n") - 1)
     score = F.when(F.col("n") == 1, 50).when(ratio >= 0.8, 90).when(ratio >= 0.5, 70).when(ratio >= 0.3, 50).otherwise(30)
-    return records.join(F.broadcast(totals) if group == "workflow" else totals, group).select("id", group, score.alias("score"))
+    return records.join(totals, group).select("id", group, score.alias("score"))
 
 
 def comparables(records: DataFrame, group: str, score: Column, most: int = 3) -> DataFrame:

@@ -100,7 +100,7 @@ def top_absent(pairs: DataFrame, group: str, value: str, pool: int = 50, most: i
     common = pairs.groupBy(value).agg(F.count("*").alias("n")).orderBy(F.desc("n"), value).limit(pool)
     ranked = common.agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), F.col(value).alias("v")))), lambda x: x["v"]).alias("pool"))  # `pool` values
     present = pairs.groupBy(group).agg(F.collect_set(value).alias("present"))
-    return present.join(F.broadcast(ranked)).select(group, F.array_join(F.slice(F.array_except("pool", "present"), 1, most), ",").alias("absent"))
+    return present.select(group, F.array_join(F.slice(F.array_except(ranked.scalar(), F.col("present")), 1, most), ",").alias("absent"))
 
 
 def positions(values: DataFrame, key: str, value: str, parts: int = 64) -> DataFrame:

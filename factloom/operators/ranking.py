@@ -22,8 +22,7 @@ def best_per_entity(df: DataFrame, entity: str, score: str, id_col: str, limit:
         return kept.drop("__first")
     rest = marked.where("NOT __first").orderBy(F.desc(score), id_col).limit(least)
     both = kept.unionByName(rest).withColumn("__place", F.row_number().over(Window.orderBy(F.desc("__first"), F.desc(score), id_col)))  # limit + least rows
-    n = kept.agg(F.count("*").alias("__n"))
-    return both.join(F.broadcast(n)).where(F.col("__first") | (F.col("__place") <= least)).drop("__first", "__place", "__n")
+    return both.where(F.col("__first") | (F.col("__place") <= least)).drop("__first", "__place")
 
 
 def close_calls(df: DataFrame, group: str, score: str, id_col: str, top: int, within: float) -> DataFrame:

@@ -127,7 +127,7 @@ def improvement_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 def demand_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Demand by topic, from 0 to 1. The maximum is taken over one row a topic."""
     c = table(spark, sf_dir, "events", "event_type", "value").where("value >= 0.5").groupBy(F.col("event_type").alias("topic")).agg(F.count("*").alias("n"))
-    return c.join(F.broadcast(c.agg(F.max("n").alias("most")))).select("topic", "n", half_up(F.col("n") / F.col("most"), 3).alias("demand"))
+    return c.select("topic", "n", half_up(F.col("n") / c.agg(F.max("n")).scalar(), 3).alias("demand"))
 
 
 @query(f"""WITH {_TIERED} SELECT business_function, count(*) AS records, count(*) FILTER (tier = 'gold') AS gold, count(*) FILTER (tier = 'decision_grade') AS decision_grade, count(*) FILTER (tier = 'supporting') AS supporting, count(*) FILTER (tier = 'rejected') AS rejected FROM tiered GROUP BY 1""")

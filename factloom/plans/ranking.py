@@ -94,7 +94,7 @@ def evidence_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evidence score of each record."""
     t = tiered(spark, sf_dir)
     n = t.groupBy("workflow").agg((F.count("*") - 1).alias("n_same"))
-    return t.join(F.broadcast(n), "workflow").select("id", S.evidence_score(S.evidence_parts(F.lit("2001-01-01").cast("date"), F.col("n_same"))).alias("score"))
+    return t.join(n, "workflow").select("id", S.evidence_score(S.evidence_parts(F.lit("2001-01-01").cast("date"), F.col("n_same"))).alias("score"))
 
 
 _TERMS = "CASE WHEN q = '' OR t = '' THEN 0.0::DOUBLE WHEN q = t THEN 1.0::DOUBLE WHEN contains(t, q) OR contains(q, t) THEN 0.7::DOUBLE ELSE 0.5::DOUBLE * len(list_intersect(wq, wt)) / greatest(len(list_distinct(list_concat(wq, wt))), 1) END"
@@ -122,8 +122,8 @@ def dimension_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Likeness of each customer's brands to the first customer's."""
     o, l, p = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey"), table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey"), table(spark, sf_dir, "part", "p_partkey", "p_brand")
     b = l.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(p, F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.collect_set("p_brand").alias("brands"))
-    first = b.agg(F.min_by("brands", "c_custkey").alias("ref"))
-    return b.join(F.broadcast(first)).select("c_custkey", half_up(F.size(F.array_intersect("brands", "ref")) / F.size(F.array_union("brands", "ref")), 6).alias("jaccard"))
+    first = b.agg(F.min_by("brands", "c_custkey")).scalar()
+    return b.withColumn("ref", first).select("c_custkey", half_up(F.size(F.array_intersect("brands", "ref")) / F.size(F.array_union("brands", "ref")), 6).alias("jaccard"))
 
 
 @query(f"""WITH {_TIERED}, r AS (SELECT id, tier, unnest([CASE WHEN n_numeric > 0 THEN 'outcome' END, CASE WHEN richness <> 'thin' THEN 'implementation' END, CASE WHEN result_status IN ('failed', 'abandoned') THEN 'counter' END, CASE WHEN independently_verified THEN 'validation' END, CASE WHEN workflow <> '' THEN 'context' END]) AS role FROM tiered),

@@ -129,8 +129,8 @@ def organization_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
 def paged_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second page of gold records, the newest first, with their total."""
     t = tiered(spark, sf_dir).where("tier = 'gold'").select("id", "tier", "extracted_at")
-    total = t.agg(F.count("*").alias("total"))
-    return t.orderBy(F.desc("extracted_at"), "id").offset(20).limit(50).select("id", "tier").join(F.broadcast(total))
+    total = t.agg(F.count("*")).scalar()
+    return t.orderBy(F.desc("extracted_at"), "id").offset(20).limit(50).select("id", "tier", total.alias("total"))
 
 
 @query("SELECT regexp_replace(lower(regexp_extract(source_url, '^[a-zA-Z]+://([^/:?#]+)', 1)), '^www\\.', '') AS host, count(*) AS n, count(*) FILTER (regexp_matches(lower(source_url), 'case-study/[0-9]*[02468]$')) AS useful FROM records WHERE source_url <> '' GROUP BY 1")
