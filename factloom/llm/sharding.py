@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from factloom.llm.common import text_of
 
 ATOM_BITS = 16
-#: Parts in which an atom's rows are numbered, so that no group of copies is numbered in one task.
-SLOT_PARTS = 64
+#: Rows that are numbered together; an atom of more, such as a large group of copies, is numbered in parts.
+PART_ROWS = 500
 
 
 def greedy_cuts(prefix: list[int], capacity: int, shards: int) -> list[int] | None:
@@ -94,26 +94,24 @@ def shard(docs: DataFrame, shards: int, *, id_col: str = "doc_id", text_col: str
     spark = docs.sparkSession
     text = text_of(text_col)
     atom = F.shiftrightunsigned(F.xxhash64(text), 64 - atom_bits).cast("int")
-    rows = docs.select(
-        F.col(id_col).alias("id"), (F.octet_length(text).cast("long") + overhead).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), atom.alias("atom"),
-        F.pmod(F.xxhash64(F.col(id_col)), F.lit(SLOT_PARTS)).cast("int").alias("part"),
-    )
+    rows = docs.select(F.col(id_col).alias("id"), (F.octet_length(text).cast("long") + overhead).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), atom.alias("atom"))
     atoms = rows.groupBy("atom").agg(F.sum("size").alias("size"), F.count("*").alias("n")).orderBy("atom").collect()  # at most 2 ** atom_bits
     _, cuts = minimax_cuts([r["size"] for r in atoms], shards)
     table, first = [], 0
     for number, end in enumerate(cuts):
         base = 0
         for r in atoms[first:end]:
-            table.append((r["atom"], number, base))
+            table.append((r["atom"], number, base, -(-r["n"] // PART_ROWS)))
             base += r["n"]
         first = end
-    places = spark.createDataFrame(table, "atom int, shard int, atom_base long")
-    parts = rows.groupBy("atom", "part").agg(F.count("*").alias("n"))
+    places = F.broadcast(spark.createDataFrame(table, "atom int, shard int, atom_base long, parts int"))
+    placed = rows.join(places, "atom").withColumn("part", F.pmod(F.xxhash64("id", "size"), F.col("parts")).cast("int"))
+    sums = placed.where("parts > 1").groupBy("atom", "part").agg(F.count("*").alias("n"))  # few: one for each PART_ROWS rows of large atoms
     before = Window.partitionBy("atom").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select("atom", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("part_base"))
-    cell = Window.partitionBy("atom", "part").orderBy("id", "size")
-    numbered = rows.withColumn("n", F.row_number().over(cell)).join(parts, ["atom", "part"]).join(F.broadcast(places), "atom")
-    return numbered.select(F.col("id").alias(id_col), "size", "text_crc32", "shard", (F.col("atom_base") + F.col("part_base") + F.col("n") - 1).alias("slot"))
+    sums = sums.select("atom", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("part_base"))
+    number = F.row_number().over(Window.partitionBy("atom", "part").orderBy("id", "size")) - 1
+    numbered = placed.withColumn("n", number).join(sums, ["atom", "part"], "left")
+    return numbered.select(F.col("id").alias(id_col), "size", "text_crc32", "shard", (F.col("atom_base") + F.coalesce("part_base", F.lit(0)) + F.col("n")).alias("slot"))
 
 
 def write_shards(docs: DataFrame, placed: DataFrame, path: str, *, id_col: str = "doc_id") -> None:

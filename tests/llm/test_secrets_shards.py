@@ -69,7 +69,9 @@ def test_redaction(spark):
         assert not base(r["new"] or "")
 
 
-def test_shards_are_minimax(spark):
+@pytest.mark.parametrize("part_rows", [500, 3])
+def test_shards_are_minimax(spark, monkeypatch, part_rows):
+    monkeypatch.setattr(sharding, "PART_ROWS", part_rows)
     rows = [(i, f"text {i % 50} " * (i % 13)) for i in range(500)] + [(900, None), (901, ""), (901, ""), (None, "null"), (902, "z" * 5000)]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, size string")
     out = sharding.shard(df, 7).collect()
