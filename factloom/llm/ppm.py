@@ -9,12 +9,12 @@ one, what is excluded in a context depends only on the context that was
 escaped from, so the code length of a symbol is fixed by its ORDER bytes of
 context, and each (context, symbol) string, a gram, has one log probability.
 
-The trie is never in one place. Documents are dealt into chunks of bounded
-size. Each chunk lists its distinct grams with their counts in training texts,
+The trie is never in one place. Each task deals its documents into chunks of
+bounded size. Each chunk lists its distinct grams with their counts in training texts,
 by hash groups; the groups add up the counts; the grams' log probabilities are
 computed by groups of contexts that share their last bytes (orders below that
 come from tables of at most 2 ** 16 rows); and every chunk gets back the
-grams it listed with their values. Word counts for
+values of the grams it listed, in the order it listed them. Word counts for
 the base score go the same way. So memory is bounded by the chunk, whatever
 the size of the corpus or of the trie.
 """
@@ -26,11 +26,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import chunks_for, durable, shared_dir, text_of
+from factloom.llm.common import by_bytes, chunks_for, durable, shared_dir, text_of
 
 ORDER = 5
 #: Bytes that UTF-8 lacks stand for what is before a text and for its end.
@@ -119,8 +119,26 @@ def merged(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     if not found:
         return np.zeros(0, U), np.zeros(0, np.int64)
     keys, counts = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
-    keys, at = np.unique(keys, return_inverse=True)
-    return keys, np.bincount(at, counts, len(keys)).astype(np.int64)
+    order = np.argsort(keys)
+    keys = keys[order]
+    new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[new], (np.add.reduceat(counts[order].astype(np.int64), new) if len(keys) else np.zeros(0, np.int64))
+
+
+def distinct(found: Iterator[np.ndarray]) -> np.ndarray:
+    """All keys once, in order."""
+    held: list[np.ndarray] = []
+    for k in found:
+        held.append(k)
+        if len(held) > 7:
+            held = [_once(held)]
+    return _once(held) if held else np.zeros(0, U)
+
+
+def _once(held: list[np.ndarray]) -> np.ndarray:
+    keys = np.concatenate(held)
+    keys.sort()
+    return keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
 
 
 def listed(texts: list[str], train: list[bool]) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
@@ -158,30 +176,53 @@ def restored(data: bytes, dtype: type) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype)
 
 
-LISTING = "chunk int, kind int, g int, n int, keys binary, counts binary"
-VALUES = "chunk int, kind int, g int, keys binary, vals binary"
-LISTING_ARROW = pa.schema([("chunk", pa.int32()), ("kind", pa.int32()), ("g", pa.int32()), ("n", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
-VALUES_ARROW = pa.schema([("chunk", pa.int32()), ("kind", pa.int32()), ("g", pa.int32()), ("keys", pa.binary()), ("vals", pa.binary())])
+#: Kinds of rows: 0 grams, 1 words, and in a listing -1 documents of the chunk.
+DOCS = -1
+LISTING = "chunk bigint, kind int, g int, keys binary, counts binary, docs binary"
+VALUES = "chunk bigint, kind int, g int, vals binary"
+LISTING_ARROW = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("g", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("docs", pa.binary())])
+VALUES_ARROW = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("g", pa.int32()), ("vals", pa.binary())])
 
 
-def list_chunk(many: int):
-    def run(table: pa.Table) -> pa.Table:
+def list_chunks(many: int, chunk_bytes: int):
+    """Deal a partition's documents (id, text, train) into chunks; of each, the documents as compressed Arrow pieces, and the keys listed by hash group."""
+
+    def listing(chunk: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
         rows: list[list] = [[] for _ in LISTING_ARROW]
-        for kind, (keys, counts) in enumerate(listed(table.column("text").to_pylist(), table.column("train").to_pylist())):
+        texts, train = ([x for b in held for x in b.column(c).to_pylist()] for c in ("text", "train"))
+        for kind, (keys, counts) in enumerate(listed(texts, train)):
             g = groups_of(keys, many)
             order = np.argsort(g, kind="stable")
             cuts = np.searchsorted(g[order], np.arange(many + 1))
-            for i in range(many):
+            for i in np.flatnonzero(np.diff(cuts)).tolist():
                 part = order[cuts[i] : cuts[i + 1]]
-                if len(part):
-                    row = (table.column("chunk")[0].as_py(), kind, i, len(part), compressed(np.diff(keys[part], prepend=U(0))), compressed(counts[part].astype("<u4")))
-                    for column, x in zip(rows, row, strict=True):
-                        column.append(x)
-        return pa.table([pa.array(c, f.type) for c, f in zip(rows, LISTING_ARROW, strict=True)], schema=LISTING_ARROW)
+                row = (chunk, kind, i, compressed(np.diff(keys[part], prepend=U(0))), compressed(counts[part].astype("<u4")), None)
+                for column, x in zip(rows, row, strict=True):
+                    column.append(x)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, LISTING_ARROW, strict=True)], schema=LISTING_ARROW)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, held, size = TaskContext.get().partitionId() << 24, [], 0
+        for batch in by_bytes(batches, "text", 1 << 20):
+            yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((chunk, DOCS, None, None, None, packed(batch)), LISTING_ARROW, strict=True)], schema=LISTING_ARROW)
+            held.append(batch)
+            size += batch.column("text").nbytes
+            if size >= chunk_bytes:
+                yield listing(chunk, held)
+                chunk, held, size = chunk + 1, [], 0
+        if held:
+            yield listing(chunk, held)
 
     return run
 
 
+def packed(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
 def keys_of(table: pa.Table) -> list[np.ndarray]:
     return [np.cumsum(restored(k, U), dtype=U) for k in table.column("keys").to_pylist()]
 
@@ -203,7 +244,7 @@ def count_words(table: pa.Table) -> pa.Table:
     values = [compressed(c[np.searchsorted(k, x)].astype("<u4")) for x in keys]
     values.append(np.array([(c > 0).sum(), c.sum()], np.int64).tobytes())
     g = table.column("g")[0].as_py()
-    return pa.table([pa.array([*table.column("chunk").to_pylist(), -1], pa.int32()), pa.array([1] * len(values), pa.int32()), pa.array([g] * len(values), pa.int32()), pa.array([*table.column("keys").to_pylist(), None], pa.binary()), pa.array(values, pa.binary())], schema=VALUES_ARROW)
+    return pa.table([pa.array([*table.column("chunk").to_pylist(), -1], pa.int64()), pa.array([1] * len(values), pa.int32()), pa.array([g] * len(values), pa.int32()), pa.array(values, pa.binary())], schema=VALUES_ARROW)
 
 
 def hand_back(model: pa.Table, table: pa.Table) -> pa.Table:
@@ -212,7 +253,7 @@ def hand_back(model: pa.Table, table: pa.Table) -> pa.Table:
     order = np.argsort(k)
     k, value = k[order], value[order]
     values = [compressed(value[np.searchsorted(k, x)].astype("<f4")) for x in keys_of(table)]
-    return pa.table([table.column("chunk"), pa.array([0] * len(values), pa.int32()), table.column("g"), table.column("keys"), pa.array(values, pa.binary())], schema=VALUES_ARROW)
+    return pa.table([table.column("chunk"), pa.array([0] * len(values), pa.int32()), table.column("g"), pa.array(values, pa.binary())], schema=VALUES_ARROW)
 
 
 # --- the model --------------------------------------------------------------
@@ -266,26 +307,29 @@ def log_probabilities(k: np.ndarray, c: np.ndarray, pairs: np.ndarray, pair_coun
     return out
 
 
-def score_chunk(words: int, tokens: int):
+def score_chunk(many: int, words: int, tokens: int):
     """Score a chunk's documents with the values that came back."""
 
-    def values_of(table: pa.Table, kind: int, dtype: type) -> tuple[np.ndarray, np.ndarray]:
-        own = table.filter(pa.compute.equal(table.column("kind"), kind))
-        keys = np.concatenate([np.zeros(0, U), *keys_of(own)])
-        values = np.concatenate([np.zeros(0, dtype), *(restored(v, dtype) for v in own.column("vals").to_pylist())])
-        order = np.argsort(keys)
-        return keys[order], values[order].astype(float)
+    def values_of(table: pa.Table, kind: int, dtype: type, found: Iterator[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The chunk's keys of a kind, listed once more and in order, and their values."""
+        keys = distinct(found)
+        by = {g: v for n, g, v in zip(*(table.column(c).to_pylist() for c in ("kind", "g", "vals")), strict=True) if n == kind}
+        out = np.empty(len(keys))
+        out[np.argsort(groups_of(keys, many), kind="stable")] = np.concatenate([np.zeros(0, dtype), *(restored(by[g], dtype) for g in sorted(by))])
+        return keys, out
 
-    def run(docs: pa.Table, table: pa.Table) -> pa.Table:
+    def run(pieces: pa.Table, table: pa.Table) -> pa.Table:
+        docs = pa.concat_tables(pa.ipc.open_stream(x).read_all() for x in pieces.column("docs").to_pylist())
         texts = docs.column("text").to_pylist()
         n = len(texts)
         scores, base, known, sizes_ = np.zeros(n), np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
-        keys, lp = values_of(table, 0, np.float32)
+        keys, lp = values_of(table, 0, np.float32, (sorted_runs(parts)[0] for _, parts in segments(texts)))
         for at, parts in segments(texts):
             k, run_, part = sorted_runs(parts)
             scores += np.bincount(np.array(at)[part], lp[np.searchsorted(keys, k)][run_], n)
-        keys, counts = values_of(table, 1, np.uint32)
-        for at, hashes, sizes in word_runs(texts, {}):
+        cache: dict[bytes, int] = {}
+        keys, counts = values_of(table, 1, np.uint32, (hashes for _, hashes, _ in word_runs(texts, cache)))
+        for at, hashes, sizes in word_runs(texts, cache):
             distinct, which = np.unique(hashes, return_inverse=True)
             count = counts[np.searchsorted(keys, distinct)][which]
             doc = np.repeat(np.array(at), sizes)
@@ -316,16 +360,17 @@ def score(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: s
     spark, folder = docs.sparkSession, shared_dir(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     chunks = chunks_for(rows, "text", chunk_bytes)
-    many = 1 << max(0, chunks - 1).bit_length()
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(chunks)).cast("int"))
+    many = max(64, 1 << (chunks - 1).bit_length())  # hash groups: at least as many as chunks, and enough for small inputs to be spread
     id_type = rows.schema["id"].dataType.simpleString()
 
-    listing = durable(rows.select("chunk", "text", "train").groupBy("chunk").applyInArrow(list_chunk(many), LISTING), folder, "listing")
-    words = durable(listing.where("kind = 1").groupBy("g").applyInArrow(count_words, VALUES), folder, "words")
+    # The texts are read once; after that their compressed pieces stand in for them.
+    listing = durable(rows.mapInArrow(list_chunks(many, chunk_bytes), LISTING), folder, "listing")
+    of_kind = lambda k, *c: listing.where(F.col("kind") == k).select(*c)
+    words = durable(of_kind(1, "chunk", "g", "keys", "counts").groupBy("g").applyInArrow(count_words, VALUES), folder, "words")
     sums = [np.frombuffer(r["vals"], np.int64) for r in words.where("chunk = -1").select("vals").collect()]  # two numbers a hash group
     known, tokens = (int(sum(s[i] for s in sums)) for i in (0, 1))
 
-    counted = durable(listing.where("kind = 0").groupBy("g").applyInArrow(count_grams, "g int, k bigint, c bigint"), folder, "grams")
+    counted = durable(of_kind(0, "g", "keys", "counts").groupBy("g").applyInArrow(count_grams, "g int, k bigint, c bigint"), folder, "grams")
     pair = (F.shiftright("k", 8 * ORDER) * 256 + F.col("k").bitwiseAND(F.lit(255))).alias("pair")
     low = counted.where("c > 0").groupBy(pair).agg(F.sum("c").alias("c")).orderBy("pair").collect()  # at most 2 ** 16 rows
     pairs, pair_counts = np.array([r["pair"] for r in low], U), np.array([r["c"] for r in low], float)
@@ -338,7 +383,7 @@ def score(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: s
 
     near = counted.withColumn("part", F.pmod(F.xxhash64(F.shiftright("k", 8 * (ORDER - 1))), F.lit(parts * 4)))
     modelled = durable(near.groupBy("part").applyInArrow(model, "g int, k bigint, lp double"), folder, "model")
-    back = modelled.groupBy("g").cogroup(listing.where("kind = 0").select("g", "chunk", "keys").groupBy("g")).applyInArrow(hand_back, VALUES)
-    values = durable(back.union(words.where("chunk >= 0")), folder, "values")
-    done = rows.groupBy("chunk").cogroup(values.groupBy("chunk")).applyInArrow(score_chunk(known, tokens), f"id {id_type}, train boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    back = modelled.groupBy("g").cogroup(of_kind(0, "g", "chunk", "keys").groupBy("g")).applyInArrow(hand_back, VALUES)
+    values = back.union(words.where("chunk >= 0"))
+    done = of_kind(DOCS, "chunk", "docs").groupBy("chunk").cogroup(values.groupBy("chunk")).applyInArrow(score_chunk(many, known, tokens), f"id {id_type}, train boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
     return done.withColumnRenamed("id", id_col)
