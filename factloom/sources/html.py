@@ -12,10 +12,28 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 HEADINGS, BLOCKS, SILENT = {"h1", "h2", "h3", "h4", "h5", "h6"}, {"p", "li", "pre", "td", "th"}, {"script", "style", "nav", "footer", "header"}
+#: Elements that hold blocks: where one ends, what is open in it ends too.
+PARENTS = set(
+    "html body address article aside blockquote caption center dd details dialog div dl dt fieldset figcaption figure footer form header "
+    "hgroup main menu nav ol search section summary table tbody tfoot thead tr ul".split()
+)
+#: What the start of an element ends, where the end tag is missing, and the elements beyond which it doesn't reach.
+LISTS, CELLS, ROWGROUPS = {"ul", "ol", "menu", "dl", "table", "td", "th"}, {"td", "th"}, {"tbody", "thead", "tfoot"}
+ENDS = {"p": ({"p"}, PARENTS | {"li"} | CELLS), "li": ({"li"}, LISTS), "dd": ({"dd", "dt"}, LISTS), "dt": ({"dd", "dt"}, LISTS)}
+ENDS |= dict.fromkeys(CELLS, (CELLS, {"tr", "table"})) | {"tr": (CELLS | {"tr"}, {"table"})} | dict.fromkeys(ROWGROUPS, (CELLS | {"tr"} | ROWGROUPS, {"table"}))
+ENDS |= dict.fromkeys(HEADINGS, (HEADINGS, PARENTS | {"li"} | CELLS))
+#: A table and its parts: no end tag of another kind reaches out of a cell.
+TABLE = CELLS | ROWGROUPS | {"table", "tr"}
 
 
 class _Page(HTMLParser):
-    """Collects headings with the blocks below them, table rows and anchors."""
+    """Collects headings with the blocks below them, table rows and anchors.
+
+    A block whose end tag is missing ends where HTML ends it: at the next one
+    of its kind, with its parent, or with the page. A p's text is given off at
+    each block, heading or parent that starts or ends in it; what follows there
+    is a paragraph of its own.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -23,16 +41,20 @@ class _Page(HTMLParser):
         self.tables: list[list[list[str]]] = []
         self.anchors: list[tuple[str, str]] = []
         self.words: list[str] = []
-        self._open: list[tuple[str, list[str]]] = []
+        self._open: list[tuple[str, list[str] | None, str]] = []  # tag, text of the innermost block, that block's tag
         self._href: tuple[str, list[str]] | None = None
         self._silent = 0
 
     def handle_starttag(self, tag, attrs):
         if tag in SILENT:
             self._silent += 1
-        elif tag in HEADINGS | BLOCKS:
-            self._open.append((tag, []))
-        elif tag == "table":
+        if tag in HEADINGS | BLOCKS | PARENTS:
+            if tag in ENDS:
+                self._end(*ENDS[tag], last=True)
+            self._pause()
+            text, block = self._open[-1][1:] if self._open else (None, "")
+            self._open.append((tag, text, block) if tag in PARENTS else (tag, [], tag))
+        if tag == "table":
             self.tables.append([])
         elif tag == "tr" and self.tables:
             self.tables[-1].append([])
@@ -42,13 +64,42 @@ class _Page(HTMLParser):
     def handle_endtag(self, tag):
         if tag in SILENT:
             self._silent = max(0, self._silent - 1)
-        elif tag == "a" and self._href:
+        if tag == "a" and self._href:
             self.anchors.append((self._href[0], " ".join("".join(self._href[1]).split())))
             self._href = None
-        elif tag in HEADINGS | BLOCKS:
-            at = next((i for i in reversed(range(len(self._open))) if self._open[i][0] == tag), None)
-            if at is not None:
-                self._take(tag, " ".join("".join(self._open.pop(at)[1]).split()))
+        elif tag in HEADINGS | BLOCKS | PARENTS:
+            self._end({tag}, {"table"} if tag in TABLE else CELLS | {"table"})
+
+    def close(self):
+        super().close()
+        self._leave(0)
+
+    def _end(self, tags: set[str], within: set[str], last: bool = False) -> None:
+        """End the innermost open element of `tags` (the outermost, if `last`) and all in it, unless one of `within` lies between."""
+        at = None
+        for i in reversed(range(len(self._open))):
+            if self._open[i][0] in tags:
+                at = i
+                if not last:
+                    break
+            elif self._open[i][0] in within:
+                break
+        if at is not None:
+            self._leave(at)
+
+    def _leave(self, at: int) -> None:
+        while len(self._open) > at:
+            self._pause()
+            tag, text, _ = self._open.pop()
+            if tag not in PARENTS and tag != "p":
+                self._take(tag, " ".join("".join(text).split()))
+
+    def _pause(self) -> None:
+        """Give off what the innermost block has, if it is a p."""
+        if self._open and self._open[-1][2] == "p":
+            text = self._open[-1][1]
+            self._take("p", " ".join("".join(text).split()))
+            text.clear()
 
     def _take(self, tag: str, text: str) -> None:
         if tag in HEADINGS:
@@ -67,7 +118,7 @@ class _Page(HTMLParser):
         if self._silent:
             return
         self.words.append(data)
-        if self._open:
+        if self._open and self._open[-1][1] is not None:
             self._open[-1][1].append(data)
         if self._href:
             self._href[1].append(data)

@@ -120,6 +120,17 @@ def test_html_parts(spark):
     assert [tuple(r) for r in html.links(df).collect()] == [(1, 0, "http://host.example/x")]
 
 
+def test_html_blocks_without_end_tags():
+    texts = lambda page: [(x["heading"], x["text"]) for x in html.parsed(page).sections]
+    assert texts("<body><h1>One</h1><p>a<p>b <b>c</b><h2>Two</h2><ul><li>d<li>e<ul><li>f</ul></ul><div><p>g</div>loose<p>h") == [("One", "a\nb c"), ("Two", "d\nf\ne\ng\nloose\nh")]
+    assert texts("<h1>One</h1><li><p>a</li><blockquote><p>b</blockquote>loose<pre>c") == [("One", "a\nb\nc")]
+    # What follows in an open p's parent is kept, as a paragraph of its own.
+    assert texts("<p>a<ul><li>b</ul>c</p>loose<p>d<div>e</div>f") == [("", "a\nb\nc\nd\ne\nf")]
+    assert html.parsed("<table><tr><th>a<td>b<tr><td>c<table><tr><td>d</table></table>").tables[0] == [["a", "b"], []]
+    assert html.parsed("<table><thead><tr><th>a<tbody><tr><td>b<td>c</table><p>d").tables == [[["a"], ["b", "c"]]]
+    assert texts("<div><table><tr><td></div></p>x</table></div><p>y") == [("", "y")]
+
+
 def test_tolerant_scan(spark):
     df = spark.createDataFrame([(1, '["a"]')], "id int, tags string")
     assert tuple(tolerant(df, {"id": "bigint", "tags": "array<string>", "gone": "double"}).first()) == (1, ["a"], None)
