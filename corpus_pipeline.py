@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm import common, decontamination, minhash, packing, quality, secrets
-from factloom.llm.common import durable, shared_dir
+from factloom.llm.common import durable, shared_dir, text_of
 from factloom.llm.queries import tokenizer_path
 
 
@@ -22,18 +22,17 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near-duplicates (five words, 0.8): that with the smallest id.
+    """Keep one row of each group of near-duplicates (five words, 0.8): that with the smallest id.
 
-    Rows that share an id are one document, of which one row stays. Rows
-    without an id can't be told apart by one and all stay.
+    Rows that share an id are one document, of which one row stays. A row
+    without an id is a document of its own, and stays only where its group has
+    no id.
     """
-    gone = minhash.near_duplicates(docs).where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    twice = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    twice = durable(twice, shared_dir(spark), "twice")
-    if twice.isEmpty():
-        return left
-    return left.join(twice, "doc_id", "left_anti").unionByName(left.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns)
+    folder = shared_dir(spark)
+    keyed = durable(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("doc")), folder, "keyed")
+    rows = keyed.select("row", F.col("doc.doc_id").cast("long").alias("id"), text_of("doc.text").alias("text"))
+    gone = minhash.grouped(rows, folder).where(~F.col("first")).select("row")
+    return keyed.join(gone, "row", "left_anti").select("doc.*")
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

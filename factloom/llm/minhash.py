@@ -166,7 +166,7 @@ def band_keys(signatures: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 
 def sign(docs: DataFrame, words: int) -> DataFrame:
-    """(id, digest, n, signature) of (id, text); digest null for an empty set."""
+    """(row, id, digest, n, signature) of (row, id, text); digest null for an empty set."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Shingler(words)
@@ -174,15 +174,16 @@ def sign(docs: DataFrame, words: int) -> DataFrame:
             sets = [make(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
+                    batch.column("row"),
                     batch.column("id"),
                     pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([registers(s).tobytes() if len(s) else None for s in sets], pa.binary()),
                 ],
-                names=["id", "digest", "n", "signature"],
+                names=["row", "id", "digest", "n", "signature"],
             )
 
-    return docs.mapInArrow(each, "id bigint, digest binary, n bigint, signature binary")
+    return docs.mapInArrow(each, "row bigint, id bigint, digest binary, n bigint, signature binary")
 
 
 def bands(classes: DataFrame) -> DataFrame:
@@ -237,19 +238,19 @@ def units(pairs: DataFrame, folder: str, name: str, unit_nodes: int) -> tuple[Da
     return home, home.select(*unit, F.col("a").alias("node")).union(home.select(*unit, "b")).distinct()
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int, folder: str, name: str, unit_nodes: int) -> DataFrame:
+def confirmed(pairs: DataFrame, rows: DataFrame, words: int, percent: int, folder: str, name: str, unit_nodes: int) -> DataFrame:
     """The pairs whose full sets are alike enough. Texts are shingled anew for the documents in question only."""
     pairs, needed = units(durable(pairs, folder, f"{name}_pairs"), folder, name, unit_nodes)
-    wanted = durable(needed.select(F.col("node").alias("id")).distinct(), folder, f"{name}_wanted")
+    wanted = durable(needed.select(F.col("node").alias("row")).distinct(), folder, f"{name}_wanted")
     if wanted.count() <= SENT_NODES:
         wanted = F.broadcast(wanted)
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Shingler(words)
         for batch in by_bytes(batches, "text", 8 << 20):
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([make(t).tobytes() for t in batch.column("text").to_pylist()], pa.binary())], names=["node", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([make(t).tobytes() for t in batch.column("text").to_pylist()], pa.binary())], names=["node", "shingles"])
 
-    sets = docs.join(wanted, "id", "left_semi").select("id", "text").distinct().mapInArrow(shingle, "node bigint, shingles binary")
+    sets = rows.join(wanted, "row", "left_semi").select("row", "text").mapInArrow(shingle, "node bigint, shingles binary")
 
     def verify(pairs: pa.Table, rows: pa.Table) -> pa.Table:
         of: dict[int, list[np.ndarray]] = {}
@@ -368,23 +369,39 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Null, empty and blank texts have no shingles and are linked with nothing: a
     group of their own. With fewer words than `words` all of them are one
     shingle. Rows that share an id are one document with all their texts. A row
-    with a null id gets the group of its text (null if no other row has it) and
-    is not kept. An empty table gives no rows. Columns other than the two named
-    are not carried.
+    with a null id is a document of its own; its group is found as any other's,
+    component_id is null if no row of it has an id, and it is not kept. An
+    empty table gives no rows. Columns other than the two named are not carried.
     """
-    spark = docs.sparkSession
-    folder = shared_dir(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
-    signed = durable(sign(rows, words), folder, "signed")
-    grouped = signed.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("signature").alias("signature"))
-    groups = durable(grouped, folder, "classes")
-    classes = groups.where(F.col("node").isNotNull()).select("node", "n", "signature")
+    folder = shared_dir(docs.sparkSession)
+    rows = durable(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")), folder, "rows")
+    found = grouped(rows, folder, words=words, percent=percent, block_rows=block_rows)
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+def grouped(rows: DataFrame, folder: str, *, words: int = 5, percent: int = 80, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(row, id, n, component_id, first) of a written table (row, id, text) whose `row` is a key; as near_duplicates, and `first` marks one row of each group.
+
+    That is the row of the smallest id, or of no id where the group has none;
+    of several such rows, that with the smallest digest.
+    """
+    # Equal sets are a class, and so are rows of one id that have no shingles; its node is its smallest row.
+    bare = F.concat(F.lit("row without shingles, "), F.coalesce(F.concat(F.lit("id "), F.col("id").cast("string")), F.concat(F.lit("row "), F.col("row").cast("string"))))
+    signed = durable(sign(rows, words).withColumn("class", F.coalesce("digest", bare.cast("binary"))).drop("digest"), folder, "signed")
+    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "class", "row"))
+    groups = durable(signed.groupBy("class").agg(F.min("row").alias("node"), F.first("n").alias("n"), F.first("signature").alias("signature"), best.alias("best")), folder, "classes")
+    classes = groups.where(F.col("n") > 0).select("node", "n", "signature")
+
+    several = durable(signed.where(F.col("id").isNotNull()).groupBy("id").agg(F.min("class").alias("low"), F.max("class").alias("high")).where(F.col("low") < F.col("high")).select("id", "low"), folder, "several")
+    same = signed.join(several, "id").where(F.col("class") > F.col("low")).select("low", "class").distinct()
+    same = same.join(groups.select(F.col("class").alias("low"), F.col("node").alias("a")), "low").join(groups.select("class", F.col("node").alias("b")), "class")
+    same = durable(same.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), folder, "same")
 
     banded = bands(classes)
     leaders = durable(banded.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).where(F.col("a") < F.col("z")).select("key", "a"), folder, "leaders")
     shared = durable(banded.join(leaders, "key"), folder, "shared")
     stars = shared.where(F.col("node") > F.col("a")).select("a", F.col("node").alias("b")).distinct()
-    links = confirmed(plausible(stars, classes, percent), rows, words, percent, folder, "star", block_rows)
+    links = confirmed(plausible(stars, classes, percent), rows, words, percent, folder, "star", block_rows).union(same)
     found = components(links, folder, "first")
 
     members = shared.select("key", "band", "node").join(found, "node", "left").select("key", "band", "node", F.coalesce("component", "node").alias("component"))
@@ -395,8 +412,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     if not more.isEmpty():
         found = components(links.union(more), folder, "second")
 
-    named = durable(groups.select("digest", "node").join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("group")), folder, "named")
-    # Only rows with a text have a digest to be joined on; the others are their own group.
-    full = signed.where(F.col("digest").isNotNull()).select("id", "n", "digest").join(named, "digest").select("id", "n", "group")
-    bare = signed.where(F.col("digest").isNull()).select("id", "n", F.col("id").alias("group"))
-    return full.union(bare).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("group").alias("component_id"), F.coalesce(F.col("id") == F.col("group"), F.lit(False)).alias("kept"))
+    named = durable(groups.select("class", "node", "best").join(found, "node", "left").select("class", "best", F.coalesce("component", "node").alias("group")), folder, "named")
+    tops = durable(named.groupBy("group").agg(F.min("best").alias("top"), F.count("*").alias("size")).where("size > 1").select("group", "top"), folder, "tops")
+    named = named.join(tops, "group", "left").select("class", F.coalesce("top", "best").alias("top"))
+    named = durable(named.select("class", F.col("top.id").alias("component_id"), F.col("top.row").alias("stays")), folder, "groups")
+    return signed.select("row", "id", "n", "class").join(named, "class").select("row", "id", "n", "component_id", (F.col("row") == F.col("stays")).alias("first"))

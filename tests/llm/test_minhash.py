@@ -63,6 +63,24 @@ def test_repeated_ids_and_nulls(spark):
     assert M.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_texts_of_one_id_are_linked(spark):
+    a, b, c = ("a b c d e f g h i j", "q r s t u v w x y z", "one more text of ten words is this here now")
+    rows = [(2, a), (2, b), (1, b), (3, c), (None, c), (3, ""), (4, " "), (4, a), (None, "n o t h e r e"), (None, "N O T H E R E"), (None, None), (None, None)]
+    got = M.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in got if r["doc_id"]) == [(1, 1, True)] + [(2, 1, False)] * 2 + [(3, 3, True)] * 2 + [(4, 1, False)] * 2
+    assert sorted(str(r["component_id"]) for r in got if r["doc_id"] is None) == ["3"] + ["None"] * 4
+
+
+def test_near_texts_without_ids_are_linked(spark):
+    words = [f"w{i}" for i in range(200)]
+    rows = [(i, None, " ".join(w)) for i, w in enumerate((words, [*words, "x"], ["y", *words], [f"v{i}" for i in range(50)]))]
+    from factloom.llm.common import durable, shared_dir
+
+    folder = shared_dir(spark)
+    got = M.grouped(durable(spark.createDataFrame(rows, "row long, id long, text string"), folder, "rows"), folder).collect()
+    assert sum(r["first"] for r in got) == 2 and {r["row"] for r in got if r["first"]} > {3}
+
+
 def test_estimate_is_near_and_bands_miss_nothing():
     rng = np.random.default_rng(5)
     for j, n in ((0.85, 9), (0.85, 60), (0.8, 500), (0.5, 3000)):

@@ -82,6 +82,16 @@ def test_stages_return_documents(spark, folder):
     assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), path).count() == 0
 
 
+def test_near_dedup_keeps_one_row_of_each_group(spark):
+    a, b, c = ("a b c d e f g h i j", "q r s t u v w x y z", "one more text of ten words is this here now")
+    for rows, want in (
+        ([(2, a), (2, b), (1, b)], [(1, b)]),
+        ([(None, a), (None, a), (None, b), (7, b), (None, None), (9, c)], [(None, a), (7, b), (None, None), (9, c)]),
+    ):
+        left = corpus_pipeline.near_dedup(spark, spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, row string").repartition(3), "").collect()
+        assert sorted(map(str, map(tuple, left))) == sorted(str((*r, "x")) for r in want)
+
+
 def test_sweep(spark):
     path = common.shared_dir(spark)
     common.durable(spark.range(3).toDF("x"), path, "t")
