@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -12,8 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Bytes of text that a task's working set is planned for.
-TARGET_BYTES = 24 << 20
+#: Bytes of text that a task's working set is planned for, and that Python takes at a time.
+TARGET_BYTES, BATCH_BYTES = 24 << 20, 8 << 20
 
 
 #: Folders that this process has asked for.
@@ -23,12 +24,15 @@ folders: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     """The name of a new folder below spark.checkpoint.dir, which driver and executors share.
 
-    The setting is read from the session; only where it is unset (as in tests)
-    is a local folder made and set. What operators write there is needed until
-    their result has been used; see sweep().
+    The setting is read from the session. Where it is unset, a local master (as
+    in tests) gets a local folder; on a cluster that is an error, since each
+    machine would write to its own disk. What operators write there is needed
+    until their result has been used; see sweep().
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="factloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     folders.append(f"{root.rstrip('/')}/factloom-{uuid.uuid4().hex}")
@@ -70,7 +74,7 @@ def chunks_for(df: DataFrame, text_col: str, target: int = TARGET_BYTES) -> int:
     return max(1, -(-int(total) // target))
 
 
-def by_bytes(batches: Iterable[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
+def by_bytes(batches: Iterable[pa.RecordBatch], column: str, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut to runs of rows whose texts come to about `limit` bytes; a longer text stands alone."""
     for batch in batches:
         if not batch.num_rows:
@@ -85,6 +89,20 @@ def by_bytes(batches: Iterable[pa.RecordBatch], column: str, limit: int) -> Iter
         yield batch.slice(start)
 
 
+def set_aside(docs: DataFrame, names: Iterable[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with its columns of these names under other ones, and what gives a result docs' columns back under their own."""
+    taken, used = {n.lower() for n in names}, {c.lower() for c in docs.columns}
+    aside = {}
+    for c in docs.columns:
+        if c.lower() in taken:
+            new = f"{c}_aside"
+            while new.lower() in used | taken:
+                new += "_"
+            aside[c] = new
+            used.add(new.lower())
+    return docs.withColumnsRenamed(aside), lambda out: out.select(*(F.col(f"`{aside.get(c, c)}`").alias(c) for c in docs.columns))
+
+
 def widened(df: DataFrame, *added: tuple[str, str]) -> T.StructType:
     """The schema of df with columns of (name, type) after its own."""
     return T.StructType([*df.schema.fields, *(T.StructField(n, T._parse_datatype_string(t)) for n, t in added)])

@@ -16,10 +16,14 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: Shares of a window; the other sources have the rest by their tokens.
+MIXTURE = {"src0": 0.15, "src1": 0.1, "src2": 0.1}
+
+
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factloom.llm.packing import pack
 
-    pieces = pack(documents(spark, sf_dir, "doc_id", "text", "source"), tokenizer_path("byte_bpe_50k.json"))
+    pieces = pack(documents(spark, sf_dir, "doc_id", "text", "source"), tokenizer_path("byte_bpe_50k.json"), targets=MIXTURE)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "window_id", F.col("queue").alias("source"))
 
 
