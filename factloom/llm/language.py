@@ -14,14 +14,15 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.llm.common import by_bytes, widened
 
-WORD = re.compile(r"[^\W\d_]+")
-#: Texts a language's dictionary is made of, and bytes taken from each: the documented bound of the fit.
-TEXTS, TEXT_BYTES = 160, 640
+#: Letters and numbers; what isn't a letter (Unicode category L) among them is taken out after.
+RUN = re.compile(r"[^\W\d_]+")
+#: What a fit takes at most: languages (the commonest), distinct texts of each, bytes of a text's excerpt.
+LANGUAGES, TEXTS, TEXT_BYTES = 200, 160, 640
 #: Blocks are so short that the dictionary, and not the text before, decides in each of them.
 BLOCK = 64
 LEVEL = 3
@@ -30,22 +31,36 @@ UNDECIDED = "und"
 
 def plain(text: str) -> str:
     """The words of a text, in lower case, with one blank between them."""
-    return " ".join(WORD.findall(text.lower()))
+    words = RUN.findall(text.lower())
+    return " ".join(w for w in (x if x.isalpha() else "".join(filter(str.isalpha, x)) for x in words) if w)
 
 
-def fit(train: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", texts: int = TEXTS, text_bytes: int = TEXT_BYTES) -> dict[str, bytes]:
-    """A dictionary for each language in `train`, from about `texts` texts of it that their ids' hashes pick; the commonest language first.
+def excerpt(text: Column, h: Column, size: int) -> Column:
+    """A short text whole; of a longer one, blocks from places all over it that a hash picks, `size` code points in sum."""
+    many, last = max(1, size // BLOCK), F.length(text) - BLOCK
+    block = lambda i: F.substring(text, (F.pmod(F.xxhash64(h, i), last + 1) + 1).cast("int"), F.lit(BLOCK))
+    return F.when(F.length(text) <= size, text).otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(many)), block), "\n"))
 
-    Rows without text or language teach nothing. What reaches the driver is
-    bounded by languages * texts * text_bytes.
+
+def fit(train: DataFrame, *, text_col: str = "text", lang_col: str = "lang", texts: int = TEXTS, text_bytes: int = TEXT_BYTES, languages: int = LANGUAGES) -> dict[str, bytes]:
+    """A dictionary for each language in `train`, from excerpts of the `texts` distinct texts of it whose hashes are smallest; the commonest language first.
+
+    Rows without text or language teach nothing, and copies of a text count
+    once. The fit's bounds are `languages` (of more, the commonest are learned),
+    `texts` and `text_bytes`; what reaches the driver is bounded by their product.
     """
-    rows = train.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col)).alias("h")).where(F.col("lang").isNotNull() & (F.length("text") > 0))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    rows = train.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("h")).where(F.col("lang").isNotNull() & (F.length("text") > 0))
+    top = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()
+    counts = {r["lang"]: r["n"] for r in top}
     if not counts:
         return {}
-    every = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, max(1, n // (2 * texts)))))
-    picked = rows.where(F.pmod("h", every[F.col("lang")]) == 0).groupBy("lang").agg(F.slice(F.array_sort(F.collect_list(F.struct("h", F.substring("text", 1, text_bytes).alias("text")))), 1, texts).alias("rows"))
-    made = {r["lang"]: "\n".join(plain(x["text"]) for x in r["rows"]).encode("utf-8", "replace") for r in picked.collect()}
+    smallest = Window.partitionBy("lang").orderBy("h")  # ranks are cut within each task first
+    hashes = rows.where(F.col("lang").isin(*counts)).select("lang", "h").distinct().withColumn("rank", F.row_number().over(smallest)).where(F.col("rank") <= texts).select("lang", "h")
+    picked = rows.join(F.broadcast(hashes), ["lang", "h"]).groupBy("lang", "h").agg(F.min(excerpt(F.col("text"), F.col("h"), text_bytes)).alias("part"))
+    parts: dict[str, list[str]] = {}
+    for r in picked.orderBy("lang", "h").collect():
+        parts.setdefault(r["lang"], []).append(plain(r["part"]))
+    made = {lang: "\n".join(own).encode("utf-8", "replace") for lang, own in parts.items()}
     return {lang: made[lang] for lang in sorted(made, key=lambda x: (-counts[x], x))}
 
 
@@ -88,7 +103,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], *, text_col: str =
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classifier = Classifier(shared.value)
-        for batch in by_bytes(batches, text_col, 8 << 20):
+        for batch in by_bytes(batches, text_col):
             found = [classifier(t) for t in batch.column(text_col).to_pylist()]
             columns = [pa.array([f[i] for f in found], t) for i, t in enumerate((pa.string(), pa.float64(), pa.float64()))]
             accepted = pa.array([f[0] != UNDECIDED and f[2] >= least_margin for f in found], pa.bool_())

@@ -138,7 +138,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Features()
-        for batch in by_bytes(batches, "text", 8 << 20):
+        for batch in by_bytes(batches, "text"):
             found = [make(t, n) for t, n in zip(batch.column("text").to_pylist(), batch.column("n_chars").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), batch.column("label"), pa.array([i.astype("<i4").tobytes() for i, _ in found], pa.binary()), pa.array([x.astype("<f4").tobytes() for _, x in found], pa.binary())],
@@ -162,7 +162,7 @@ def score(docs: DataFrame, machine: Machine, *, text_col: str = "text", size_col
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make, model = Features(), shared.value
-        for batch in by_bytes(batches, text_col, 8 << 20):
+        for batch in by_bytes(batches, text_col):
             sizes = batch.column(size_col).to_pylist() if size_col in names else [None] * batch.num_rows
             found = [model.score(*make(t, n)) for t, n in zip(batch.column(text_col).to_pylist(), sizes, strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(found, pa.float64()), pa.array([int(s >= threshold) for s in found], pa.int32())], names=[*names, "score", "predicted"])

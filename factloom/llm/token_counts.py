@@ -122,7 +122,7 @@ def count_tokens(docs: DataFrame, vocabulary: list[tuple[str, float]], *, text_c
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(shared.value)
-        for batch in by_bytes(batches, "__text", 8 << 20):
+        for batch in by_bytes(batches, "__text"):
             found = [counter.text(t) for t in batch.column("__text").to_pylist()]
             columns = [pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *columns], names=[*names, "n_tokens", "token_score"])

@@ -70,8 +70,20 @@ def test_languages(spark):
     assert all(0 <= r["score"] <= 1 for r in out)
 
 
+def test_excerpts_come_from_the_whole_text(spark):
+    licence = "every text opens with this same licence line of many words and so on " * 12
+    rows = [(i, licence + speech(random.Random(i), lang, 400), lang) for i, lang in enumerate(["en", "de"] * 20)]
+    rows += [(9, rows[0][1], "en")] * 200 + [(1, "x", f"rare{i}") for i in range(5)]  # copies, one id, rare values
+    made = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), languages=3)
+    assert list(made)[:2] == ["en", "de"] and len(made) == 3
+    for lang in ("en", "de"):
+        found = made[lang].decode().split()
+        assert sum(w in WORDS[lang] for w in found) > 0.4 * len(found) and found.count("licence") < 60
+    assert language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), languages=3) == made
+
+
 def test_language_edges(spark):
-    rows = [(1, None), (2, ""), (3, "123 !? 456"), (4, "the " * 30_000), (5, "x"), (5, "x"), (None, "der die das und")]
+    rows = [(1, None), (2, ""), (3, "123 !? 456 ½ ² ① Ⅷ"), (4, "the " * 30_000), (5, "x"), (5, "x"), (None, "der die das und")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     train = spark.createDataFrame([(1, "the of and to", "en"), (2, "der die und das", "de"), (3, None, "fr"), (4, "no language", None), (5, "the and it is", "en")], "doc_id long, text string, lang string")
     out = language.identify(df, language.fit(train)).collect()
