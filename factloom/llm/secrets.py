@@ -29,7 +29,7 @@ RULES: list[tuple[str, str, tuple[str, ...], int, int]] = [
     ("private_key", r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----", ("PRIVATE KEY",), 0, 1),
     ("github", r"\bgh[pousr]_[A-Za-z0-9]{36,}", ("gh",), 0, 40),
     ("slack", r"\bxox[abprs]-[A-Za-z0-9-]{10,}", ("xox",), 0, 15),
-    ("jwt", r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", ("eyJ",), 0, 29),
+    ("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", ("eyJ",), 0, 29),
     ("google_api", r"\bAIza[A-Za-z0-9_-]{35}", ("AIza",), 0, 39),
 ]
 BASE_KINDS = ("assign", "access", "hex")
@@ -59,21 +59,24 @@ def scan_blobs(blobs: DataFrame, rules: list = RULES) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-        for batch in by_bytes(batches, "text", 8 << 20):
+        for batch in by_bytes(batches, "text"):
             spans = [[{"kind": k, "start": a, "end": b} for k, a, b in find(t, rules)] for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("blob"), pa.array([version] * len(spans)), pa.array(spans, kind)], names=["blob", "rule_version", "spans"])
 
     return blobs.select("blob", "text").mapInArrow(scan, f"blob string, rule_version string, spans {SPAN_TYPE}")
 
 
-def ledger(spark, path: str) -> DataFrame:
-    """The ledger at path; empty if there is none yet."""
-    schema = f"blob string, rule_version string, spans {SPAN_TYPE}"
-    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
-    place = jvm.Path(path)
+def ledger(spark, path: str, version: str | None = None) -> DataFrame:
+    """(blob, rule_version, spans) of the ledger at path, of one rule version or all; empty if there is none yet.
+
+    The table is partitioned by rule version, so that a scan reads only its own.
+    Two scans at a time may each have added a blob.
+    """
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path)
+        return spark.createDataFrame([], f"blob string, rule_version string, spans {SPAN_TYPE}")
+    found = spark.read.schema(f"blob string, spans {SPAN_TYPE}, rule_version string").parquet(path).select("blob", "rule_version", "spans")
+    return found if version is None else found.where(F.col("rule_version") == version)
 
 
 def scan(versions: DataFrame, ledger_path: str, *, text_col: str = "text", rules: list = RULES) -> DataFrame:
@@ -89,18 +92,18 @@ def scan(versions: DataFrame, ledger_path: str, *, text_col: str = "text", rules
     blob, rule_version or spans are replaced.
     """
     spark = versions.sparkSession
-    text = text_of(text_col)
+    folder, text = shared_dir(spark), text_of(text_col)
     keyed = versions.drop("blob", "rule_version", "spans").withColumn("blob", F.sha2(text.cast("binary"), 256))
-    seen = ledger(spark, ledger_path).where(F.col("rule_version") == rule_version(rules)).select("blob")
-    fresh = durable(keyed.select("blob").distinct().join(seen, "blob", "left_anti"), shared_dir(spark), "fresh")
+    seen = ledger(spark, ledger_path, rule_version(rules)).select("blob")
+    fresh = durable(keyed.select("blob").distinct().join(seen, "blob", "left_anti"), folder, "fresh")
     texts = keyed.select("blob", text.alias("text"))
     if fresh.count() <= SENT_DIGESTS:  # only the texts of new blobs are moved
         unseen = texts.join(F.broadcast(fresh), "blob", "left_semi").groupBy("blob").agg(F.first("text").alias("text"))
     else:  # copies are merged within each task before they are moved, so that a hot blob isn't
         unseen = texts.groupBy("blob").agg(F.first("text").alias("text")).join(fresh, "blob", "left_semi")
-    scan_blobs(unseen, rules).write.mode("append").parquet(ledger_path)
+    scan_blobs(unseen, rules).write.mode("append").partitionBy("rule_version").parquet(ledger_path)
     # Blobs with findings are few, and each is in the ledger once, so a blob with very many copies can be split in the join.
-    found = ledger(spark, ledger_path).where((F.col("rule_version") == rule_version(rules)) & (F.size("spans") > 0)).select("blob", "spans")
+    found = ledger(spark, ledger_path, rule_version(rules)).where(F.size("spans") > 0).select("blob", "spans").dropDuplicates(["blob"])
     if (found.agg(F.sum(F.size("spans") + 1)).first()[0] or 0) <= SENT_DIGESTS:
         found = F.broadcast(found)
     return keyed.join(found, "blob", "left").withColumn("spans", F.coalesce("spans", F.lit([]).cast(SPAN_TYPE)))

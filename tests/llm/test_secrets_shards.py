@@ -69,12 +69,30 @@ def test_redaction(spark):
         assert not base(r["new"] or "")
 
 
-@pytest.mark.parametrize("part_rows", [500, 3])
-def test_shards_are_minimax(spark, monkeypatch, part_rows):
+def test_a_blob_that_two_scans_added_is_one(spark):
+    path = f"{shared_dir(spark)}/ledger"
+    df = spark.createDataFrame([(1, "token=abcdefgh")], "i int, text string")
+    assert secrets.scan(df, path).count() == 1
+    spark.read.parquet(path).withColumn("rule_version", F.lit(secrets.rule_version())).write.mode("append").partitionBy("rule_version").parquet(path)
+    assert secrets.scan(df, path).count() == 1
+
+
+def test_endless_runs_take_linear_time():
+    import time
+
+    began = time.time()
+    for part in ("-eyJ", "xoxb-", "ghp_", "token ", "-----BEGIN A ", "AIza"):
+        secrets.find(part * 100_000)
+    assert time.time() - began < 20
+
+
+@pytest.mark.parametrize(("part_rows", "bits", "more"), [(500, 16, 6), (3, 2, 1), (500, 1, 3), (500, 4, 60)])
+def test_shards_are_minimax(spark, monkeypatch, part_rows, bits, more):
     monkeypatch.setattr(sharding, "PART_ROWS", part_rows)
+    monkeypatch.setattr(sharding, "MORE_BITS", more)
     rows = [(i, f"text {i % 50} " * (i % 13)) for i in range(500)] + [(900, None), (901, ""), (901, ""), (None, "null"), (902, "z" * 5000)]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, size string")
-    out = sharding.shard(df, 7).collect()
+    out = sharding.shard(df, 7, atom_bits=bits).collect()
     assert len(out) == len(rows)
     texts = {}
     for i, t in rows:
@@ -89,7 +107,10 @@ def test_shards_are_minimax(spark, monkeypatch, part_rows):
     groups = {}
     for r in out:
         groups[r["text_crc32"]] = groups.get(r["text_crc32"], 0) + r["size"]
-    assert max(sizes.values()) <= sum(groups.values()) / 7 + max(groups.values())
+    order = {zlib.crc32(r["t"].encode()): r["h"] % (1 << 64) for r in df.select(F.coalesce("text", F.lit("")).alias("t"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
+    least, _ = sharding.minimax_cuts([groups[c] for c in sorted(groups, key=order.get)], 7)  # over the groups themselves
+    assert max(sizes.values()) == least
+    assert [len({r["shard"] for r in out})] == [7]
     assert sharding.shard(df.limit(0), 7).count() == 0
 
 
