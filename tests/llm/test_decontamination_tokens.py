@@ -45,7 +45,7 @@ def tables(spark, seed):
     return docs, bench
 
 
-@pytest.mark.parametrize(("window", "block"), [(10, 4 << 20), (4, 4 << 20), (4, 300), (1, 4 << 20), (12, 4 << 20)])
+@pytest.mark.parametrize(("window", "block"), [(10, 4 << 20), (4, 4 << 20), (4, 300), (1, 4 << 20), (12, 4 << 20), (14, 4 << 20)])
 def test_hits_match_brute_force(spark, monkeypatch, window, block):
     monkeypatch.setattr(D, "BLOCK_BYTES", block)
     monkeypatch.setattr(D, "PIECE_WORDS", 20)
@@ -56,21 +56,40 @@ def test_hits_match_brute_force(spark, monkeypatch, window, block):
     assert got == sorted(brute(docs, bench, window))
 
 
-def test_longest_matches_are_verbatim(spark):
+def all_matches(w, items, n):
+    """Every (item, item_start, doc_start, words) of words w that no word more at either end would keep verbatim."""
+    out = set()
+    for item, x in items:
+        least = min(n, len(x))
+        for p in range(len(w)):
+            for q in range(len(x)):
+                if w[p] == x[q] and not (p and q and w[p - 1] == x[q - 1]):
+                    k = 0
+                    while p + k < len(w) and q + k < len(x) and w[p + k] == x[q + k]:
+                        k += 1
+                    if k >= least:
+                        out.add((item, q, p, k))
+    return out
+
+
+@pytest.mark.parametrize("block", [4 << 20, 300])
+def test_all_longest_matches_are_found(spark, monkeypatch, block):
+    monkeypatch.setattr(D, "BLOCK_BYTES", block)
+    monkeypatch.setattr(D, "PIECE_WORDS", 9)
     docs, bench = tables(spark, 5)
+    docs = [d for d in docs if d[0] != 102] + [(200, f"{bench[3][1]} {bench[4][1]} x {bench[3][1]}"), (201, "go " * 40)]
+    bench = [*bench, (95, "go " * 15), (96, bench[3][1])]
     df, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
-    items = {}
-    for i, t in bench:
-        items.setdefault(str(i) if i is not None else "null", []).append(words(t))
-    n = 0
-    for r in D.find_matches(df, b, window=6).collect():
-        w = words(r["text"])
-        assert len(r["matches"]) == len(r["hit_spans"])
-        for m in r["matches"]:
-            n += 1
-            own = w[m["doc_start"] : m["doc_start"] + m["n_words"]]
-            assert m["n_words"] >= min(6, *map(len, items[m["item_id"]])) and any(own == x[m["item_start"] : m["item_start"] + m["n_words"]] for x in items[m["item_id"]])
-    assert n > 5
+    items = [(str(i) if i is not None else "null", words(t)) for i, t in bench]
+    got = [(r["text"], [tuple(m) for m in r["matches"]]) for r in D.find_matches(df, b, window=6).collect()]
+    assert sum(len(m) for _, m in got) > 50
+    for text, matches in got:
+        assert len(matches) == len(set(matches)) and set(matches) == all_matches(words(text), items, 6)
+
+
+def test_columns_of_any_name_pass_through(spark):
+    df = spark.createDataFrame([(1, "clean text", "a", 5, "b")], "doc_id long, text string, matches string, N_words int, n_words_aside string")
+    assert D.decontaminate(df, spark.createDataFrame([(1, "other")], "item_id long, text string")).collect() == df.collect()
 
 
 def test_affected_documents_go(spark):
@@ -85,9 +104,10 @@ def test_affected_documents_go(spark):
 def test_suffixes_are_in_order():
     import numpy as np
 
-    ids = np.concatenate([np.random.default_rng(1).integers(1, 4, 500), np.zeros(D.DEPTH + 2, np.int64)])
-    at, keys = D.suffix_array(ids, 1)
-    suffixes = [tuple(ids[i : i + D.DEPTH]) for i in at]
+    depth = 12
+    ids = np.concatenate([np.random.default_rng(1).integers(1, 4, 500), np.zeros(depth + 2, np.int64)])
+    at, keys = D.suffix_array(ids, 1, depth)
+    suffixes = [tuple(ids[i : i + depth]) for i in at]
     assert suffixes == sorted(suffixes) and sorted(at.tolist()) == list(range(500)) and (keys[1:] >= keys[:-1]).all()
 
 
