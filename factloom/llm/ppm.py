@@ -12,8 +12,8 @@ context, and each (context, symbol) string, a gram, has one log probability.
 The trie is never in one place. Each task deals its documents into chunks of
 bounded size. Each chunk lists its distinct grams with their counts in training texts,
 by hash groups; the groups add up the counts; the grams' log probabilities are
-computed by groups of contexts that share their last bytes (orders below that
-come from tables of at most 2 ** 16 rows); and every chunk gets back the
+computed by groups of contexts that share their last two bytes, or three where
+two are too common (orders below that come from small tables); and every chunk gets back the
 values of the grams it listed, in the order it listed them. Word counts for
 the base score go the same way. So memory is bounded by the chunk, whatever
 the size of the corpus or of the trie.
@@ -180,8 +180,10 @@ def restored(data: bytes, dtype: type) -> np.ndarray:
 DOCS = -1
 LISTING = "chunk bigint, kind int, g int, keys binary, counts binary, docs binary"
 VALUES = "chunk bigint, kind int, g int, vals binary"
+WORD_VALUES = VALUES + ", known bigint, tokens bigint"
 LISTING_ARROW = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("g", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("docs", pa.binary())])
 VALUES_ARROW = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("g", pa.int32()), ("vals", pa.binary())])
+WORD_VALUES_ARROW = pa.schema([*VALUES_ARROW, ("known", pa.int64()), ("tokens", pa.int64())])
 
 
 def list_chunks(many: int, chunk_bytes: int):
@@ -239,12 +241,12 @@ def count_grams(table: pa.Table) -> pa.Table:
 
 
 def count_words(table: pa.Table) -> pa.Table:
-    """Values for each chunk (the words' counts), and a row of chunk -1 with how many words and tokens the group has."""
+    """Values for each chunk (the words' counts); the first row has how many words and tokens the group has, the others 0."""
     keys, k, c = added_up(table)
     values = [compressed(c[np.searchsorted(k, x)].astype("<u4")) for x in keys]
-    values.append(np.array([(c > 0).sum(), c.sum()], np.int64).tobytes())
-    g = table.column("g")[0].as_py()
-    return pa.table([pa.array([*table.column("chunk").to_pylist(), -1], pa.int64()), pa.array([1] * len(values), pa.int32()), pa.array([g] * len(values), pa.int32()), pa.array(values, pa.binary())], schema=VALUES_ARROW)
+    sums = [[int(n), *[0] * (len(values) - 1)] for n in ((c > 0).sum(), c.sum())]
+    found = (table.column("chunk"), [1] * len(values), table.column("g"), values, *sums)
+    return pa.table([x if isinstance(x, pa.ChunkedArray) else pa.array(x, f.type) for x, f in zip(found, WORD_VALUES_ARROW, strict=True)], schema=WORD_VALUES_ARROW)
 
 
 def hand_back(model: pa.Table, table: pa.Table) -> pa.Table:
@@ -259,12 +261,17 @@ def hand_back(model: pa.Table, table: pa.Table) -> pa.Table:
 # --- the model --------------------------------------------------------------
 
 
-def log_probabilities(k: np.ndarray, c: np.ndarray, pairs: np.ndarray, pair_counts: np.ndarray) -> np.ndarray:
+Table = tuple[np.ndarray, np.ndarray]
+
+
+def log_probabilities(k: np.ndarray, c: np.ndarray, pairs: Table, split: Table) -> np.ndarray:
     """log10 of each gram's probability.
 
     k, c: distinct grams of whole groups of contexts with the same last two
-    bytes, and their training counts (0 for grams that are only asked about).
-    pairs, pair_counts: all (last byte, symbol) pairs of the training texts.
+    bytes (three where `split` has those two), and their training counts (0 for
+    grams that are only asked about). pairs: all (last byte, symbol) cells of
+    the training texts and their counts. split: all (last two bytes, symbol)
+    cells of the contexts that are dealt by three bytes, and their counts.
     """
     order = np.argsort(k)
     k, c = k[order], c[order].astype(float)
@@ -272,17 +279,17 @@ def log_probabilities(k: np.ndarray, c: np.ndarray, pairs: np.ndarray, pair_coun
     total, done = np.zeros(n), np.zeros(n, bool)
     above = None  # cells of the order above: (cell, its context, count), contexts of the grams
     for d in range(ORDER, -1, -1):
-        if d >= 2:  # all grams of such a context are here
-            cells, of_gram = np.unique(((k >> U(8 * (ORDER - d + 1))) << U(8)) | symbol, return_inverse=True)
-            count = np.bincount(of_gram, c, len(cells))
-        elif d == 1:
-            cells = np.unique(np.concatenate([pairs, ((k >> U(8 * ORDER)) << U(8)) | symbol]))
-            of_gram = np.searchsorted(cells, ((k >> U(8 * ORDER)) << U(8)) | symbol)
-            count = np.zeros(len(cells))
-            count[np.searchsorted(cells, pairs)] = pair_counts
+        if d:
+            own = ((k >> U(8 * (ORDER - d + 1))) << U(8)) | symbol
+            known, counts = handed_down(own, pairs if d == 1 else split if d == 2 else None)
+            cells = np.unique(np.concatenate([own, known]))
+            of_gram = np.searchsorted(cells, own)
+            count = np.bincount(of_gram, c, len(cells))  # all grams of such a context are here, or else its cells are handed down
+            count[np.isin(cells >> U(8), known >> U(8))] = 0
+            count[np.searchsorted(cells, known)] = counts
         else:
             cells, of_gram = np.arange(256, dtype=U), symbol.astype(np.int64)
-            count = np.bincount((pairs & U(255)).astype(np.int64), pair_counts, 256)
+            count = np.bincount((pairs[0] & U(255)).astype(np.int64), pairs[1], 256)
         contexts, of_cell = np.unique(cells >> U(8), return_inverse=True)
         seen = np.bincount(of_cell, count, len(contexts))
         kinds = np.bincount(of_cell, count > 0, len(contexts))
@@ -307,6 +314,14 @@ def log_probabilities(k: np.ndarray, c: np.ndarray, pairs: np.ndarray, pair_coun
     return out
 
 
+def handed_down(own: np.ndarray, table: Table | None) -> Table:
+    """The table's cells, and their counts, of the contexts that `own` cells have."""
+    if table is None:
+        return np.zeros(0, U), np.zeros(0)
+    here = np.isin(table[0] >> U(8), own >> U(8))
+    return table[0][here], table[1][here]
+
+
 def score_chunk(many: int, words: int, tokens: int):
     """Score a chunk's documents with the values that came back."""
 
@@ -341,6 +356,12 @@ def score_chunk(many: int, words: int, tokens: int):
     return run
 
 
+def cells_of(grams: DataFrame, cell: Column) -> Table:
+    """Cells that occur in training texts, in order, and their counts."""
+    rows = grams.where("c > 0").groupBy(cell.alias("cell")).agg(F.sum("c").alias("c")).orderBy("cell").collect()
+    return np.array([r["cell"] for r in rows], U), np.array([r["c"] for r in rows], float)
+
+
 # --- operator -----------------------------------------------------------------
 
 
@@ -366,24 +387,28 @@ def score(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: s
     # The texts are read once; after that their compressed pieces stand in for them.
     listing = durable(rows.mapInArrow(list_chunks(many, chunk_bytes), LISTING), folder, "listing")
     of_kind = lambda k, *c: listing.where(F.col("kind") == k).select(*c)
-    words = durable(of_kind(1, "chunk", "g", "keys", "counts").groupBy("g").applyInArrow(count_words, VALUES), folder, "words")
-    sums = [np.frombuffer(r["vals"], np.int64) for r in words.where("chunk = -1").select("vals").collect()]  # two numbers a hash group
-    known, tokens = (int(sum(s[i] for s in sums)) for i in (0, 1))
+    words = durable(of_kind(1, "chunk", "g", "keys", "counts").groupBy("g").applyInArrow(count_words, WORD_VALUES), folder, "words")
+    sums = words.agg(F.sum("known"), F.sum("tokens")).first()
+    known, tokens = (int(n or 0) for n in sums)
 
     counted = durable(of_kind(0, "g", "keys", "counts").groupBy("g").applyInArrow(count_grams, "g int, k bigint, c bigint"), folder, "grams")
-    pair = (F.shiftright("k", 8 * ORDER) * 256 + F.col("k").bitwiseAND(F.lit(255))).alias("pair")
-    low = counted.where("c > 0").groupBy(pair).agg(F.sum("c").alias("c")).orderBy("pair").collect()  # at most 2 ** 16 rows
-    pairs, pair_counts = np.array([r["pair"] for r in low], U), np.array([r["c"] for r in low], float)
+    # Contexts are dealt by their last two bytes, and by their last three where the two have very many grams.
+    two = F.shiftright("k", 8 * (ORDER - 1))
+    hot = durable(counted.groupBy(two.alias("two")).agg(F.count("*").alias("n")).where(F.col("n") > GROUP_GRAMS // 4).select("two"), folder, "hot")  # at most 2 ** 16 rows
+    dealt = counted.withColumn("two", two).join(F.broadcast(hot.withColumn("is_hot", F.lit(True))), "two", "left")
+    symbol = F.col("k").bitwiseAND(F.lit(255))
+    low = cells_of(counted, F.shiftright("k", 8 * ORDER) * 256 + symbol)  # at most 2 ** 16 rows
+    split = cells_of(dealt.where("is_hot"), F.col("two") * 256 + symbol)  # at most 256 rows a hot context
     parts = max(1, math.ceil(counted.count() / GROUP_GRAMS))
-    shared = spark.sparkContext.broadcast((pairs, pair_counts))
+    shared = spark.sparkContext.broadcast((low, split))
 
     def model(table: pa.Table) -> pa.Table:
         lp = log_probabilities(table.column("k").to_numpy().view(U), table.column("c").to_numpy(), *shared.value)
         return pa.table({"g": table.column("g"), "k": table.column("k"), "lp": pa.array(lp)})
 
-    near = counted.withColumn("part", F.pmod(F.xxhash64(F.shiftright("k", 8 * (ORDER - 1))), F.lit(parts * 4)))
+    near = dealt.withColumn("part", F.pmod(F.xxhash64(F.when(F.col("is_hot"), F.shiftright("k", 8 * (ORDER - 2))).otherwise(F.col("two"))), F.lit(parts * 4))).select("g", "k", "c", "part")
     modelled = durable(near.groupBy("part").applyInArrow(model, "g int, k bigint, lp double"), folder, "model")
     back = modelled.groupBy("g").cogroup(of_kind(0, "g", "chunk", "keys").groupBy("g")).applyInArrow(hand_back, VALUES)
-    values = back.union(words.where("chunk >= 0"))
+    values = back.union(words.select("chunk", "kind", "g", "vals"))
     done = of_kind(DOCS, "chunk", "docs").groupBy("chunk").cogroup(values.groupBy("chunk")).applyInArrow(score_chunk(many, known, tokens), f"id {id_type}, train boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
     return done.withColumnRenamed("id", id_col)

@@ -46,7 +46,8 @@ def test_scores_match_a_direct_model(spark, monkeypatch):
     direct = Direct([t or "" for _, t, train, _ in rows if train])
     words = collections.Counter(w for _, t, train, _ in rows if train for w in [*(t or "").encode().lower().split(), None])
     n, v = sum(words.values()), len(words)
-    for size in (1 << 20, 300):  # one chunk, and many
+    for size, many in ((1 << 20, P.GROUP_GRAMS), (300, 40)):  # one chunk, and many; no context dealt by three bytes, and some
+        monkeypatch.setattr(P, "GROUP_GRAMS", many)
         got = P.score(df.drop("score"), F.col("train"), chunk_bytes=size).collect()
         assert len(got) == len(rows)
         by = {(r["doc_id"], r["n_tokens"]): r for r in got}
