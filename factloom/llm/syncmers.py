@@ -23,12 +23,13 @@ from factloom.llm.common import text_of
 
 #: Bytes of an anchor and of its inner substrings (five to an anchor), anchors in a sketch, bytes of a piece.
 K, S, SKETCH, PIECE = 16, 12, 64, 1 << 13
-#: An anchor is one number: 36 bits of its hash above, the low bits of its place below.
-PLACE_BITS = 26
+#: An anchor is one number: 31 bits of its hash above, its place below. No string of Spark's is longer than a place can say.
+PLACE_BITS = 31
 #: By how many bytes a shared anchor's shift may differ from the median shift.
 TOLERANCE = 64
 #: Documents are put in order within ranges of ids; so many ranges at most, of so many rows.
-MAX_RANGES, RANGE_ROWS = 1 << 14, 2_000
+MAX_RANGES, RANGE_ROWS = 1 << 16, 2_000
+
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), with value computed once."""

@@ -3,6 +3,7 @@ import random
 import pytest
 from factloom.llm import common, quality, secrets
 from factloom.llm.packing import encoder
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 
@@ -82,6 +83,20 @@ def test_stages_return_documents(spark, folder):
     assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), path).count() == 0
 
 
+def test_columns_of_any_name_come_through(spark, folder):
+    path, _, _ = folder
+    names = ["score", "predicted", "Spans", "blob", "rule_version", "n_words", "matches", "hit_spans", "hit_items", "row", "doc", "id"]
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    for n in names:
+        docs = docs.withColumn(n, F.concat(F.lit(f"{n} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, path)
+        assert out.columns == docs.columns, name
+        r = out.where("doc_id = 7").first()
+        assert all(r[n] == f"{n} of 7" for n in names), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, path).where("doc_id = 7").count() >= 1
+
+
 def test_near_dedup_keeps_one_row_of_each_group(spark):
     a, b, c = ("a b c d e f g h i j", "q r s t u v w x y z", "one more text of ten words is this here now")
     for rows, want in (
