@@ -11,14 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm import common, decontamination, minhash, packing, quality, secrets
-from factloom.llm.common import durable, shared_dir, text_of
-from factloom.llm.queries import tokenizer_path
+from factloom.llm.common import durable, set_aside, shared_dir, text_of
+from factloom.llm.queries import MIXTURE, tokenizer_path
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents of which the factorisation machine holds label 0 the likelier."""
-    machine = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score(docs, machine, threshold=0.5).where(F.col("predicted") == 1).select(*docs.columns)
+    rows, own = set_aside(docs, ["score", "predicted"])
+    machine = quality.fit(rows, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return own(quality.score(rows, machine, threshold=0.5).where(F.col("predicted") == 1))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,17 +43,18 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace every secret found in a text by a mark; no document goes."""
-    found = secrets.scan(docs, f"{shared_dir(spark)}/ledger")
+    rows, own = set_aside(docs, ["blob", "rule_version", "spans"])
+    found = secrets.scan(rows, f"{shared_dir(spark)}/ledger")
     text = F.when(F.size("spans") > 0, secrets.redacted(F.col("text"), F.col("spans"))).otherwise(F.col("text"))
     out = found.withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return own(out)
 
 
 def mixture_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack the texts into sequences of 1024 tokens, each window by the sources' shares."""
-    pieces = packing.pack(docs, tokenizer_path("byte_bpe_50k.json"))
+    pieces = packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), targets=MIXTURE)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "window_id", F.col("queue").alias("source"))
 
 
