@@ -59,20 +59,75 @@ METRIC_PATTERNS: list[tuple[str, str]] = [
     ("hours_saved", r"sav(?:ed|ings)\s*(?:of\s*)?(\d[\d,]*)\s*(?:hours?|hrs?)"),
     ("percentage_change", r"(\d+\.?\d*)\s*%\s*(?:improvement|reduction|increase|decrease)"),
     ("percentage_change", r"(?:improved|reduced|increased|decreased)\s*(?:by\s*)?(\d+\.?\d*)\s*%"),
+    ("cycle_time", r"(?:cycle|response|resolution|processing)\s*(?:time\s*)?(?:reduced|decreased|improved)\s*(?:from\s*)?([\d.]+\s*\w+)\s*(?:to\s*)?([\d.]+\s*\w+)?"),
     ("revenue", r"([$][\d,]+(?:\.\d+)?)\s*(?:million|billion|k)?\s+(?:\w+\s+){0,3}(?:revenue|income)"),
     ("revenue", r"revenue\s*(?:increased|grew|rose)\s*(?:by\s*)?(\d+\.?\d*)\s*%"),
+    ("customer_satisfaction", r"(?:csat|nps|customer satisfaction)\s*(?:score\s*)?(?:improved|increased|rose)\s*(?:from\s*)?([\d.]+)\s*(?:to\s*)?([\d.]+)?"),
+    ("error_rate", r"(?:error|mistake|defect)\s*(?:rate\s*)?(?:reduced|decreased|dropped)\s*(?:from\s*)?([\d.]+%?)\s*(?:to\s*)?([\d.]+%?)?"),
     ("headcount", r"(\d[\d,]*)\s*(?:employees?|people|staff|headcount|fte)"),
     ("headcount", r"(?:team|staff|workforce)\s*(?:of\s*)?(\d[\d,]*)"),
 ]
 
 # Signals of relevance by group, with whether case matters in the group.
 SIGNALS: dict[str, tuple[bool, list[str]]] = {
-    "high": (False, [r"\bimplemented\b", r"\bdeployed\b", r"\breduced\b", r"\bsaved\b", r"\bimproved\b", r"\bfailed\b", r"\bcost\s*savings\b", r"\bresults?\b", r"\b(?:before|after|baseline|post|pre)\b", r"\bteam\b", r"\bproject\b", r"\bpilot\b", r"\bhired\b", r"\bpolicy\b", r"%"]),
-    "org": (True, [r"\b(?:at|for|by|with)\s+[A-Z][a-zA-Z]+", r"\b(?:Inc|Corp|LLC|Ltd|Company|Group|Partners)\b", r"\b(?:Bank|Insurance|Financial)\b"]),
-    "outcome": (True, [r"\d+%", r"\$[\d,]+", r"(?:reduced|increased|decreased|improved|saved)\s+", r"[\d,]+\s*(?:hours?|days?|weeks?|months?|years?)", r"[\d,]+\s*(?:FTE|employees?|people|staff|agents?)"]),
-    "intervention": (False, [r"\b(?:AI|ML|RPA|ERP|CRM)\b", r"\b(?:automation|robot|chatbot|copilot|agent|workflow)\b", r"\b(?:software|platform|system|tool|solution)\b", r"\b(?:training|upskill|workshop)\b", r"\b(?:dashboard|reporting|analytics|KPI|metric)\b", r"\b(?:governance|policy|compliance|framework)\b"]),
-}
-EXCLUDE = [r"^\s*$", r"(?:login|signup|subscribe|password|cookie)", r"(?:spam|scam|phishing)", r"(?:404|not\s*found|page\s*not\s*found)"]
+    "high": (False, [
+        r"\bimplemented\b", r"\bdeployed\b", r"\bintroduced\b", r"\bredesigned\b",
+        r"\bautomated\b", r"\bmigrated\b", r"\badopted\b", r"\bpiloted\b",
+        r"\brolled\s*out\b", r"\blaunched\b", r"\btransformed\b",
+        r"\breduced\b", r"\bincreased\b", r"\bsaved\b", r"\bgenerated\b",
+        r"\bimproved\b", r"\bfailed\b", r"\babandoned\b",
+        r"\bROI\b", r"\bpayback\b", r"\bcost\s*savings\b",
+        r"\bhours?\s*saved\b", r"\bcycle\s*time\b", r"\bresponse\s*time\b",
+        r"\berror\s*rate\b", r"\bconversion\s*rate\b", r"\bproductivity\b",
+        r"\befficiency\b", r"\bthroughput\b", r"\bcapacity\b",
+        r"\brevenue\b", r"\bprofit\b", r"\bmargin\b",
+        r"\bcase\s*study\b", r"\bresults?\b", r"\boutcomes?\b",
+        r"\b(?:before|after|baseline|post|pre)\b",
+        r"\bdollar[s]?\b", r"\$[\d,]", r"\bpercent\b", r"%",
+        r"\bteam\b", r"\bproject\b", r"\binvestment\b",
+        r"\bpilot\b", r"\btrial\b", r"\bexperiment\b",
+        r"\bstaff(?:ing|ed)?\b", r"\bhired\b", r"\boutsourced\b",
+        r"\boffshored\b", r"\bcenter\s*of\s*excellence\b",
+        r"\bgovernance\b", r"\bcompliance\b", r"\bpolicy\b",
+    ]),
+    "org": (True, [
+        r"\b(?:at|for|by|with)\s+[A-Z][a-zA-Z]+",
+        r"\b(?:Inc|Corp|LLC|Ltd|Company|Co\.|Group|Partners)\b",
+        r"\b(?:University|College|Institute|School|Department)\b",
+        r"\b(?:Hospital|Clinic|Medical|Health)\b",
+        r"\b(?:Bank|Insurance|Financial)\b",
+        r"\b(?:Government|Agency|Ministry|Department|City|County|State|Federal)\b",
+        r"\b(?:Startup|Enterprise|Vendor|Consulting|Firm)\b",
+        r"\b(?:Company|Corporation|Organization)\b",
+    ]),
+    "outcome": (True, [
+        r"\d+%", r"\$[\d,]+(?:\.\d+)?", r"\d+x\b",
+        r"(?:reduced|increased|decreased|improved|saved|dropped|fell|rose)\s+",
+        r"(?:from|to)\s+\$?[\d,]+",
+        r"[\d,]+(?:\.\d+)?\s*(?:hours?|days?|weeks?|months?|years?)",
+        r"[\d,]+(?:\.\d+)?\s*(?:FTE|employees?|people|staff|agents?)",
+        r"[\d,]+(?:\.\d+)?\s*(?:transactions?|calls?|tickets?|cases?|orders?)",
+    ]),
+    "intervention": (False, [
+        r"\b(?:AI|ML|RPA|ERP|CRM|BI|API|SaaS|IaaS|PaaS)\b",
+        r"\b(?:automation|robot|chatbot|copilot|agent|workflow)\b",
+        r"\b(?:software|platform|system|tool|solution|application)\b",
+        r"\b(?:cloud|migrate|migration|digital)\b",
+        r"\b(?:process|workflow|operation)\s*(?:redesign|reengineer|improve|optimize|simplif)\b",
+        r"\b(?:training|upskill|reskill|workshop|certification)\b",
+        r"\b(?:outsource|offshore|managed\s*services)\b",
+        r"\b(?:governance|policy|compliance|framework)\b",
+        r"\b(?:restructure|reorganize|reorg|consolidate)\b",
+        r"\b(?:dashboard|reporting|analytics|KPI|metric)\b",
+    ]),
+}
+EXCLUDE = [
+    r"^\s*$", r"^\{", r"^<", r"^#", r"^\/\/",
+    r"(?:login|signup|subscribe|password|cookie)",
+    r"(?:job\s*(?:posting|listing|opening|requisition))",
+    r"(?:spam|scam|phishing)",
+    r"(?:404|not\s*found|page\s*not\s*found)",
+]
 
 
 def has_any(text: Column, words: list[str]) -> Column:

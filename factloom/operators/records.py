@@ -9,6 +9,10 @@ from factloom.functions.rules import blank, employee_band
 
 # Patterns of problems and the workflow and function each stands for; the first that matches holds.
 PROBLEMS: list[tuple[str, str, str]] = [
+    (r"invoice|payable|payments|billing|reconciliation|procurement|\bap\b", "invoice_processing", "finance"),
+    (r"onboard|customer setup|welcome|kickoff|implementation.*customer", "onboarding", "customer_success"),
+    (r"support|ticket|escalat|complaint|help ?desk|service ?desk", "ticketing", "support"),
+    (r"contract|legal|clause|agreement|mnda", "contract_review", "legal"),
     (r"lead|sales|qualif|prospecting|pipeline", "lead_qualification", "sales"),
     (r"marketing|campaign|lead nurturing|email.*campaign", "marketing_automation", "marketing"),
     (r"ci ?cd|deploy|release|build.*test", "ci_cd", "engineering"),
@@ -24,6 +28,7 @@ OUTCOMES: list[tuple[str, str]] = [
     (r"(error|mistake|quality|rework|defect|accuracy|incorrect)", "quality"),
     (r"(revenue|sell|convert|grow|acquisition|churn)", "revenue"),
     (r"(compliance|regulat|audit)", "compliance"),
+    (r"(capacity|scale|volume|throughput|productivity|manual work)", "efficiency"),
 ]
 GOOD_WHEN_LOWER = ("cost", "time", "risk", "errors")
 BANDS = ["<10", "10-50", "50-200", "200-1000", "1000-10000", "10000+"]

@@ -95,18 +95,6 @@ def relevance_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", *R.SIGNALS, R.relevance(F.col("note"), *(F.col(g) for g in R.SIGNALS)).alias("label"))
 
 
-@query("""SELECT id, CASE WHEN e <> '' THEN CAST(replace(e, ',', '') AS BIGINT) END AS employees, CASE WHEN m <> '' THEN CAST(m AS BIGINT) END AS duration, CASE WHEN u <> '' THEN rtrim(u, 's') END AS unit,
-  CASE WHEN c <> '' THEN CAST(c AS DOUBLE) * 1000000 END AS cost FROM (SELECT id, regexp_extract(note, '(\\d[\\d,]*) employees', 1) AS e, regexp_extract(note, '(\\d+) (?:days?|weeks?|months?|years?)', 1) AS m,
-  regexp_extract(note, '\\d+ (days?|weeks?|months?|years?)', 1) AS u, regexp_extract(note, '[$](\\d+) million', 1) AS c FROM notes)""".replace("\\\\", "\\"))
-def field_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Employees, duration and cost named in notes."""
-    get = lambda p: F.nullif(F.regexp_extract("note", p, 1), F.lit(""))
-    return notes(spark, sf_dir).select(
-        "id", F.regexp_replace(get(r"(\d[\d,]*) employees"), ",", "").cast("long").alias("employees"), get(r"(\d+) (?:days?|weeks?|months?|years?)").cast("long").alias("duration"),
-        F.regexp_replace(get(r"\d+ (days?|weeks?|months?|years?)"), "s+$", "").alias("unit"), (get(r"[$](\d+) million").cast("double") * 1_000_000).alias("cost"),
-    )
-
-
 @query("SELECT regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/:?#]+)', 1)), '^www\\.', '') AS host, count(*) AS n, count(DISTINCT url) AS urls FROM pages GROUP BY 1")
 def url_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages by host."""

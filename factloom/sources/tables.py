@@ -78,6 +78,15 @@ SELECT o.o_orderkey AS id,
 FROM {orders} o"""
 
 
+#: The same with more to say: who, what with, how long, how measured, why.
+STORIES = f"""
+SELECT n.id, n.note
+  || CASE n.id % 7 WHEN 0 THEN ' Accenture worked with a Northern Retail Group on it.' WHEN 1 THEN ' Eastfield Logistics deployed Salesforce and UiPath in its warehouse.' WHEN 2 THEN ' The hospital is based in New Haven, with 2,400 staff.' WHEN 3 THEN ' An independent audit of 12 sites verified the outcome.' WHEN 4 THEN ' Billing ran on SAP across the U.S. and the finance team of 14 people.' ELSE '' END
+  || CASE n.id % 6 WHEN 0 THEN ' The main challenge: manual invoices that took 45 minutes each.' WHEN 1 THEN ' They struggled with late tickets from 30 hours to 12 hours.' WHEN 2 THEN ' Before the project, error rate dropped from 9% to 3%.' WHEN 3 THEN ' NPS improved from 31 to 52, and cycle time reduced from 9 days to 4 days.' ELSE '' END
+  || CASE n.id % 5 WHEN 0 THEN ' Investment of $2.5 million over 9 months.' WHEN 1 THEN ' The budget was spent: cost 750k, tracked over 6 months.' WHEN 2 THEN ' A key factor: early training of all agents.' WHEN 3 THEN ' It failed because the data was not ready in time.' ELSE '' END AS story
+FROM ({NOTES}) n"""
+
+
 def _render(spark: SparkSession, sf_dir: str, text: str, *names: str) -> DataFrame:
     return spark.sql(text, **{n: table(spark, sf_dir, n) for n in names})
 
@@ -94,10 +103,14 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _render(spark, sf_dir, NOTES, "orders")
 
 
+def stories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _render(spark, sf_dir, STORIES, "orders")
+
+
 def with_views(sql: str) -> str:
-    """SQL for DuckDB in which records, metrics and notes can be named."""
+    """SQL for DuckDB in which records, metrics, notes and stories can be named."""
     names = {n: n for n in ("orders", "customer", "nation", "lineitem")}
-    views = {n: t for n, t in (("records", RECORDS), ("metrics", METRICS), ("notes", NOTES)) if n in sql}
+    views = {n: t for n, t in (("records", RECORDS), ("metrics", METRICS), ("notes", NOTES), ("stories", STORIES)) if n in sql}
     ctes = ", ".join(f"{n} AS ({t.format(**names)})" for n, t in views.items())
     if not ctes:
         return sql
