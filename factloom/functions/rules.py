@@ -145,8 +145,8 @@ def plain(text: Column) -> Column:
 
 def families(text: Column) -> Column:
     """The families that a text shows, in order."""
-    t = plain(text)
-    return F.array_compact(F.array(*(F.when(has_any(t, words), F.lit(name)) for name, words in FAMILIES.items())))
+    of = lambda t: F.array_compact(F.array(*(F.when(has_any(t, words), F.lit(name)) for name, words in FAMILIES.items())))
+    return F.element_at(F.transform(F.array(plain(text)), of), 1)  # so that the text is made plain once
 
 
 def family_counts(df: DataFrame, text: str, id_col: str) -> DataFrame:
