@@ -13,9 +13,10 @@ def first_with_others(df: DataFrame, key: str, id_col: str) -> DataFrame:
 
 
 def token_classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, class, tokens): documents with the same set of lower-case words are one class, named by its smallest id."""
-    words = F.sort_array(F.array_distinct(F.filter(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[ \t\n\r\f\x0B]+"), lambda w: w != "")))
-    rows = docs.select(F.col(id_col).alias("id"), words.alias("tokens")).withColumn("set_key", F.sha2(F.array_join("tokens", " ").cast("binary"), 256))
+    """(id, class, tokens): documents with the same set of lower-case words are one class, named by its smallest id; words as 64-bit hashes."""
+    found = F.array_distinct(F.filter(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[ \t\n\r\f\x0B]+"), lambda w: w != ""))
+    rows = docs.select(F.col(id_col).alias("id"), F.sort_array(F.transform(found, lambda w: F.xxhash64(w))).alias("tokens"))
+    rows = rows.withColumn("set_key", F.sha2(F.array_join(F.transform("tokens", lambda t: F.hex(t)), " ").cast("binary"), 256))
     first = rows.groupBy("set_key").agg(F.min("id").alias("class"))
     return rows.join(first, "set_key").select("id", "class", "tokens")
 

@@ -15,11 +15,13 @@ def best_per_entity(df: DataFrame, entity: str, score: str, id_col: str, limit:
     both are cut to what can matter before they meet.
     """
     key = F.coalesce(F.nullif(F.lower(entity), F.lit("")), F.concat(F.lit("#"), F.col(id_col).cast("string")))
+    if not least:  # whole rows go through one aggregate that combines before the shuffle
+        whole = F.struct(F.col(score).alias("__s"), (-F.col(id_col)).alias("__i"), F.struct(*df.columns).alias("__r"))
+        best = df.groupBy(key.alias("__key")).agg(F.max(whole).alias("b")).select("b.__r.*")
+        return best.orderBy(F.desc(score), id_col).limit(limit)
     top = df.groupBy(key.alias("__key")).agg(F.max(F.struct(F.col(score).alias("s"), (-F.col(id_col)).alias("i"))).alias("b")).select((-F.col("b.i")).alias(id_col))
     marked = df.join(top.withColumn("__first", F.lit(True)), id_col, "left").withColumn("__first", F.coalesce("__first", F.lit(False)))
     kept = marked.where("__first").orderBy(F.desc(score), id_col).limit(limit)
-    if not least:
-        return kept.drop("__first")
     rest = marked.where("NOT __first").orderBy(F.desc(score), id_col).limit(least)
     both = kept.unionByName(rest).withColumn("__place", F.row_number().over(Window.orderBy(F.desc("__first"), F.desc(score), id_col)))  # limit + least rows
     return both.where(F.col("__first") | (F.col("__place") <= least)).drop("__first", "__place")
@@ -28,7 +30,8 @@ def best_per_entity(df: DataFrame, entity: str, score: str, id_col: str, limit:
 def close_calls(df: DataFrame, group: str, score: str, id_col: str, top: int, within: float) -> DataFrame:
     """The `top` of each group with rank, label, and whether the next one is closer than `within`."""
     w = Window.partitionBy(group).orderBy(F.desc(score), id_col)
-    ranked = df.withColumn("rank", F.row_number().over(w)).withColumn("gap", F.col(score) - F.lead(score).over(w)).where(F.col("rank") <= top)
+    few = df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top + 1)  # cut within each task before the shuffle
+    ranked = few.withColumn("gap", F.col(score) - F.lead(score).over(w)).where(F.col("rank") <= top)
     close = F.coalesce((F.col("gap") < within) & (F.col("rank") < top), F.lit(False))
     return ranked.select(group, id_col, "rank", F.when(F.col("rank") == 1, "recommended").otherwise("alternative").alias("label"), close.alias("close"))
 

@@ -6,12 +6,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def budget_ledger(spends: DataFrame, day: str, order: str, tie: str, amount: str, budget: float, alerts: tuple[float, ...] = (0.75, 0.9, 1.0)) -> DataFrame:
-    """(day, alert, at): the row at which a day's running sum first reaches each share of the budget."""
-    w = Window.partitionBy(day).orderBy(order, tie).rowsBetween(Window.unboundedPreceding, 0)
-    running = spends.select(day, tie, F.floor(F.sum(amount).over(w)).alias("spent"))
-    crossed = running.withColumn("alert", F.explode(F.array(*map(F.lit, alerts)))).where(F.col("spent") >= F.col("alert") * budget)
-    return crossed.groupBy(day, "alert").agg(F.min_by(tie, F.struct("spent", tie)).alias("at"))
+def budget_ledger(spends: DataFrame, day: str, order: str, tie: str, amount: str, budget: int, alerts: tuple[float, ...] = (0.75, 0.9, 1.0)) -> DataFrame:
+    """(day, alert, at): the row at which a day's running sum of a whole-number amount first reaches each share of the budget.
+
+    Sums by minute tell in which minutes that is; only their rows are put in
+    order, so a day of very many rows is in no one task.
+    """
+    rows = spends.select(day, tie, order, amount, F.floor(F.unix_timestamp(order) / 60).alias("minute"))
+    minutes = rows.groupBy(day, "minute").agg(F.sum(amount).alias("n"))
+    upto = F.sum("n").over(Window.partitionBy(day).orderBy("minute").rowsBetween(Window.unboundedPreceding, 0))
+    steps = minutes.withColumn("upto", upto).withColumn("base", F.col("upto") - F.col("n")).withColumn("alert", F.explode(F.array(*map(F.lit, alerts))))
+    due = steps.where((F.col("upto") >= F.col("alert") * budget) & (F.col("base") < F.col("alert") * budget)).groupBy(day, "alert").agg(F.min_by(F.struct("minute", "base"), "minute").alias("m")).select(day, "alert", "m.*")
+    w = Window.partitionBy(day, "alert").orderBy(order, tie).rowsBetween(Window.unboundedPreceding, 0)
+    running = rows.join(due, [day, "minute"]).withColumn("spent", F.col("base") + F.sum(amount).over(w))
+    return running.where(F.col("spent") >= F.col("alert") * budget).groupBy(day, "alert").agg(F.min_by(tie, F.struct(order, tie)).alias("at"))
 
 
 def first_claims(claims: DataFrame, key: str, order: str, owner: str) -> DataFrame:

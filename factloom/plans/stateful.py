@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,15 +9,15 @@ from pyspark.sql import functions as F
 
 from factloom.operators import stateful as S
 from factloom.plans.catalog import query
-from factloom.sources.tables import records, table
+from factloom.sources.tables import records, shared_root, table
 
 
-@query("""WITH r AS (SELECT strftime(ts, '%Y-%m-%d') AS day, event_id, floor(sum(value) OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id)) AS spent FROM events), x AS (SELECT day, unnest([0.75, 0.9, 1.0]) AS alert, event_id, spent FROM r)
-  SELECT day, alert::DOUBLE AS alert, arg_min(event_id, spent * 100000000 + event_id) AS at FROM x WHERE spent >= alert * 1000 GROUP BY day, alert""")
+@query("""WITH r AS (SELECT strftime(ts, '%Y-%m-%d') AS day, event_id, ts, sum(CAST(floor(value * 100) AS BIGINT)) OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id) AS spent FROM events), x AS (SELECT day, unnest([0.75, 0.9, 1.0]) AS alert, event_id, ts, spent FROM r)
+  SELECT day, alert::DOUBLE AS alert, arg_min(event_id, [epoch_us(ts), event_id]) AS at FROM x WHERE spent >= alert * 100000 GROUP BY day, alert""")
 def budget_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """When each day's spending reached three quarters, nine tenths and all of its budget."""
-    e = table(spark, sf_dir, "events", "event_id", "ts", "value").withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
-    return S.budget_ledger(e, "day", "ts", "event_id", "value", 1000.0)
+    """When each day's spending, in cents, reached three quarters, nine tenths and all of its budget."""
+    e = table(spark, sf_dir, "events", "event_id", "ts", "value").select(F.date_format("ts", "yyyy-MM-dd").alias("day"), "ts", "event_id", F.floor(F.col("value") * 100).alias("cents"))
+    return S.budget_ledger(e, "day", "ts", "event_id", "cents", 100_000)
 
 
 @query("SELECT user_id, arg_min(event_type, event_id) AS owner, min(event_id) AS claimed, count(*) - 1 AS lost FROM events GROUP BY user_id")
@@ -60,15 +59,13 @@ def tumbling_demand(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_type, count(*) AS n, CAST(sum(floor(value * 100)) AS BIGINT) AS cents FROM events GROUP BY 1")
 def tumbling_demand_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same as a stream over the table's file, summed over all its windows."""
-    from factloom.streaming.demand import demand
+    from factloom.streaming.demand import demand, run_windows
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    name = f"demand_{uuid.uuid4().hex}"
+    folder = f"{shared_root(spark)}/demand-{uuid.uuid4().hex}"
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events*.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    # In one run over the whole table nothing is late, and all windows are asked for as they stand.
-    demand(stream).writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{root}/{name}").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).groupBy("event_type").agg(F.sum("n").alias("n"), F.sum("cents").alias("cents"))
+    run_windows(demand(stream), f"{folder}/windows", f"{folder}/state")
+    return spark.read.parquet(f"{folder}/windows").groupBy("event_type").agg(F.sum("n").alias("n"), F.sum("cents").alias("cents"))
 
 
 @query("""WITH s AS (SELECT event_type AS strategy, user_id % 10 AS library, count(*) AS runs, count(*) FILTER (value > 60) AS accepted, CAST(sum(floor(value * 100)) AS BIGINT) AS cents FROM events GROUP BY 1, 2)

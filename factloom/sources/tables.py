@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +15,17 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share, by spark.checkpoint.dir; a local one if it is unset and the master is local."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="factloom-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root.rstrip("/")
+
+
 def tolerant(df: DataFrame, wanted: dict[str, str]) -> DataFrame:
     """The wanted columns (name to type) in order: null where df lacks one, and parsed from JSON text where a nested type is stored as text."""
 
@@ -81,7 +94,7 @@ FROM {orders} o"""
 #: The same with more to say: who, what with, how long, how measured, why.
 STORIES = f"""
 SELECT n.id, n.note
-  || CASE n.id % 7 WHEN 0 THEN ' Accenture worked with a Northern Retail Group on it.' WHEN 1 THEN ' Eastfield Logistics deployed Salesforce and UiPath in its warehouse.' WHEN 2 THEN ' The hospital is based in New Haven, with 2,400 staff.' WHEN 3 THEN ' An independent audit of 12 sites verified the outcome.' WHEN 4 THEN ' Billing ran on SAP across the U.S. and the finance team of 14 people.' ELSE '' END
+  || CASE n.id % 7 WHEN 0 THEN ' Accenture worked with a Northern Retail Group on it.' WHEN 1 THEN ' Eastfield Logistics deployed Salesforce and UiPath in its warehouse.' WHEN 2 THEN ' The hospital is based in New Haven, with 2,400 staff.' WHEN 3 THEN ' An independent audit of 12 sites verified the outcome.' WHEN 4 THEN ' Billing ran on SAP across the U.S. and the finance team of 14 people.' WHEN 5 THEN ' Process improvement and workflow automation brought cost savings.' ELSE '' END
   || CASE n.id % 6 WHEN 0 THEN ' The main challenge: manual invoices that took 45 minutes each.' WHEN 1 THEN ' They struggled with late tickets from 30 hours to 12 hours.' WHEN 2 THEN ' Before the project, error rate dropped from 9% to 3%.' WHEN 3 THEN ' NPS improved from 31 to 52, and cycle time reduced from 9 days to 4 days.' ELSE '' END
   || CASE n.id % 5 WHEN 0 THEN ' Investment of $2.5 million over 9 months.' WHEN 1 THEN ' The budget was spent: cost 750k, tracked over 6 months.' WHEN 2 THEN ' A key factor: early training of all agents.' WHEN 3 THEN ' It failed because the data was not ready in time.' ELSE '' END AS story
 FROM ({NOTES}) n"""

@@ -39,3 +39,12 @@ def alerts(events: DataFrame, budget: float, shares: tuple[float, ...] = (0.75,
 def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """Work off what is there, write it to path, and stop; a rerun goes on where this one ended."""
     stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+
+
+def run_windows(windows: DataFrame, path: str, checkpoint: str) -> None:
+    """Work off what is there into the table of all windows at path, which each batch writes anew; nothing passes through the driver."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    windows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
