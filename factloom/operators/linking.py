@@ -111,3 +111,35 @@ def reachable(links: DataFrame, start: DataFrame, depth: int) -> DataFrame:
         front = front.select(F.col("node").alias("src")).join(links, "src").select(F.col("dst").alias("node")).distinct().join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(step))
         seen = seen.unionByName(front)
     return seen
+
+
+def prefix_matches(asked: DataFrame, registry: DataFrame, least: int = 4) -> DataFrame:
+    """(name, entry): the first registered name that equals a name, begins it or is begun by it (of `least` letters at least), without regard to case and signs.
+
+    The longer of two names lists its beginnings, which are joined to the
+    shorter one, so names are never compared pair by pair.
+    """
+    bare = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
+    starts = lambda c: F.transform(F.sequence(F.least(F.lit(least), F.length(c)), F.length(c)), lambda n: F.substring(c, F.lit(1), n))
+    a = asked.select("name", bare("name").alias("a")).where("a <> ''").distinct()
+    r = registry.select(F.col("name").alias("entry"), bare("name").alias("r")).where("r <> ''").distinct()
+    within = a.select("name", "a", F.explode(starts(F.col("a"))).alias("r")).join(r, "r").where((F.length("r") >= least) | (F.col("r") == F.col("a")))
+    around = r.select("entry", F.explode(starts(F.col("r"))).alias("a")).join(a, "a").where(F.length("a") >= least)
+    return within.select("name", "entry").union(around.select("name", "entry")).groupBy("name").agg(F.min("entry").alias("entry"))
+
+
+def kin_consistency(records: DataFrame) -> DataFrame:
+    """(id, peers, score) of (id, families, good): how many of the other records with any family in common went well.
+
+    Records are counted by their sets of families, of which there are few; two
+    sets meet once a family they share, and count once.
+    """
+    sets = records.withColumn("key", F.array_join(F.array_sort("families"), ","))
+    counts = sets.where("key <> ''").groupBy("key").agg(F.count("*").alias("n"), F.count_if("good").alias("g"))
+    split = counts.select("key", F.explode(F.split("key", ",")).alias("family"))
+    pairs = split.select("key", "family").join(split.select(F.col("key").alias("other"), "family"), "family").select("key", "other").distinct()
+    totals = pairs.join(counts.withColumnRenamed("key", "other"), "other").groupBy("key").agg(F.sum("n").alias("n"), F.sum("g").alias("g"))
+    peers, good = F.coalesce(F.col("n") - 1, F.lit(0)), F.col("g") - F.when(F.col("good"), 1).otherwise(0)
+    ratio = good / peers
+    score = F.when(peers <= 0, 50).when(ratio >= 0.8, 90).when(ratio >= 0.5, 70).when(ratio >= 0.3, 50).otherwise(30)
+    return sets.join(totals, "key", "left").select("id", peers.alias("peers"), score.alias("score"))

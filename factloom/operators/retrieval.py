@@ -12,7 +12,7 @@ from factloom.functions.rules import blank, employee_band, half_up
 # Weights of the six factors, and of the ten.
 WEIGHTS = {"problem": 0.35, "workflow": 0.25, "intervention": 0.15, "industry": 0.10, "company_size": 0.10, "outcome": 0.05}
 CONTEXT_WEIGHTS = {"problem": 0.24, "workflow": 0.22, "operational_function": 0.12, "industry_subsector": 0.10, "broader_industry": 0.08, "organization_size": 0.10, "business_model": 0.06, "geography": 0.04, "regulatory": 0.03, "technology_readiness": 0.01}
-# Size bands in order; families of a category; other names of functions.
+# Size bands in order; families of a category; how much is asked about work with a keyword; other names of functions.
 BANDS = ["<10", "10-50", "50-200", "200-1000", "1000-10000", "10000+"]
 CATEGORY_FAMILIES = {
     "ai": ["predictive_ai", "generative_ai", "ai_assisted_work", "autonomous_ai", "human_in_the_loop_ai"],
@@ -22,6 +22,11 @@ CATEGORY_FAMILIES = {
     "staffing": ["staffing_increases", "staffing_reallocation", "outsourcing", "training"],
     "hybrid": ["hybrid_combination"],
 }
+DEMAND_KEYWORDS = [
+    ("invoice", 0.9), ("payment", 0.85), ("reconcil", 0.75), ("billing", 0.8), ("onboard", 0.8), ("ticket", 0.8), ("support", 0.75), ("service call", 0.75), ("lead", 0.75), ("qualif", 0.75), ("marketing", 0.7), ("campaign", 0.7),
+    ("ci cd", 0.7), ("deploy", 0.7), ("contract", 0.65), ("rfp", 0.7), ("quoting", 0.7), ("supply chain", 0.7), ("inventory", 0.7), ("logistic", 0.7), ("manufactur", 0.6), ("financial close", 0.75), ("close", 0.7),
+    ("procure", 0.7), ("vendor", 0.7), ("hr", 0.65), ("recruit", 0.65), ("workforce", 0.65), ("productivity", 0.6), ("document", 0.55),
+]
 FUNCTION_NAMES = {"customer_support": ["support", "customer_service", "service"], "human_resources": ["hr", "people"], "supply_chain": ["supply chain", "logistics"], "operations": ["ops", "back office"]}
 
 
@@ -215,3 +220,20 @@ def impact(volume: Column, handling: Column, rate: Column, low: Column, median:
     done = F.struct(F.lit("estimated").alias("status"), whole(hours * low).alias("hours_low"), whole(hours * median).alias("hours"), whole(hours * high).alias("hours_high"), whole(hours * median * rate).alias("savings"))
     none = F.lit(None).cast("bigint")
     return F.when(F.coalesce(known, F.lit(False)), done).otherwise(F.struct(F.lit("insufficient_input").alias("status"), none.alias("hours_low"), none.alias("hours"), none.alias("hours_high"), none.alias("savings")))
+
+
+def risks() -> Column:
+    """What may go wrong with a record (vendor_reported, result_status, families): three at most, or a word on readiness."""
+    has = lambda w: F.exists("families", lambda f: F.contains(f, F.lit(w)))
+    found = F.array_compact(
+        F.array(
+            F.when(F.col("vendor_reported"), "Vendor-reported outcome"), F.when(F.col("result_status").isin("failed", "abandoned"), "Similar implementations have failed or been abandoned"),
+            F.when(has("automation"), "Complex exceptions may still require manual review"), F.when(has("software"), "Integration with existing systems may take longer than expected"),
+        )
+    )
+    return F.when(F.size(found) == 0, F.array(F.lit("Implementation risk depends on organizational readiness"))).otherwise(F.slice(found, 1, 3))
+
+
+def keyword_demand(workflow: Column) -> Column:
+    """The greatest weight of the keywords in a workflow; 0 if it has none."""
+    return F.greatest(*(F.when(F.contains(F.lower(workflow), F.lit(k)), v).otherwise(0.0) for k, v in DEMAND_KEYWORDS))

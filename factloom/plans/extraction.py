@@ -101,10 +101,10 @@ def url_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages", "url").groupBy(R.host(F.col("url")).alias("host")).agg(F.count("*").alias("n"), F.count_distinct("url").alias("urls"))
 
 
-@query("SELECT id, regexp_replace(regexp_replace(lower(note[1:60]), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug FROM notes")
+@query("SELECT id, regexp_replace(regexp_replace(lower(note), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug FROM notes")
 def slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keys of the notes' first words."""
-    return notes(spark, sf_dir).select("id", R.slug(F.substring("note", 1, 60)).alias("slug"))
+    """Keys of the notes."""
+    return notes(spark, sf_dir).select("id", R.slug(F.col("note")).alias("slug"))
 
 
 @query("""SELECT id, CASE WHEN v <> '' THEN CAST(v AS DOUBLE) END AS value FROM (SELECT id, regexp_extract(replace(note, ',', ''), '(\\d+(?:\\.\\d+)?)', 1) AS v FROM notes)""".replace("\\\\", "\\"))
@@ -148,6 +148,25 @@ def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links(table(spark, sf_dir, "pages"))
 
 
+@query()
+def html_clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is to be read of web pages, in characters and words."""
+    from factloom.sources.html import clean_text
+
+    return clean_text(table(spark, sf_dir, "pages")).select("page_id", F.length("clean_text").alias("n_chars"), F.size(F.split("clean_text", " ")).alias("n_words"))
+
+
+_PATH = "url || CASE page_id % 5 WHEN 0 THEN '/report.PDF?x=1' WHEN 1 THEN '/deck.pptx#2' WHEN 2 THEN '/notes.md' ELSE '' END"
+
+
+@query(f"SELECT kind, count(*) AS n FROM (SELECT CASE WHEN e IN ('pdf', 'docx', 'pptx', 'md', 'txt') THEN e ELSE 'html' END AS kind FROM (SELECT lower(regexp_extract({_PATH}, '\\.([A-Za-z0-9]+)(?:[?#].*)?$', 1)) AS e FROM pages)) GROUP BY kind")
+def document_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses by the kind of document they lead to."""
+    from factloom.sources.html import document_type
+
+    return table(spark, sf_dir, "pages", "page_id", "url").groupBy(document_type(F.expr(_PATH)).alias("kind")).agg(F.count("*").alias("n"))
+
+
 @query("""SELECT page_id, substr(md5(url || coalesce(title, '')), 1, 16) AS doc_key, substr(sha256(html), 1, 16) AS content_hash, title FROM
   (SELECT *, coalesce(nullif(trim(regexp_extract(html, '<title[^>]*>([^<]*)</title>', 1, 'i')), ''), regexp_extract(url, '([^/]*)/?$', 1)) AS title FROM pages)""")
 def html_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

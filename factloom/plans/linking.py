@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.functions.rules import families
 from factloom.operators import linking as L
 from factloom.plans.catalog import query
-from factloom.sources.tables import metrics, records, table
+from factloom.plans.extraction import _FAMILIES, _T
+from factloom.sources.tables import metrics, notes, records, table
 
 #: Aliases and keywords of kinds of parts.
 ALIASES = {"standard anodized": "standard", "promo": "promotional", "economy plated": "economy"}
@@ -117,3 +119,24 @@ def link_traversal(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey")
     links = l.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst")).distinct()
     return L.reachable(links, spark.createDataFrame([(0,)], "node int"), 3)
+
+
+_NAMES = "CASE c_custkey % 4 WHEN 0 THEN upper(c_name) WHEN 1 THEN c_name || ' Holdings' WHEN 2 THEN substr(c_name, 1, 11) ELSE 'Unheard of ' || c_custkey END"
+
+
+@query(f"""WITH a AS (SELECT DISTINCT n AS name, regexp_replace(lower(n), '[^a-z0-9]', '', 'g') AS a FROM (SELECT {_NAMES} AS n FROM customer)), r AS (SELECT DISTINCT c_name AS entry, regexp_replace(lower(c_name), '[^a-z0-9]', '', 'g') AS r FROM customer WHERE c_custkey % 3 = 0)
+  SELECT name, min(entry) AS entry FROM a JOIN r ON a = r OR (length(r) >= 4 AND starts_with(a, r)) OR (length(a) >= 4 AND starts_with(r, a)) GROUP BY name""")
+def registry_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that are registered, or begin as a registered one does."""
+    c = table(spark, sf_dir, "customer", "c_custkey", "c_name")
+    return L.prefix_matches(c.select(F.expr(_NAMES).alias("name")), c.where("c_custkey % 3 = 0").select(F.col("c_name").alias("name")))
+
+
+@query(f"""WITH f AS (SELECT r.id, result_status IN ('successful', 'partial') AS good, {_FAMILIES} AS f FROM records r JOIN (SELECT id, {_T} AS t FROM notes) n ON n.id = r.id), c AS (SELECT list_sort(f) AS f, count(*) AS n, count(*) FILTER (good) AS g FROM f GROUP BY 1),
+  t AS (SELECT a.f, sum(b.n) AS n, sum(b.g) AS g FROM c a JOIN c b ON len(list_intersect(a.f, b.f)) > 0 GROUP BY a.f), x AS (SELECT id, good, coalesce(n - 1, 0) AS peers, g - CAST(good AS INT) AS pos FROM f LEFT JOIN t ON t.f = list_sort(f.f))
+  SELECT id, CAST(peers AS BIGINT) AS peers, CASE WHEN peers <= 0 THEN 50 WHEN pos / peers >= 0.8 THEN 90 WHEN pos / peers >= 0.5 THEN 70 WHEN pos / peers >= 0.3 THEN 50 ELSE 30 END AS score FROM x""")
+def family_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well the other records with any family in common went."""
+    good = F.col("result_status").isin("successful", "partial")
+    r = records(spark, sf_dir).select("id", good.alias("good")).join(notes(spark, sf_dir).select("id", families(F.col("note")).alias("families")), "id")
+    return L.kin_consistency(r)

@@ -170,3 +170,52 @@ def impact_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "customer", "c_custkey", "c_acctbal").groupBy(company.alias("company")).agg(F.sum(F.floor("c_acctbal")).alias("v")).select("company", F.when(F.col("company") % 9 != 0, F.col("v")).alias("volume"))
     e = S.impact(F.col("volume"), F.lit(0.25), F.lit(40), F.col("lo"), F.col("mid"), F.col("hi"))
     return v.join(s, "company", "left").select("company", e.alias("e")).select("company", "e.*")
+
+
+#: Changes of the profile, one field each.
+CHANGES = [{}, {"workflow": "claims handling"}, {"industry": "machinery"}, {"size_band": "10-50", "employee_count": 30}, {"outcome": "time"}]
+_FIELDS = ["none", "workflow", "industry", "size", "outcome"]
+
+
+@query()
+def field_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the best 25 move if one field of the profile changes: all variants scored in one pass. Compared with scoring them one by one in a test."""
+    scores = [S.weighed(S.similarity(PROFILE | c), S.WEIGHTS) for c in CHANGES]
+    rows = _rec(spark, sf_dir).select("id", F.posexplode(F.array(*(F.floor(x * 1000 + 0.5) for x in scores))).alias("variant", "score"))
+    ranks = K.ranked(rows.withColumnRenamed("variant", "query"), 25)
+    base = ranks.where("query = 0").select("id", F.col("rank").alias("r0"))
+    moved = ranks.where("query > 0").join(base, "id", "left").groupBy("query").agg(F.count("r0").alias("common"), F.sum(F.abs(F.col("rank") - F.col("r0"))).alias("d"))
+    name = F.get(F.array(*map(F.lit, _FIELDS)), F.col("query"))
+    return moved.select(name.alias("field"), "common", half_up(F.coalesce(F.try_divide(F.col("d"), F.col("common")) / 25, F.lit(1.0)), 4).alias("moved"))
+
+
+_RISKS = f"""list_filter([CASE WHEN vendor_reported THEN 'Vendor-reported outcome' END, CASE WHEN result_status IN ('failed', 'abandoned') THEN 'Similar implementations have failed or been abandoned' END, CASE WHEN len(list_filter(f, lambda x: contains(x, 'automation'))) > 0 THEN 'Complex exceptions may still require manual review' END,
+  CASE WHEN len(list_filter(f, lambda x: contains(x, 'software'))) > 0 THEN 'Integration with existing systems may take longer than expected' END], lambda x: x IS NOT NULL)"""
+
+
+@query(f"""WITH r AS (SELECT r.*, {_FAMILIES} AS f FROM records r JOIN (SELECT id, {_T} AS t FROM notes) n ON n.id = r.id), k AS (SELECT {_RISKS} AS risks FROM r) SELECT unnest(CASE WHEN len(risks) = 0 THEN ['Implementation risk depends on organizational readiness'] ELSE risks[1:3] END) AS risk, count(*) AS n FROM k GROUP BY 1""")
+def risks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records by the risks that are named for them, three each at most."""
+    r = records(spark, sf_dir).join(notes(spark, sf_dir).select("id", families(F.col("note")).alias("families")), "id")
+    return r.select(F.explode(S.risks()).alias("risk")).groupBy("risk").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH r AS (SELECT r.id, organization_name, result_status, unnest({_FAMILIES}) AS family FROM records r JOIN (SELECT id, {_T} AS t FROM notes) n ON n.id = r.id WHERE result_status IN ('failed', 'abandoned') AND publication_status = 'published'), k AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY id) AS k FROM r)
+  SELECT family, k AS number, id, result_status FROM k WHERE k <= 3""")
+def counter_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first three published failures of each family."""
+    from pyspark.sql import Window
+
+    r = records(spark, sf_dir).where("publication_status = 'published'").where(F.col("result_status").isin("failed", "abandoned")).select("id", "result_status")
+    r = r.join(notes(spark, sf_dir).select("id", F.explode(families(F.col("note"))).alias("family")), "id")
+    return r.withColumn("number", F.row_number().over(Window.partitionBy("family").orderBy("id"))).where("number <= 3").select("family", "number", "id", "result_status")
+
+
+_DEMANDED = "CASE id % 6 WHEN 0 THEN 'Invoice and billing' WHEN 1 THEN 'CI CD deploy' WHEN 2 THEN 'HR documents' WHEN 3 THEN 'Support tickets' WHEN 4 THEN 'the close' ELSE workflow END"
+_KEYED = "list_max([" + ", ".join(f"CASE WHEN contains(lower(w), '{k}') THEN {v} ELSE 0.0 END" for k, v in S.DEMAND_KEYWORDS) + "])"
+
+
+@query(f"SELECT w AS workflow, {_KEYED} AS demand, count(*) AS n FROM (SELECT {_DEMANDED} AS w FROM records) GROUP BY ALL")
+def keyword_demand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Workflows by the greatest demand that a keyword of theirs has."""
+    return records(spark, sf_dir).select(F.expr(_DEMANDED).alias("workflow")).groupBy("workflow", S.keyword_demand(F.col("workflow")).alias("demand")).agg(F.count("*").alias("n"))

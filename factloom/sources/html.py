@@ -103,8 +103,7 @@ class _Page(HTMLParser):
 
     def _take(self, tag: str, text: str) -> None:
         if tag in HEADINGS:
-            if len(text) <= 200:
-                self.sections.append({"heading": text, "text": ""})
+            self.sections.append({"heading": text, "text": ""})
         elif tag in ("td", "th"):
             if self.tables and self.tables[-1]:
                 self.tables[-1][-1].append(text)
@@ -112,7 +111,7 @@ class _Page(HTMLParser):
             if not self.sections:
                 self.sections.append({"heading": "", "text": ""})
             last = self.sections[-1]
-            last["text"] = (last["text"] + "\n" + text).strip()[:5000]
+            last["text"] = (last["text"] + "\n" + text).strip()
 
     def handle_data(self, data):
         if self._silent:
@@ -143,10 +142,11 @@ def _mapped(df: DataFrame, name: str, kind: T.DataType, arrow: pa.DataType, of:
     return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(name, kind)]))
 
 
-def sections(pages: DataFrame, html_col: str = "html") -> DataFrame:
-    """Add `sections`: heading (at most 200 characters) and text (at most 5,000) of each."""
+def sections(pages: DataFrame, html_col: str = "html", heading_chars: int | None = 200, text_chars: int | None = None) -> DataFrame:
+    """Add `sections`: heading and text of each, cut for display where a number of characters is given."""
+    cut = lambda p: [{"heading": s["heading"][:heading_chars], "text": s["text"][:text_chars]} for s in p.sections]
     kind = T.ArrayType(T.StructType([T.StructField("heading", T.StringType()), T.StructField("text", T.StringType())]))
-    return _mapped(pages, "sections", kind, pa.list_(pa.struct([("heading", pa.string()), ("text", pa.string())])), lambda p: p.sections, html_col)
+    return _mapped(pages, "sections", kind, pa.list_(pa.struct([("heading", pa.string()), ("text", pa.string())])), cut, html_col)
 
 
 def tables(pages: DataFrame, html_col: str = "html") -> DataFrame:
@@ -159,8 +159,8 @@ def clean_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
     return _mapped(pages, "clean_text", T.StringType(), pa.string(), lambda p: " ".join("".join(p.words).split()), html_col)
 
 
-def links(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", most: int = 20) -> DataFrame:
-    """(id, rank, link): the first `most` distinct links of each page that stay on its host."""
+def links(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", most: int | None = None) -> DataFrame:
+    """(id, rank, link): the distinct links of each page that stay on its host, the first `most` if a number is given."""
     rows = _mapped(pages.select(id_col, url_col, html_col), "anchors", T.ArrayType(T.StringType()), pa.list_(pa.string()), lambda p: [h for h, _ in p.anchors if h], html_col)
     names = [id_col, url_col]
 
@@ -173,7 +173,7 @@ def links(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(found, pa.list_(pa.string()))], names=[*names, "links"])
 
     flat = rows.select(*names, "anchors").mapInArrow(join, T.StructType([*(rows.schema[n] for n in names), T.StructField("links", T.ArrayType(T.StringType()))]))
-    return flat.select(id_col, F.posexplode(F.slice("links", 1, most)).alias("rank", "link"))
+    return flat.select(id_col, F.posexplode(F.slice("links", 1, most) if most else "links").alias("rank", "link"))
 
 
 def document_type(path: Column) -> Column:

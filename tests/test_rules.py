@@ -99,3 +99,16 @@ def test_promotion_rules(spark):
     assert one(spark, "RPA pilot", x=P.named_family(F.col("t")))["x"] == "Workflow_Automation" and one(spark, "Email tool", x=P.named_family(F.col("t")))["x"] == "AI"  # "ai" inside a word
     assert one(spark, " GenAI ", x=P.category(F.col("t")))["x"] == "ai"
     assert one(spark, "", x=P.source_types(F.array(F.lit("rollout_strategy"), F.lit("lessons_learned"), F.lit("none"))))["x"] == ["case_study", "implementation_guide", "postmortem"]
+
+
+def test_field_sensitivity_scores_one_by_one(spark, sf_dir):
+    from factloom.plans import retrieval as plans
+
+    top = []
+    for change in plans.CHANGES:
+        rows = plans._scored(spark, sf_dir, plans.PROFILE | change).select("id", F.floor(F.col("total") * 1000 + 0.5).alias("s")).collect()
+        top.append({r["id"]: k for k, r in enumerate(sorted(rows, key=lambda r: (-r["s"], r["id"]))[:25], 1)})
+    got = {r["field"]: (r["common"], r["moved"]) for r in plans.field_sensitivity(spark, sf_dir).collect()}
+    for name, ranks in zip(plans._FIELDS[1:], top[1:], strict=True):
+        both = ranks.keys() & top[0].keys()
+        assert got[name][0] == len(both) and got[name][1] == pytest.approx(sum(abs(ranks[i] - top[0][i]) for i in both) / len(both) / 25 if both else 1.0, abs=1e-4)
