@@ -10,8 +10,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Weights of the dimensions.
-WEIGHTS = {"problem_fit": 0.18, "economic_fit": 0.16, "automation_potential": 0.12, "volume_fit": 0.10, "exception_fit": 0.08, "risk": 0.08, "feasibility": 0.07, "organizational_readiness": 0.06, "integration_feasibility": 0.05, "time_to_value": 0.05, "evidence_strength": 0.05}
+# Weights of the dimensions, by what holds the work back; another constraint counts as unknown.
+DIMENSIONS = ["problem_fit", "economic_fit", "automation_potential", "volume_fit", "exception_fit", "risk", "feasibility", "organizational_readiness", "integration_feasibility", "time_to_value", "evidence_strength"]
+PROFILES: dict[str, list[float]] = {
+    "capacity": [0.10, 0.20, 0.15, 0.20, 0.05, 0.05, 0.05, 0.05, 0.03, 0.07, 0.05],
+    "errors": [0.10, 0.10, 0.25, 0.10, 0.15, 0.08, 0.05, 0.05, 0.05, 0.04, 0.03],
+    "speed": [0.10, 0.12, 0.20, 0.10, 0.08, 0.05, 0.08, 0.05, 0.05, 0.14, 0.03],
+    "quality": [0.10, 0.08, 0.10, 0.05, 0.18, 0.10, 0.08, 0.15, 0.08, 0.05, 0.03],
+    "cost": [0.08, 0.30, 0.18, 0.15, 0.05, 0.05, 0.05, 0.03, 0.03, 0.05, 0.03],
+    "visibility": [0.08, 0.08, 0.05, 0.05, 0.05, 0.05, 0.15, 0.10, 0.25, 0.11, 0.03],
+    "compliance": [0.10, 0.05, 0.03, 0.03, 0.05, 0.30, 0.15, 0.10, 0.10, 0.06, 0.03],
+    "unknown": [0.05, 0.03, 0.02, 0.02, 0.02, 0.03, 0.03, 0.03, 0.02, 0.02, 0.75],
+}
 # Fixed values by family: cost range in dollars, least labour reduction in percent, fit at volumes below 6,000, 60,000, 600,000 and beyond,
 # how exceptions and risk weigh (slope and floor), weeks it takes, and speed to value.
 FAMILIES: dict[str, tuple] = {
@@ -68,9 +78,10 @@ def dimensions() -> dict[str, Column]:
 def decide(assessments: DataFrame, id_col: str, top: int = 3) -> DataFrame:
     """(id, rank, family, score, unsuited): the best families of each assessment; unsuited where the volume is too low for automation."""
     rows = assessments.withColumn("f", F.explode(family_table())).select("*", "f.*").drop("f")
-    score = None
-    for name, d in dimensions().items():
-        score = d * WEIGHTS[name] if score is None else score + d * WEIGHTS[name]
+    profile = F.coalesce(*(F.try_element_at(F.create_map(*(x for k, w in PROFILES.items() for x in (F.lit(k), F.array(*map(F.lit, w))))), key) for key in (F.col("constraint"), F.lit("unknown"))))
+    rows = rows.withColumn("weights", profile)
+    fits = dimensions()
+    score = sum((fits[n] * F.col("weights")[i] for i, n in enumerate(DIMENSIONS) if i), fits[DIMENSIONS[0]] * F.col("weights")[0])
     unsuited = F.coalesce(F.col("family").isin("AI", "Workflow_Automation") & (F.col("volume") < 6_000), F.lit(False))
     scored = rows.select(F.col(id_col), "family", (F.floor(score * 1_000_000 + 0.5).cast("double") / 1_000_000).alias("score"), unsuited.alias("unsuited"))
     w = Window.partitionBy(id_col).orderBy(F.desc("score"), "family")

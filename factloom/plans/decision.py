@@ -9,10 +9,11 @@ from factloom.operators import decision as D
 from factloom.plans.catalog import query
 from factloom.sources.tables import records
 
-_IN = """SELECT id, CASE id % 6 WHEN 0 THEN 'capacity' WHEN 1 THEN 'errors' WHEN 2 THEN 'speed' WHEN 3 THEN 'cost' WHEN 4 THEN 'visibility' ELSE 'unknown' END AS "constraint", CASE WHEN id % 9 = 0 THEN NULL ELSE (id * 7919) % 900000 END AS volume, (id % 9) / 10.0::DOUBLE AS exception_rate, 0.3::DOUBLE + (id % 4) / 10.0::DOUBLE AS stability,
+_IN = """SELECT id, CASE id % 6 WHEN 0 THEN 'capacity' WHEN 1 THEN 'errors' WHEN 2 THEN 'speed' WHEN 3 THEN 'cost' WHEN 4 THEN 'compliance' ELSE 'unknown' END AS "constraint", CASE WHEN id % 9 = 0 THEN NULL ELSE (id * 7919) % 900000 END AS volume, (id % 9) / 10.0::DOUBLE AS exception_rate, 0.3::DOUBLE + (id % 4) / 10.0::DOUBLE AS stability,
   0.3::DOUBLE + (id % 7) / 10.0::DOUBLE AS risk_level, ((id % 50) * 5000)::DOUBLE AS budget, (2 + id % 30)::DOUBLE AS weeks, (id % 10) / 10.0::DOUBLE AS urgency, 0.3::DOUBLE + (id % 6) / 10.0::DOUBLE AS readiness, CASE WHEN id % 5 = 0 THEN NULL ELSE (id % 11) / 10.0::DOUBLE END AS evidence FROM records"""
 _FAM = ", ".join("('" + n + "', " + ", ".join(f"{float(v)}::DOUBLE" for v in p) + ")" for n, p in D.FAMILIES.items())
 _MEET = "CASE \"constraint\" || '/' || family " + " ".join(f"WHEN '{k}/{f}' THEN {float(w)}::DOUBLE" for k, by in D.CONSTRAINTS.items() for f, w in by.items()) + " ELSE 0.3::DOUBLE END"
+_PROFILES = ", ".join(f"('{k}', [" + ", ".join(f"{x}::DOUBLE" for x in w) + "])" for k, w in D.PROFILES.items())
 _DIM = {
     "problem_fit": f"greatest(0.0::DOUBLE, least(1.0::DOUBLE, {_MEET}))",
     "economic_fit": "greatest(0.1::DOUBLE, least(1.0::DOUBLE, least(1.0::DOUBLE, budget / greatest((cost_low + cost_high) / 2, 1.0::DOUBLE)) * 0.4::DOUBLE + labour / 100 * 0.6::DOUBLE))",
@@ -28,12 +29,12 @@ _DIM = {
 }
 
 
-@query(f"""WITH a AS ({_IN}), f(family, {', '.join(D.COLUMNS)}) AS (VALUES {_FAM}), s AS (SELECT id, family, floor(({' + '.join(f'{d} * {D.WEIGHTS[n]}::DOUBLE' for n, d in _DIM.items())}) * 1000000 + 0.5) / 1000000 AS score, coalesce(family IN ('AI', 'Workflow_Automation') AND volume < 6000, false) AS unsuited FROM a, f),
+@query(f"""WITH a AS ({_IN}), f(family, {', '.join(D.COLUMNS)}) AS (VALUES {_FAM}), p(c, w) AS (VALUES {_PROFILES}), s AS (SELECT id, family, floor(({' + '.join(f'{_DIM[n]} * w[{i}]' for i, n in enumerate(D.DIMENSIONS, 1))}) * 1000000 + 0.5) / 1000000 AS score, coalesce(family IN ('AI', 'Workflow_Automation') AND volume < 6000, false) AS unsuited FROM a JOIN p ON c = "constraint", f),
   r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, family) AS rank FROM s) SELECT id, family, score, unsuited, rank FROM r WHERE rank <= 3""")
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three best intervention families for each record's situation."""
     i, c = F.col("id"), records(spark, sf_dir).select("id")
-    names = ["capacity", "errors", "speed", "cost", "visibility", "unknown"]
+    names = ["capacity", "errors", "speed", "cost", "compliance", "unknown"]
     tenth = lambda m: (i % m) / F.lit(10.0)
     a = c.select(
         "id", F.element_at(F.array(*map(F.lit, names)), (i % 6 + 1).cast("int")).alias("constraint"), F.when(i % 9 != 0, (i * 7919) % 900000).alias("volume"), tenth(9).alias("exception_rate"), (0.3 + tenth(4)).alias("stability"), (0.3 + tenth(7)).alias("risk_level"),
