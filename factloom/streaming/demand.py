@@ -20,20 +20,24 @@ def claims(events: DataFrame, key: str, late: str = "1 hour") -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
-def alerts(events: DataFrame, budget: float, shares: tuple[float, ...] = (0.75, 0.9, 1.0)) -> DataFrame:
-    """(day, alert, spent): shares of a day's budget, each told once, however the day's events are batched."""
+def alerts(events: DataFrame, budget: float, shares: tuple[float, ...] = (0.75, 0.9, 1.0), late: str = "1 hour") -> DataFrame:
+    """(day, alert, spent): shares of a day's budget, each told once, however the day's events are batched; a day's state goes a day after its end."""
 
     def spend(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         spent, told = state.get if state.exists else (0.0, 0)
         for b in batches:
             spent += float(b["value"].sum())
         now = sum(spent >= s * budget for s in shares)
         state.update((spent, max(told, now)))
+        state.setTimeoutTimestamp(max(int(pd.Timestamp(key[0]).timestamp() * 1000) + 2 * 86_400_000, state.getCurrentWatermarkMs() + 1))
         if now > told:
             yield pd.DataFrame({"day": [key[0]] * (now - told), "alert": list(shares[told:now]), "spent": [spent] * (now - told)})
 
-    days = events.select(F.date_format("ts", "yyyy-MM-dd").alias("day"), "value").groupBy("day")
-    return days.applyInPandasWithState(spend, "day string, alert double, spent double", "spent double, told int", "append", GroupStateTimeout.NoTimeout)
+    days = events.withWatermark("ts", late).select(F.date_format("ts", "yyyy-MM-dd").alias("day"), "ts", "value").groupBy("day")
+    return days.applyInPandasWithState(spend, "day string, alert double, spent double", "spent double, told int", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
