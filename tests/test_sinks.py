@@ -20,3 +20,16 @@ def test_admitted(spark):
     assert [r["id"] for r in added.collect()] == [1]
     assert {(r["id"], r["reason"]) for r in refused.collect()} == {(3, "missing org"), (4, "below the gate"), (5, "duplicate"), (6, "below the gate")}
     assert added.columns == new.columns
+
+
+def test_files_and_seeds(spark, tmp_path):
+    from factloom.sources import seeds
+
+    (tmp_path / "a.html").write_text("<html><script>no()</script><p>One <b>two</b></p>\n three</html>")
+    (tmp_path / "b.txt").write_text("plain\n<text>")
+    got = {r["path"].rsplit("/", 1)[1]: r["text"] for r in seeds.text_files(spark, str(tmp_path / "*.*")).collect()}
+    assert got == {"a.html": "One two three", "b.txt": "plain\n<text>"}
+    (tmp_path / "s").mkdir()
+    (tmp_path / "s" / "x.json").write_text('{"id": "1", "title": "b"}\n{"id": "1", "title": "a", "more": 3}\n{"title": "no id"}\n')
+    rows = seeds.seeds(spark, str(tmp_path / "s"), {"id": "string", "title": "string", "gone": "int"}, "id").collect()
+    assert [tuple(r) for r in rows] == [("1", "a", None)]
