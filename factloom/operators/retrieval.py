@@ -237,3 +237,32 @@ def risks() -> Column:
 def keyword_demand(workflow: Column) -> Column:
     """The greatest weight of the keywords in a workflow; 0 if it has none."""
     return F.greatest(*(F.when(F.contains(F.lower(workflow), F.lit(k)), v).otherwise(0.0) for k, v in DEMAND_KEYWORDS))
+
+
+def defended(packages: DataFrame, key: str) -> DataFrame:
+    """(key, question, evidence, level, gaps, can_defend): how well a recommendation answers eight questions.
+
+    packages has for each key the counts problem, intervention, organizations,
+    implementation, patterns, outcome, metrics, risks, failed, gold and silver,
+    and the confidence. A question without an answer is a gap, and so are a
+    confidence below 40, no gold or silver evidence and no implementation
+    detail; two gaps at most can be defended.
+    """
+    c, no = F.col, F.lit("unavailable")
+    level = lambda n, high, medium, rest="low": F.when(n == 0, no).when(n >= high, "high").when(n >= medium, "medium").otherwise(rest)
+    told = F.when((c("implementation") >= 2) & (c("patterns") > 0), c("implementation")).otherwise(0)
+    changes = sum((cond.cast("bigint") for cond in (c("gold") == 0, c("silver") == 0, c("implementation") == 0)), (c("confidence") < 40).cast("bigint"))
+    answers = [
+        ("Why this problem?", c("problem"), level(c("problem"), 5, 2)),
+        ("Why this intervention?", c("intervention"), level(c("intervention"), 5, 3)),
+        ("Who else solved it?", c("organizations"), F.when(c("organizations") >= 5, "high").when(c("organizations") >= 1, "low").otherwise(no)),
+        ("How did they implement it?", told, F.when(told > 0, "high").otherwise(no)),
+        ("What outcomes did they achieve?", c("outcome"), level(c("outcome"), 3, 1)),
+        ("What risks should we expect?", c("risks") + c("failed"), F.when(c("risks") > 0, "high").when(c("failed") > 0, "medium").otherwise(no)),
+        ("How should we measure success?", c("metrics"), F.when(c("metrics") > 0, "medium").otherwise("low")),
+        ("What would change this recommendation?", changes, F.when(changes == 0, "high").otherwise("medium")),
+    ]
+    rows = F.array(*(F.struct(F.lit(q).alias("question"), n.cast("bigint").alias("evidence"), v.alias("level")) for q, n, v in answers))
+    open_ = F.size(F.filter(rows, lambda a: a["level"] == "unavailable")) + (c("confidence") < 40).cast("int") + ((c("gold") == 0) & (c("silver") == 0)).cast("int") + (c("implementation") == 0).cast("int")
+    out = packages.select(key, rows.alias("answers"), open_.alias("gaps"), ((open_ <= 2) & (c("confidence") >= 40)).alias("can_defend"))
+    return out.select(key, F.explode("answers").alias("a"), "gaps", "can_defend").select(key, "a.*", "gaps", "can_defend")
