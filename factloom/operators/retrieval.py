@@ -12,7 +12,7 @@ from factloom.functions.rules import blank, employee_band, half_up
 # Weights of the six factors, and of the ten.
 WEIGHTS = {"problem": 0.35, "workflow": 0.25, "intervention": 0.15, "industry": 0.10, "company_size": 0.10, "outcome": 0.05}
 CONTEXT_WEIGHTS = {"problem": 0.24, "workflow": 0.22, "operational_function": 0.12, "industry_subsector": 0.10, "broader_industry": 0.08, "organization_size": 0.10, "business_model": 0.06, "geography": 0.04, "regulatory": 0.03, "technology_readiness": 0.01}
-# Size bands in order; families of a category; how much is asked about work with a keyword; other names of functions.
+# Size bands in order; families of a category; how much is asked about work with a keyword; words of a goal; weights of the six components; other names of functions.
 BANDS = ["<10", "10-50", "50-200", "200-1000", "1000-10000", "10000+"]
 CATEGORY_FAMILIES = {
     "ai": ["predictive_ai", "generative_ai", "ai_assisted_work", "autonomous_ai", "human_in_the_loop_ai"],
@@ -27,6 +27,16 @@ DEMAND_KEYWORDS = [
     ("ci cd", 0.7), ("deploy", 0.7), ("contract", 0.65), ("rfp", 0.7), ("quoting", 0.7), ("supply chain", 0.7), ("inventory", 0.7), ("logistic", 0.7), ("manufactur", 0.6), ("financial close", 0.75), ("close", 0.7),
     ("procure", 0.7), ("vendor", 0.7), ("hr", 0.65), ("recruit", 0.65), ("workforce", 0.65), ("productivity", 0.6), ("document", 0.55),
 ]
+GOALS = {
+    "cost_reduction": ["cost", "cost_savings", "cost_reduction", "savings", "spend"],
+    "time_savings": ["time", "cycle_time", "processing_time", "response_time", "resolution_time", "efficiency"],
+    "revenue_growth": ["revenue", "revenue_increase", "growth", "conversion"],
+    "quality_improvement": ["quality", "error_rate", "defect_rate", "accuracy", "compliance"],
+    "risk_reduction": ["risk", "incident", "compliance", "security", "fraud"],
+    "customer_satisfaction": ["satisfaction", "csat", "nps", "customer"],
+    "employee_productivity": ["productivity", "throughput", "capacity", "output", "utilization"],
+}
+COMPONENT_WEIGHTS = {"problem_alignment": 0.30, "organizational_similarity": 0.20, "goal_alignment": 0.20, "evidence_strength": 0.15, "implementation_fit": 0.10, "outcome_consistency": 0.05}
 FUNCTION_NAMES = {"customer_support": ["support", "customer_service", "service"], "human_resources": ["hr", "people"], "supply_chain": ["supply chain", "logistics"], "operations": ["ops", "back office"]}
 
 
@@ -266,3 +276,48 @@ def defended(packages: DataFrame, key: str) -> DataFrame:
     open_ = F.size(F.filter(rows, lambda a: a["level"] == "unavailable")) + (c("confidence") < 40).cast("int") + ((c("gold") == 0) & (c("silver") == 0)).cast("int") + (c("implementation") == 0).cast("int")
     out = packages.select(key, rows.alias("answers"), open_.alias("gaps"), ((open_ <= 2) & (c("confidence") >= 40)).alias("can_defend"))
     return out.select(key, F.explode("answers").alias("a"), "gaps", "can_defend").select(key, "a.*", "gaps", "can_defend")
+
+
+def overlap(asked: str, own: Column) -> Column:
+    """Equal 1, one in the other 0.7, else the Jaccard index of the words; 0 if either is missing."""
+    q = asked.lower().strip().replace("_", " ").replace("-", " ")
+    r = F.translate(F.lower(F.trim(own)), "_-", "  ")
+    qw, rw = _listed(sorted(set(q.split()))), words(r)
+    return F.when(blank(own) | F.lit(not q), 0.0).when(r == q, 1.0).when(F.contains(r, F.lit(q)) | F.contains(F.lit(q), r), 0.7).otherwise(F.size(F.array_intersect(qw, rw)) / F.size(F.array_union(qw, rw)))
+
+
+def goal_fit(goal: str, metrics: Column) -> Column:
+    """How metrics (name, category, quantified) meet a goal: the first of its kind 0.9 if quantified, else 0.6; none of its kind 0.3; no metric or an unknown goal 0."""
+    g = goal.lower().strip()
+    kinds = sorted({w for ws in GOALS.values() if g and any(w in g or g in w for w in ws) for w in ws})
+    if not kinds:
+        return F.lit(0.0)
+
+    def meets(m: Column) -> Column:
+        out = F.lit(False)
+        for w in kinds:
+            out = out | F.contains(F.lower(m["name"]), F.lit(w)) | F.contains(F.lower(m["category"]), F.lit(w))
+        return out
+
+    first = F.get(F.filter(metrics, meets), 0)
+    return F.when(F.coalesce(F.size(metrics), F.lit(0)) <= 0, 0.0).when(first.isNull(), 0.3).when(first["quantified"], 0.9).otherwise(0.6)
+
+
+def components(a: Mapping[str, object]) -> dict[str, Column]:
+    """Five of the six components (0 to 100) of a record for an assessment (workflow, function, industry, employees, geography, goal, budget, weeks); the sixth is its peers' consistency."""
+    c = F.col
+    trade = F.when(F.lower("industry") == str(a["industry"]).lower(), 0.8).when(~blank(c("industry")), 0.3).otherwise(0.0)
+    at = lambda x: F.array_position(_listed(BANDS), employee_band(x))
+    apart = F.abs(at(c("employee_count")) - at(F.lit(int(a["employees"]))))
+    near = F.when(c("employee_count").isNull(), 0.0).when(apart == 0, 1.0).when(apart == 1, 0.5).when(apart == 2, 0.2).otherwise(0.0)
+    place = F.when(F.lower("geography") == str(a["geography"]).lower(), 0.5).otherwise(0.0)
+    n, sample = c("n_metrics"), F.coalesce(c("sample_size"), F.lit(0))
+    strength = 50 + F.when(c("n_numeric") > 0, 15).otherwise(0) + F.when(c("independently_verified"), 10).otherwise(0) + F.when(c("has_baseline") | c("with_baseline"), 10).otherwise(0) + steps(n, (3, 10), (1, 5)) - F.when(c("vendor_reported"), 15).otherwise(0) + steps(sample, (30, 10), (10, 5))
+    ratio = F.least(c("cost"), F.lit(float(a["budget"]))) / F.greatest(c("cost"), F.lit(float(a["budget"])))
+    fit = 50 + F.when(c("cost") > 0, F.when(ratio >= 0.8, 15).when(ratio >= 0.5, 5).otherwise(0)).otherwise(0) + F.when(c("has_software"), 10).otherwise(0) + F.when(c("pilot"), 10).otherwise(0)
+    fit = fit + F.when((F.coalesce(c("weeks"), F.lit(0)) > 0) & (c("weeks") <= a["weeks"]), 10).otherwise(0) + F.when(~c("human_review"), 5).otherwise(0)
+    held = lambda x: F.greatest(F.lit(0), F.least(F.lit(100), x)).cast("double")
+    return {
+        "problem_alignment": half_up(F.greatest(overlap(str(a["workflow"]), c("workflow")), overlap(str(a["function"]), c("business_function"))) * 100, 1),
+        "organizational_similarity": half_up((trade * 0.3 + near * 0.3 + place * 0.15) * 100, 1), "goal_alignment": half_up(goal_fit(str(a["goal"]), c("metrics")) * 100, 1), "evidence_strength": held(strength), "implementation_fit": held(fit),
+    }

@@ -239,3 +239,32 @@ def defensibility(spark: SparkSession, sf_dir: str) -> DataFrame:
         n(c("tier") == "gold").alias("gold"), n(c("tier") == "decision_grade").alias("silver"), half_up(F.avg("points") * 10, 2).alias("confidence"),
     )
     return S.defended(p, "workflow")
+
+
+ASSESSMENT = {"workflow": "claims handling", "function": "finance", "industry": "building", "employees": 800, "geography": "nation_3", "goal": "cost", "budget": 150000, "weeks": 12}
+_COST_WORDS = S.GOALS["cost_reduction"]
+_MEETS = "(" + " OR ".join(f"contains(lower(m.name), '{w}') OR contains(lower(m.category), '{w}')" for w in _COST_WORDS) + ")"
+_BAND_OF = "CASE WHEN {0} < 10 THEN 1 WHEN {0} < 50 THEN 2 WHEN {0} < 200 THEN 3 WHEN {0} < 1000 THEN 4 WHEN {0} < 10000 THEN 5 ELSE 6 END"
+
+
+@query(f"""WITH {_TIERED}, f AS (SELECT r.id, result_status IN ('successful', 'partial') AS good, {_FAMILIES} AS f FROM records r JOIN (SELECT id, {_T} AS t FROM notes) n ON n.id = r.id), fc AS (SELECT list_sort(f) AS f, count(*) AS n, count(*) FILTER (good) AS g FROM f GROUP BY 1),
+  ft AS (SELECT a.f, sum(b.n) AS n, sum(b.g) AS g FROM fc a JOIN fc b ON len(list_intersect(a.f, b.f)) > 0 GROUP BY a.f), peers AS (SELECT id, CASE WHEN coalesce(n - 1, 0) <= 0 THEN 50 WHEN (g - CAST(good AS INT)) / (n - 1) >= 0.8 THEN 90 WHEN (g - CAST(good AS INT)) / (n - 1) >= 0.5 THEN 70 WHEN (g - CAST(good AS INT)) / (n - 1) >= 0.3 THEN 50 ELSE 30 END AS oc FROM f LEFT JOIN ft ON ft.f = list_sort(f.f)),
+  ml AS (SELECT record_id, list({{'name': metric_name, 'category': metric_category, 'q': percentage_change IS NOT NULL OR absolute_change IS NOT NULL}} ORDER BY seq, partkey, suppkey) AS ms FROM metrics GROUP BY 1),
+  x AS (SELECT t.*, oc, ms, translate(lower(workflow), '_-', '  ') AS w, regexp_split_to_array(translate(lower(workflow), '_-', '  '), '\\s+') AS ww, list_filter(ms, lambda m: {_MEETS})[1] AS hit, least(floor(total_price), 150000) / greatest(floor(total_price), 150000) AS ratio FROM tiered t JOIN peers USING (id) LEFT JOIN ml ON ml.record_id = t.id),
+  c AS (SELECT id, {_R("greatest(CASE WHEN workflow = '' THEN 0.0 WHEN w = 'claims handling' THEN 1.0 WHEN contains(w, 'claims handling') OR contains('claims handling', w) THEN 0.7 ELSE len(list_intersect(ww, ['claims', 'handling'])) / (len(list_distinct(ww)) + 2 - len(list_intersect(ww, ['claims', 'handling']))) END, CASE WHEN business_function = 'finance' THEN 1.0 ELSE 0.0 END) * 100", 1)} AS problem_alignment,
+  {_R("(CASE WHEN industry = 'building' THEN 0.8 ELSE 0.3 END * 0.3 + CASE WHEN employee_count IS NULL THEN 0.0 WHEN abs(" + _BAND_OF.format('employee_count') + " - 4) = 0 THEN 1.0 WHEN abs(" + _BAND_OF.format('employee_count') + " - 4) = 1 THEN 0.5 WHEN abs(" + _BAND_OF.format('employee_count') + " - 4) = 2 THEN 0.2 ELSE 0.0 END * 0.3 + CASE WHEN geography = 'nation_3' THEN 0.5 ELSE 0.0 END * 0.15) * 100", 1)} AS organizational_similarity,
+  CASE WHEN coalesce(len(ms), 0) = 0 THEN 0.0 WHEN hit IS NULL THEN 30.0 WHEN hit.q THEN 90.0 ELSE 60.0 END AS goal_alignment,
+  CAST(greatest(0, least(100, 50 + CASE WHEN n_numeric > 0 THEN 15 ELSE 0 END + CASE WHEN independently_verified THEN 10 ELSE 0 END + CASE WHEN has_baseline OR with_baseline THEN 10 ELSE 0 END + CASE WHEN n_metrics >= 3 THEN 10 WHEN n_metrics >= 1 THEN 5 ELSE 0 END - CASE WHEN vendor_reported THEN 15 ELSE 0 END + CASE WHEN coalesce(sample_size, 0) >= 30 THEN 10 WHEN coalesce(sample_size, 0) >= 10 THEN 5 ELSE 0 END)) AS DOUBLE) AS evidence_strength,
+  CAST(least(100, 50 + CASE WHEN floor(total_price) > 0 THEN CASE WHEN ratio >= 0.8 THEN 15 WHEN ratio >= 0.5 THEN 5 ELSE 0 END ELSE 0 END + CASE WHEN id % 2 = 0 THEN 10 ELSE 0 END + CASE WHEN implementation_pattern <> '' THEN 10 ELSE 0 END + CASE WHEN coalesce(measurement_period, 0) > 0 AND measurement_period <= 12 THEN 10 ELSE 0 END + CASE WHEN id % 5 = 3 THEN 5 ELSE 0 END) AS DOUBLE) AS implementation_fit, oc AS outcome_consistency FROM x)
+  SELECT *, {_R('problem_alignment * 0.3 + organizational_similarity * 0.2 + goal_alignment * 0.2 + evidence_strength * 0.15 + implementation_fit * 0.1 + outcome_consistency * 0.05', 1)} AS match FROM c""")
+def component_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The six components of every record for an assessment, and their weighted sum."""
+    from factloom.operators import linking as L
+
+    m = metrics(spark, sf_dir).select("record_id", F.struct("seq", "partkey", "suppkey", F.col("metric_name").alias("name"), F.col("metric_category").alias("category"), (F.col("percentage_change").isNotNull() | F.col("absolute_change").isNotNull()).alias("quantified")).alias("m"))
+    m = m.groupBy(F.col("record_id").alias("id")).agg(F.sort_array(F.collect_list("m")).alias("metrics"))
+    good = F.col("result_status").isin("successful", "partial")
+    kin = L.kin_consistency(records(spark, sf_dir).select("id", good.alias("good")).join(notes(spark, sf_dir).select("id", families(F.col("note")).alias("families")), "id")).select("id", F.col("score").alias("outcome_consistency"))
+    t = tiered(spark, sf_dir).withColumns({"cost": F.floor("total_price").cast("double"), "has_software": F.col("id") % 2 == 0, "pilot": F.col("implementation_pattern") != "", "weeks": F.col("measurement_period"), "human_review": F.col("id") % 5 != 3})
+    parts = t.join(m, "id", "left").select("id", *(c.alias(n) for n, c in S.components(ASSESSMENT).items())).join(kin, "id")
+    return parts.withColumn("match", half_up(S.weighed({n: F.col(n) for n in S.COMPONENT_WEIGHTS}, S.COMPONENT_WEIGHTS), 1))
