@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -119,9 +120,7 @@ def similarity(q: Mapping[str, object]) -> dict[str, Column]:
 def context_similarity(q: Mapping[str, str]) -> dict[str, Column]:
     """The ten factors for a context profile. What a record lacks is neutral (0.5) in function, size, place and rules; a missing model or readiness is neutral on either side."""
     c = F.col
-    text = " ".join(str(q.get(k, "")) for k in ("problem",) if q.get(k)) or q.get("workflow", "")
-    import re
-
+    text = q.get("problem") or q.get("workflow", "")
     asked = sorted(set(re.findall("[a-z0-9]+", text.lower())))
     own = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)")))
     problem = F.when(blank(c("text")) | F.lit(not asked), 0.0).otherwise(F.least(F.lit(1.0), F.size(F.array_intersect(own, _listed(asked))) / max(1, len(asked)) * 1.5))

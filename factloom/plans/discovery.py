@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from factloom.functions.rules import host
 from factloom.operators import discovery as D
 from factloom.plans.catalog import query
-from factloom.sources.tables import notes, records, table
+from factloom.sources.tables import notes, records, stories, table
 
 
 def _list(values: list[str]) -> str:
@@ -46,8 +46,6 @@ def keyword_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT id, count(*) AS n FROM (SELECT id, unnest([{', '.join(f'CASE WHEN contains(lower(story), {chr(39)}{w}{chr(39)}) THEN 1 END' for w in D.TRANSFORMATION)}]) AS x FROM stories) WHERE x IS NOT NULL GROUP BY id HAVING count(*) >= 2")
 def transformation_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stories (of one paragraph each) that tell of a transformation, and by how many words."""
-    from factloom.sources.tables import stories
-
     return D.paragraphs(stories(spark, sf_dir), "id", "story", D.TRANSFORMATION).select("id", F.size("keywords").cast("bigint").alias("n"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from factloom.functions import fields as E
 from factloom.functions.rules import half_up
 from factloom.plans.catalog import query
-from factloom.sources.tables import records, stories
+from factloom.sources.tables import metrics, records, stories, table
 
 
 def _q(p: str) -> str:
@@ -138,8 +138,6 @@ def field_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT doc_id, min(number) FILTER (contains(lower(section), claim)) AS section FROM p GROUP BY doc_id""")
 def source_locator(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first section (here: line) of a document that has a claim's first 50 characters, without regard to case; the claim is the document's first line."""
-    from factloom.sources.tables import table
-
     sections = F.split("text", "\n")
     claim = F.lower(F.substring(F.get(sections, 0), 1, 50))
     hits = F.transform(sections, lambda s, i: F.when(F.contains(F.lower(s), claim), i + 1))
@@ -152,8 +150,6 @@ def source_locator(spark: SparkSession, sf_dir: str) -> DataFrame:
   FROM records r LEFT JOIN (SELECT record_id, count(*) AS m FROM metrics GROUP BY 1) m ON m.record_id = r.id)""")
 def analytics_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of which five of six fields are filled, and the mean of an additive score of 10 or 15 points a field."""
-    from factloom.sources.tables import metrics
-
     m = metrics(spark, sf_dir).groupBy("record_id").agg(F.count("*").alias("m"))
     r = records(spark, sf_dir).join(m, F.col("id") == F.col("record_id"), "left")
     has = {"org": F.col("organization_name") != "", "base": F.col("has_baseline"), "metric": F.coalesce("m", F.lit(0)) > 0, "sample": F.col("sample_size").isNotNull(), "period": F.col("measurement_period").isNotNull(), "verified": F.col("independently_verified"), "url": F.col("source_url") != "", "size": F.col("employee_count").isNotNull()}
