@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -14,7 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text that a task's working set is planned for, and that Python takes at a time.
-TARGET_BYTES, BATCH_BYTES = 24 << 20, 8 << 20
+TARGET_BYTES, BATCH_BYTES = 24 << 20, 2 << 20
+#: Spark's limit of an Arrow batch, its default, and what shared_dir() puts in the default's place: each core holds a batch on either side.
+ARROW_BYTES, ARROW_DEFAULT, ARROW_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20, "4194304b"
 
 
 #: Folders that this process has asked for.
@@ -35,10 +38,17 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="factloom-")
         spark.conf.set("spark.checkpoint.dir", root)
+    small_batches(spark)
     folders.append(f"{root.rstrip('/')}/factloom-{uuid.uuid4().hex}")
     return folders[-1]
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let texts travel to Python in small batches, unless the session has a limit of its own."""
+    if spark.conf.get(ARROW_BYTES).rstrip("b") == str(ARROW_DEFAULT):
+        spark.conf.set(ARROW_BYTES, ARROW_LIMIT)
+
+
 def sweep(spark: SparkSession, done: list[str]) -> None:
     """Delete shared folders whose results have been used."""
     for folder in done:
@@ -87,6 +97,16 @@ def by_bytes(batches: Iterable[pa.RecordBatch], column: str, limit: int = BATCH_
                 start, total = i, 0
             total += n
         yield batch.slice(start)
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the machine at the end of a task: Spark keeps Python workers for later tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # a C library that has no such call
+        pass
 
 
 def set_aside(docs: DataFrame, names: Iterable[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:

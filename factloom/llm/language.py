@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import by_bytes, widened
+from factloom.llm.common import by_bytes, small_batches, widened
 
 #: Letters and numbers; what isn't a letter (Unicode category L) among them is taken out after.
 RUN = re.compile(r"[^\W\d_]+")
@@ -99,6 +99,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], *, text_col: str =
     """
     added = [("lang_pred", "string"), ("score", "double"), ("margin", "double"), ("accepted", "boolean")]
     kept = docs.drop(*(n for n, _ in added))
+    small_batches(docs.sparkSession)
     shared, names = docs.sparkSession.sparkContext.broadcast(dictionaries), kept.columns
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import by_bytes, widened
+from factloom.llm.common import by_bytes, small_batches, widened
 
 WORD_BUCKETS, STAT_BUCKETS, FACTORS = 1 << 14, 1 << 10, 8
 #: Labelled rows a fit takes at most: its documented bound.
@@ -158,6 +158,7 @@ def score(docs: DataFrame, machine: Machine, *, text_col: str = "text", size_col
     with the added names are replaced.
     """
     kept = docs.drop("score", "predicted")
+    small_batches(docs.sparkSession)
     shared, names = docs.sparkSession.sparkContext.broadcast(machine), kept.columns
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import by_bytes, widened
+from factloom.llm.common import by_bytes, small_batches, widened
 
 # The word mark, and what an unknown character costs below the lowest score.
 MARK, UNKNOWN_PENALTY = "▁", 10.0
@@ -117,6 +117,7 @@ def count_tokens(docs: DataFrame, vocabulary: list[tuple[str, float]], *, text_c
     are replaced. The vocabulary (a tokenizer's, so of bounded size) is
     broadcast.
     """
+    small_batches(docs.sparkSession)
     kept = docs.drop("n_tokens", "token_score")
     shared, names = docs.sparkSession.sparkContext.broadcast(vocabulary), kept.columns
 
