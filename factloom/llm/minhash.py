@@ -364,7 +364,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     Texts are lower-cased in A-Z and cut at ASCII white space; documents with
     100 * shared >= percent * united shingles are linked. component_id is the
-    smallest id of the group, and kept marks it.
+    smallest id of the group, and kept marks it. Ids are whole numbers, or
+    text of such; other ids are an error.
 
     Null, empty and blank texts have no shingles and are linked with nothing: a
     group of their own. With fewer words than `words` all of them are one

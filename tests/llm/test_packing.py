@@ -1,8 +1,6 @@
-import zlib
-
 import numpy as np
 import pytest
-from factloom.llm.packing import Schedule, encoder, pack
+from factloom.llm.packing import encoder, pack
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 PATH = public_tokenizers.path("byte_bpe_50k.json")
