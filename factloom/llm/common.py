@@ -126,3 +126,27 @@ def set_aside(docs: DataFrame, names: Iterable[str]) -> tuple[DataFrame, Callabl
 def widened(df: DataFrame, *added: tuple[str, str]) -> T.StructType:
     """The schema of df with columns of (name, type) after its own."""
     return T.StructType([*df.schema.fields, *(T.StructField(n, T._parse_datatype_string(t)) for n, t in added)])
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def word_lists(text: bytes | None, table: bytes, piece: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The words of a text as lists, each from about `piece` bytes, so that a very long text needs no long list.
+
+    table: what makes each byte that isn't part of a word a blank (and lowers letters, if it is to); no word is cut.
+    """
+    data, rest = text or b"", b""
+    for i in range(0, len(data), piece):
+        part = rest + data[i : i + piece].translate(table)
+        cut = part.rfind(b" ") + 1 if i + piece < len(data) else len(part)
+        part, rest = part[:cut], part[cut:]
+        if words := part.split():
+            yield words
+
+
+def texts_as_bytes(batch: pa.RecordBatch, column: str) -> list[bytes | None]:
+    """The texts of a batch as UTF-8, without a way through Python's strings."""
+    return batch.column(column).cast(pa.large_binary() if pa.types.is_large_string(batch.column(column).type) else pa.binary()).to_pylist()

@@ -99,6 +99,26 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("hit_items").cast("long").alias("n_items"), F.sha2(F.array_join("hit_items", ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.divergence import audit
+
+    return audit(documents(spark, sf_dir, "text", "lang", "source"))
+
+
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.mixing import mix
+
+    mixed = mix(documents(spark, sf_dir, "doc_id", "text", "source"))
+    shards = F.array_join(F.array_sort(F.array_distinct(F.transform("pieces", lambda x: x["shard"]))).cast("array<string>"), ",")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.size("pieces").alias("n_pieces"), shards.alias("shards"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.resampling import resample
+
+    return resample(documents(spark, sf_dir, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_syncmers": op2_syncmers,
@@ -110,6 +130,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_decontamination": op9_decontamination,
     "op10_token_counts": op10_token_counts,
+    "op11_divergence": op11_divergence,
+    "op12_mixing": op12_mixing,
+    "op13_resampling": op13_resampling,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -134,4 +157,16 @@ ORACLE_SQL: dict[str, str] = {
   h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM hit) GROUP BY doc_id),
   t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)
   SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)""",
+    "op11_divergence": rf"""WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({_LOWER}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+  e AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+  k AS (SELECT lang, term, count(*) AS total FROM e GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+  v AS (SELECT lang, count(*) AS v, sum(total) AS lang_n FROM k GROUP BY lang),
+  c AS (SELECT lang, source, term, count(*) AS n FROM e JOIN k USING (lang, term) GROUP BY lang, source, term),
+  g AS (SELECT lang, source, coalesce(sum(n), 0) AS source_n FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN c USING (lang, source) GROUP BY lang, source),
+  s AS (SELECT lang, source, term, coalesce(n, 0) AS n, 1 + (CAST(1000000000 AS HUGEINT) * (coalesce(n, 0) + 1)) // (source_n + v) AS p, 1 + (CAST(1000000000 AS HUGEINT) * (total + 1)) // (lang_n + v) AS q
+    FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN c USING (lang, source, term)),
+  f AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value FROM s a JOIN s b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+  p AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(f.value, 0) AS BIGINT) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+  t AS (SELECT lang, source, 'term' AS part, term AS item, CAST(((p - q) * (p - q)) // q AS BIGINT) AS value FROM s WHERE n > 0 AND p > q)
+  SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM (FROM p UNION ALL FROM t) QUALIFY part = 'pair' OR rank <= 200""",
 }
