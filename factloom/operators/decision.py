@@ -75,14 +75,23 @@ def dimensions() -> dict[str, Column]:
     }
 
 
-def decide(assessments: DataFrame, id_col: str, top: int = 3) -> DataFrame:
-    """(id, rank, family, score, unsuited): the best families of each assessment; unsuited where the volume is too low for automation."""
+def against_families(assessments: DataFrame) -> DataFrame:
+    """Each assessment with each family's parameters, and the weights by what holds its work back."""
     rows = assessments.withColumn("f", F.explode(family_table())).select("*", "f.*").drop("f")
     profile = F.coalesce(*(F.try_element_at(F.create_map(*(x for k, w in PROFILES.items() for x in (F.lit(k), F.array(*map(F.lit, w))))), key) for key in (F.col("constraint"), F.lit("unknown"))))
-    rows = rows.withColumn("weights", profile)
+    return rows.withColumn("weights", profile)
+
+
+def scores(rows: DataFrame, *keep: str) -> DataFrame:
+    """(keep, family, score, unsuited) of rows from against_families."""
     fits = dimensions()
     score = sum((fits[n] * F.col("weights")[i] for i, n in enumerate(DIMENSIONS) if i), fits[DIMENSIONS[0]] * F.col("weights")[0])
     unsuited = F.coalesce(F.col("family").isin("AI", "Workflow_Automation") & (F.col("volume") < 6_000), F.lit(False))
-    scored = rows.select(F.col(id_col), "family", (F.floor(score * 1_000_000 + 0.5).cast("double") / 1_000_000).alias("score"), unsuited.alias("unsuited"))
+    return rows.select(*keep, "family", (F.floor(score * 1_000_000 + 0.5).cast("double") / 1_000_000).alias("score"), unsuited.alias("unsuited"))
+
+
+def decide(assessments: DataFrame, id_col: str, top: int = 3) -> DataFrame:
+    """(id, rank, family, score, unsuited): the best families of each assessment; unsuited where the volume is too low for automation."""
+    scored = scores(against_families(assessments), id_col)
     w = Window.partitionBy(id_col).orderBy(F.desc("score"), "family")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)

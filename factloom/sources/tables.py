@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,13 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def saved(df: DataFrame) -> DataFrame:
+    """df written to a new place in the shared folder and read back, for what is used more than once: computed once, and no long lineage."""
+    path = f"{shared_root(df.sparkSession)}/factloom-core-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def tolerant(df: DataFrame, wanted: dict[str, str]) -> DataFrame:
     """The wanted columns (name to type) in order: null where df lacks one, and parsed from JSON text where a nested type is stored as text."""
 
