@@ -36,32 +36,15 @@ def close_calls(df: DataFrame, group: str, score: str, id_col: str, top: int, wi
     return ranked.select(group, id_col, "rank", F.when(F.col("rank") == 1, "recommended").otherwise("alternative").alias("label"), close.alias("close"))
 
 
-def words(text: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(F.lower(text), r"[ \t\n\r\f\x0B]+"), lambda w: w != ""))
-
-
-def overlap_scores(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """(query, id, shared, score) for all pairs that share a word; score is shared / the larger set.
-
-    queries and docs have (id, tokens). The words of the queries, a bounded
-    set, pick what is exploded of the documents, and counts are joined, so
-    there is no pair without a shared word.
-    """
-    q = queries.select(F.col("id").alias("query"), F.size("tokens").alias("nq"), F.explode("tokens").alias("word"))
-    d = docs.select(F.col("id"), F.size("tokens").alias("nd"), F.explode("tokens").alias("word")).join(q.select("word").distinct(), "word", "left_semi")
-    shared = d.join(q, "word").groupBy("query", "id").agg(F.count("*").alias("shared"), F.first("nq").alias("nq"), F.first("nd").alias("nd"))
-    return shared.select("query", "id", "shared", (F.col("shared") / F.greatest("nq", "nd")).alias("score"))
-
-
 def ranked(scores: DataFrame, k: int) -> DataFrame:
     """The k best of each query with their ranks."""
     w = Window.partitionBy("query").orderBy(F.desc("score"), "id")
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def at_k(ranked_: DataFrame, labels: DataFrame, ks: list[int]) -> DataFrame:
-    """(k, precision, recall, irrelevant), averaged over queries; labels are (query, id, label)."""
-    total = labels.where("label = 'relevant'").groupBy("query").agg(F.count("*").alias("relevant"))
+def at_k(ranked_: DataFrame, labels: DataFrame, ks: list[int], total: DataFrame | None = None) -> DataFrame:
+    """(k, precision, recall, irrelevant), averaged over queries; labels are (query, id, label), of all that can be found or, with total (query, relevant), of those ranked."""
+    total = total or labels.where("label = 'relevant'").groupBy("query").agg(F.count("*").alias("relevant"))
     cut = ranked_.join(labels, ["query", "id"], "left").withColumn("k", F.explode(F.array(*map(F.lit, ks)))).where("rank <= k")
     hits = cut.groupBy("query", "k").agg(F.count_if(F.col("label") == "relevant").alias("hit"), F.count_if(F.coalesce("label", F.lit("irrelevant")) == "irrelevant").alias("miss")).join(total, "query")
     hits = hits.select("k", F.floor(F.col("hit") * 1_000_000 / F.col("k")).alias("p"), F.floor(F.col("hit") * 1_000_000 / F.col("relevant")).alias("r"), F.floor(F.col("miss") * 1_000_000 / F.col("k")).alias("i"))

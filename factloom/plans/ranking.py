@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from factloom.functions.rules import half_up
 from factloom.operators import ranking as K
 from factloom.operators import scoring as S
+from factloom.operators import topk as N
 from factloom.plans.catalog import query
 from factloom.plans.coverage import _R, _TIERED, _gaps, _GAPS, tiered
-from factloom.sources.tables import metrics, records, table
+from factloom.sources.tables import metrics, records, saved, table
 
 
 @query("""WITH s AS (SELECT id, organization_name, CAST(floor(total_price) AS BIGINT) AS score FROM records), r AS (SELECT *, row_number() OVER (PARTITION BY coalesce(nullif(lower(organization_name), ''), '#' || id) ORDER BY score DESC, id) AS k FROM s)
@@ -41,16 +42,19 @@ _SCORES = f"""q AS (SELECT item_id AS query, {_WORDS} AS w FROM benchmark), d AS
   scores AS (SELECT query, id, count(*) AS shared, count(*) / greatest(max(nq), max(nd)) AS score FROM qw JOIN dw USING (word) GROUP BY query, id), ranked AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM scores)"""
 
 
-def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), K.words(F.col("text")).alias("tokens"))
-    d = table(spark, sf_dir, "documents", "doc_id", "text").select(F.col("doc_id").alias("id"), K.words(F.col("text")).alias("tokens"))
-    return K.overlap_scores(q, d)
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark", "item_id", "text").select(F.col("item_id").alias("id"), "text")
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents", "doc_id", "text").select(F.col("doc_id").alias("id"), "text")
 
 
 @query(f"WITH {_SCORES} SELECT query, id, shared, {_R('score', 6)} AS score, rank FROM ranked WHERE rank <= 10")
 def retrieval_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten documents nearest to each benchmark item by words."""
-    return K.ranked(_scores(spark, sf_dir), 10).select("query", "id", "shared", half_up(F.col("score"), 6).alias("score"), "rank")
+    best, _ = N.nearest(_asked(spark, sf_dir), _docs(spark, sf_dir), 10)
+    return best.select("query", "id", "shared", half_up(F.col("score"), 6).alias("score"), "rank")
 
 
 @query(f"""WITH {_SCORES}, l AS (SELECT query, id, CASE WHEN quality = 1 THEN 'relevant' ELSE 'irrelevant' END AS label FROM scores JOIN labels ON doc_id = id), t AS (SELECT query, count(*) AS relevant FROM l WHERE label = 'relevant' GROUP BY 1),
@@ -58,18 +62,20 @@ def retrieval_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
   s AS (SELECT k, floor(hit * 1000000 / k) AS p, floor(hit * 1000000 / relevant) AS r, floor(miss * 1000000 / k) AS i FROM h JOIN t USING (query)) SELECT k, {_R('sum(p) / count(*) / 1000000', 4)} AS precision, {_R('sum(r) / count(*) / 1000000', 4)} AS recall, {_R('sum(i) / count(*) / 1000000', 4)} AS irrelevant FROM s GROUP BY k""")
 def recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Precision, recall and share of irrelevant at 10, 25 and 50; documents of good quality count as relevant."""
-    s = _scores(spark, sf_dir)
+    labels = table(spark, sf_dir, "labels", "doc_id", "quality").withColumnRenamed("doc_id", "id")
+    good = labels.where("quality = 1").select("id", F.lit(True).alias("good"))
+    best, sharing = N.nearest(_asked(spark, sf_dir), _docs(spark, sf_dir).join(good, "id", "left"), 50, count_where=F.col("good"))
+    best = saved(best)
     label = F.when(F.col("quality") == 1, "relevant").otherwise("irrelevant")
-    labels = s.join(table(spark, sf_dir, "labels", "doc_id", "quality"), F.col("id") == F.col("doc_id")).select("query", "id", label.alias("label"))
-    return K.at_k(K.ranked(s, 50), labels, [10, 25, 50])
+    return K.at_k(best, best.join(labels, "id").select("query", "id", label.alias("label")), [10, 25, 50], sharing.withColumnRenamed("n", "relevant"))
 
 
 @query(f"""WITH {_SCORES}, other AS (SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY shared DESC, id) AS rank FROM scores), a AS (SELECT * FROM ranked WHERE rank <= 25), b AS (SELECT * FROM other WHERE rank <= 25),
   m AS (SELECT a.query, sum(abs(a.rank - b.rank)) AS d, count(*) AS n FROM a JOIN b ON a.query = b.query AND a.id = b.id GROUP BY 1) SELECT q.query, {_R('coalesce(d / n / 25, 1.0)', 4)} AS moved FROM (SELECT DISTINCT query FROM a) q LEFT JOIN m USING (query)""")
 def rank_displacement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far ranks move if shared words are counted and not weighed."""
-    s = _scores(spark, sf_dir)
-    return K.displacement(K.ranked(s, 25), K.ranked(s.withColumn("score", F.col("shared").cast("double")), 25), 25)
+    best = lambda by: N.nearest(_asked(spark, sf_dir), _docs(spark, sf_dir), 25, by=by)[0]
+    return K.displacement(saved(best("share")), best("count"), 25)
 
 
 def _steps(x: str, *pairs: tuple[float, float], otherwise: float) -> str:
