@@ -39,11 +39,3 @@ def phases(milestones: DataFrame, project: str, phase: str, done: Column) -> Dat
     open_before = F.coalesce(F.max(F.when(F.col("done") < F.col("milestones"), 1).otherwise(0)).over(w), F.lit(0))
     status = F.when(F.col("done") == F.col("milestones"), "complete").when(open_before == 0, "in_progress").otherwise("not_started")
     return by.select(project, phase, "milestones", "done", status.alias("status"))
-
-
-def cooldowns(events: DataFrame, key: str, order: str, tie: str, failed: Column, fails: int = 2) -> DataFrame:
-    """Rows at which a key has failed `fails` times in a row, counted anew after a success."""
-    w = Window.partitionBy(key).orderBy(order, tie)
-    runs = events.withColumn("__ok", F.sum(F.when(failed, 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__f", failed)
-    in_row = F.sum(F.col("__f").cast("int")).over(Window.partitionBy(key, "__ok").orderBy(order, tie).rowsBetween(Window.unboundedPreceding, 0))
-    return runs.withColumn("streak", in_row).where(F.col("__f") & (F.col("streak") % fails == 0)).drop("__ok", "__f")

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.operators import machines as M
 from factloom.operators import stateful as S
 from factloom.plans.catalog import query
 from factloom.sources.tables import records, shared_root, table
@@ -40,12 +41,25 @@ def phase_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.phases(m, "project", "phase", F.col("result_status").isin("successful", "partial"))
 
 
-@query("""WITH e AS (SELECT *, event_type = 'error' AS f, sum(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS ok FROM events), s AS (SELECT *, sum(CAST(f AS INT)) OVER (PARTITION BY user_id, ok ORDER BY ts, event_id) AS streak FROM e)
-  SELECT user_id, event_id, CAST(streak AS BIGINT) AS streak FROM s WHERE f AND streak % 2 = 0""")
+#: A plain walk over each source's events, one step of the recursion each.
+_WALK = """WITH RECURSIVE e AS (SELECT {key} AS source, event_id, ts, {bad} AS bad, row_number() OVER (PARTITION BY {key} ORDER BY ts, event_id) AS k FROM events),
+  walk AS (SELECT source, 0::BIGINT AS k, NULL::BIGINT AS event_id, 0 AS fails, NULL::TIMESTAMP AS until, '' AS outcome FROM e WHERE k = 1 UNION ALL
+    SELECT e.source, e.k, e.event_id, CASE WHEN ts < until THEN w.fails WHEN NOT bad THEN 0 WHEN w.fails + 1 >= {n} THEN 0 ELSE w.fails + 1 END, CASE WHEN ts < until THEN until WHEN NOT bad THEN NULL WHEN w.fails + 1 >= {n} THEN ts + INTERVAL {seconds} SECOND ELSE until END,
+      CASE WHEN ts < until THEN 'skipped' WHEN NOT bad THEN 'ok' WHEN w.fails + 1 >= {n} THEN 'closed' ELSE 'failed' END FROM walk w JOIN e ON e.source = w.source AND e.k = w.k + 1)"""
+
+
+@query(_WALK.format(key="user_id % 10", bad="event_type = 'error'", n=2, seconds=1800) + " SELECT source, event_id, outcome, CASE WHEN outcome IN ('closed', 'skipped') THEN until END AS until FROM walk WHERE k > 0")
 def circuit_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events at which a user has failed twice in a row."""
-    e = table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type")
-    return S.cooldowns(e, "user_id", "ts", "event_id", F.col("event_type") == "error").select("user_id", "event_id", "streak")
+    """What becomes of each source's events if two failures in a row close it for half an hour."""
+    e = table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type").withColumn("source", F.col("user_id") % 10)
+    return M.cooldowns(e, "source", "ts", "event_id", F.col("event_type") == "error", fails=2, seconds=1800)
+
+
+@query(_WALK.format(key="user_id % 25", bad="true", n=1, seconds=7200) + " SELECT source AS candidate, event_id, until FROM walk WHERE outcome = 'closed'")
+def claim_leases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The claims that get their candidate, if each holds it for two hours."""
+    e = table(spark, sf_dir, "events", "event_id", "ts", "user_id").withColumn("candidate", F.col("user_id") % 25)
+    return M.leases(e, "candidate", "ts", "event_id", seconds=7200)
 
 
 @query("SELECT CAST(time_bucket(INTERVAL 1 DAY, ts) AS TIMESTAMP) AS start, event_type, count(*) AS n, CAST(sum(floor(value * 100)) AS BIGINT) AS cents FROM events GROUP BY 1, 2")
