@@ -65,14 +65,24 @@ def coverage_level(high: Column, ratio: Column, none: str = "absent") -> Column:
     return F.when(high == 0, none).when((high >= EXCELLENT) & (ratio >= 0.25), "excellent").when((high >= GOOD) | (ratio >= 0.5), "good").when((high >= DEVELOPING) | (ratio >= 0.1), "developing").otherwise("limited")
 
 
+def category_counts(records: DataFrame) -> DataFrame:
+    """What the need of each workflow and function is told from: records with a tier, counted; counts of changes can be added to it."""
+    filled = [F.count_if(~blank(F.col(f))).alias(f"filled_{f}") for f in FIELDS]
+    return records.groupBy("workflow", "business_function").agg(F.count("*").alias("total"), F.count_if(F.col("tier") == "gold").alias("gold"), F.count_if(F.col("tier") == "decision_grade").alias("decision_grade"), *filled)
+
+
 def gaps(records: DataFrame, demand: Column) -> DataFrame:
-    """Need for evidence by workflow and function, from records with a tier.
+    """Need for evidence by workflow and function, from records with a tier."""
+    return gaps_of(category_counts(records), demand)
+
+
+def gaps_of(counts: DataFrame, demand: Column) -> DataFrame:
+    """Need for evidence from category_counts.
 
     gap is the mean of how far the category falls short of its targets; impact
     weighs it by demand.
     """
-    filled = [(F.count_if(~blank(F.col(f))) / F.count("*")).alias(f"cov_{f}") for f in FIELDS]
-    by = records.groupBy("workflow", "business_function").agg(F.count("*").alias("total"), F.count_if(F.col("tier") == "gold").alias("gold"), F.count_if(F.col("tier") == "decision_grade").alias("decision_grade"), *filled)
+    by = counts.withColumns({f"cov_{f}": F.col(f"filled_{f}") / F.col("total") for f in FIELDS})
     short = lambda have, want: F.least(F.lit(1.0), (F.lit(want) - have) / F.lit(float(want)))
     parts = [short(F.col("total"), MIN_COMPARABLES), short(F.col("gold"), MIN_GOLD), short(F.col("decision_grade"), MIN_SILVER)]
     parts += [F.greatest(F.lit(0.0), (FIELD_TARGET - F.col(f"cov_{f}")) / FIELD_TARGET) for f in FIELDS]

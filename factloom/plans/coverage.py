@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions.rules import blank, half_up
 from factloom.operators import coverage as C
+from factloom.operators.incremental import GapReport
 from factloom.plans.catalog import query
-from factloom.sources.tables import metrics, records, table
+from factloom.sources.tables import metrics, records, saved, shared_root, table
 
 #: How much is asked about a workflow; others 0.4.
 DEMAND = {"invoice_processing": 0.9, "customer_support": 1.0, "fraud_detection": 0.8, "recruiting": 0.5, "code_review": 0.7}
@@ -68,9 +71,12 @@ _GAPS = f"""{_TIERED}, by_ AS (SELECT workflow, business_function, count(*) AS t
   concat_ws(',', {', '.join(f"CASE WHEN cov_{f} < 0.5 THEN '{f}' END" for f in C.FIELDS)}) AS missing, demand, {_R('raw', 3)} AS gap, {_R('raw * demand', 3)} AS impact FROM raw_)"""
 
 
+def _demand() -> Column:
+    return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in DEMAND.items() for x in kv)), F.col("workflow")), F.lit(0.4))
+
+
 def _gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    demand = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in DEMAND.items() for x in kv)), F.col("workflow")), F.lit(0.4))
-    return C.gaps(tiered(spark, sf_dir).where("publication_status = 'published' AND workflow <> ''"), demand)
+    return C.gaps(tiered(spark, sf_dir).where("publication_status = 'published' AND workflow <> ''"), _demand())
 
 
 @query(f"WITH {_GAPS} SELECT * FROM gaps")
@@ -79,6 +85,19 @@ def gap_engine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _gaps(spark, sf_dir)
 
 
+@query(f"WITH {_GAPS} SELECT * FROM gaps")
+def gap_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, kept up to date from changes: a load with a third of the records out of date, their present state, and late old changes that no longer count."""
+    columns = ["id", "workflow", "business_function", "publication_status", "tier", *C.FIELDS]
+    now = saved(tiered(spark, sf_dir).select(*columns, F.lit(2).cast("long").alias("seq")))
+    stale = lambda rows, seq: rows.withColumns({"tier": F.lit("gold"), "workflow": F.lit("code_review"), "lessons_learned": F.lit("early"), "seq": F.lit(seq).cast("long")})
+    third = F.col("id") % 3 == 0
+    report = GapReport(spark, f"{shared_root(spark)}/gaps-{uuid.uuid4().hex}")
+    for number, changes in enumerate((now.where(~third).unionByName(stale(now.where(third), 1)), now.where(third), stale(now.where(F.col("id") % 6 == 0), 0), now.where(third))):
+        report.apply(changes, number)
+    return report.report(_demand())
+
+
 @query(f"""WITH {_GAPS} SELECT business_function, count(*) AS categories, count(*) FILTER (coverage IN ('good', 'excellent')) AS good_plus, {_R("100 * coalesce(sum(greatest(CAST(floor(demand * 100 + 0.5) AS BIGINT), 1)) FILTER (coverage IN ('good', 'excellent')), 0) / sum(greatest(CAST(floor(demand * 100 + 0.5) AS BIGINT), 1))", 1)} AS coverage_pct FROM gaps GROUP BY business_function""")
 def decision_kpi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of each function's demand that is well covered; demand is summed in whole hundredths."""

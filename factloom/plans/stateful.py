@@ -73,13 +73,13 @@ def tumbling_demand(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_type, count(*) AS n, CAST(sum(floor(value * 100)) AS BIGINT) AS cents FROM events GROUP BY 1")
 def tumbling_demand_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same as a stream over the table's file, summed over all its windows."""
-    from factloom.streaming.demand import demand, run_windows
+    from factloom.streaming.demand import demand, run_windows, windows_of
 
     folder = f"{shared_root(spark)}/demand-{uuid.uuid4().hex}"
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events*.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     run_windows(demand(stream), f"{folder}/windows", f"{folder}/state")
-    return spark.read.parquet(f"{folder}/windows").groupBy("event_type").agg(F.sum("n").alias("n"), F.sum("cents").alias("cents"))
+    return windows_of(spark, f"{folder}/windows").groupBy("event_type").agg(F.sum("n").alias("n"), F.sum("cents").alias("cents"))
 
 
 @query("""WITH s AS (SELECT event_type AS strategy, user_id % 10 AS library, count(*) AS runs, count(*) FILTER (value > 60) AS accepted, CAST(sum(floor(value * 100)) AS BIGINT) AS cents FROM events GROUP BY 1, 2)

@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from factloom.sources.versions import VersionedTable
+
 
 def demand(events: DataFrame, size: str = "1 day", late: str = "1 hour") -> DataFrame:
     """Events by topic in tumbling windows; rows later than `late` are dropped."""
@@ -46,9 +48,21 @@ def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"
 
 
 def run_windows(windows: DataFrame, path: str, checkpoint: str) -> None:
-    """Work off what is there into the table of all windows at path, which each batch writes anew; nothing passes through the driver."""
+    """Work off what is there, and merge the windows that have changed into the versioned table at path.
+
+    A batch that is replayed after a stop does nothing more, and readers see the
+    table as it was before a batch or after it.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+        keyed = batch.select(F.concat_ws("|", F.col("start").cast("string"), "event_type").alias("key"), "*")
+        into = VersionedTable(batch.sparkSession, path, "key")
+        into.create(keyed.schema)
+        into.merge(keyed, "replace", batch=("windows", number))
+
+    windows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("update").trigger(availableNow=True).start().awaitTermination()
+
 
-    windows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+def windows_of(spark: SparkSession, path: str) -> DataFrame:
+    """The windows that run_windows has merged so far."""
+    return VersionedTable(spark, path, "key").read().drop("key")
