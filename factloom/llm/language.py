@@ -14,15 +14,16 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.llm.common import by_bytes, small_batches, widened
 
-#: Letters and numbers; what isn't a letter (Unicode category L) among them is taken out after.
-RUN = re.compile(r"[^\W\d_]+")
-#: What a fit takes at most: languages (the commonest), distinct texts of each, bytes of a text's excerpt.
-LANGUAGES, TEXTS, TEXT_BYTES = 200, 160, 640
+#: A word of ASCII letters; any word: letters (Unicode category L) with the marks (M) on them, such as vowel signs.
+ASCII_WORD, WORD = re.compile("[a-z]+"), regex.compile(r"\p{L}[\p{L}\p{M}]*")
+#: Labelled rows that a fit takes of each language at most, and code points up to which a text is taken whole.
+ROWS, WHOLE = 48, 1 << 16
 #: Blocks are so short that the dictionary, and not the text before, decides in each of them.
 BLOCK = 64
 LEVEL = 3
@@ -31,36 +32,35 @@ UNDECIDED = "und"
 
 def plain(text: str) -> str:
     """The words of a text, in lower case, with one blank between them."""
-    words = RUN.findall(text.lower())
-    return " ".join(w for w in (x if x.isalpha() else "".join(filter(str.isalpha, x)) for x in words) if w)
+    low = text.lower()
+    return " ".join((ASCII_WORD if low.isascii() else WORD).findall(low))
 
 
 def excerpt(text: Column, h: Column, size: int) -> Column:
-    """A short text whole; of a longer one, blocks from places all over it that a hash picks, `size` code points in sum."""
+    """A text of up to `size` code points whole; of a longer one, blocks from places all over it that a hash picks, `size` code points in sum."""
     many, last = max(1, size // BLOCK), F.length(text) - BLOCK
     block = lambda i: F.substring(text, (F.pmod(F.xxhash64(h, i), last + 1) + 1).cast("int"), F.lit(BLOCK))
     return F.when(F.length(text) <= size, text).otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(many)), block), "\n"))
 
 
-def fit(train: DataFrame, *, text_col: str = "text", lang_col: str = "lang", texts: int = TEXTS, text_bytes: int = TEXT_BYTES, languages: int = LANGUAGES) -> dict[str, bytes]:
-    """A dictionary for each language in `train`, from excerpts of the `texts` distinct texts of it whose hashes are smallest; the commonest language first.
+def fit(train: DataFrame, *, text_col: str = "text", lang_col: str = "lang", rows: int = ROWS) -> dict[str, bytes]:
+    """A dictionary for every language in `train`, the commonest language first, from `rows` labelled rows of each.
 
-    Rows without text or language teach nothing, and copies of a text count
-    once. The fit's bounds are `languages` (of more, the commonest are learned),
-    `texts` and `text_bytes`; what reaches the driver is bounded by their product.
+    Taken are whole distinct texts, those whose hashes are smallest; texts above
+    WHOLE code points only where a language has too few others, and then in
+    blocks from all over them. Rows without text or language teach nothing, and
+    copies of a text count once. `rows` is the fit's one bound: what reaches the
+    driver is at most so many texts for each language that there is.
     """
-    rows = train.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("h")).where(F.col("lang").isNotNull() & (F.length("text") > 0))
-    top = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()
-    counts = {r["lang"]: r["n"] for r in top}
-    if not counts:
-        return {}
-    smallest = Window.partitionBy("lang").orderBy("h")  # ranks are cut within each task first
-    hashes = rows.where(F.col("lang").isin(*counts)).select("lang", "h").distinct().withColumn("rank", F.row_number().over(smallest)).where(F.col("rank") <= texts).select("lang", "h")
-    picked = rows.join(F.broadcast(hashes), ["lang", "h"]).groupBy("lang", "h").agg(F.min(excerpt(F.col("text"), F.col("h"), text_bytes)).alias("part"))
+    own = train.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("h"), (F.length(F.col(text_col)) > WHOLE).alias("long")).where(F.col("lang").isNotNull() & (F.length("text") > 0))
+    counts = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
+    smallest = Window.partitionBy("lang").orderBy("long", "h")  # ranks are cut within each task first
+    hashes = own.select("lang", "long", "h").distinct().withColumn("rank", F.row_number().over(smallest)).where(F.col("rank") <= rows).select("lang", "h")
+    picked = own.join(F.broadcast(hashes), ["lang", "h"]).groupBy("lang", "h").agg(F.min(excerpt(F.col("text"), F.col("h"), WHOLE)).alias("part"))
     parts: dict[str, list[str]] = {}
     for r in picked.orderBy("lang", "h").collect():
         parts.setdefault(r["lang"], []).append(plain(r["part"]))
-    made = {lang: "\n".join(own).encode("utf-8", "replace") for lang, own in parts.items()}
+    made = {lang: "\n".join(texts).encode("utf-8", "replace") for lang, texts in parts.items()}
     return {lang: made[lang] for lang in sorted(made, key=lambda x: (-counts[x], x))}
 
 

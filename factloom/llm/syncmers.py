@@ -5,11 +5,14 @@ its inner s-mers is that of its first or of its last one. Whether it is one
 depends on the k-mer alone and not on what stands around it, so an edit
 touches only the anchors that overlap it, and the others keep their distances.
 A fingerprint is a sketch: the anchors with the smallest hashes, each with its
-place. Two fingerprints are matched by hash and by place: a shared anchor
-counts if its shift agrees with the median shift.
-
-Texts are cut into pieces of PIECE bytes that overlap by k - 1, so that a long
-text needs no long arrays; the anchors, being free of context, are the same.
+place. Two fingerprints are matched by hash and by place: of the anchors that
+both have, those count that lie on the longest run whose places rise in both
+texts. So what is put in, taken out or replaced costs its own share, and text
+behind it still counts; text that is moved counts on one side of the move.
+
+Texts are cut into pieces of PIECE bytes that overlap by k - 1, and each piece
+is sketched by itself, so that a long text needs no long arrays; the anchors,
+being free of context, are the same.
 """
 
 from __future__ import annotations
@@ -19,23 +22,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import text_of
+from factloom.llm.common import let, text_of
 
 #: Bytes of an anchor and of its inner substrings (five to an anchor), anchors in a sketch, bytes of a piece.
 K, S, SKETCH, PIECE = 16, 12, 64, 1 << 13
 #: An anchor is one number: 31 bits of its hash above, its place below. No string of Spark's is longer than a place can say.
 PLACE_BITS = 31
-#: By how many bytes a shared anchor's shift may differ from the median shift.
-TOLERANCE = 64
 #: Documents are put in order within ranges of ids; so many ranges at most, of so many rows.
 MAX_RANGES, RANGE_ROWS = 1 << 16, 2_000
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value), with value computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def pairwise(a: Column, step: int) -> Column:
     """The smaller of each element and the one `step` after it; the last ones stand alone."""
     return F.zip_with(a, F.slice(a, F.lit(step + 1), F.greatest(F.size(a) - step, F.lit(0))), lambda x, y: F.least(x, y))
@@ -45,8 +41,8 @@ def packed(hash_: Column, place: Column) -> Column:
     return F.shiftleft(F.shiftrightunsigned(hash_, PLACE_BITS + 2), PLACE_BITS).bitwiseOR(place.cast("long").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)))
 
 
-def syncmers(data: Column) -> Column:
-    """Anchors of binary data, as packed numbers; none if it is shorter than K."""
+def by_piece(data: Column, each: Callable[[Column], Column]) -> Column:
+    """each(the anchors of a piece, as packed numbers) for all pieces of binary data of K bytes or more, as an array."""
 
     def of_piece(first: Column, whole: Column) -> Column:
         return let(F.substring(whole, first, F.lit(PIECE + K - 1)), lambda piece: let(hashes(piece), lambda h: let(pairwise(h, 1), lambda two: let(pairwise(two, 2), lambda four: chosen(h, four, piece, first)))))
@@ -59,14 +55,23 @@ def syncmers(data: Column) -> Column:
         at = F.filter(F.sequence(F.lit(0), F.size(h) - 5), lambda i: (F.get(h, i + 4) <= F.get(four, i)) | (F.get(h, i) <= F.get(four, i + 1)))
         return F.transform(at, lambda i: packed(F.xxhash64(F.substring(piece, i + 1, F.lit(K))), first - 1 + i))
 
+    return let(data, lambda d: F.transform(F.sequence(F.lit(1), F.octet_length(d) - (K - 1), F.lit(PIECE)), lambda first: let(of_piece(first, d), each)))
+
+
+def short_or(data: Column, many: Column) -> Column:
+    """What data too short for a syncmer has: itself as its anchor, or nothing if it is empty; else `many`."""
     none = F.array().cast("array<bigint>")
-    return F.when(F.octet_length(data) >= K, let(data, lambda d: F.flatten(F.transform(F.sequence(F.lit(1), F.octet_length(d) - (K - 1), F.lit(PIECE)), lambda first: of_piece(first, d))))).otherwise(none)
+    return F.when(F.octet_length(data) >= K, many).when(F.octet_length(data) > 0, F.array(packed(F.xxhash64(data), F.lit(0)))).otherwise(none)
 
 
 def anchors(data: Column) -> Column:
-    """The syncmers of data; data too short for one is its own anchor, and empty data has none."""
-    short = (F.octet_length(data) > 0) & (F.octet_length(data) < K)
-    return F.when(short, F.array(packed(F.xxhash64(data), F.lit(0)))).otherwise(syncmers(data))
+    """All anchors of data; data too short for one is its own anchor, and empty data has none."""
+    return short_or(data, F.flatten(by_piece(data, lambda found: found)))
+
+
+def sketch_of(data: Column) -> Column:
+    """The sketch of data, with a sketch of each piece in between and never all anchors at once."""
+    return short_or(data, sketch(F.flatten(by_piece(data, sketch))))
 
 
 def moved(x: Column, by: Column) -> Column:
@@ -85,14 +90,15 @@ def as_text(sketched: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Estimated share of common anchors among all, from two sketches.
+    """Estimated share of common anchors, in common order, among all, from two sketches.
 
-    Of the SKETCH smallest hashes of both together, those in both whose shift
-    agrees with the median one. Two empty sketches are alike (1), an empty and
-    another are not (0).
+    Of the SKETCH smallest hashes of both together, those in both that lie on
+    the longest run whose places rise on either side. Two empty sketches are
+    alike (1), an empty and another are not (0).
     """
     bits = PLACE_BITS + 1  # place, and below it whose anchor it is
     key = lambda x: F.shiftright(x, bits)
+    place = lambda x: F.shiftright(x, 1).bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
     both = F.sort_array(F.concat(F.transform(a, lambda x: F.shiftleft(x, 1)), F.transform(b, lambda x: F.shiftleft(x, 1) + 1)))
 
     def of(c: Column) -> Column:
@@ -102,15 +108,28 @@ def likeness(a: Column, b: Column) -> Column:
 
     def shared(c: Column, pairs: Column, union: Column) -> Column:
         most = key(F.element_at(union, -1))
-        shift = lambda i: (F.shiftright(F.get(c, i), 1) - F.shiftright(F.get(c, i - 1), 1)) * F.when(F.get(c, i - 1).bitwiseAND(F.lit(1)) == 0, 1).otherwise(-1)
-        shifts = F.sort_array(F.transform(F.filter(pairs, lambda i: key(F.get(c, i)) <= most), shift))
-        agreeing = let(shifts, lambda s: F.size(F.filter(s, lambda x: F.abs(x - F.get(s, F.floor(F.size(s) / 2).cast("int"))) <= TOLERANCE)))
-        return agreeing.cast("double") / F.size(union)
+        # Of the two anchors of a hash, that of a has 0 in its last bit.
+        own = lambda i: F.when(F.get(c, i - 1).bitwiseAND(F.lit(1)) == 0, F.struct(place(F.get(c, i - 1)).alias("a"), place(F.get(c, i)).alias("b"))).otherwise(F.struct(place(F.get(c, i)).alias("a"), place(F.get(c, i - 1)).alias("b")))
+        places = F.sort_array(F.transform(F.filter(pairs, lambda i: key(F.get(c, i)) <= most), own))
+        return rising(F.transform(places, lambda x: x["b"])).cast("double") / F.size(union)
 
     empty = (F.size(a) == 0) & (F.size(b) == 0)
     return F.when(empty, F.lit(1.0)).when(F.size(F.concat(a, b)) < 2, F.lit(0.0)).otherwise(let(both, of))
 
 
+def rising(values: Column) -> Column:
+    """The length of the longest run of values, not necessarily side by side, of which each is greater than the one before.
+
+    At place n of the state stands the least value that such a run of n + 1 values can end with.
+    """
+    none = F.array().cast("array<bigint>")
+
+    def put(ends: Column, x: Column) -> Column:
+        return let(F.size(F.filter(ends, lambda e: e < x)), lambda n: F.concat(F.slice(ends, F.lit(1), n), F.array(x), F.slice(ends, n + 2, F.greatest(F.size(ends) - n - 1, F.lit(0)))))
+
+    return F.size(F.aggregate(values, none, put))
+
+
 # --- order ----------------------------------------------------------------
 
 
@@ -155,7 +174,7 @@ def fingerprint(docs: DataFrame, *, text_col: str = "text", sketch_col: str = "s
     K bytes is its own anchor. Equal texts have equal fingerprints. Repeated
     rows each get theirs; columns with the added names are replaced.
     """
-    out = docs.withColumn(sketch_col, sketch(anchors(text_of(text_col).cast("binary"))))
+    out = docs.withColumn(sketch_col, sketch_of(text_of(text_col).cast("binary")))
     return out.withColumn(fingerprint_col, as_text(F.col(sketch_col)))
 
 
@@ -177,13 +196,20 @@ def compare_with_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     mask = F.lit((1 << PLACE_BITS) - 1)
     inside = lambda a, n: F.filter(a, lambda x: x.bitwiseAND(mask) + K <= n)
     ranged = in_ranges(docs, id_col, text_col)
-    sketched = ranged.withColumn("kept", kept).withColumn("s", let(anchors(F.col("text").cast("binary")), lambda a: F.struct(sketch(a).alias("all"), sketch(inside(a, F.col("kept"))).alias("kept"))))
+    data = F.col("text").cast("binary")
+    both = lambda a: F.struct(sketch(a).alias("all"), sketch(inside(a, F.col("kept"))).alias("kept"))
+    merged = lambda pieces, n: sketch(F.flatten(F.transform(pieces, lambda x: x[n])))
+    long_ = let(by_piece(data, both), lambda pieces: F.struct(merged(pieces, "all").alias("all"), merged(pieces, "kept").alias("kept")))
+    own = short_or(data, F.array().cast("array<bigint>"))
+    sketched = ranged.withColumn("kept", kept).withColumn("s", F.when(F.octet_length(data) >= K, long_).otherwise(let(own, both)))
     w = Window.partitionBy("range").orderBy("guest", "key", "text")
     rows = sketched.select("*", F.lead("text").over(w).alias("next_text"), F.lead("s.all").over(w).alias("next_sketch")).where(~F.col("guest"))
     edited = F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next_text", F.lit(1), half))
     rows = rows.select("id", F.length("text").cast("long").alias("n_chars"), "kept", "s", "next_sketch", edited.alias("edited"))
     start = F.greatest(F.col("kept") - (K - 1), F.lit(0))
-    new = F.transform(syncmers(F.substring(F.col("edited").cast("binary"), start + 1, F.lit((1 << 31) - 1))), lambda x: moved(x, start))
+    rest = F.substring(F.col("edited").cast("binary"), start + 1, F.lit((1 << 31) - 1))
+    none = F.array().cast("array<bigint>")
+    new = F.when(F.octet_length(rest) >= K, F.transform(sketch(F.flatten(by_piece(rest, sketch))), lambda x: moved(x, start))).otherwise(none)
     whole = F.when(F.octet_length("edited") < K, anchors(F.col("edited").cast("binary"))).otherwise(F.concat("s.kept", new))
     rows = rows.withColumn("edited_sketch", sketch(whole))
     return rows.select(
