@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.operators import canonical as C
+from factloom.operators import vocabulary as V
 from factloom.plans.catalog import query
 from factloom.sources.tables import notes, records, table
 
@@ -133,3 +134,23 @@ def tier_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records by tier, older names as today's."""
     old = F.get(F.array(*map(F.lit, ("Gold", " silver", "bronze", "", "rejected"))), (F.col("id") % 5).cast("int"))
     return records(spark, sf_dir).groupBy(C.tier_name(old).alias("tier")).agg(F.count("*").alias("n"))
+
+
+_PHRASES = """words AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM benchmark), pairs AS (SELECT item_id, w[i] || ' ' || w[i + 1] AS keyword, i FROM (SELECT item_id, w, unnest(range(1, len(w))) AS i FROM words)),
+  k AS (SELECT keyword, min(item_id * 10000 + i) AS position, arg_min(CAST(item_id AS VARCHAR), item_id * 10000 + i) AS value FROM pairs GROUP BY keyword)"""
+
+
+@query(f"""WITH {_PHRASES}, v AS (SELECT doc_id, lower(text) AS key FROM documents), m AS (SELECT doc_id, keyword, value, position, instr(key, keyword) AS place FROM v JOIN k ON contains(key, keyword)),
+  a AS (SELECT doc_id, count(*) AS keywords, arg_min(value, position) AS first_listed FROM m GROUP BY 1), e AS (SELECT doc_id, value AS earliest FROM m QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY place, -length(keyword), position) = 1)
+  SELECT v.doc_id, coalesce(keywords, 0) AS keywords, first_listed, earliest FROM v LEFT JOIN a USING (doc_id) LEFT JOIN e USING (doc_id)""")
+def keyword_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document by the benchmark items whose phrases of two words are in it: how many phrases, the item listed first, and that of the phrase that begins first."""
+    own = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0)
+    b = table(spark, sf_dir, "benchmark", "item_id", "text").select("item_id", own.alias("w")).where(F.size("w") > 1)
+    pairs = b.select("item_id", F.posexplode(F.transform(F.slice("w", F.lit(1), F.size("w") - 1), lambda x, i: F.concat(x, F.lit(" "), F.get("w", i + 1)))).alias("i", "keyword"))
+    keywords = pairs.select("keyword", F.col("item_id").cast("string").alias("value"), (F.col("item_id") * 10000 + F.col("i") + 1).alias("position"))
+    docs = table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.lower("text").alias("text"), F.sha2(F.lower("text"), 256).alias("digest"))
+    keys = docs.groupBy("digest").agg(F.min("text").alias("key"))  # each distinct text once
+    m = V.found(keys, keywords).drop("key")
+    best = m.groupBy("digest").agg(F.count("*").alias("keywords"), F.min_by("value", "position").alias("first_listed"), F.min_by("value", F.struct("at", -F.length("keyword"), "position")).alias("earliest"))
+    return docs.select("doc_id", "digest").join(best, "digest", "left").select("doc_id", F.coalesce("keywords", F.lit(0)).alias("keywords"), "first_listed", "earliest")

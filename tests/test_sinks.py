@@ -33,3 +33,25 @@ def test_files_and_seeds(spark, tmp_path):
     (tmp_path / "s" / "x.json").write_text('{"id": "1", "title": "b"}\n{"id": "1", "title": "a", "more": 3}\n{"title": "no id"}\n')
     rows = seeds.seeds(spark, str(tmp_path / "s"), {"id": "string", "title": "string", "gone": "int"}, "id").collect()
     assert [tuple(r) for r in rows] == [("1", "a", None)]
+
+
+def test_seed_files_of_any_layout(spark, tmp_path):
+    import pytest
+    from factloom.sources import seeds
+
+    folder = tmp_path / "s"
+    folder.mkdir()
+    (folder / "lines.json").write_text('{"id": "1", "n": 3}\n\n{"id": "2", "n": "x"}\nnot json\n')
+    (folder / "list.json").write_text('[\n  {"id": "3", "n": 1},\n  {"id": "4",\n   "tags": ["a", "b"]},\n  7\n]\n')
+    (folder / "one.json").write_text('{\n "id": "5"\n}')
+    (folder / "inside.json").write_text('{"records": [\n {"id": "6"}, {"id": "7", "n": null}]}')
+    (folder / "cut.json").write_text('[{"id": "8"},\n {"id": ')
+    (folder / "empty.json").write_text("")
+    wanted = {"id": "string", "n": "int", "tags": "array<string>"}
+    good, bad = seeds.seed_files(spark, str(folder), wanted)
+    assert {(r["id"], r["n"], tuple(r["tags"] or ())) for r in good.collect()} == {("1", 3, ()), ("2", None, ()), ("3", 1, ()), ("4", None, ("a", "b")), ("5", None, ()), ("6", None, ()), ("7", None, ())}
+    assert sorted(r["path"].rsplit("/", 1)[1] for r in bad.collect()) == ["cut.json", "lines.json", "list.json"]
+    with pytest.warns(UserWarning, match="3 lines or files"):
+        assert seeds.seeds(spark, str(folder), wanted, "id").count() == 7
+    with pytest.raises(ValueError):
+        seeds.seeds(spark, str(folder), wanted, "id", broken="fail")
