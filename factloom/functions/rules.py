@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -121,6 +123,7 @@ SIGNALS: dict[str, tuple[bool, list[str]]] = {
         r"\b(?:dashboard|reporting|analytics|KPI|metric)\b",
     ]),
 }
+# What rules a text out.
 EXCLUDE = [
     r"^\s*$", r"^\{", r"^<", r"^#", r"^\/\/",
     r"(?:login|signup|subscribe|password|cookie)",
@@ -182,15 +185,44 @@ def quality_flags(text: Column) -> Column:
 
 
 def text_metrics(text: Column) -> Column:
-    """(pattern number, category, value as found) of the first match of each pattern that matches."""
-    one = [F.when(F.rlike(text, F.lit(f"(?i){p}")), F.struct(F.lit(i).alias("pattern"), F.lit(c).alias("category"), F.regexp_extract(text, f"(?i){p}", 1).alias("value"))) for i, (c, p) in enumerate(METRIC_PATTERNS)]
-    return F.array_compact(F.array(*one))
+    """(pattern number, category, value as found) of the first match of each pattern that matches; a value that is found is never empty."""
+    found = F.array(*(F.regexp_extract(text, f"(?i){p}", 1) for _, p in METRIC_PATTERNS))
+    names = F.array(*(F.lit(c) for c, _ in METRIC_PATTERNS))
+    return F.filter(F.transform(found, lambda value, i: F.struct(i.cast("int").alias("pattern"), F.get(names, i).alias("category"), value.alias("value"))), lambda m: m["value"] != "")
+
+
+def _as_words(pattern: str) -> list[str] | None:
+    """The words of which any shows the pattern, if it is nothing but whole words of letters: one, one with an optional end, or a choice."""
+    whole = re.fullmatch(r"\\b(?:\(\?:([A-Za-z|]+)\)|([A-Za-z]+)(\??|\[[a-z]\]\?))\\b", pattern)
+    if not whole:
+        return None
+    choice, word, end = whole.groups()
+    if choice:
+        return choice.lower().split("|")
+    if end.startswith("["):
+        return [word.lower(), word.lower() + end[1]]
+    return [word.lower(), word.lower()[:-1]] if end else [word.lower()]
 
 
 def signals(text: Column, group: str) -> Column:
-    """How many of a group's patterns the text has."""
+    """How many of a group's patterns the text has.
+
+    Patterns that are whole words are looked up in the text's set of words, which
+    is made once for all of them; only the others are searched for. Case is
+    taken off A-Z alone, as the patterns do.
+    """
     cased, patterns = SIGNALS[group]
-    return sum((F.rlike(text, F.lit(p if cased else f"(?i){p}")).cast("int") for p in patterns), F.lit(0))
+    plain = {p: None if cased else _as_words(p) for p in patterns}
+    found = sum((F.rlike(text, F.lit(p if cased else f"(?i){p}")).cast("int") for p in patterns if not plain[p]), F.lit(0))
+    listed = [w for w in plain.values() if w]
+    if not listed:
+        return found
+    low = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    own = F.array_distinct(F.split(low, "[^a-z0-9_]+"))
+    single = F.array(*(F.lit(w[0]) for w in listed if len(w) == 1)).cast("array<string>")
+    any_of = F.array(*(F.array(*map(F.lit, w)) for w in listed if len(w) > 1)).cast("array<array<string>>")
+    count = lambda words: F.size(F.array_intersect(words, single)) + F.size(F.filter(any_of, lambda c: F.arrays_overlap(c, words)))
+    return found + F.when(text.isNotNull(), F.element_at(F.transform(F.array(own), count), 1))
 
 
 def relevance(text: Column, high: Column, org: Column, outcome: Column, intervention: Column) -> Column:

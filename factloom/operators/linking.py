@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.operators import vocabulary
+
 
 def first_with_others(df: DataFrame, key: str, id_col: str) -> DataFrame:
     """(first, other) for each further row of a key, the first being the smallest id. Pairs grow with the rows, not their square."""
@@ -143,3 +145,18 @@ def kin_consistency(records: DataFrame) -> DataFrame:
     ratio = good / peers
     score = F.when(peers <= 0, 50).when(ratio >= 0.8, 90).when(ratio >= 0.5, 70).when(ratio >= 0.3, 50).otherwise(30)
     return sets.join(totals, "key", "left").select("id", peers.alias("peers"), score.alias("score"))
+
+
+def located(sections: DataFrame, claims: DataFrame, size: int = 8) -> DataFrame:
+    """(item_id, doc_id, number): the first section of each document that has a claim in it.
+
+    sections: (doc_id, number, key, digest), key being the text and digest its
+    hash; claims: (item_id, claim). All claims are looked for in all sections at
+    once: each distinct section is met only by claims of which it has the rarest
+    substring of `size` characters, and then searched.
+    """
+    words = claims.select("claim").distinct().select(F.col("claim").alias("keyword"), F.lit("").alias("value"), F.lit(0).alias("position"))
+    distinct = sections.groupBy("digest").agg(F.min("key").alias("key"))
+    met = vocabulary.found(distinct, words, size).select("digest", F.col("keyword").alias("claim"))
+    by = sections.select("digest", "doc_id", "number").join(met, "digest").groupBy("doc_id", "claim").agg(F.min("number").alias("number"))
+    return by.join(claims, "claim").groupBy("item_id", "doc_id").agg(F.min("number").alias("number"))

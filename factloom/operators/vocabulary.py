@@ -36,17 +36,19 @@ def grams(text: Column, size: int) -> Column:
     return F.when(F.length(text) >= size, F.array_distinct(listed)).otherwise(F.array().cast("array<string>"))
 
 
-def found(values: DataFrame, keywords: DataFrame) -> DataFrame:
+def found(values: DataFrame, keywords: DataFrame, size: int | None = None) -> DataFrame:
     """(key, keyword, value, position, at): each keyword that is in a value, and where it first begins (from 1).
 
     values: distinct (key), with other columns that go along; keywords: (keyword, value, position), position being
     the place in the list. Empty keywords are in nothing. Of rows with one
-    keyword that listed first counts.
+    keyword that listed first counts. size: characters of an indexed substring;
+    with long keywords, longer ones leave fewer values to look into.
     """
+    most = size or GRAM
     words = keywords.where(F.length("keyword") > 0).groupBy("keyword").agg(F.min_by("value", "position").alias("value"), F.min("position").alias("position"))
     words = saved(words)
-    own = words.withColumn("gram", F.explode(F.when(F.length("keyword") < GRAM, F.array("keyword")).otherwise(grams(F.col("keyword"), GRAM))))
-    sizes = [r["n"] for r in words.select(F.least(F.length("keyword"), F.lit(GRAM)).alias("n")).distinct().collect()] or [GRAM]  # GRAM numbers at most
+    own = words.withColumn("gram", F.explode(F.when(F.length("keyword") < most, F.array("keyword")).otherwise(grams(F.col("keyword"), most))))
+    sizes = [r["n"] for r in words.select(F.least(F.length("keyword"), F.lit(most)).alias("n")).distinct().collect()] or [most]  # `most` numbers at most
     all_ = F.concat(*(grams(F.col("key"), n) for n in sizes))
     keys = saved(values.withColumn("id", F.monotonically_increasing_id()))
     held = saved(keys.select("id", F.explode(all_).alias("gram")).join(own.select("gram").distinct(), "gram", "left_semi"))  # only what some keyword has, and no values

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import fields as E
 from factloom.functions.rules import half_up
+from factloom.operators import linking as L
 from factloom.plans.catalog import query
 from factloom.sources.tables import metrics, records, stories, table
 
@@ -134,14 +135,13 @@ def field_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("""WITH s AS (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS number FROM documents), p AS (SELECT doc_id, number, string_split(text, chr(10))[number] AS section, lower(substr(string_split(text, chr(10))[1], 1, 50)) AS claim FROM s)
-  SELECT doc_id, min(number) FILTER (contains(lower(section), claim)) AS section FROM p GROUP BY doc_id""")
+@query("""WITH s AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS section, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS number FROM documents), c AS (SELECT item_id, lower(substr(text, 1, 50)) AS claim FROM benchmark WHERE length(trim(text)) >= 5)
+  SELECT item_id, doc_id, min(number) AS section FROM s JOIN c ON contains(lower(section), claim) GROUP BY ALL""")
 def source_locator(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first section (here: line) of a document that has a claim's first 50 characters, without regard to case; the claim is the document's first line."""
-    sections = F.split("text", "\n")
-    claim = F.lower(F.substring(F.get(sections, 0), 1, 50))
-    hits = F.transform(sections, lambda s, i: F.when(F.contains(F.lower(s), claim), i + 1))
-    return table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.array_min(hits).cast("bigint").alias("section"))
+    """For each benchmark claim and each document that has its first 50 characters, without regard to case: the first section (here: line) with them."""
+    claims = table(spark, sf_dir, "benchmark", "item_id", "text").where(F.length(F.trim("text")) >= 5).select("item_id", F.lower(F.substring("text", 1, 50)).alias("claim"))
+    lines = table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.posexplode(F.split(F.lower("text"), "\n")).alias("number", "key")).select("doc_id", "number", "key", F.sha2("key", 256).alias("digest"))
+    return L.located(lines, claims).select("item_id", "doc_id", (F.col("number") + 1).cast("bigint").alias("section"))
 
 
 @query("""SELECT avg(CAST(n >= 5 AS INT)) AS share, count(*) FILTER (n >= 5) AS complete, count(*) AS records, floor(avg(points) * 100 + 0.5) / 100 AS mean_points FROM (SELECT r.id,

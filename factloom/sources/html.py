@@ -17,6 +17,8 @@ PARENTS = set(
     "html body address article aside blockquote caption center dd details dialog div dl dt fieldset figcaption figure footer form header "
     "hgroup main menu nav ol search section summary table tbody tfoot thead tr ul".split()
 )
+#: Pages that are parsed at a time.
+PAGES = 64
 #: What the start of an element ends, where the end tag is missing, and the elements beyond which it doesn't reach.
 LISTS, CELLS, ROWGROUPS = {"ul", "ol", "menu", "dl", "table", "td", "th"}, {"td", "th"}, {"tbody", "thead", "tfoot"}
 ENDS = {"p": ({"p"}, PARENTS | {"li"} | CELLS), "li": ({"li"}, LISTS), "dd": ({"dd", "dt"}, LISTS), "dt": ({"dd", "dt"}, LISTS)}
@@ -44,6 +46,7 @@ class _Page(HTMLParser):
         self._open: list[tuple[str, list[str] | None, str]] = []  # tag, text of the innermost block, that block's tag
         self._href: tuple[str, list[str]] | None = None
         self._silent = 0
+        self._of_table: list[int] = []  # numbers of the open tables
 
     def handle_starttag(self, tag, attrs):
         if tag in SILENT:
@@ -55,6 +58,7 @@ class _Page(HTMLParser):
             text, block = self._open[-1][1:] if self._open else (None, "")
             self._open.append((tag, text, block) if tag in PARENTS else (tag, [], tag))
         if tag == "table":
+            self._of_table.append(len(self.tables))
             self.tables.append([])
         elif tag == "tr" and self.tables:
             self.tables[-1].append([])
@@ -91,7 +95,11 @@ class _Page(HTMLParser):
         while len(self._open) > at:
             self._pause()
             tag, text, _ = self._open.pop()
-            if tag not in PARENTS and tag != "p":
+            if tag == "table":
+                rows = [" | ".join(r) for r in self.tables[self._of_table.pop()] if any(r)]
+                if rows:
+                    self._take("table", "Table:\n" + "\n".join(rows))
+            elif tag not in PARENTS and tag != "p":
                 self._take(tag, " ".join("".join(text).split()))
 
     def _pause(self) -> None:
@@ -136,8 +144,9 @@ def _mapped(df: DataFrame, name: str, kind: T.DataType, arrow: pa.DataType, of:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [of(parsed(h)) for h in batch.column(html_col).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(found, arrow)], names=[*names, name])
+            for part in (batch.slice(i, PAGES) for i in range(0, batch.num_rows, PAGES)):
+                found = [of(parsed(h)) for h in part.column(html_col).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(found, arrow)], names=[*names, name])
 
     return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(name, kind)]))
 

@@ -115,7 +115,7 @@ def test_html_parts(spark):
     page = "<html><title>T</title><script>x</script><h1>One</h1><p>a  b</p><ul><li>c</li></ul><h2>Two</h2><table><tr><th>h</th><td>v</td></tr></table><a href='/x#y'>go</a><a href='http://else.where/'>no</a></html>"
     df = spark.createDataFrame([(1, "http://host.example/p", page), (2, "http://host.example/q", None)], "page_id long, url string, html string")
     s = {r["page_id"]: [(x["heading"], x["text"]) for x in r["sections"]] for r in html.sections(df).collect()}
-    assert s == {1: [("One", "a b\nc"), ("Two", "")], 2: []}
+    assert s == {1: [("One", "a b\nc"), ("Two", "Table:\nh | v")], 2: []}
     assert {r["page_id"]: r["tables"] for r in html.tables(df).collect()} == {1: [["h | v"]], 2: []}
     assert [tuple(r) for r in html.links(df).collect()] == [(1, 0, "http://host.example/x")]
 
@@ -128,7 +128,8 @@ def test_html_blocks_without_end_tags():
     assert texts("<p>a<ul><li>b</ul>c</p>loose<p>d<div>e</div>f") == [("", "a\nb\nc\nd\ne\nf")]
     assert html.parsed("<table><tr><th>a<td>b<tr><td>c<table><tr><td>d</table></table>").tables[0] == [["a", "b"], []]
     assert html.parsed("<table><thead><tr><th>a<tbody><tr><td>b<td>c</table><p>d").tables == [[["a"], ["b", "c"]]]
-    assert texts("<div><table><tr><td></div></p>x</table></div><p>y") == [("", "y")]
+    assert texts("<div><table><tr><td></div></p>x</table></div><p>y") == [("", "Table:\nx\ny")]
+    assert texts("<h1>A</h1><p>b<table><tr><td>c<td>d<tr><th><th></table><p>e<table></table>") == [("A", "b\nTable:\nc | d\ne")]
 
 
 def test_tolerant_scan(spark):

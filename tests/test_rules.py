@@ -112,3 +112,22 @@ def test_field_sensitivity_scores_one_by_one(spark, sf_dir):
     for name, ranks in zip(plans._FIELDS[1:], top[1:], strict=True):
         both = ranks.keys() & top[0].keys()
         assert got[name][0] == len(both) and got[name][1] == pytest.approx(sum(abs(ranks[i] - top[0][i]) for i in both) / len(both) / 25 if both else 1.0, abs=1e-4)
+
+
+def test_words_are_found_as_by_their_patterns(spark):
+    """Whole-word signals are looked up in a set of words; the patterns themselves, case taken off ASCII letters alone, say the same."""
+    import random
+    import re
+
+    from factloom.functions import rules as R
+    from pyspark.sql import functions as F
+
+    rng = random.Random(3)
+    parts = ["implemented", "Deployed", "IMPROVED", "roi", "ROIs", "results", "result", "dollars", "pre", "post_", "_team", "pilot2", "saveD", "API", "PaaS", "éroi", "roié", "workflow-", "KiK", "%", "$5", "cloud", "policy", "\n", "rolled out"]
+    texts = ["".join(rng.choice(parts) + rng.choice([" ", "", ".", "-", " "]) for _ in range(rng.randint(0, 12))) for _ in range(300)] + ["", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for group, (cased, patterns) in R.SIGNALS.items():
+        got = {r["i"]: r["n"] for r in df.select("i", R.signals(F.col("t"), group).alias("n")).collect()}
+        for i, t in enumerate(texts):
+            want = None if t is None else sum(bool(re.search(p, t, re.A if cased else re.A | re.I)) for p in patterns)
+            assert got[i] == want, (group, t)

@@ -55,3 +55,21 @@ def test_the_index_meets_few_keywords(spark):
     values = spark.createDataFrame([(f"a common {i:04} thing",) for i in range(0, 1000, 50)], "key string")
     got = V.found(values, keywords).collect()
     assert sorted(r["keyword"] for r in got) == [f"common {i:04}" for i in range(0, 1000, 50)] and all(r["at"] == 3 for r in got)
+
+
+def test_claims_are_located_as_by_a_loop(spark):
+    from factloom.operators import linking
+    from pyspark.sql import functions as F
+
+    rng = random.Random(6)
+    text = lambda n: "".join(rng.choice("ab c") for _ in range(n))
+    docs = [(d, k, text(rng.choice([0, 5, 60]))) for d in range(40) for k in range(3)]
+    claims = [(i, t[3:3 + rng.choice([2, 8, 20])]) for i, (_, _, t) in enumerate(docs[::4]) if len(t) > 20] + [(900, "abab"), (901, "not there at all")]
+    sections = spark.createDataFrame(docs, "doc_id int, number int, key string").withColumn("digest", F.sha2("key", 256))
+    got = {(r["item_id"], r["doc_id"]): r["number"] for r in linking.located(sections, spark.createDataFrame(claims, "item_id int, claim string")).collect()}
+    want = {}
+    for i, c in claims:
+        for d, k, t in docs:
+            if c in t:
+                want.setdefault((i, d), k)
+    assert got == want
