@@ -95,3 +95,30 @@ def decide(assessments: DataFrame, id_col: str, top: int = 3) -> DataFrame:
     scored = scores(against_families(assessments), id_col)
     w = Window.partitionBy(id_col).orderBy(F.desc("score"), "family")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+
+
+# The score below which no family is advised.
+CONFIDENT = 0.4
+
+
+def insufficient(constraint: Column, volume: Column, best: Column) -> Column:
+    """Why a decision should wait, the first reason that holds, or proceed."""
+    return F.when(constraint == "unknown", "constraint_unknown").when(F.coalesce(volume, F.lit(0)) == 0, "volume_unknown").when(best < CONFIDENT, "low_confidence").otherwise("proceed")
+
+
+def outcome_votes(rows: DataFrame, group: str, top: int = 5, examples: int = 3) -> DataFrame:
+    """(group, metric, occurrences, rank, examples): the commonest outcomes of each group.
+
+    rows: (group, organization_name, line, order, first). An outcome's key is
+    what stands before the colon of its line, or the line's first 30
+    characters. Of equally common ones the one seen first leads; examples are
+    the first lines in the order given, and no group's lines are collected.
+    """
+    key = F.when(F.contains("line", F.lit(":")), F.trim(F.split("line", ":")[0])).otherwise(F.substring("line", 1, 30))
+    keyed = rows.withColumn("metric", key)
+    counts = keyed.groupBy(group, "metric").agg(F.count("*").alias("occurrences"), F.min("first").alias("first"))
+    place = lambda by, *order: F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    best = counts.withColumn("rank", place([group], F.desc("occurrences"), "first", "metric")).where(F.col("rank") <= top)
+    few = keyed.withColumn("x", place([group, "metric"], "order")).where(F.col("x") <= examples)
+    told = few.groupBy(group, "metric").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x", F.concat_ws(" ", "organization_name", "line").alias("t")))), lambda e: e["t"]), "; ").alias("examples"))
+    return best.join(told, [group, "metric"]).select(group, "metric", "occurrences", "rank", "examples")

@@ -71,3 +71,12 @@ def metric_status(baseline: Column, target: Column, current: Column) -> Column:
     done = F.when(target >= baseline, current >= target).otherwise(current <= target)
     half = F.when(target >= baseline, current >= baseline + (target - baseline) / 2.0).otherwise(current <= baseline + (target - baseline) / 2.0)
     return F.when(done, "achieved").when(half, "on_track").otherwise("below_target")
+
+
+def broken_invariant(build: Column, saving: Column, operating: Column, payback: Column, roi: Column) -> Column:
+    """Which figure doesn't follow from the others: payback (months, off by more than one), roi (over three years, off by more than one), or consistent."""
+    net = saving - operating
+    months = F.abs(F.try_divide(build, net) * 12 - payback) > 1
+    times = F.abs(F.try_divide(3 * net - build, build) - roi) > 1
+    known = (build > 0) & (net > 0) & (payback != 0)
+    return F.when(F.coalesce(known & months, F.lit(False)), "payback").when(F.coalesce((build > 0) & (roi != 0) & times, F.lit(False)), "roi").otherwise("consistent")

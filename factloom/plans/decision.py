@@ -33,11 +33,15 @@ _DIM = {
   r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, family) AS rank FROM s) SELECT id, family, score, unsuited, rank FROM r WHERE rank <= 3""")
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three best intervention families for each record's situation."""
+    return D.decide(assessments(spark, sf_dir), "id")
+
+
+def assessments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A situation for each record."""
     i, c = F.col("id"), records(spark, sf_dir).select("id")
     names = ["capacity", "errors", "speed", "cost", "compliance", "unknown"]
     tenth = lambda m: (i % m) / F.lit(10.0)
-    a = c.select(
+    return c.select(
         "id", F.element_at(F.array(*map(F.lit, names)), (i % 6 + 1).cast("int")).alias("constraint"), F.when(i % 9 != 0, (i * 7919) % 900000).alias("volume"), tenth(9).alias("exception_rate"), (0.3 + tenth(4)).alias("stability"), (0.3 + tenth(7)).alias("risk_level"),
         ((i % 50) * 5000).cast("double").alias("budget"), (i % 30 + 2).cast("double").alias("weeks"), tenth(10).alias("urgency"), (0.3 + tenth(6)).alias("readiness"), F.when(i % 5 != 0, tenth(11)).alias("evidence"),
     )
-    return D.decide(a, "id")
