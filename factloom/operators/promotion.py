@@ -37,17 +37,18 @@ def source_types(missing: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(missing, lambda m: F.coalesce(F.try_element_at(table, m), F.array().cast("array<string>")))))
 
 
-def gaps(records: DataFrame, demand: Mapping[str, float]) -> DataFrame:
-    """Gaps of (workflow, function) categories against the targets: counts, coverage, gap, demand, need. The first three parts of a gap may be below 0."""
+def gaps(records: DataFrame, demand: Mapping[str, float], targets: Mapping[str, int] | None = None) -> DataFrame:
+    """Gaps of (workflow, function) categories against the targets: counts, coverage, gap, demand, need. The first three parts of a gap may be below 0. targets: records of each kind that a category should have."""
+    targets = targets or LEAST
     c = F.col
     wf, fn = F.coalesce(F.nullif("workflow", F.lit("")), F.lit("unknown_workflow")), F.coalesce(F.nullif("business_function", F.lit("")), F.lit("operations"))
     g = records.where("workflow <> '' OR business_function <> ''").groupBy(wf.alias("workflow"), fn.alias("business_function"))
     g = g.agg(F.count("*").alias("total"), F.count_if(c("level") == "gold").alias("gold"), F.count_if(c("level") == "silver").alias("silver"), *(F.avg((F.trim(f) != "").cast("double")).alias(f) for f in SOURCES))
-    short = lambda n: F.least(F.lit(1.0), (F.lit(LEAST[n]) - c(n)) / LEAST[n])
-    parts = [*(short(n) for n in LEAST), *(F.greatest(F.lit(0.0), (COVERAGE_TARGET - c(f)) / COVERAGE_TARGET) for f in SOURCES)]
+    short = lambda n: F.least(F.lit(1.0), (F.lit(targets[n]) - c(n)) / targets[n])
+    parts = [*(short(n) for n in targets), *(F.greatest(F.lit(0.0), (COVERAGE_TARGET - c(f)) / COVERAGE_TARGET) for f in SOURCES)]
     asked = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in demand.items() for x in kv)), c("workflow")), F.lit(0.4))
     missing = F.array_compact(F.array(*(F.when(c(f) < COVERAGE_TARGET, F.lit(f)) for f in SOURCES)))
-    need = F.greatest(F.lit(0), LEAST["total"] - c("total")) + F.greatest(F.lit(0), LEAST["gold"] - c("gold"))
+    need = F.greatest(F.lit(0), targets["total"] - c("total")) + F.greatest(F.lit(0), targets["gold"] - c("gold"))
     g = g.withColumn("gap", sum(parts[1:], parts[0]) / len(parts)).withColumn("demand", asked).withColumn("missing", missing)
     return g.select("workflow", "business_function", "total", "gold", "silver", half_up(c("gap"), 4).alias("gap"), "demand", half_up(c("gap") * c("demand"), 4).alias("impact"), need.alias("need"), "missing", source_types(c("missing")).alias("sources"))
 

@@ -117,7 +117,7 @@ def inferred_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CLAIMS = {"rollout_strategy": "The rollout saved", "success_criteria": "Costs were reduced by", "lessons_learned": "It failed because the data was not ready in time. And so on, at length", "implementation_pattern": "early training of all agents", "workflow": "hr"}
 
 
-@query(f"""WITH c AS (SELECT id, story, unnest([{', '.join(f"{{'field': '{k}', 'value': {_q(v)}}}" for k, v in _CLAIMS.items())}]) AS c FROM stories WHERE id % 3 = 0),
+@query(f"""WITH c AS (SELECT id, story, unnest([{', '.join(f"{{'field': '{k}', 'value': {_q(v)}}}" for k, v in _CLAIMS.items())}]) AS c FROM stories),
   l AS (SELECT id, c.field AS field, c.value AS value, story, instr(lower(story), lower(c.value[1:50])) AS pos FROM c WHERE length(trim(c.value)) >= 5),
   p AS (SELECT id, field, CASE WHEN pos > 0 THEN substr(story, greatest(pos - 100, 1), least(pos - 1, 100) + length(value[1:50]) + 200) ELSE '' END AS context FROM l)
   SELECT id, CASE WHEN count(*) FILTER (length(context) > 20) >= 4 THEN 'rich' WHEN count(*) FILTER (length(context) > 20) >= 2 THEN 'usable' ELSE 'thin' END AS richness, string_agg(field, ',' ORDER BY field) FILTER (length(context) > 20) AS fields, CAST(sum(length(context)) AS BIGINT) AS context_chars FROM p GROUP BY id""")
@@ -127,7 +127,7 @@ def field_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     searched = F.substring("c.value", 1, 50)
     at = F.call_function("instr", F.lower("story"), F.lower(searched))
     context = F.when(at > 0, F.substring(F.col("story"), F.greatest(at - 100, F.lit(1)), F.least(at - 1, F.lit(100)) + F.length(searched) + 200)).otherwise("")
-    rows = stories(spark, sf_dir).where("id % 3 = 0").select("id", "story", F.explode(claims).alias("c")).select("id", "c.field", context.alias("context"))
+    rows = stories(spark, sf_dir).select("id", "story", F.explode(claims).alias("c")).select("id", "c.field", context.alias("context"))
     named = F.when(F.length("context") > 20, F.col("field"))
     n = F.count(named)
     return rows.groupBy("id").agg(

@@ -125,12 +125,12 @@ def public_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return full.select(P.public(F.col("r")).alias("r")).select("r.*")
 
 
-_X = "SELECT r.id, organization_name, business_function AS problem, workflow AS title, richness, list({'n': metric_name, 'b': baseline_value, 'p': post_value, 'd': absolute_change} ORDER BY seq, partkey, suppkey) FILTER (m.record_id IS NOT NULL) AS outcomes FROM records r LEFT JOIN metrics m ON m.record_id = r.id AND m.seq % 2 = 1 GROUP BY ALL"
+_X = "SELECT r.id, organization_name, business_function AS problem, workflow AS title, richness, list({'n': metric_name, 'b': baseline_value, 'p': post_value, 'd': absolute_change} ORDER BY seq, partkey, suppkey) FILTER (m.record_id IS NOT NULL) AS outcomes FROM records r LEFT JOIN metrics m ON m.record_id = r.id GROUP BY ALL"
 _DECISION = """CASE WHEN organization_name = '' OR problem = '' OR title = '' OR outcomes IS NULL THEN 'quarantine: missing_required_fields' WHEN len(list_filter(outcomes, lambda x: coalesce(x.b, 0) <> 0 AND coalesce(x.p, 0) <> 0 AND x.d IS NOT NULL AND abs(x.b - x.p) <> abs(x.d))) > 0 THEN 'quarantine: contradictory_fields' ELSE 'accept: all_checks_passed' END"""
 
 
 def _extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = metrics(spark, sf_dir).where("seq % 2 = 1").groupBy(F.col("record_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct("seq", "partkey", "suppkey", "metric_name", "baseline_value", "post_value", "absolute_change"))).alias("outcomes"))
+    m = metrics(spark, sf_dir).groupBy(F.col("record_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct("seq", "partkey", "suppkey", "metric_name", "baseline_value", "post_value", "absolute_change"))).alias("outcomes"))
     return records(spark, sf_dir).select("id", "organization_name", F.col("business_function").alias("problem"), F.col("workflow").alias("title")).join(m, "id", "left")
 
 

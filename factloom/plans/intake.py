@@ -12,13 +12,13 @@ from factloom.sources import seeds as S
 from factloom.sources.tables import metrics, notes, records
 
 
-@query("""WITH f AS (SELECT id, unnest([""" + ", ".join(_flag_sql(*f) for f in R.FLAGS) + """]) AS flag FROM notes WHERE id % 4 = 0) SELECT 'records' AS output, count(*) AS n FROM records WHERE id % 4 = 0 UNION ALL SELECT 'metrics', count(*) FROM metrics WHERE record_id % 4 = 0
-  UNION ALL SELECT 'passages', count(*) FROM (SELECT unnest(string_split(note, '. ')) AS p FROM notes WHERE id % 4 = 0) WHERE trim(p) <> '' UNION ALL SELECT 'flags', count(*) FROM f WHERE flag IS NOT NULL""")
+@query("""WITH f AS (SELECT id, unnest([""" + ", ".join(_flag_sql(*f) for f in R.FLAGS) + """]) AS flag FROM notes) SELECT 'records' AS output, count(*) AS n FROM records UNION ALL SELECT 'metrics', count(*) FROM metrics
+  UNION ALL SELECT 'passages', count(*) FROM (SELECT unnest(string_split(note, '. ')) AS p FROM notes) WHERE trim(p) <> '' UNION ALL SELECT 'flags', count(*) FROM f WHERE flag IS NOT NULL""")
 def extraction_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many rows of each table nested extractions give."""
     m = metrics(spark, sf_dir).groupBy(F.col("record_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct("partkey", "suppkey", "metric_name", "percentage_change"))).alias("metrics"))
     n = notes(spark, sf_dir).select("id", F.split("note", r"\. ").alias("passages"), R.quality_flags(F.col("note")).alias("flags"))
-    nested = records(spark, sf_dir).where("id % 4 = 0").select("id", "organization_name", F.col("workflow").alias("title")).join(n, "id").join(m, "id", "left")
+    nested = records(spark, sf_dir).select("id", "organization_name", F.col("workflow").alias("title")).join(n, "id").join(m, "id", "left")
     counts = [df.agg(F.lit(name).alias("output"), F.count("*").alias("n")) for name, df in S.fan_out(nested).items()]
     out = counts[0]
     for c in counts[1:]:

@@ -12,16 +12,18 @@ from factloom.plans.coverage import DEMAND, _R
 from factloom.sources.tables import metrics, notes, records, table
 
 _LEVEL = "CASE id % 6 WHEN 0 THEN 'gold' WHEN 1 THEN 'silver' ELSE 'bronze' END"
+#: What a category of these tables should have.
+TARGETS = {"total": 300, "gold": 40, "silver": 60}
 _FIELDS = ["rollout_strategy", "success_criteria", "lessons_learned", "implementation_pattern"]
 _SOURCE_SQL = {"rollout_strategy": "['case_study', 'implementation_guide']", "success_criteria": "['case_study', 'report']", "lessons_learned": "['postmortem', 'case_study']", "implementation_pattern": "['implementation_guide', 'whitepaper']"}
 _G = f"""g AS (SELECT coalesce(nullif(workflow, ''), 'unknown_workflow') AS workflow, coalesce(nullif(business_function, ''), 'operations') AS business_function, count(*) AS total, count(*) FILTER ({_LEVEL} = 'gold') AS gold, count(*) FILTER ({_LEVEL} = 'silver') AS silver, {', '.join(f"avg(CAST(trim({f}) <> '' AS DOUBLE)) AS {f}" for f in _FIELDS)}
-  FROM records WHERE (workflow <> '' OR business_function <> '') AND id % 50 < 2 GROUP BY 1, 2), s AS (SELECT *, (least(1.0, (5 - total) / 5) + least(1.0, (1 - gold) / 1) + least(1.0, (3 - silver) / 3) + {' + '.join(f'greatest(0.0, (0.5 - {f}) / 0.5)' for f in _FIELDS)}) / 7 AS gap0,
+  FROM records WHERE (workflow <> '' OR business_function <> '') GROUP BY 1, 2), s AS (SELECT *, (least(1.0, ({TARGETS['total']} - total) / {TARGETS['total']}) + least(1.0, ({TARGETS['gold']} - gold) / {TARGETS['gold']}) + least(1.0, ({TARGETS['silver']} - silver) / {TARGETS['silver']}) + {' + '.join(f'greatest(0.0, (0.5 - {f}) / 0.5)' for f in _FIELDS)}) / 7 AS gap0,
   CASE workflow {' '.join(f"WHEN '{k}' THEN {v}" for k, v in DEMAND.items())} ELSE 0.4 END AS demand, list_filter([{', '.join(f"CASE WHEN {f} < 0.5 THEN '{f}' END" for f in _FIELDS)}], lambda x: x IS NOT NULL) AS missing FROM g),
-  gaps AS (SELECT workflow, business_function, total, gold, silver, {_R('gap0', 4)} AS gap, demand, {_R('gap0 * demand', 4)} AS impact, greatest(0, 5 - total) + greatest(0, 1 - gold) AS need, missing FROM s)"""
+  gaps AS (SELECT workflow, business_function, total, gold, silver, {_R('gap0', 4)} AS gap, demand, {_R('gap0 * demand', 4)} AS impact, greatest(0, {TARGETS['total']} - total) + greatest(0, {TARGETS['gold']} - gold) AS need, missing FROM s)"""
 
 
 def _gap_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.gaps(records(spark, sf_dir).where("id % 50 < 2").withColumn("level", F.expr(_LEVEL)), DEMAND)
+    return P.gaps(records(spark, sf_dir).withColumn("level", F.expr(_LEVEL)), DEMAND, TARGETS)
 
 
 def _join_sources() -> str:
@@ -31,14 +33,14 @@ def _join_sources() -> str:
 
 @query(f"WITH {_G} SELECT workflow, business_function, total, gold, silver, gap, demand, impact, need, array_to_string(missing, ',') AS missing, {_join_sources()} AS sources FROM gaps")
 def category_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gaps of categories by the older rule, and the kinds of sources that could fill them (of two records in fifty, so that there are gaps)."""
+    """Gaps of categories by the older rule, and the kinds of sources that could fill them."""
     return _gap_rows(spark, sf_dir).withColumns({"missing": F.array_join("missing", ","), "sources": F.array_join("sources", ",")})
 
 
-@query(f"""WITH {_G}, p AS (SELECT *, sum(need) OVER (ORDER BY impact DESC, workflow, business_function ROWS UNBOUNDED PRECEDING) AS spent FROM gaps WHERE need > 0) SELECT workflow, business_function, CAST(need AS BIGINT) AS need, CAST(spent AS BIGINT) AS spent, {_R('greatest(0.0, 1 - gap)', 3)} AS before FROM p WHERE spent <= 40""")
+@query(f"""WITH {_G}, p AS (SELECT *, sum(need) OVER (ORDER BY impact DESC, workflow, business_function ROWS UNBOUNDED PRECEDING) AS spent FROM gaps WHERE need > 0) SELECT workflow, business_function, CAST(need AS BIGINT) AS need, CAST(spent AS BIGINT) AS spent, {_R('greatest(0.0, 1 - gap)', 3)} AS before FROM p WHERE spent <= 4000""")
 def campaign_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a campaign of 40 records goes after, and where each category begins."""
-    return P.campaigns(_gap_rows(spark, sf_dir), 40)
+    """What a campaign of 4,000 records goes after, and where each category begins."""
+    return P.campaigns(_gap_rows(spark, sf_dir), 4000)
 
 
 @query(f"""WITH {_G} SELECT workflow, business_function, total AS total_records, gold, silver, total - gold - silver AS bronze, gap AS gap_score, need AS estimated_records_needed FROM gaps""")

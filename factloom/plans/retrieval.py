@@ -219,7 +219,7 @@ def keyword_demand(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_TIERED}, p AS (SELECT workflow, count(*) FILTER (business_function <> '') AS problem, count(*) FILTER (rollout_strategy <> '') AS intervention, count(DISTINCT nullif(lower(organization_name), '')) AS organizations, count(*) FILTER (richness = 'rich') AS implementation, count(DISTINCT nullif(implementation_pattern, '')) AS patterns,
-  count(*) FILTER (n_metrics > 0) AS outcome, count(*) FILTER (quantified) AS metrics, count(*) FILTER (vendor_reported) AS risks, count(*) FILTER (result_status IN ('failed', 'abandoned')) AS failed, count(*) FILTER (tier = 'gold') AS gold, count(*) FILTER (tier = 'decision_grade') AS silver, {_R('avg(points) * 10', 2)} AS confidence FROM tiered WHERE id % 900 < 7 GROUP BY workflow),
+  count(*) FILTER (n_metrics > 0) AS outcome, count(*) FILTER (quantified) AS metrics, count(*) FILTER (vendor_reported) AS risks, count(*) FILTER (result_status IN ('failed', 'abandoned')) AS failed, count(*) FILTER (tier = 'gold') AS gold, count(*) FILTER (tier = 'decision_grade') AS silver, {_R('avg(points) * 10', 2)} AS confidence FROM tiered GROUP BY workflow),
   a AS (SELECT *, CASE WHEN implementation >= 2 AND patterns > 0 THEN implementation ELSE 0 END AS told, CAST(gold = 0 AS INT) + CAST(silver = 0 AS INT) + CAST(implementation = 0 AS INT) + CAST(confidence < 40 AS INT) AS changes FROM p),
   l AS (SELECT *, [{{'question': 'Why this problem?', 'evidence': problem, 'level': CASE WHEN problem = 0 THEN 'unavailable' WHEN problem >= 5 THEN 'high' WHEN problem >= 2 THEN 'medium' ELSE 'low' END}}, {{'question': 'Why this intervention?', 'evidence': intervention, 'level': CASE WHEN intervention = 0 THEN 'unavailable' WHEN intervention >= 5 THEN 'high' WHEN intervention >= 3 THEN 'medium' ELSE 'low' END}},
   {{'question': 'Who else solved it?', 'evidence': organizations, 'level': CASE WHEN organizations >= 5 THEN 'high' WHEN organizations >= 1 THEN 'low' ELSE 'unavailable' END}}, {{'question': 'How did they implement it?', 'evidence': told, 'level': CASE WHEN told > 0 THEN 'high' ELSE 'unavailable' END}}, {{'question': 'What outcomes did they achieve?', 'evidence': outcome, 'level': CASE WHEN outcome = 0 THEN 'unavailable' WHEN outcome >= 3 THEN 'high' ELSE 'medium' END}},
@@ -227,9 +227,9 @@ def keyword_demand(spark: SparkSession, sf_dir: str) -> DataFrame:
   g AS (SELECT *, len(list_filter(answers, lambda x: x.level = 'unavailable')) + CAST(confidence < 40 AS INT) + CAST(gold = 0 AND silver = 0 AS INT) + CAST(implementation = 0 AS INT) AS gaps FROM l)
   SELECT workflow, unnest(answers, recursive := true), CAST(gaps AS INT) AS gaps, gaps <= 2 AND confidence >= 40 AS can_defend FROM g""")
 def defensibility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How well a recommendation for each workflow answers eight questions (from seven records in nine hundred, so that some can't)."""
+    """How well a recommendation for each workflow answers eight questions."""
     c, n = F.col, F.count_if
-    t = tiered(spark, sf_dir).where("id % 900 < 7")
+    t = tiered(spark, sf_dir)
     p = t.groupBy("workflow").agg(
         n(c("business_function") != "").alias("problem"), n(c("rollout_strategy") != "").alias("intervention"), F.count_distinct(F.nullif(F.lower("organization_name"), F.lit(""))).alias("organizations"), n(c("richness") == "rich").alias("implementation"),
         F.count_distinct(F.nullif("implementation_pattern", F.lit(""))).alias("patterns"), n(c("n_metrics") > 0).alias("outcome"), n(c("quantified")).alias("metrics"), n(c("vendor_reported")).alias("risks"), n(c("result_status").isin("failed", "abandoned")).alias("failed"),
