@@ -149,3 +149,26 @@ def test_op9_and_op10(spark, folder):
     assert by[1007]["n_hit"] == 25
     out, by = rows(spark, "op10_token_counts", path)
     assert len(out) == len(docs) and by[1000]["n_tokens"] == 0 and by[1005]["n_tokens"] == by[3]["n_tokens"] > 0
+
+
+def test_op11_to_op13(spark, folder):
+    """The queries carry their contracts' columns over all rows; the operators are held against brute force in tests of their own."""
+    path, docs, _ = folder
+    out, _ = rows(spark, "op12_mixing", path)
+    count = lambda t: len((t or "").encode().split())
+    assert sorted((r["doc_id"], r["size"]) for r in out) == sorted((i, count(t)) for i, t, *_ in docs) and all(r["taken"] <= 3 * r["size"] for r in out)
+    total, own, taken = sum(r["size"] for r in out), Counter(), Counter()
+    source = {i: s for i, _, _, s in docs}
+    for r in out:
+        own[source[r["doc_id"]]] += r["size"]
+        taken[source[r["doc_id"]]] += r["taken"]
+    assert all(r["source_size"] == own[source[r["doc_id"]]] and abs(taken[source[r["doc_id"]]] - r["target"]) <= 0.5 for r in out) and abs(sum(taken.values()) - total) <= len(own)
+    out, by = rows(spark, "op13_resampling", path)
+    words = {i: len(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))) for i, t, *_ in docs}
+    assert {i: r["n_features"] for i, r in by.items()} == words
+    many = sum(n >= 20 for n in words.values())
+    assert sorted(r["rank"] for r in out if r["rank"]) == list(range(1, many // 10 + 1)) and all(words[r["doc_id"]] >= 20 for r in out if r["rank"])
+    out = [r.asDict() for r in queries.QUERIES["op11_divergence"](spark, path).collect()]
+    sources = {((lang or ""), (s or "")) for _, _, lang, s in docs}
+    pairs = {(r["lang"], r["source"], r["item"]) for r in out if r["part"] == "pair"}
+    assert pairs == {(a, s, t) for a, s in sources for b, t in sources if a == b and s != t} and list(out[0]) == ["lang", "source", "part", "item", "value", "rank"]
