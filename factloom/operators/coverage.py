@@ -113,14 +113,14 @@ def top_absent(pairs: DataFrame, group: str, value: str, pool: int = 50, most: i
     return present.select(group, F.array_join(F.slice(F.array_except(ranked.scalar(), F.col("present")), 1, most), ",").alias("absent"))
 
 
-def positions(values: DataFrame, key: str, value: str, parts: int = 64) -> DataFrame:
-    """(key, value, c, lo, n): each distinct value of a key, how often it occurs, how many of the key's n values are smaller.
+def positions(values: DataFrame, key: str, value: str, parts: int = 64, weight: str | None = None) -> DataFrame:
+    """(key, value, c, lo, n): each distinct value of a key, how often it occurs (a row counts `weight` times, once if not given), how many of the key's n values are smaller.
 
     Equal values are counted before they are moved, and a key's distinct values
     are ranked in `parts` ranges of about equal size, so that no key's values
     meet in one task, however many it has.
     """
-    counts = values.groupBy(key, value).agg(F.count("*").alias("c"))
+    counts = values.groupBy(key, value).agg((F.sum(weight) if weight else F.count("*")).alias("c"))
     splits = counts.groupBy(key).agg(F.percentile_approx(value, [i / parts for i in range(1, parts)], 1000).alias("splits"), F.sum("c").alias("n"))
     placed = counts.join(splits, key).withColumn("part", F.size(F.filter("splits", lambda s: s < F.col(value)))).drop("splits")
     cells = placed.groupBy(key, "part").agg(F.sum("c").alias("m"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions.rules import blank, half_up
 from factloom.operators import coverage as C
+from factloom.operators import spans as S
 from factloom.operators.incremental import GapReport
 from factloom.plans.catalog import query
 from factloom.sources.tables import metrics, records, saved, shared_root, table
@@ -248,3 +249,21 @@ def gold_set_prf(spark: SparkSession, sf_dir: str) -> DataFrame:
 def progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of successful records by industry."""
     return records(spark, sf_dir).groupBy("industry").agg(half_up(100 * F.count_if(F.col("result_status") == "successful") / F.count("*"), 1).alias("progress"), F.count("*").alias("n"))
+
+
+@query("""WITH e AS (SELECT CAST(ts AS DATE) AS d, event_type, value FROM events), s AS (SELECT DISTINCT d AS last FROM e),
+  j AS (SELECT last, event_type, value, row_number() OVER (PARTITION BY last, event_type ORDER BY value) - 1 AS k, count(*) OVER (PARTITION BY last, event_type) AS n
+    FROM s JOIN e ON e.d BETWEEN s.last - 6 AND s.last)
+  SELECT CAST(last AS VARCHAR) AS week_to, event_type, n, max(value) FILTER (k = CAST(floor(n * 0.5::DOUBLE) AS BIGINT)) AS p50,
+    max(value) FILTER (k = CAST(floor(n * 0.95::DOUBLE) AS BIGINT)) AS p95, max(value) FILTER (k = CAST(floor(n * 0.99::DOUBLE) AS BIGINT)) AS p99
+  FROM j GROUP BY ALL""")
+def span_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values at the positions n/2, 0.95 n and 0.99 n of each week that ends on a day with events, by type."""
+    e = table(spark, sf_dir, "events", "ts", "event_type", "value").withColumn("day", F.to_date("ts"))
+    days = saved(S.by_day(e, "event_type", "day", "value"))
+    ends = days.select("day").distinct()
+    weeks = ends.select(F.col("day").cast("string").alias("span"), F.date_sub("day", 6).alias("first"), F.col("day").alias("last"))
+    shares = (0.5, 0.95, 0.99)
+    found = S.percentiles(e, days, weeks, list(shares), "event_type", "day", "value")
+    values = [F.max(F.when(F.col("share") == p, F.col("value"))).alias(f"p{round(p * 100)}") for p in shares]
+    return found.groupBy(F.col("span").alias("week_to"), F.col("key").alias("event_type"), "n").agg(*values)

@@ -9,7 +9,8 @@ from factloom.functions import rules as R
 from factloom.plans.catalog import query
 from factloom.plans.extraction import _flag_sql
 from factloom.sources import seeds as S
-from factloom.sources.tables import metrics, notes, records
+from factloom.sources import variants as V
+from factloom.sources.tables import metrics, notes, records, table
 
 
 @query("""WITH f AS (SELECT id, unnest([""" + ", ".join(_flag_sql(*f) for f in R.FLAGS) + """]) AS flag FROM notes) SELECT 'records' AS output, count(*) AS n FROM records UNION ALL SELECT 'metrics', count(*) FROM metrics
@@ -37,3 +38,26 @@ def profile_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ("workflow", "industry", "geography", "employee_count")
     p = p.select("id", F.struct(*(F.try_element_at("p", F.lit(n)).alias(n) for n in names)).alias("p"))
     return p.select("id", *(c.alias(n) for n, c in S.asked(F.col("p")).items()))
+
+
+#: What the events' properties look like once three releases have written them: with more keys, as bare text, or not at all.
+_PROPS = """CASE event_id % 6 WHEN 0 THEN 'k=' || CAST(event_id % 7 AS VARCHAR(9)) WHEN 1 THEN '{"k": "' || event_type || '", "at": {"user": ' || CAST(user_id AS VARCHAR(19)) || ', "tags": ["a", 1, null]}}'
+  WHEN 2 THEN '{"k": 0.5, "on": true}' WHEN 3 THEN NULL ELSE props END"""
+
+
+@query(f"""WITH t AS (SELECT {_PROPS} AS p FROM events), j AS (SELECT CASE WHEN json_valid(p) THEN CAST(p AS JSON) ELSE to_json(p) END AS v FROM t),
+  d AS (SELECT regexp_replace(x.fullkey, '\\[[0-9]+\\]', '[]', 'g') AS path, x.type AS kind FROM j, json_tree(j.v) x WHERE j.v IS NOT NULL UNION ALL SELECT '$', 'MISSING' FROM j WHERE v IS NULL),
+  n AS (SELECT path, CASE kind WHEN 'VARCHAR' THEN 'STRING' WHEN 'UBIGINT' THEN 'BIGINT' WHEN 'DOUBLE' THEN 'DECIMAL' WHEN 'NULL' THEN 'VOID' ELSE kind END AS type, count(*) AS n FROM d GROUP BY ALL)
+  SELECT *, CASE WHEN path NOT IN ('$', '$.k') THEN 'new' ELSE 'type' END AS reason FROM n WHERE NOT (path = '$' AND type = 'OBJECT') AND NOT (path = '$.k' AND type = 'BIGINT')""")
+def props_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys and types of the events' properties that aren't those of the first release."""
+    e = table(spark, sf_dir, "events", "event_id", "event_type", "user_id", "props").select(V.opened(F.expr(_PROPS)).alias("v"))
+    return V.unexpected(V.drift(e, "v"), {"$": "OBJECT", "$.k": "BIGINT"})
+
+
+@query(f"""WITH t AS (SELECT event_id, {_PROPS} AS p FROM events), j AS (SELECT event_id, CASE WHEN json_valid(p) THEN CAST(p AS JSON) END AS v FROM t)
+  SELECT event_id, coalesce(TRY_CAST(v ->> '$.k' AS DOUBLE), -1.0) AS k, coalesce(TRY_CAST(v ->> '$.on' AS BOOLEAN), false) AS "on" FROM j""")
+def props_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two keys of the events' properties, with defaults."""
+    e = table(spark, sf_dir, "events", "event_id", "event_type", "user_id", "props").select("event_id", V.opened(F.expr(_PROPS)).alias("v"))
+    return V.picked(e, "v", {"k": ("double", -1.0), "on": ("boolean", False)}).drop("v")

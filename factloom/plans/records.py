@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.rules import half_up
+from factloom.operators import entities as E
 from factloom.operators import records as O
 from factloom.plans.catalog import query
 from factloom.plans.coverage import _GAPS, _R, _TIERED, _gaps, tiered
@@ -116,3 +117,28 @@ def weight_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = r.where("shift = 0").select("id", F.col("k").alias("k0"))
     g = r.where("shift <> 0").join(base, "id", "left").groupBy("shift").agg(F.count("k0").alias("common"), F.sum(F.abs(F.col("k") - F.col("k0"))).alias("d"))
     return g.select("shift", "common", half_up(F.coalesce(F.try_divide(F.col("d"), "common") / 25, F.lit(1.0)), 4).alias("moved"))
+
+
+_ENTITIES = r"""WITH RECURSIVE m AS (SELECT page_id AS id, trim(regexp_replace(lower(coalesce(regexp_extract(html, '<title[^>]*>([^<]*)</title>', 1, 'i'), '')), '[^\p{L}\p{M}\p{N}]+', ' ', 'g')) AS name,
+    coalesce(regexp_extract(lower(url), '^https?://(?:[^/:?#]*\.)?([^./:?#]+\.example\.[a-z]+)', 1), '') AS domain FROM pages),
+  w AS (SELECT *, string_split(name, ' ') AS words FROM m),
+  k AS (SELECT * FROM (SELECT id, 0 AS kind, name AS value FROM w UNION ALL SELECT id, 1, domain FROM w
+    UNION ALL SELECT id, 2, array_to_string(words[1:4], ' ') FROM w WHERE len(words) > 4) WHERE value <> ''),
+  e AS (SELECT DISTINCT a.id AS a, b.id AS b FROM k a JOIN k b USING (kind, value)),
+  r AS (SELECT id, id AS root FROM m UNION SELECT e.b, r.root FROM r JOIN e ON r.id = e.a),
+  c AS (SELECT id, min(root) AS entity FROM r GROUP BY 1),
+  n AS (SELECT entity, name, count(*) AS c FROM c JOIN m USING (id) GROUP BY 1, 2),
+  t AS (SELECT entity, name AS canonical, sum(c) OVER (PARTITION BY entity) AS size, row_number() OVER (PARTITION BY entity ORDER BY name = '', c DESC, length(name), name) AS place FROM n),
+  b AS (SELECT DISTINCT k.kind, k.value FROM k JOIN m USING (id) JOIN c USING (id) JOIN t USING (entity) WHERE place = 1 AND name = canonical),
+  v AS (SELECT k.id, min(kind) AS kind FROM k JOIN b USING (kind, value) GROUP BY 1)
+  SELECT m.id, name, entity, canonical, CASE WHEN name = canonical THEN 'itself' ELSE coalesce(['name', 'domain', 'beginning'][v.kind + 1], 'chain') END AS via, CAST(size AS BIGINT) AS size
+  FROM m JOIN c USING (id) JOIN t USING (entity) LEFT JOIN v ON m.id = v.id WHERE place = 1"""
+
+
+@query(_ENTITIES)
+def organization_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whose pages are whose: by the same title, the same domain, or titles that begin alike, along chains."""
+    title = F.regexp_extract("html", "(?i)<title[^>]*>([^<]*)</title>", 1)
+    domain = F.regexp_extract(F.lower("url"), r"^https?://(?:[^/:?#]*\.)?([^./:?#]+\.example\.[a-z]+)", 1)
+    p = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), E.plain_name(title).alias("name"), domain.alias("domain"))
+    return E.entities(p, {"name": F.col("name"), "domain": F.col("domain"), "beginning": E.beginning(F.col("name"), 4)})
