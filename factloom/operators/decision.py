@@ -82,12 +82,94 @@ def against_families(assessments: DataFrame) -> DataFrame:
     return rows.withColumn("weights", profile)
 
 
-def scores(rows: DataFrame, *keep: str) -> DataFrame:
-    """(keep, family, score, unsuited) of rows from against_families."""
-    fits = dimensions()
+def scores(rows: DataFrame, *keep: str, fits: dict[str, Column] | None = None, reasons: Column | None = None) -> DataFrame:
+    """(keep, family, score, unsuited) of rows from against_families, by dimensions() if no others are given."""
+    fits = fits or dimensions()
     score = sum((fits[n] * F.col("weights")[i] for i, n in enumerate(DIMENSIONS) if i), fits[DIMENSIONS[0]] * F.col("weights")[0])
-    unsuited = F.coalesce(F.col("family").isin("AI", "Workflow_Automation") & (F.col("volume") < 6_000), F.lit(False))
-    return rows.select(*keep, "family", (F.floor(score * 1_000_000 + 0.5).cast("double") / 1_000_000).alias("score"), unsuited.alias("unsuited"))
+    if reasons is None:
+        reasons = F.coalesce(F.col("family").isin("AI", "Workflow_Automation") & (F.col("volume") < 6_000), F.lit(False))
+    return rows.select(*keep, "family", (F.floor(score * 1_000_000 + 0.5).cast("double") / 1_000_000).alias("score"), reasons.alias("unsuited"))
+
+
+# What the answers of an assessment stand for. Of the words, the first that an answer contains counts; budgets and weeks are looked up whole.
+EXCEPTION_SCORE = ([("almost no", 0.8), ("some", 0.6), ("<10", 0.6), ("10–30", 0.4), ("30%+", 0.2)], 0.3)
+EXCEPTION_RATE = ([("almost no", 0.05), ("some", 0.1), ("<10", 0.1), ("10–30", 0.2), ("30%+", 0.4), ("entire", 0.8)], 0.2)
+STABILITY = ([("stable", 0.6), ("somewhat", 0.4)], 0.3)
+RISK = ([("critical", 0.9), ("safety", 0.9), ("high", 0.7), ("significant", 0.7), ("medium", 0.5), ("noticeable", 0.5), ("low", 0.3), ("small", 0.3)], 0.5)
+URGENCY = ([("immediately", 0.9), ("30 days", 0.7), ("1–3", 0.5), ("3–6", 0.3)], 0.2)
+READINESS = ([("multiple times", 0.8), ("hourly", 0.6), ("daily", 0.5)], 0.3)
+BUDGET = ({"Under $10k": 10_000, "$10k–25k": 25_000, "$25k–50k": 50_000, "$50k–100k": 100_000, "$100k–250k": 250_000, "$250k+": 500_000}, 100_000)
+WEEKS = ({"Immediately": 2, "30 days": 4, "1–3 months": 8, "3–6 months": 16, "6–12 months": 30, "Flexible": 20}, 12)
+SMALL_BUDGETS = ["Under $10k", ""]
+#: The answers that bands are read from.
+ANSWERS = ["exception_rate", "stability", "risk", "budget", "timeline", "frequency"]
+
+
+def _by_words(answer: str, words: tuple[list[tuple[str, float]], float]) -> Column:
+    text = F.lower(F.coalesce(F.col(answer), F.lit("")))
+    return F.coalesce(*(F.when(F.contains(text, F.lit(w)), F.lit(v)) for w, v in words[0]), F.lit(words[1]))
+
+
+def _whole(answer: str, values: tuple[dict[str, float], float]) -> Column:
+    return F.coalesce(*(F.when(F.col(answer) == k, F.lit(float(v))) for k, v in values[0].items()), F.lit(float(values[1])))
+
+
+def banded(rows: DataFrame) -> DataFrame:
+    """Add what each answer (ANSWERS, text; null as empty) stands for, as columns that begin with b_; columns of such names are replaced."""
+    columns = {
+        "b_exceptions": _by_words("exception_rate", EXCEPTION_SCORE),
+        "b_rate": _by_words("exception_rate", EXCEPTION_RATE),
+        "b_stability": _by_words("stability", STABILITY),
+        "b_risk": _by_words("risk", RISK),
+        "b_budget": _whole("budget", BUDGET),
+        "b_affords": ~F.coalesce("budget", F.lit("")).isin(SMALL_BUDGETS),
+        "b_weeks": _whole("timeline", WEEKS),
+        "b_urgency": _by_words("timeline", URGENCY),
+        "b_readiness": _by_words("frequency", READINESS),
+    }
+    return rows.withColumns(columns)
+
+
+def banded_dimensions() -> dict[str, Column]:
+    """The dimensions of (assessment from banded(), family), each half up to two places where it is worked out. A volume that is null or 0 isn't known."""
+    c, one = F.col, F.lit(1.0)
+    cents = lambda x: F.floor(x * 100 + 0.5 + 1e-9).cast("double") / 100
+    affordable = F.least(one, c("b_budget") / F.greatest((c("cost_low") + c("cost_high")) / 2, one))
+    handles = F.when(c("ex_slope") < 0, F.least(one, c("b_rate") * -c("ex_slope") + c("ex_floor"))).otherwise(F.greatest(c("ex_floor"), 1.0 - c("b_rate") * c("ex_slope")))
+    volume = F.nullif(c("volume"), F.lit(0))
+    return dimensions() | {
+        "economic_fit": cents(F.greatest(F.lit(0.1), F.least(one, affordable * 0.4 + c("labour") / 100 * 0.6))),
+        "automation_potential": cents(c("b_exceptions") * 0.6 + c("b_stability") * 0.4),
+        "volume_fit": F.when(volume < 6_000, c("v1")).when(volume < 60_000, c("v2")).when(volume < 600_000, c("v3")).when(volume.isNotNull(), c("v4")).otherwise(0.5),
+        "exception_fit": cents(handles),
+        "risk": cents(F.when(c("risk_slope") > 0, F.greatest(c("risk_floor"), 1.0 - c("b_risk") * c("risk_slope"))).otherwise(c("risk_floor"))),
+        "feasibility": cents(F.when(c("b_affords") | (c("family") == "No_Action"), 0.35).otherwise(0.15) + F.least(one, c("b_weeks") / c("weeks_needed")) * 0.5),
+        "organizational_readiness": c("b_readiness"),
+        "time_to_value": cents(c("speed") * 0.6 + c("b_urgency") * 0.4),
+    }
+
+
+def contraindications() -> Column:
+    """Why a family is unsuited, joined by commas: too little volume, too many exceptions, no standard process; empty where nothing speaks against it."""
+    has = lambda name, word: F.contains(F.lower(F.coalesce(name, F.lit(""))), F.lit(word))
+    why = {
+        "very_low_volume": F.col("family").isin("AI", "Workflow_Automation") & (F.col("volume") > 0) & (F.col("volume") < 6_000),
+        "too_many_exceptions": (F.col("family") == "Workflow_Automation") & has("exception_rate", "highly variable"),
+        "not_standardized": (F.col("family") == "Software") & has("stability", "entirely manual"),
+    }
+    return F.concat_ws(",", *(F.when(hit, F.lit(name)) for name, hit in why.items()))
+
+
+def decide_by_answers(assessments: DataFrame, id_col: str, top: int = 3) -> DataFrame:
+    """(id, rank, family, score, unsuited): the best families of assessments answered in words: constraint, volume, evidence (0 to 1 or null) and ANSWERS.
+
+    Nulls count as answers not given; ids must be distinct. An assessment's
+    families are the seven of the table, so no window grows with the input.
+    """
+    rows = banded(against_families(assessments))
+    scored = scores(rows, id_col, fits=banded_dimensions(), reasons=contraindications())
+    w = Window.partitionBy(id_col).orderBy(F.desc("score"), "family")
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
 
 
 def decide(assessments: DataFrame, id_col: str, top: int = 3) -> DataFrame:
