@@ -174,3 +174,22 @@ def html_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     title = F.coalesce(F.nullif(F.trim(F.regexp_extract("html", "(?i)<title[^>]*>([^<]*)</title>", 1)), F.lit("")), F.regexp_extract("url", "([^/]*)/?$", 1))
     p = table(spark, sf_dir, "pages").withColumn("title", title)
     return p.select("page_id", F.substring(F.md5(F.concat("url", F.coalesce("title", F.lit(""))).cast("binary")), 1, 16).alias("doc_key"), F.substring(F.sha2(F.col("html").cast("binary"), 256), 1, 16).alias("content_hash"), "title")
+
+
+#: Pages with a table for each order: what its lines took before and after, a span over both headings.
+_TABLES = """<html><body><p>Results of {id}</p><table><caption>Order {id}</caption><tr><th rowspan="2">Metric</th><th colspan="2">Hours</th></tr><tr><th>before</th><th>after</th></tr>"""
+
+
+@query("""SELECT l_orderkey AS id, 'Order ' || l_orderkey AS caption, 'line ' || l_linenumber AS name, p.period, CASE p.period WHEN 'Hours before' THEN l_quantity * 1000 ELSE l_quantity END AS value,
+  CASE p.period WHEN 'Hours before' THEN 'hours' ELSE '%' END AS unit, count(*) AS n FROM lineitem, (VALUES ('Hours before'), ('Hours after')) p(period) GROUP BY ALL""")
+def html_table_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics read from a page of each order, whose table shows its lines."""
+    from factloom.sources import html_tables as H
+
+    amount = F.col("l_quantity").cast("bigint")
+    row = F.format_string("<tr><td>line %d<td>%s hours<td>%d%%</tr>", F.col("l_linenumber"), F.format_number(amount * 1000, 0), amount)
+    lines = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_quantity").select(F.col("l_orderkey").alias("id"), row.alias("row"))
+    head = F.replace(F.lit(_TABLES), F.lit("{id}"), F.col("id").cast("string"))
+    pages = lines.groupBy("id").agg(F.array_join(F.collect_list("row"), "").alias("rows")).select("id", F.concat(head, "rows", F.lit("</table>")).alias("html"))  # the lines of an order: seven at most
+    found = H.metrics(H.tables(pages).drop("html"), "id")
+    return found.groupBy("id", "caption", "name", "period", "value", "unit").agg(F.count("*").alias("n"))
