@@ -41,10 +41,12 @@ def _inside(rows: DataFrame, days: DataFrame, wanted: DataFrame) -> DataFrame:
     ids = ["span", "key", "share"]
     under = met.where("high < a").groupBy(*ids).agg(F.sum("of_day").alias("below"), F.lit(0).cast("long").alias("inside"))
     reach = met.where("high >= a AND low <= b").select(*ids, "day", "a", "b")
-    # Equal values are counted before they meet the brackets of the spans that overlap there.
-    counts = rows.groupBy("key", "day", "v").agg(F.count("*").alias("c"))
-    read = counts.withColumnsRenamed({"key": "k", "day": "d"}).join(reach, F.col("k").eqNullSafe(F.col("key")) & (F.col("d") == F.col("day")))
-    read = saved(read.where("v <= b").select(*ids, F.when(F.col("v") >= F.col("a"), F.col("v")).alias("v"), "c").groupBy(*ids, "v").agg(F.sum("c").alias("c")))
+    # Only rows of days that reach into a bracket are moved: what lies below all brackets of its day as a count, the rest with equal values counted.
+    ends = reach.groupBy(F.col("key").alias("k"), F.col("day").alias("d")).agg(F.min("a").alias("lo"), F.max("b").alias("hi"))
+    near = rows.join(ends, F.expr("key <=> k AND day = d")).where("v <= hi").select("k", "d", F.when(F.col("v") >= F.col("lo"), F.col("v")).alias("v"))
+    counts = near.groupBy("k", "d", "v").agg(F.count("*").alias("c"))
+    read = counts.join(reach, F.expr("key <=> k AND day = d")).where("v IS NULL OR v <= b")
+    read = saved(read.select(*ids, F.when(F.col("v") >= F.col("a"), F.col("v")).alias("v"), "c").groupBy(*ids, "v").agg(F.sum("c").alias("c")))
     parts = read.groupBy(*ids).agg(F.sum(F.when(F.col("v").isNull(), F.col("c")).otherwise(0)).alias("below"), F.sum(F.when(F.col("v").isNotNull(), F.col("c")).otherwise(0)).alias("inside"))
     place = under.unionByName(parts).groupBy(*ids).agg(F.sum("below").alias("below"), F.sum("inside").alias("inside"))
     at = wanted.select(*(F.col(i).alias(f"w_{i}") for i in ids), "rank").join(place, F.expr(" AND ".join(f"{i} <=> w_{i}" for i in ids)))
