@@ -43,32 +43,33 @@ FUNCTION_NAMES = {"customer_support": ["support", "customer_service", "service"]
 
 def words(text: Column) -> Column:
     """Distinct words between blanks, in lower case."""
-    return F.array_distinct(F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != ""))
+    return F.array_distinct(F.array_remove(F.split(F.lower(text), r"\s+"), ""))
 
 
-def _parts(text: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(F.translate(F.lower(text), "_-", "  "), r"\s+"), lambda w: w != ""))
+def parts(text: Column) -> Column:
+    """Distinct words between blanks, underscores and dashes, in lower case."""
+    return words(F.translate(text, "_-", "  "))
 
 
 def _listed(values: list[str]) -> Column:
     return F.array(*map(F.lit, values)).cast("array<string>")
 
 
-def problem_fit(asked: str, text: Column) -> Column:
-    """Shared words over the larger set, half as much again, and a tenth for each phrase of two or three words that is in the text (three tenths at most)."""
+def problem_fit(asked: str, text: Column, own: Column | None = None) -> Column:
+    """Shared words over the larger set, half as much again, and a tenth for each phrase of two or three words that is in the text (three tenths at most); own: its words, if they are at hand."""
     q = asked.lower().split()
     phrases = sorted({" ".join(q[i : i + n]) for n in (2, 3) for i in range(len(q) - n + 1)})
-    own = words(text)
+    own = words(text) if own is None else own
     shared = F.size(F.array_intersect(own, _listed(sorted(set(q)))))
     hits = sum((F.contains(F.lower(text), F.lit(p)).cast("int") for p in phrases), F.lit(0))
     return F.when(F.size(own) == 0, 0.0).otherwise(F.least(F.lit(1.0), shared / F.greatest(F.size(own), F.lit(len(set(q)))) * 1.5 + F.least(F.lit(0.3), hits * 0.1)))
 
 
-def workflow_fit(asked: str, workflow: Column) -> Column:
-    """Equal 1, one in the other 0.7, else half the Jaccard index of their words; 0 if either is missing."""
+def workflow_fit(asked: str, workflow: Column, own: Column | None = None) -> Column:
+    """Equal 1, one in the other 0.7, else half the Jaccard index of their words; 0 if either is missing. own: its words, if they are at hand."""
     q, r = asked.lower().strip(), F.lower(F.trim(workflow))
     qw = _listed(sorted(set(q.replace("_", " ").replace("-", " ").split())))
-    rw = _parts(workflow)
+    rw = parts(workflow) if own is None else own
     return F.when(blank(workflow) | F.lit(not q), 0.0).when(r == q, 1.0).when(F.contains(r, F.lit(q)) | F.contains(F.lit(q), r), 0.7).otherwise(F.size(F.array_intersect(qw, rw)) / F.size(F.array_union(qw, rw)) * 0.5)
 
 
@@ -87,7 +88,7 @@ def industry_fit(asked: str, industries: Column) -> Column:
     """The first of a record's industries that is equal (1), in or around (0.7), or shares a word (0.3)."""
     q = asked.lower().strip()
     qw = _listed(sorted(set(q.replace("_", " ").replace("-", " ").split())))
-    one = lambda i: F.when(i == q, 1.0).when(F.contains(i, F.lit(q)) | F.contains(F.lit(q), i), 0.7).when(F.arrays_overlap(_parts(i), qw), 0.3)
+    one = lambda i: F.when(i == q, 1.0).when(F.contains(i, F.lit(q)) | F.contains(F.lit(q), i), 0.7).when(F.arrays_overlap(parts(i), qw), 0.3)
     return F.when(F.lit(not q), 0.0).otherwise(F.coalesce(F.get(F.array_compact(F.transform(industries, lambda i: one(F.lower(i)))), 0), F.lit(0.0)))
 
 
@@ -108,11 +109,11 @@ def outcome_fit(asked: str, categories: Column) -> Column:
     return F.when(F.lit(not q), 0.0).otherwise(F.coalesce(F.array_max(F.transform(categories, lambda c: one(F.lower(c)))), F.lit(0.0)))
 
 
-def similarity(q: Mapping[str, object]) -> dict[str, Column]:
+def similarity(q: Mapping[str, object], text_words: Column | None = None, workflow_words: Column | None = None) -> dict[str, Column]:
     """The six factors of a record (text, workflow, category, families, industries, employee_count, outcomes) for a profile, before their weights."""
     c = F.col
     return {
-        "problem": problem_fit(q["workflow"], c("text")), "workflow": workflow_fit(q["workflow"], c("workflow")), "company_size": size_fit(q.get("employee_count"), q.get("size_band"), c("employee_count")),
+        "problem": problem_fit(q["workflow"], c("text"), text_words), "workflow": workflow_fit(q["workflow"], c("workflow"), workflow_words), "company_size": size_fit(q.get("employee_count"), q.get("size_band"), c("employee_count")),
         "industry": industry_fit(q.get("industry", ""), c("industries")), "intervention": intervention_fit(q.get("category", ""), q.get("subcategory", ""), c("category"), c("families")), "outcome": outcome_fit(q.get("outcome", ""), c("outcomes")),
     }
 
@@ -137,7 +138,7 @@ def context_similarity(q: Mapping[str, str]) -> dict[str, Column]:
     own_industry, own_sub = F.get(c("industries"), 0), c("subsector")
     both = F.lit(bool(sub)) & ~blank(own_sub)
     subsector = F.lit(0.0) if not primary else F.when(F.coalesce(own_industry != primary, F.lit(True)), 0.0).when(both & (own_sub == sub), 1.0).when(both, 0.5).otherwise(0.7)
-    one = lambda i: F.when(i == primary, 1.0).when(F.arrays_overlap(_parts(i), _listed(sorted(set(primary.replace("_", " ").replace("-", " ").split())))), 0.5)
+    one = lambda i: F.when(i == primary, 1.0).when(F.arrays_overlap(parts(i), _listed(sorted(set(primary.replace("_", " ").replace("-", " ").split())))), 0.5)
     broader = F.lit(0.0) if not primary else F.coalesce(F.get(F.array_compact(F.transform("industries", one)), 0), F.lit(0.0))
     band = q.get("size_band", "")
     apart = F.abs(F.array_position(_listed(BANDS), employee_band(c("employee_count"))) - (BANDS.index(band) + 1 if band in BANDS else 0))

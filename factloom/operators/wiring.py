@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -28,6 +29,10 @@ DIRECT, SUPPORTING = 55, 35
 SUBTYPES = {"AI": "generative_ai", "Software": "new_software_implementation", "Workflow_Automation": "rpa", "Process_Redesign": "process_redesign", "Staffing": "staffing_increases", "Hybrid": "hybrid_combination"}
 
 
+#: Room for an id: a likeness times this, less the id, holds both and sorts by likeness, then by the smaller id.
+ROOM = 10**20
+
+
 @dataclass(frozen=True)
 class Step:
     """Conditions that a record must meet (bits of the mask), and the factors of its likeness."""
@@ -41,17 +46,24 @@ _ALL = ("problem", "workflow", "company_size", "industry", "outcome")
 LADDER = (Step(FUNCTION | SUBTYPE, (*_ALL, "intervention")), Step(FUNCTION, _ALL), Step(0, _ALL), Step(0, ("problem", "workflow", "industry")))
 
 
-def pairs(records: DataFrame, asked: Sequence[Mapping[str, object]], subtypes: Mapping[str, str], ladder: Sequence[Step]) -> DataFrame:
-    """(id, organization, question, family, s0, s1, ...): of each record and question, the likeness at each step in millionths; null where a condition isn't met or nothing is alike.
+def factors(records: DataFrame, asked: Sequence[Mapping[str, object]], subtypes: Mapping[str, str]) -> DataFrame:
+    """(id, organization, questions, kinds): of each record, what it has of each question and of each kind.
 
-    asked is a stated set of questions, so the pairs are explodes of literals,
-    questions first and kinds after. Factors are computed once a question or
-    once a kind; a pair only adds them up.
+    Words are cut once a record, factors worked out once a question or once a
+    kind; a pair only adds them up.
     """
     org = F.coalesce(F.nullif(F.lower("organization_name"), F.lit("")), F.concat(F.lit("#"), F.col("id").cast("string")))
-    kinds = F.array(*(_kind(family, s) for family, s in subtypes.items())).alias("kinds")
-    rows = records.select("id", org.alias("organization"), kinds, F.explode(F.array(*(_factors(i, q) for i, q in enumerate(asked)))).alias("q"))
-    rows = rows.select("id", "organization", "q", F.explode("kinds").alias("k"))
+    cut = records.withColumns({"text_words": S.words(F.col("text")), "workflow_words": S.parts(F.col("workflow"))})
+    return cut.select("id", org.alias("organization"), F.array(*(_factors(i, q) for i, q in enumerate(asked))).alias("questions"), F.array(*(_kind(family, s) for family, s in subtypes.items())).alias("kinds"))
+
+
+def pairs(made: DataFrame, ladder: Sequence[Step]) -> DataFrame:
+    """(id, organization, question, family, s0, s1, ...): of each record and question, the likeness at each step in millionths; null where a condition isn't met or nothing is alike.
+
+    made: as `factors` gives it. The questions are a stated set, so the pairs
+    are explodes of two short arrays.
+    """
+    rows = made.select("id", "organization", "kinds", F.explode("questions").alias("q")).select("id", "organization", "q", F.explode("kinds").alias("k"))
     value = lambda n: F.col(f"k.{n}") if n == "intervention" else F.col(f"q.{n}")
     mask = F.col("q.met").bitwiseOR(F.col("k.met"))
 
@@ -64,7 +76,7 @@ def pairs(records: DataFrame, asked: Sequence[Mapping[str, object]], subtypes: M
 
 
 def _factors(i: int, q: Mapping[str, object]) -> Column:
-    found = S.similarity({**q, "category": ""})
+    found = S.similarity({**q, "category": ""}, F.col("text_words"), F.col("workflow_words"))
     met = F.when(F.lower("business_function") == str(q["function"]).lower(), FUNCTION).otherwise(0)
     return F.struct(F.lit(i).alias("question"), met.alias("met"), *(found[n].cast("double").alias(n) for n in _ALL))
 
@@ -90,10 +102,9 @@ def comparables(records: DataFrame, asked: Sequence[Mapping[str, object]], *, su
     each organization at all steps; the records are read again only if some
     question has under `least` organizations, and then for those alone.
     """
-    held = saved(records.select("id", "organization_name", "business_function", "text", "workflow", "industries", "employee_count", "outcomes", "families"))  # what derives from texts is derived once
-    made = pairs(held, asked, subtypes, ladder)
-    steps = range(len(ladder))
-    one = lambda k: F.when(F.col(f"s{k}").isNotNull(), F.struct(F.col(f"s{k}").alias("likeness"), (-F.col("id")).alias("id")))
+    made = pairs(saved(factors(records, asked, subtypes)), ladder)  # what derives from texts is derived once
+    steps, room = range(len(ladder)), F.lit(Decimal(ROOM))
+    one = lambda k: F.col(f"s{k}").cast("decimal(7,0)") * room - F.col("id").cast("decimal(20,0)")  # noqa: E731  of fixed length, so that the aggregate needs no sort
     known = reduce(lambda a, b: a | b, (F.col(f"s{k}").isNotNull() for k in steps))
     best = saved(made.where(known).groupBy("question", "family", "organization").agg(*(F.count(f"s{k}").alias(f"n{k}") for k in steps), *(F.max(one(k)).alias(f"b{k}") for k in steps)))
 
@@ -106,7 +117,8 @@ def comparables(records: DataFrame, asked: Sequence[Mapping[str, object]], *, su
     chosen = saved(chosen)  # a row a question and family
 
     at = Window.partitionBy("question", "family").orderBy(F.desc("likeness"), "id")
-    top = best.join(F.broadcast(chosen), ["question", "family"]).withColumn("b", pick("b")).where("b IS NOT NULL").select("question", "family", "organization", "organizations", (-F.col("b.id")).alias("id"), "b.likeness")
+    top = best.join(F.broadcast(chosen), ["question", "family"]).withColumn("b", pick("b")).where("b IS NOT NULL").withColumn("l", F.round(F.col("b") / room).cast("decimal(7,0)"))
+    top = top.select("question", "family", "organization", "organizations", (F.col("l") * room - F.col("b")).cast("long").alias("id"), F.col("l").cast("long").alias("likeness"))
     top = top.withColumn("k", F.row_number().over(at)).where(F.col("k") <= most)
 
     short = chosen.where((F.col("organizations") < least) & (F.col("reached") > F.col("organizations")))

@@ -49,7 +49,7 @@ def walk(pairs, steps, least, most):
 def test_ladder_against_plain_walk(spark, seed, n, orgs):
     df = spark.createDataFrame(rows(seed, n, orgs), SCHEMA)
     kinds = {"AI": "generative_ai", "Workflow_Automation": "rpa"}
-    made = [r.asDict() for r in W.pairs(df, ASKED, kinds, W.LADDER).collect()]
+    made = [r.asDict() for r in W.pairs(W.factors(df, ASKED, kinds), W.LADDER).collect()]
     chosen, found = W.comparables(df, ASKED, subtypes=kinds)
     steps = {(r["question"], r["family"]): (r["step"], r["reached"]) for r in chosen.collect()}
     got = {}
