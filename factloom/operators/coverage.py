@@ -105,6 +105,45 @@ def concentration(pairs: DataFrame, group: str, value: str, order: str) -> DataF
     return out.select(group, "values", "top", share.alias("share"), ((F.col("total") >= CONCENTRATED_FROM) & (share > CONCENTRATED_SHARE)).alias("concentrated"))
 
 
+def dimension_counts(rows: DataFrame, group: str, order: str, *, sure: float = 0.7) -> DataFrame:
+    """(group, dimension, value, n, first): how many of a group's records have each value of each dimension, and the smallest `order` among them.
+
+    rows: group, order, vendors and families (arrays of structs with value and
+    confidence), industry, geography, band. Vendors and families count from a
+    confidence of `sure`, once a record. Blank and null values don't count.
+    Dimension "record" has one value, and "vendored" one that counts the
+    records with a vendor. A record becomes a row for each value it has, and
+    rows are counted before they are moved, so a hot group costs no more.
+    """
+    some = lambda name: F.array_distinct(F.transform(F.filter(F.coalesce(F.col(name), F.array()), lambda e: (e["confidence"] >= sure) & (F.trim(e["value"]) != "")), lambda e: e["value"]))
+    pair = lambda dimension, value: F.struct(F.lit(dimension).alias("dimension"), value.alias("value"))
+    each = lambda dimension, values: F.transform(values, lambda v: pair(dimension, v))
+    has = rows.select(group, order, some("vendors").alias("v"), some("families").alias("f"), "industry", "geography", "band")
+    single = F.array(*(pair(n, F.trim(n)) for n in ("industry", "geography", "band")), pair("record", F.lit("all")), pair("vendored", F.when(F.size("v") > 0, "all")))
+    flat = has.select(group, order, F.explode(F.concat(single, each("vendor", F.col("v")), each("family", F.col("f")))).alias("x")).select(group, order, "x.*")
+    return flat.where(F.col("value") != "").groupBy(group, "dimension", "value").agg(F.count("*").alias("n"), F.min(order).alias("first"))
+
+
+def diversity(counts: DataFrame, group: str) -> DataFrame:
+    """How varied each group is, from its `dimension_counts`: distinct values of each dimension, and how much one vendor leads.
+
+    The leading vendor is the commonest, of equals the one seen first, then by
+    name; its share is of the records that have a vendor. It is too much above
+    CONCENTRATED_SHARE, from CONCENTRATED_FROM such records on. A group without
+    vendors has none that leads and a share of 0.
+    """
+    c = F.col
+    of = lambda dimension: F.count_if(c("dimension") == dimension)
+    total = lambda dimension: F.coalesce(F.sum(F.when(c("dimension") == dimension, c("n"))), F.lit(0))
+    lead = F.min(F.when(c("dimension") == "vendor", F.struct((-c("n")).alias("n"), "first", "value")))
+    g = counts.groupBy(group).agg(
+        of("vendor").alias("vendors"), of("industry").alias("industries"), of("family").alias("families"), of("geography").alias("geographies"), of("band").alias("bands"),
+        total("vendored").alias("vendored"), total("record").alias("records"), lead.alias("lead"),
+    )
+    share = F.coalesce(half_up(-c("lead.n") / c("vendored"), 3), F.lit(0.0))
+    return g.withColumns({"top_vendor": c("lead.value"), "share": share, "concentrated": (c("vendored") >= CONCENTRATED_FROM) & (share > CONCENTRATED_SHARE)}).drop("lead")
+
+
 def top_absent(pairs: DataFrame, group: str, value: str, pool: int = 50, most: int = 3) -> DataFrame:
     """For each group the first `most` of the `pool` commonest values that it lacks."""
     common = pairs.groupBy(value).agg(F.count("*").alias("n")).orderBy(F.desc("n"), value).limit(pool)

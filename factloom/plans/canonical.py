@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.functions.rules import employee_band
 from factloom.operators import canonical as C
+from factloom.operators import coverage
 from factloom.operators import vocabulary as V
 from factloom.plans.catalog import query
 from factloom.sources.tables import notes, records, table
@@ -154,3 +156,25 @@ def keyword_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = V.found(keys, keywords).drop("key")
     best = m.groupBy("digest").agg(F.count("*").alias("keywords"), F.min_by("value", "position").alias("first_listed"), F.min_by("value", F.struct("at", -F.length("keyword"), "position")).alias("earliest"))
     return docs.select("doc_id", "digest").join(best, "digest", "left").select("doc_id", F.coalesce("keywords", F.lit(0)).alias("keywords"), "first_listed", "earliest")
+
+
+BRANDS, BRAND_KEYWORDS = {"brand 12": "vendor_12", "brand 23": "vendor_23", "brand 6": "vendor_6"}, [("brand 1", "vendor_1x"), ("brand 2", "vendor_2x")]
+
+
+@query(f"""WITH l AS (SELECT DISTINCT l_orderkey AS id, p_brand AS raw, p_type AS kind FROM lineitem JOIN part ON l_partkey = p_partkey), k AS (SELECT id, kind, {_KEY} AS key FROM l),
+  e AS (SELECT id, kind, coalesce({_map(BRANDS, 'key')}, {_first(BRAND_KEYWORDS, 'key')}) AS vendor FROM k), s AS (SELECT r.workflow, r.id, kind, vendor FROM e JOIN records r USING (id) WHERE vendor IS NOT NULL),
+  n AS (SELECT workflow, vendor, count(DISTINCT id) AS n, min(id) AS first_ FROM s GROUP BY ALL), t AS (SELECT *, row_number() OVER (PARTITION BY workflow ORDER BY n DESC, first_, vendor) AS k FROM n),
+  d AS (SELECT workflow, count(DISTINCT vendor) AS vendors, count(DISTINCT kind) AS families, count(DISTINCT id) AS vendored FROM s GROUP BY 1),
+  o AS (SELECT workflow, count(DISTINCT industry) AS industries, count(DISTINCT geography) AS geographies, count(*) AS records,
+    count(DISTINCT CASE WHEN employee_count < 10 THEN 1 WHEN employee_count < 50 THEN 2 WHEN employee_count < 200 THEN 3 WHEN employee_count < 1000 THEN 4 WHEN employee_count < 10000 THEN 5 WHEN employee_count IS NOT NULL THEN 6 END) AS bands FROM records GROUP BY 1)
+  SELECT workflow, coalesce(vendors, 0) AS vendors, industries, coalesce(families, 0) AS families, geographies, bands, coalesce(vendored, 0) AS vendored, records, t.vendor AS top_vendor,
+    coalesce(floor(n / vendored * 1000 + 0.5) / 1000, 0.0) AS share, coalesce(vendored >= 5 AND floor(n / vendored * 1000 + 0.5) / 1000 > 0.6, false) AS concentrated
+  FROM o LEFT JOIN d USING (workflow) LEFT JOIN t ON t.workflow = o.workflow AND k = 1""")
+def diversity_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How varied each workflow's evidence is in vendors, trades, kinds of technology, places and sizes; brands of order lines are vendors, sure where the vocabulary knows them."""
+    p = table(spark, sf_dir, "part", "p_partkey", "p_brand", "p_type").select(F.col("p_partkey").alias("part"), F.col("p_type").alias("kind"), C.product(F.col("p_brand"), BRANDS, BRAND_KEYWORDS).alias("e"))
+    lines = table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey").select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("part"))
+    entry = lambda value: F.collect_set(F.struct(value.alias("value"), F.col("e.confidence").alias("confidence")))
+    own = lines.join(p, "part").groupBy("id").agg(entry(F.col("e.value")).alias("vendors"), entry(F.col("kind")).alias("families"))
+    r = records(spark, sf_dir).select("id", "workflow", "industry", "geography", employee_band(F.col("employee_count")).alias("band")).join(own, "id", "left")
+    return coverage.diversity(coverage.dimension_counts(r, "workflow", "id"), "workflow")

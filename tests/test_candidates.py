@@ -2,6 +2,7 @@
 
 import pytest
 from factloom.operators import candidates as C
+from factloom.operators import coverage
 from pyspark.sql import functions as F
 
 RECORDS = "id long, organization_name string, problem_statement string, intervention_vendors string, organization_employee_count long, result_status string, sample_size long, independently_verified boolean, vendor_reported boolean, extra int"
@@ -66,3 +67,27 @@ def test_trace(spark):
     assert C.trace(df.limit(0), "k", ["x"]).count() == 0
     with pytest.raises(ValueError):
         C.trace(df, "x", ["x"])
+
+
+def test_diversity(spark):
+    rows = [
+        ("w", 5, [("Globex", 0.7), ("Initech", 0.69)], [("erp", 1.0), ("erp", 0.9), ("rpa", 0.2)], "steel", "France", "<10"),
+        ("w", 6, [("Globex", 1.0), ("Globex", 0.8)], None, "", None, None),
+        ("w", 7, [("Globex", 1.0)], [("crm", 0.7)], "steel", "Spain", "10-50"),
+        ("w", 8, [("Initech", 1.0)], [], " paper ", " ", "10-50"),
+        ("w", 9, [("Globex", 1.0), ("Initech", 1.0)], [(None, 1.0), ("", 1.0)], "paper", "Spain", "10-50"),
+        ("w", 3, None, None, None, None, None),
+        ("tie", 2, [("B", 1.0)], [], None, None, None), ("tie", 1, [("C", 1.0), ("A", 1.0)], [], None, None, None),
+        ("none", 1, [], [], "steel", "Spain", None),
+        (None, 1, [("A", 1.0)], [], None, None, None),
+    ]
+    entry = "array<struct<value:string,confidence:double>>"
+    df = spark.createDataFrame(rows, f"w string, id long, vendors {entry}, families {entry}, industry string, geography string, band string")
+    got = {r["w"]: r for r in coverage.diversity(coverage.dimension_counts(df, "w", "id"), "w").collect()}
+    w = got["w"]
+    assert (w["vendors"], w["industries"], w["families"], w["geographies"], w["bands"]) == (2, 2, 2, 2, 2)
+    assert (w["vendored"], w["records"], w["top_vendor"], w["share"], w["concentrated"]) == (5, 6, "Globex", 0.8, True)
+    assert (got["tie"]["top_vendor"], got["tie"]["share"], got["tie"]["concentrated"]) == ("A", 0.5, False)
+    assert (got["none"]["top_vendor"], got["none"]["share"], got["none"]["vendored"], got["none"]["concentrated"]) == (None, 0.0, 0, False)
+    assert got[None]["vendors"] == 1
+    assert coverage.diversity(coverage.dimension_counts(df.limit(0), "w", "id"), "w").count() == 0
