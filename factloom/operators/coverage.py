@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.rules import blank, half_up
+from factloom.sources.tables import saved
 
 # Thresholds of coverage and of need.
 EXCELLENT, GOOD, DEVELOPING = 25, 10, 4
@@ -157,15 +158,18 @@ def positions(values: DataFrame, key: str, value: str, parts: int = 64, weight:
 
     Equal values are counted before they are moved, and a key's distinct values
     are ranked in `parts` ranges of about equal size, so that no key's values
-    meet in one task, however many it has.
+    meet in one task, however many it has. Where the ranges part is approximate
+    and can differ from one evaluation to the next, so it is written once and
+    read by both uses. Null comes after all values.
     """
     counts = values.groupBy(key, value).agg((F.sum(weight) if weight else F.count("*")).alias("c"))
-    splits = counts.groupBy(key).agg(F.percentile_approx(value, [i / parts for i in range(1, parts)], 1000).alias("splits"), F.sum("c").alias("n"))
-    placed = counts.join(splits, key).withColumn("part", F.size(F.filter("splits", lambda s: s < F.col(value)))).drop("splits")
+    splits = saved(counts.groupBy(key).agg(F.percentile_approx(value, [i / parts for i in range(1, parts)], 1000).alias("splits"), F.sum("c").alias("n")))
+    part = F.when(F.col(value).isNull(), parts).otherwise(F.size(F.filter("splits", lambda s: s < F.col(value))))
+    placed = counts.join(splits, key).withColumn("part", part).drop("splits")
     cells = placed.groupBy(key, "part").agg(F.sum("c").alias("m"))
     before = Window.partitionBy(key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.select(key, "part", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("base"))
-    inner = Window.partitionBy(key, "part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    inner = Window.partitionBy(key, "part").orderBy(F.asc_nulls_last(value)).rowsBetween(Window.unboundedPreceding, -1)
     return placed.join(cells, [key, "part"]).select(key, value, "c", "n", (F.col("base") + F.coalesce(F.sum("c").over(inner), F.lit(0))).alias("lo"))
 
 
