@@ -151,11 +151,10 @@ def keyword_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = table(spark, sf_dir, "benchmark", "item_id", "text").select("item_id", own.alias("w")).where(F.size("w") > 1)
     pairs = b.select("item_id", F.posexplode(F.transform(F.slice("w", F.lit(1), F.size("w") - 1), lambda x, i: F.concat(x, F.lit(" "), F.get("w", i + 1)))).alias("i", "keyword"))
     keywords = pairs.select("keyword", F.col("item_id").cast("string").alias("value"), (F.col("item_id") * 10000 + F.col("i") + 1).alias("position"))
-    docs = table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.lower("text").alias("text"), F.sha2(F.lower("text"), 256).alias("digest"))
-    keys = docs.groupBy("digest").agg(F.min("text").alias("key"))  # each distinct text once
-    m = V.found(keys, keywords).drop("key")
-    best = m.groupBy("digest").agg(F.count("*").alias("keywords"), F.min_by("value", "position").alias("first_listed"), F.min_by("value", F.struct("at", -F.length("keyword"), "position")).alias("earliest"))
-    return docs.select("doc_id", "digest").join(best, "digest", "left").select("doc_id", F.coalesce("keywords", F.lit(0)).alias("keywords"), "first_listed", "earliest")
+    docs = table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.lower("text").alias("key"))
+    m = V.pairs_found(docs, "doc_id", keywords)
+    best = m.groupBy("doc_id").agg(F.count("*").alias("keywords"), F.min_by("value", "position").alias("first_listed"), F.min_by("value", F.struct("place", -F.length("keyword"), "position")).alias("earliest"))
+    return docs.select("doc_id").join(best, "doc_id", "left").select("doc_id", F.coalesce("keywords", F.lit(0)).alias("keywords"), "first_listed", "earliest")
 
 
 BRANDS, BRAND_KEYWORDS = {"brand 12": "vendor_12", "brand 23": "vendor_23", "brand 6": "vendor_6"}, [("brand 1", "vendor_1x"), ("brand 2", "vendor_2x")]

@@ -30,3 +30,25 @@ def test_names_are_joined_without_a_broadcast(spark):
     want = {n: min(hits) for n in names if n and (hits := [r for r in registry if bare(r) and meets(bare(n), bare(r))])}
     assert {r["name"]: r["entry"] for r in out.collect()} == want
     assert "BroadcastExchange" not in plan(out) and out._jdf.queryExecution().analyzed().toString().count("strategy=merge") == 2
+
+
+def test_pairs_are_found_by_junctions(spark):
+    """As parts of values, within longer words too; each value is met by whole junctions, not by short substrings."""
+    import random
+
+    from factloom.operators import vocabulary as V
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randint(1, 3)))
+    keywords = [(f"{word()} {word()}", f"v{i}", i) for i in range(200)]
+    values = [(i, "".join(rng.choice(["a", "b", "c", "ab", "ca", " ", " ", "\n", "é", "  ", "-"]) for _ in range(rng.randint(0, 40)))) for i in range(300)] + [(300, None), (301, ""), (302, " a b ")]
+    out = V.pairs_found(spark.createDataFrame(values, "id long, key string"), "id", spark.createDataFrame(keywords, "keyword string, value string, position int"))
+    rows = out.collect()
+    first = {k: i for k, _, i in reversed(keywords)}
+    assert {(r["id"], r["keyword"]) for r in rows} == {(i, k) for i, t in values for k in first if t and k in t}
+    assert len(rows) == len({(r["id"], r["keyword"]) for r in rows}) and all(r["position"] == first[r["keyword"]] and r["value"] == f"v{r['position']}" for r in rows)
+    text = dict(values)
+    for i in text:
+        mine = [r for r in rows if r["id"] == i]
+        assert sorted((r["place"], -len(r["keyword"])) for r in mine) == [(r["place"], -len(r["keyword"])) for r in sorted(mine, key=lambda r: (text[i].find(r["keyword"]), -len(r["keyword"])))]
+    assert "key" not in out.columns and "instr" not in out._jdf.queryExecution().optimizedPlan().toString()
