@@ -10,9 +10,10 @@ from factloom.functions.rules import has_any
 # The kinds of organization a name ends with, and what follows or precedes such a name.
 _KINDS = "Inc|Corp|LLC|Ltd|Company|Co\\.|Group|Partners|Systems|Technologies|Solutions|Services|Industries|Health|Financial|Bank|Insurance|Manufacturing|Logistics|Retail|Energy|Pharma|Automotive|Telecom|Airlines|Hospital|University|Institute|Agency|Department|Ministry|Authority|Association|Foundation|Center|Centre|Clinic|School|District|City|County|State|Federal|Government|Enterprises|Holdings|International|Global|Worldwide"
 _NAME = rf"(?:a|an|the)?\s*(?:Fortune\s+\d+\s+)?([A-Z][A-Za-z\s&.,]{{3,50}}?(?:{_KINDS}))"
+_ACTS = r"\s+(?:implemented|deployed|adopted|rolled out|launched|introduced|automated|transformed|migrated|upgraded|engaged|partnered|reduced|increased|improved|saved|achieved|realized|gained|reported|announced)"
 ORGANIZATION = [
     rf"(?:McKinsey|BCG|Bain|Deloitte|PwC|EY|KPMG|Accenture)\s+(?:helped|worked with|partnered with|advised)\s+{_NAME}",
-    rf"{_NAME}\s+(?:implemented|deployed|adopted|rolled out|launched|introduced|automated|transformed|migrated|upgraded|engaged|partnered|reduced|increased|improved|saved|achieved|realized|gained|reported|announced)",
+    rf"{_NAME}{_ACTS}",
 ]
 # Substrings of lower-cased text that show an industry, a business function, a product.
 INDUSTRIES: dict[str, list[str]] = {
@@ -101,8 +102,8 @@ EVIDENCE: dict[str, str] = {
 
 
 def found(text: Column, pattern: str, group: int = 1, flags: str = "(?i)") -> Column:
-    """A group of the pattern's first match, or null."""
-    return F.nullif(F.regexp_extract(text, flags + pattern, group), F.lit(""))
+    """A group of the pattern's first match, or null. Not by nullif: its argument is worked out beforehand, for all of coalesced patterns."""
+    return F.get(F.filter(F.array(F.regexp_extract(text, flags + pattern, group)), lambda x: x != ""), 0)
 
 
 def number(text: Column, patterns: list[str]) -> Column:
@@ -122,9 +123,11 @@ def named(text: Column, words: dict[str, list[str]]) -> Column:
 
 def organization(text: Column) -> Column:
     """The organization that acts: a name that ends as organizations' names do, of 4 to 99 characters, without an article."""
-    names = [stripped(found(text, p, 1, "")) for p in ORGANIZATION]
     ok = lambda n: (F.length(n) > 3) & (F.length(n) < 100) & ~F.rlike(F.lower(n), F.lit("^(the|a|an) "))
-    return F.get(F.filter(F.array(*names), ok), 0)
+    name = lambda p: F.get(F.filter(F.array(stripped(found(text, p, 1, ""))), ok), 0)
+    helped, acts = ORGANIZATION
+    # The name's end stands before the verb; only texts with both are searched for where the name begins.
+    return F.coalesce(name(helped), F.when(F.rlike(text, F.lit(f"(?:{_KINDS}){_ACTS}")), name(acts)))
 
 
 def cost(text: Column) -> Column:

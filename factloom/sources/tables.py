@@ -27,6 +27,11 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt out by its keys, for work that is far heavier than the bytes by which a scan is cut: a small file is one task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def saved(df: DataFrame) -> DataFrame:
     """df written to a new place in the shared folder and read back, for what is used more than once: computed once, and no long lineage."""
     path = f"{shared_root(df.sparkSession)}/factloom-core-{uuid.uuid4().hex}"
@@ -121,11 +126,11 @@ def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _render(spark, sf_dir, NOTES, "orders")
+    return spark.sql(NOTES, orders=spread(table(spark, sf_dir, "orders", "o_orderkey", "o_custkey"), "o_orderkey"))
 
 
 def stories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _render(spark, sf_dir, STORIES, "orders")
+    return spark.sql(STORIES, orders=spread(table(spark, sf_dir, "orders", "o_orderkey", "o_custkey"), "o_orderkey"))
 
 
 def with_views(sql: str) -> str:

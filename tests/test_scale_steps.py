@@ -52,3 +52,16 @@ def test_pairs_are_found_by_junctions(spark):
         mine = [r for r in rows if r["id"] == i]
         assert sorted((r["place"], -len(r["keyword"])) for r in mine) == [(r["place"], -len(r["keyword"])) for r in sorted(mine, key=lambda r: (text[i].find(r["keyword"]), -len(r["keyword"])))]
     assert "key" not in out.columns and "instr" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_fields_of_a_small_file_are_found_in_many_tasks(spark, sf_dir):
+    """The orders are one file and so one task of a scan; patterns over their stories are not."""
+    from factloom.functions import fields as E
+    from factloom.plans import fields as plans
+    from factloom.sources.tables import notes, stories
+
+    assert all(df.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) for df in (notes(spark, sf_dir), stories(spark, sf_dir)))
+    assert "_common_expr" not in plans.field_extraction(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    texts = ["Then Acme Corp implemented it", "The Acme Corp implemented it", "Deloitte advised a Northern Retail Group on it", "Acme Corp", "implemented by Acme Corp", "An Old Bank saved", None, ""]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1).select(E.organization(F.col("t"))).collect()]
+    assert got == ["Then Acme Corp", None, "Northern Retail", None, None, None, None, None]
