@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -118,6 +118,23 @@ def similarity(q: Mapping[str, object], text_words: Column | None = None, workfl
     }
 
 
+def scored_variants(records: DataFrame, profiles: Sequence[Mapping[str, object]]) -> DataFrame:
+    """(id, totals): the weighted similarity of each record to each of several profiles, in their order.
+
+    Words are cut once a record. A factor is worked out once for each different
+    question that it is asked, so profiles that differ in one field share the rest.
+    """
+    cut = records.withColumns({"text_words": words(F.col("text")), "workflow_words": parts(F.col("workflow"))})
+    asked = {"problem": ["workflow"], "workflow": ["workflow"], "company_size": ["employee_count", "size_band"], "industry": ["industry"], "intervention": ["category", "subcategory"], "outcome": ["outcome"]}
+    made: dict[tuple, tuple[str, Column]] = {}
+    names = []
+    for q in profiles:
+        found = similarity(q, F.col("text_words"), F.col("workflow_words"))
+        names.append({n: made.setdefault((n, *(q.get(f) for f in asked[n])), (f"f{len(made)}", c))[0] for n, c in found.items()})
+    rows = cut.select("id", *(c.alias(name) for name, c in made.values()))
+    return rows.select("id", F.array(*(weighed({n: F.col(f) for n, f in own.items()}, WEIGHTS) for own in names)).alias("totals"))
+
+
 def context_similarity(q: Mapping[str, str]) -> dict[str, Column]:
     """The ten factors for a context profile. What a record lacks is neutral (0.5) in function, size, place and rules; a missing model or readiness is neutral on either side."""
     c = F.col

@@ -12,7 +12,7 @@ from factloom.operators import retrieval as S
 from factloom.plans.catalog import query
 from factloom.plans.coverage import _R, _TIERED, tiered
 from factloom.plans.extraction import _FAMILIES, _T
-from factloom.sources.tables import metrics, notes, records, table
+from factloom.sources.tables import metrics, notes, records, saved, spread, table
 
 PROFILE = {"workflow": "claims processing new system", "employee_count": 800, "size_band": "200-1000", "industry": "building", "category": "software", "subcategory": "training", "outcome": "cost"}
 CONTEXT = {"workflow": "invoice_processing", "problem": "manual invoice work with a new system", "business_function": "hr", "industry": "automobile", "subsector": "cars", "size_band": "200-1000", "geography": "united", "regulation": "high", "model": "public"}
@@ -179,9 +179,10 @@ _FIELDS = ["none", "workflow", "industry", "size", "outcome"]
 @query()
 def field_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far the best 25 move if one field of the profile changes: all variants scored in one pass. Compared with scoring them one by one in a test."""
-    scores = [S.weighed(S.similarity(PROFILE | c), S.WEIGHTS) for c in CHANGES]
-    rows = _rec(spark, sf_dir).select("id", F.posexplode(F.array(*(F.floor(x * 1000 + 0.5) for x in scores))).alias("variant", "score"))
-    ranks = K.ranked(rows.withColumnRenamed("variant", "query"), 25)
+    kept = ["id", "text", "workflow", "employee_count", "industries", "category", "families", "outcomes"]
+    rows = S.scored_variants(saved(spread(_rec(spark, sf_dir).select(*kept), "id")), [PROFILE | c for c in CHANGES])
+    rows = rows.select("id", F.posexplode(F.transform("totals", lambda x: F.floor(x * 1000 + 0.5))).alias("query", "score"))
+    ranks = saved(K.ranked(rows, 25))  # 25 rows a variant, met twice below
     base = ranks.where("query = 0").select("id", F.col("rank").alias("r0"))
     moved = ranks.where("query > 0").join(base, "id", "left").groupBy("query").agg(F.count("r0").alias("common"), F.sum(F.abs(F.col("rank") - F.col("r0"))).alias("d"))
     name = F.get(F.array(*map(F.lit, _FIELDS)), F.col("query"))

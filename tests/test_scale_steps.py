@@ -83,3 +83,18 @@ def test_links_of_word_sets_against_a_loop(spark):
     want = {(a, b, len(x & y)) for a, x in reps for b, y in reps if a < b and 100 * len(x & y) >= 85 * max(len(x), len(y))}
     assert len(want) > 20 and {tuple(r) for r in out.collect()} == want
     assert "resta" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_variants_of_a_profile_share_their_factors(spark, sf_dir):
+    """Five profiles that differ in one field each ask eleven different questions, not thirty; words are cut once a record."""
+    from factloom.operators import retrieval as S
+    from factloom.plans import retrieval as plans
+
+    profiles = [plans.PROFILE | c for c in plans.CHANGES]
+    rows = plans._rec(spark, sf_dir).cache()
+    out = S.scored_variants(rows, profiles)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count(r"split(lower(text") == 1
+    assert {f"f{i}" for i in range(11)} == {c.split("#")[0] for c in out._jdf.queryExecution().analyzed().toString().replace("AS ", "\n").split() if c[:1] == "f" and c[1:].split("#")[0].isdigit()}
+    single = [{r["id"]: r["t"] for r in rows.select("id", S.weighed(S.similarity(q), S.WEIGHTS).alias("t")).collect()} for q in profiles]
+    assert all(r["totals"] == [one[r["id"]] for one in single] for r in out.collect())
+    rows.unpersist()
