@@ -303,25 +303,27 @@ def overlap(asked: str, own: Column) -> Column:
     return F.when(blank(own) | F.lit(not q), 0.0).when(r == q, 1.0).when(F.contains(r, F.lit(q)) | F.contains(F.lit(q), r), 0.7).otherwise(F.size(F.array_intersect(qw, rw)) / F.size(F.array_union(qw, rw)))
 
 
-def goal_fit(goal: str, metrics: Column) -> Column:
-    """How metrics (name, category, quantified) meet a goal: the first of its kind 0.9 if quantified, else 0.6; none of its kind 0.3; no metric or an unknown goal 0."""
+def goal_kinds(goal: str) -> list[str]:
+    """The words of the metrics that a goal asks for; none for an unknown goal."""
     g = goal.lower().strip()
-    kinds = sorted({w for ws in GOALS.values() if g and any(w in g or g in w for w in ws) for w in ws})
-    if not kinds:
-        return F.lit(0.0)
+    return sorted({w for ws in GOALS.values() if g and any(w in g or g in w for w in ws) for w in ws})
 
-    def meets(m: Column) -> Column:
-        out = F.lit(False)
-        for w in kinds:
-            out = out | F.contains(F.lower(m["name"]), F.lit(w)) | F.contains(F.lower(m["category"]), F.lit(w))
-        return out
 
-    first = F.get(F.filter(metrics, meets), 0)
-    return F.when(F.coalesce(F.size(metrics), F.lit(0)) <= 0, 0.0).when(first.isNull(), 0.3).when(first["quantified"], 0.9).otherwise(0.6)
+def meets_goal(goal: str, name: Column, category: Column) -> Column:
+    """Whether a metric is of the kind that a goal asks for."""
+    out = F.lit(False)
+    for w in goal_kinds(goal):
+        out = out | F.contains(F.lower(name), F.lit(w)) | F.contains(F.lower(category), F.lit(w))
+    return out
+
+
+def goal_level(goal: str, n: Column, quantified: Column) -> Column:
+    """How n metrics meet a goal, by whether the first of its kind is quantified: 0.9 if so, else 0.6; none of its kind (null) 0.3; no metric or an unknown goal 0."""
+    return F.when(F.lit(not goal_kinds(goal)) | (F.coalesce(n, F.lit(0)) <= 0), 0.0).when(quantified.isNull(), 0.3).when(quantified, 0.9).otherwise(0.6)
 
 
 def components(a: Mapping[str, object]) -> dict[str, Column]:
-    """Five of the six components (0 to 100) of a record for an assessment (workflow, function, industry, employees, geography, goal, budget, weeks); the sixth is its peers' consistency."""
+    """Five of the six components (0 to 100) of a record for an assessment (workflow, function, industry, employees, geography, goal, budget, weeks); the sixth is its peers' consistency. goal_quantified: whether its first metric that meets_goal() is quantified."""
     c = F.col
     trade = F.when(F.lower("industry") == str(a["industry"]).lower(), 0.8).when(~blank(c("industry")), 0.3).otherwise(0.0)
     at = lambda x: F.array_position(_listed(BANDS), employee_band(x))
@@ -336,5 +338,5 @@ def components(a: Mapping[str, object]) -> dict[str, Column]:
     held = lambda x: F.greatest(F.lit(0), F.least(F.lit(100), x)).cast("double")
     return {
         "problem_alignment": half_up(F.greatest(overlap(str(a["workflow"]), c("workflow")), overlap(str(a["function"]), c("business_function"))) * 100, 1),
-        "organizational_similarity": half_up((trade * 0.3 + near * 0.3 + place * 0.15) * 100, 1), "goal_alignment": half_up(goal_fit(str(a["goal"]), c("metrics")) * 100, 1), "evidence_strength": held(strength), "implementation_fit": held(fit),
+        "organizational_similarity": half_up((trade * 0.3 + near * 0.3 + place * 0.15) * 100, 1), "goal_alignment": half_up(goal_level(str(a["goal"]), n, c("goal_quantified")) * 100, 1), "evidence_strength": held(strength), "implementation_fit": held(fit),
     }

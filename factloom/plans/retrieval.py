@@ -257,8 +257,9 @@ _BAND_OF = "CASE WHEN {0} < 10 THEN 1 WHEN {0} < 50 THEN 2 WHEN {0} < 200 THEN 3
   SELECT *, {_R('problem_alignment * 0.3 + organizational_similarity * 0.2 + goal_alignment * 0.2 + evidence_strength * 0.15 + implementation_fit * 0.1 + outcome_consistency * 0.05', 1)} AS match FROM c""")
 def component_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The six components of every record for an assessment, and their weighted sum."""
-    m = metrics(spark, sf_dir).select("record_id", F.struct("seq", "partkey", "suppkey", F.col("metric_name").alias("name"), F.col("metric_category").alias("category"), (F.col("percentage_change").isNotNull() | F.col("absolute_change").isNotNull()).alias("quantified")).alias("m"))
-    m = m.groupBy(F.col("record_id").alias("id")).agg(F.sort_array(F.collect_list("m")).alias("metrics"))
+    quantified = F.col("percentage_change").isNotNull() | F.col("absolute_change").isNotNull()
+    first = F.min(F.struct("seq", "partkey", "suppkey", quantified.alias("quantified")))["quantified"]  # of an order's lines, those that meet the goal
+    m = metrics(spark, sf_dir).where(S.meets_goal(str(ASSESSMENT["goal"]), F.col("metric_name"), F.col("metric_category"))).groupBy(F.col("record_id").alias("id")).agg(first.alias("goal_quantified"))
     good = F.col("result_status").isin("successful", "partial")
     kin = L.kin_consistency(records(spark, sf_dir).select("id", good.alias("good")).join(notes(spark, sf_dir).select("id", families(F.col("note")).alias("families")), "id")).select("id", F.col("score").alias("outcome_consistency"))
     t = tiered(spark, sf_dir).withColumns({"cost": F.floor("total_price").cast("double"), "has_software": F.col("id") % 2 == 0, "pilot": F.col("implementation_pattern") != "", "weeks": F.col("measurement_period"), "human_review": F.col("id") % 5 != 3})
