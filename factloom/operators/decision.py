@@ -77,9 +77,8 @@ def dimensions() -> dict[str, Column]:
 
 def against_families(assessments: DataFrame) -> DataFrame:
     """Each assessment with each family's parameters, and the weights by what holds its work back."""
-    rows = assessments.withColumn("f", F.explode(family_table())).select("*", "f.*").drop("f")
     profile = F.coalesce(*(F.try_element_at(F.create_map(*(x for k, w in PROFILES.items() for x in (F.lit(k), F.array(*map(F.lit, w))))), key) for key in (F.col("constraint"), F.lit("unknown"))))
-    return rows.withColumn("weights", profile)
+    return assessments.withColumn("weights", profile).withColumn("f", F.explode(family_table())).select("*", "f.*").drop("f")
 
 
 def scores(rows: DataFrame, *keep: str, fits: dict[str, Column] | None = None, reasons: Column | None = None) -> DataFrame:
@@ -166,7 +165,7 @@ def decide_by_answers(assessments: DataFrame, id_col: str, top: int = 3) -> Data
     Nulls count as answers not given; ids must be distinct. An assessment's
     families are the seven of the table, so no window grows with the input.
     """
-    rows = banded(against_families(assessments))
+    rows = against_families(banded(assessments))  # answers are read once, before they meet the families
     scored = scores(rows, id_col, fits=banded_dimensions(), reasons=contraindications())
     w = Window.partitionBy(id_col).orderBy(F.desc("score"), "family")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)

@@ -107,3 +107,13 @@ def test_families_are_found_once_a_record(spark, sf_dir):
     for query in (linking.family_consistency, retrieval.component_scores):
         text = query(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
         assert "redesign" not in text and "collect_list" not in text
+
+
+def test_answers_are_read_before_they_meet_the_families(spark, sf_dir):
+    """Once an assessment and not once a family; so are the weights by what holds its work back."""
+    from factloom.plans import decision as plans
+
+    for query in (plans.decisions, plans.decisions_by_answers):
+        above, below = query(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString().split("Generate explode", 1)
+        assert "AS weights" in below and "AS weights" not in above
+    assert "almost no" in below and "almost no" not in above
