@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 
 from pyspark.sql import DataFrame
@@ -9,6 +10,11 @@ from pyspark.sql import functions as F
 
 #: The most columns and rows that one cell may span in HTML.
 COLSPAN, ROWSPAN = 1000, 65534
+#: Tags that only bound or style what is in them, and the pieces of a page that needs no more care: such tags, and text without references.
+_PLAIN = "html head body main section article div p span b i em strong a ul ol li h1 h2 h3 h4 table caption thead tbody tfoot tr td th".split()
+_PIECE = re.compile(rf"""<(/?)({'|'.join(sorted(_PLAIN, key=len, reverse=True))})((?:[ \n]+[a-z]+="[^"<>&\x00]*")*)>|([^<&\x00]+)""")
+_ATTRIBUTE = re.compile(r'([a-z]+)="([^"]*)"')
+_OF_TABLES = frozenset(("table", "caption", "tr", "td", "th"))
 
 
 class _Tables(HTMLParser):
@@ -43,8 +49,8 @@ class _Tables(HTMLParser):
             elif tag == "tr" or not top["rows"]:
                 top["rows"].append([])
             if tag in ("td", "th"):
-                given = dict(attrs)
-                top["cell"] = ([], tag == "th", _span(given.get("colspan"), COLSPAN) or 1, _span(given.get("rowspan"), ROWSPAN))
+                given = dict(attrs) if attrs else {}
+                top["cell"] = ([], tag == "th", _span(given.get("colspan"), COLSPAN) or 1, _span(given.get("rowspan"), ROWSPAN)) if given else ([], tag == "th", 1, 1)
 
     def handle_endtag(self, tag):
         if tag in ("script", "style"):
@@ -60,6 +66,19 @@ class _Tables(HTMLParser):
             self._ends()
             self._open.pop()
 
+    def read(self, html: str) -> None:
+        """feed() and close(). A page of nothing but plain pieces is cut by one pattern, which is several times as fast as the parser and sees the same."""
+        pieces = _PIECE.findall(html)
+        if sum(len(text) or len(end) + len(tag) + len(given) + 2 for end, tag, given, text in pieces) != len(html) or any(end and given for end, _, given, _ in pieces):
+            self.feed(html)
+        else:
+            for end, tag, given, text in pieces:
+                if text:
+                    self.handle_data(text)
+                elif tag in _OF_TABLES:
+                    self.handle_endtag(tag) if end else self.handle_starttag(tag, _ATTRIBUTE.findall(given) if given else ())
+        self.close()
+
     def handle_data(self, data):
         if self._open and not self._silent:
             top = self._open[-1]
@@ -76,6 +95,9 @@ def _grid(rows: list[list[tuple]]) -> list[list[str]]:
     """The rows with every cell put into all the places that it spans; none reaches below the last row."""
     out, held = [], {}  # held: column to (rows left, text)
     for i, row in enumerate(rows):
+        if not held and all(c[2] == c[3] == 1 for c in row):
+            out.append([c[0] for c in row])
+            continue
         line: dict[int, str] = {}
         for c in list(held):
             left, text = held.pop(c)
@@ -102,8 +124,7 @@ def _grid(rows: list[list[tuple]]) -> list[list[str]]:
 class _of_page:
     def eval(self, html: str | None):
         page = _Tables()
-        page.feed(html or "")
-        page.close()
+        page.read(html or "")
         for number, t in enumerate(page.tables):
             heads = next((i for i, r in enumerate(t["rows"]) if not r or not all(c[1] for c in r)), len(t["rows"]))
             yield number, t["caption"], len(t["rows"]), heads, _grid(t["rows"])

@@ -39,3 +39,25 @@ def test_pages_without_tables(spark):
     assert [(r.row_count, r.rows) for r in empty.orderBy("id").collect()] == [(0, []), (1, [[]])]
     assert H.metrics(empty, "id").count() == 0
     assert H.tables(spark.createDataFrame([], "id int, html string")).count() == 0
+
+
+def test_plain_pages_are_cut_as_the_parser_does():
+    """Pages of plain pieces skip the parser; it gives the same for them, and still reads all others."""
+    import random
+
+    from factloom.sources import html_tables as H
+
+    rng, skipped = random.Random(5), 0
+    plain = ["<table>", "</table>", "<tr>", "</tr>", "<td>", "</td>", "<th>", "<caption>", "</caption>", '<td colspan="2">', '<th rowspan="2" colspan="3">', '<td rowspan="0">', '<p class="x">', "</p>", "<b>", "</b>", "a", " 5% ", "\n", "é", ">", '"', '<td colspan="2" colspan="1">', "<thead>", "</thead >", "<th\n>"]
+    odd = ["&amp;", "&", "<br/>", "<TD>", "<td colspan=2>", "<script>", "</script>", "<!-- x -->", "<", "</td x=\"1\">", "<title>", "<textarea>", "<tdx>", "\x00", "<td title='a>b'>", "<td a=\"b\"c=\"d\">"]
+    for n in range(3000):
+        html = "".join(rng.choice(plain) if n % 2 or rng.random() < 0.9 else rng.choice(odd) for _ in range(rng.randint(0, 40)))
+        slow, fast = H._Tables(), H._Tables()
+        slow.feed(html)
+        slow.close()
+        fed = []
+        fast.feed = lambda text, fed=fed, fast=fast: (fed.append(text), H.HTMLParser.feed(fast, text))
+        fast.read(html)
+        skipped += not fed
+        assert [(t["caption"], t["rows"]) for t in fast.tables] == [(t["caption"], t["rows"]) for t in slow.tables], html
+    assert skipped > 300
