@@ -111,12 +111,13 @@ def cooldowns(events: DataFrame, key: str, time: str, tie: str, failed: Column,
 
     def functions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tables = []
-            for own in batch.column("events").to_pylist():
-                rows = transfer([e["at"] for e in own], [e["failed"] for e in own], fails, span)
-                tables.append([dict(zip(("count", "until", "count_after", "until_after"), r, strict=True)) for r in rows])
-            first = pa.array([own[0]["at"] for own in batch.column("events").to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("run"), first, pa.array(tables, pa.list_(pa.struct([(n, pa.int64()) for n in ("count", "until", "count_after", "until_after")])))], names=["key", "run", "first", "rows"])
+            for i in range(batch.num_rows):  # a run at a time: a batch may hold very many events
+                own = batch.column("events")[i].values
+                times = own.field("at").to_pylist()
+                rows = transfer(times, own.field("failed").to_pylist(), fails, span)
+                fields = [pa.array(x, pa.int64()) for x in zip(*rows, strict=True)]
+                whole = pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), pa.StructArray.from_arrays(fields, ["count", "until", "count_after", "until_after"]))
+                yield pa.RecordBatch.from_arrays([batch.column("key").slice(i, 1), batch.column("run").slice(i, 1), pa.array(times[:1], pa.int64()), whole], names=["key", "run", "first", "rows"])
 
     made = runs.mapInArrow(functions, T.StructType([T.StructField("key", kind), T.StructField("run", T.LongType()), T.StructField("first", T.LongType()), T.StructField("rows", _TRANSFER)]))
     lines = made.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("run", "first", "rows"))).alias("line"))
@@ -124,14 +125,15 @@ def cooldowns(events: DataFrame, key: str, time: str, tie: str, failed: Column,
     def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, numbers, counts, untils = [], [], [], []
-            for i, line in enumerate(batch.column("line").to_pylist()):
+            for i in range(batch.num_rows):
                 state: State = (0, 0)
-                for r in line:
+                for r in batch.column("line")[i].values or ():  # one run's table in Python at a time
                     keys.append(i)
-                    numbers.append(r["run"])
+                    numbers.append(r["run"].as_py())
                     counts.append(state[0])
                     untils.append(state[1])
-                    state = entered(r["first"], [(x["count"], x["until"], x["count_after"], x["until_after"]) for x in r["rows"]], state)
+                    rows = r["rows"].values
+                    state = entered(r["first"].as_py(), list(zip(*(rows.field(n).to_pylist() for n in ("count", "until", "count_after", "until_after")), strict=True)), state)
             yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(keys, pa.int64())), *(pa.array(x, pa.int64()) for x in (numbers, counts, untils))], names=["key", "run", "count", "until"])
 
     states = lines.mapInArrow(put_together, T.StructType([T.StructField("key", kind), *(T.StructField(n, T.LongType()) for n in ("run", "count", "until"))]))

@@ -89,3 +89,22 @@ def test_stream_agrees_with_plain_walk(spark, tmp_path):
     passed = max(at for _, at, _, _ in rows) - 3_600_000_000 - 2_000_000
     assert len(out) == len(got) and got == {i: want[i] for i in got}
     assert {i for _, at, i, _ in rows if at < passed} <= set(got)
+
+
+def test_runs_come_to_python_one_at_a_time(spark, monkeypatch):
+    """However many runs a batch holds, the lists of only one of them are made at once."""
+    import pyarrow as pa
+    from factloom.operators import machines as M
+    from pyspark.sql import functions as F
+
+    given = {}
+    real = type(spark.range(1)).mapInArrow
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", lambda df, f, schema, *a: (given.setdefault(f.__name__, f), real(df, f, schema, *a))[1])
+    events = spark.createDataFrame([("a", 1_000_000 * i, i) for i in range(5)], "key string, at long, id long").withColumn("ts", F.timestamp_micros("at"))
+    M.cooldowns(events, "key", "ts", "id", F.lit(True), fails=1, seconds=2)
+    one = [{"at": t * 1_000_000, "tie": t, "failed": True} for t in range(4)]
+    kind = pa.list_(pa.struct([("at", pa.int64()), ("tie", pa.int64()), ("failed", pa.bool_())]))
+    batch = pa.RecordBatch.from_arrays([pa.array(["a"] * 50), pa.array(list(range(50)), pa.int64()), pa.array([one] * 50, kind)], names=["key", "run", "events"])
+    made = list(given["functions"](iter([batch])))
+    assert [b.num_rows for b in made] == [1] * 50 and [b.column("run")[0].as_py() for b in made] == list(range(50))
+    assert [tuple(r.values()) for r in made[0].column("rows")[0].as_py()] == M.transfer([e["at"] for e in one], [True] * 4, 1, 2_000_000)
