@@ -11,12 +11,16 @@ probability of 3e-8, at 0.85 with 5e-13.
 Pairs are never listed within a bucket. Equal sets are one class from the
 start. Each class is first compared with the smallest class of each of its
 buckets, and the confirmed links are joined to components. What can still be
-missing is a link between two components that meet in a bucket; only such
-buckets are opened, in blocks of bounded size, and only pairs across components
-whose estimate is near the threshold come out, each from the first band it
-shares. So groups of copies cost about as many comparisons as they have
-members, and no link is lost. To confirm pairs, their sets are sent to units of
-bounded size that hold related documents, once a unit and not once a pair.
+missing is a link between two components that meet in a bucket. The members of
+such buckets meet anew by the shingles that linked sets of their sizes must
+share: of a set in order of rarity, the first few, and shingles of one component
+come before all others, since no missing link has them. So texts that are near
+each other but not linked don't meet for what they all have in common. Where
+components still meet, pairs across them are compared in blocks of bounded size,
+and those come out whose estimate, and for sets of up to SENT_SHINGLES what they
+share, reaches the threshold. So groups of copies cost about as many comparisons
+as they have members, and no link is lost. To confirm pairs, their sets are sent to units of bounded size that hold related
+documents, once a unit and not once a pair.
 """
 
 from __future__ import annotations
@@ -33,10 +37,12 @@ from factloom.llm.common import by_bytes, durable, shared_dir, text_of
 
 REGISTERS, MANTISSA, ROWS = 512, 10, 7
 BANDS = REGISTERS // ROWS
-#: Rows of an opened bucket that are compared with each other in one piece of work.
+#: Rows that meet by a shingle and are compared with each other in one piece of work.
 BLOCK_ROWS = 256
-#: Nodes whose ids are sent to all tasks (16 bytes each) to pick their texts; more are joined.
+#: Nodes whose ids are sent to all tasks (up to 24 bytes each) to pick their texts; more are joined.
 SENT_NODES = 500_000
+#: Shingles of a set up to which it goes along to where it is compared; of larger ones only the signature does.
+SENT_SHINGLES = 4096
 CACHE_WORDS = 150_000
 U = np.uint64
 #: Registers that an empty one looks at, in its own random order.
@@ -271,11 +277,15 @@ def alike(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
         p, q = q, p
     if not len(p) or 100 * len(p) < percent * len(q):
         return False
-    at = np.minimum(np.searchsorted(q, p), len(q) - 1)
-    shared = int((q[at] == p).sum())
+    shared = common(p, q)
     return 100 * shared >= percent * (len(p) + len(q) - shared)
 
 
+def common(p: np.ndarray, q: np.ndarray) -> int:
+    """How many values two ascending sets share."""
+    return int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum()) if len(q) else 0
+
+
 def components(links: DataFrame, folder: str, name: str) -> DataFrame:
     """(node, component: smallest node reachable) of every node in links (a, b), by alternating large and small stars.
 
@@ -297,27 +307,30 @@ def components(links: DataFrame, folder: str, name: str) -> DataFrame:
         edges = durable(small.distinct(), folder, f"{name}_{step}")
 
 
-def across(open_rows: DataFrame, percent: int) -> DataFrame:
-    """Hopeful pairs across components from rows (key, i, j, band, side, node, component, n, signature), sorted by (key, i, j) within partitions."""
+def across(met: DataFrame, percent: int) -> DataFrame:
+    """Hopeful pairs across components from rows (key, i, j, side, small, large, node, component, n, signature, shared), sorted by (key, i, j) within partitions.
+
+    shared: the shingles that other components have too, ascending, or null; two components share no others.
+    """
 
     def pairs(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         side, node, part, n, s = (t.column("side").to_numpy(), t.column("node").to_numpy(), t.column("component").to_numpy(), t.column("n").to_numpy(), matrix(t.column("signature")))
-        before = int(t.column("band")[0].as_py()) * ROWS
+        small, large = (t.column(c).to_numpy() for c in ("small", "large"))
+        sets = [None if x is None else np.frombuffer(x, np.int64) for x in t.column("shared").to_pylist()]
         left = np.flatnonzero(side <= 0)
         right = np.flatnonzero(side >= 0)
         a, b = [], []
         for x in left:
             y = right[part[right] != part[x]]
             y = y[node[y] > node[x]] if side[x] == 0 else y
+            y = y[(small[x] & large[y] & (n[x] <= n[y])) | (large[x] & small[y] & (n[y] <= n[x]))]
             if len(y):
                 y = y[hopeful(s[x], s[y], n[x], n[y], percent)]
-            if len(y) and before:  # not those that an earlier band has brought together
-                both = densified(s[np.append(x, y)])[:, :before].reshape(len(y) + 1, -1, ROWS)
-                y = y[~(both[1:] == both[0]).all(axis=2).any(axis=1)]
+            if len(y) and sets[x] is not None:
+                y = y[[sets[k] is None or (100 + percent) * common(sets[x], sets[k]) >= percent * (n[x] + n[k]) for k in y]]
             if len(y):
-                ok = y
-                a.append(np.minimum(node[x], node[ok]))
-                b.append(np.maximum(node[x], node[ok]))
+                a.append(np.minimum(node[x], node[y]))
+                b.append(np.maximum(node[x], node[y]))
         return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,20 +355,85 @@ def across(open_rows: DataFrame, percent: int) -> DataFrame:
     def out(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    return open_rows.mapInArrow(each, "a bigint, b bigint")
+    return met.mapInArrow(each, "a bigint, b bigint")
 
 
 def blocks(members: DataFrame, sizes: DataFrame, classes: DataFrame, block_rows: int) -> DataFrame:
-    """Rows of opened buckets, each in all pairs (i, j) of blocks that have its block; side: -1 of i, 1 of j, 0 where i = j."""
+    """Rows of those that meet by a key, each in all pairs (i, j) of blocks that have its block; side: -1 of i, 1 of j, 0 where i = j."""
     rows = members.join(sizes, "key").join(classes, "node")
     many = F.ceil(F.col("size") / block_rows).cast("int")
     rows = rows.withColumn("many", many).withColumn("own", F.pmod(F.xxhash64("node"), F.col("many")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("many") - 1)))
     side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), -1).otherwise(1)
-    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"), "band", "node", "component", "n", "signature")
+    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"), "small", "large", "node", "component", "n", "signature", "shared")
     return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
 
+def prefix(n: int, shared: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, small, large) by which a set of n shingles meets those that may be linked with it in another component.
+
+    shared: those of its shingles that other components have, rarest first; all
+    others come before them. Sets of s <= n shingles that are linked have `o`
+    in common, percent * (s + n) / (100 + percent) at least, and so, in one order
+    of all shingles, one of the first s - o + 1 of the smaller set is among the
+    first n - o + 1 of the larger. A key is a shingle and a range of sizes of the
+    smaller set; small and large tell in which of these parts the set may have it.
+    """
+    least = max(1, -(-percent * n // 100))
+    own = n - len(shared)
+    at = np.arange(own, max(own, n - least + 1))
+    most = np.minimum(n, (100 + percent) * (n - at) // percent - n)  # the largest s for which this place counts
+    small = at <= n + (-2 * percent * n // (100 + percent))
+    width = max(-np.log(percent / 100) / 5, 1e-3)
+    span = lambda s: np.floor(np.log(np.maximum(s, 1)) / width).astype(np.int64)
+    keys, smalls, larges = [], [], []
+    for k in range(int(span(least)), int(span(n)) + 1):
+        large, mine = (most >= least) & (span(most) >= k), small & (k == span(n))
+        hit = large | mine
+        keys.append(mix(shared[: len(at)][hit] * U(0x9E3779B97F4A7C15) + U(k)))
+        smalls.append(mine[hit])
+        larges.append(large[hit])
+    return np.concatenate(keys), np.concatenate(smalls), np.concatenate(larges)
+
+
+def meetings(nodes: DataFrame, rows: DataFrame, words: int, percent: int, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(key, small, large, node, component) of (node, component): what the nodes can be linked by across components; and (node, shared), as `across` takes them."""
+
+    def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = Shingler(words)
+        for batch in by_bytes(batches, "text"):
+            sets = [make(t) for t in batch.column("text").to_pylist()]
+            n = np.array([len(s) for s in sets], np.int64)
+            at = pa.array(np.repeat(np.arange(len(n)), n))
+            flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(flat), batch.column("node").take(at), batch.column("component").take(at), pa.array(np.repeat(n, n))], names=["shingle", "node", "component", "n"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, part, n, shared in zip(*(batch.column(c).to_pylist() for c in ("node", "component", "n")), batch.column("shared"), strict=True):
+                key, small, large = prefix(n, shared.values.to_numpy().view(U), percent)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(small), pa.array(large), pa.array(np.full(len(key), node)), pa.array(np.full(len(key), part))], names=["key", "small", "large", "node", "component"])
+
+    nodes = durable(nodes, folder, "nodes")
+    if nodes.count() <= SENT_NODES:
+        nodes = F.broadcast(nodes)
+    texts = rows.select(F.col("row").alias("node"), "text").join(nodes, "node")
+    sets = durable(texts.select("node", "component", "text").mapInArrow(shingle, "shingle bigint, node bigint, component bigint, n bigint"), folder, "elements")
+    shared = sets.groupBy("shingle").agg(F.count("*").alias("many"), F.min("component").alias("low"), F.max("component").alias("high")).where(F.col("low") < F.col("high"))
+    shared = durable(shared.select("shingle", "many"), folder, "between")
+    by = sets.join(shared, "shingle").groupBy("node", "component", "n").agg(F.sort_array(F.collect_list(F.struct("many", "shingle"))).alias("shared"))
+    enough = by.where(F.size("shared") * 100 >= F.col("n") * percent).withColumn("shared", F.transform("shared", lambda x: x["shingle"]))
+    enough = durable(enough, folder, "enough")
+
+    def ascending(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.sort(x.values.to_numpy()).tobytes() if x.is_valid else None for x in batch.column("shared")]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], names=["node", "shared"])
+
+    sent = enough.select("node", F.when(F.col("n") <= SENT_SHINGLES, F.col("shared")).alias("shared"))
+    return enough.mapInArrow(meet, "key bigint, small boolean, large boolean, node bigint, component bigint"), sent.mapInArrow(ascending, "node bigint, shared binary")
+
+
 # --- operator ---------------------------------------------------------------
 
 
@@ -398,17 +476,22 @@ def grouped(rows: DataFrame, folder: str, *, words: int = 5, percent: int = 80,
     same = same.join(groups.select(F.col("class").alias("low"), F.col("node").alias("a")), "low").join(groups.select("class", F.col("node").alias("b")), "class")
     same = durable(same.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), folder, "same")
 
-    banded = bands(classes)
+    banded = bands(classes).select("key", "node")
     leaders = durable(banded.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).where(F.col("a") < F.col("z")).select("key", "a"), folder, "leaders")
     shared = durable(banded.join(leaders, "key"), folder, "shared")
     stars = shared.where(F.col("node") > F.col("a")).select("a", F.col("node").alias("b")).distinct()
     links = confirmed(plausible(stars, classes, percent), rows, words, percent, folder, "star", block_rows).union(same)
     found = components(links, folder, "first")
 
-    members = shared.select("key", "band", "node").join(found, "node", "left").select("key", "band", "node", F.coalesce("component", "node").alias("component"))
+    members = shared.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     members = durable(members, folder, "members")
-    sizes = durable(members.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).where(F.col("low") < F.col("high")).select("key", "size"), folder, "open")
-    rest = across(blocks(members, sizes, classes, block_rows), percent).distinct()
+    several = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where(F.col("low") < F.col("high")).select("key")
+    several = durable(several, folder, "open")
+    met, sent = meetings(members.join(several, "key").select("node", "component").distinct(), rows, words, percent, folder)
+    met = durable(met, folder, "met")
+    sizes = met.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"), F.max("small").alias("small"), F.max("large").alias("large"))
+    sizes = durable(sizes.where((F.col("low") < F.col("high")) & F.col("small") & F.col("large")).select("key", "size"), folder, "sizes")
+    rest = across(blocks(met, sizes, classes.join(sent, "node"), block_rows), percent).distinct()
     more = confirmed(rest, rows, words, percent, folder, "rest", block_rows)
     if not more.isEmpty():
         found = components(links.union(more), folder, "second")

@@ -124,3 +124,41 @@ def test_components(spark):
         p, q = find(a), find(b)
         up[max(p, q)] = min(p, q)
     assert all(got.get(x, x) == find(x) for x in up)
+
+
+def test_linked_sets_meet_by_their_rarest_shingles():
+    rng = np.random.default_rng(12)
+    for percent in (80, 85, 100):
+        for _ in range(300):
+            n = int(rng.integers(1, 60))
+            both = rng.choice(2**40, n, replace=False).astype(np.uint64)
+            sets = [np.concatenate([both[rng.random(n) > 0.06], rng.choice(2**40, rng.integers(0, n // 8 + 1), replace=False).astype(np.uint64) + np.uint64(2**50)]) for _ in "ab"]
+            order = rng.permutation(both)  # any order in common will do
+            keys = [dict(zip(k.tolist(), zip(s, g, strict=True), strict=True)) for k, s, g in (M.prefix(len(s), order[np.isin(order, s)], percent) for s in sets)]
+            if M.alike(*map(np.sort, sets), percent):
+                a, b = keys if len(sets[0]) <= len(sets[1]) else keys[::-1]
+                assert any(k in b and a[k][0] and b[k][1] for k in a)
+
+
+def test_near_texts_that_are_not_linked_do_not_meet(spark, monkeypatch):
+    """A family of edits, each too far from the others: few rows are compared, and none in all blocks."""
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(120)]
+    docs = []
+    for d in range(150):
+        w = list(base)
+        for k in rng.sample(range(1, 30), 7):
+            w[4 * k] = f"new{d}-{k}"
+        docs.append((d, " ".join(w)))
+    docs += [(200 + d, docs[d][1] + " and more") for d in range(5)]
+    made, blocks = [], M.blocks
+
+    def counted(*args):
+        made.append(blocks(*args).count())
+        return blocks(*args)
+
+    monkeypatch.setattr(M, "blocks", counted)
+    got = M.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), words=3, percent=85, block_rows=8).collect()
+    groups, _ = brute(docs, 3, 85)
+    assert {r["doc_id"]: r["component_id"] for r in got} == groups
+    assert sum(groups[d] != d for d in groups) == 5 and max(made) <= len(docs)
