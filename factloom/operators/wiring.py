@@ -31,6 +31,8 @@ SUBTYPES = {"AI": "generative_ai", "Software": "new_software_implementation", "W
 
 #: Room for an id: a likeness times this, less the id, holds both and sorts by likeness, then by the smaller id.
 ROOM = 10**20
+#: Parts that organizations are dealt out over, at least.
+PARTS = 256
 
 
 @dataclass(frozen=True)
@@ -98,26 +100,37 @@ def comparables(records: DataFrame, asked: Sequence[Mapping[str, object]], *, su
     Second: (question, family, id, likeness), likeness in millionths.
 
     records: id, organization_name, business_function, text, workflow,
-    industries, employee_count, outcomes, families. One pass finds the best of
-    each organization at all steps; the records are read again only if some
-    question has under `least` organizations, and then for those alone.
+    industries, employee_count, outcomes, families. Organizations are dealt out
+    by hash over a fixed number of parts. A first pass counts the steps and finds
+    the best of each part; different parts are different organizations, so a place
+    is never below the part's best in that place. A second pass takes only the
+    records that reach the last place wanted, so no task holds a row for each
+    question, family and organization. Where fewer parts than places have any,
+    all are taken. The records are read again only if some question has under
+    `least` organizations, and then for those alone.
     """
     made = pairs(saved(factors(records, asked, subtypes)), ladder)  # what derives from texts is derived once
-    steps, room = range(len(ladder)), F.lit(Decimal(ROOM))
-    one = lambda k: F.col(f"s{k}").cast("decimal(7,0)") * room - F.col("id").cast("decimal(20,0)")  # noqa: E731  of fixed length, so that the aggregate needs no sort
+    steps, room, places = range(len(ladder)), F.lit(Decimal(ROOM)), max(least, most)
+    joint = lambda s: F.col(s).cast("decimal(7,0)") * room - F.col("id").cast("decimal(20,0)")  # noqa: E731  of fixed length, so that the aggregate needs no sort
     known = reduce(lambda a, b: a | b, (F.col(f"s{k}").isNotNull() for k in steps))
-    best = saved(made.where(known).groupBy("question", "family", "organization").agg(*(F.count(f"s{k}").alias(f"n{k}") for k in steps), *(F.max(one(k)).alias(f"b{k}") for k in steps)))
+    part = F.pmod(F.xxhash64("organization"), F.lit(max(PARTS, 16 * places)))
+    parts = made.where(known).groupBy("question", "family", part.alias("part")).agg(*(F.count(f"s{k}").alias(f"n{k}") for k in steps), *(F.max(joint(f"s{k}")).alias(f"b{k}") for k in steps))
 
-    counts = best.groupBy("question", "family").agg(*(F.sum(f"n{k}").alias(f"n{k}") for k in steps), *(F.count(f"b{k}").alias(f"o{k}") for k in steps))
+    last = lambda k: F.get(F.sort_array(F.collect_list(f"b{k}"), asc=False), places - 1)
+    counts = parts.groupBy("question", "family").agg(*(F.sum(f"n{k}").alias(f"n{k}") for k in steps), *(last(k).alias(f"b{k}") for k in steps))
     reached = F.array(*(F.col(f"n{k}") for k in steps))
     first = F.get(F.filter(F.transform(reached, lambda n, i: F.when(n >= least, i)), lambda i: i.isNotNull()), 0)
     step = F.coalesce(first, F.array_position(reached, F.array_max(reached)).cast("int") - 1)
     pick = lambda prefix: F.get(F.array(*(F.col(f"{prefix}{k}") for k in steps)), F.col("step"))
-    chosen = counts.withColumn("step", step).withColumns({"reached": pick("n"), "organizations": pick("o")}).select("question", "family", "step", "reached", "organizations")
-    chosen = saved(chosen)  # a row a question and family
+    chosen = saved(counts.withColumn("step", step).withColumns({"reached": pick("n"), "last": pick("b")}).select("question", "family", "step", "reached", "last"))  # a row a question and family
+
+    near = made.join(F.broadcast(chosen), ["question", "family"]).withColumn("likeness", pick("s")).withColumn("b", joint("likeness")).where("b IS NOT NULL AND (last IS NULL OR b >= last)")
+    best = saved(near.groupBy("question", "family", "organization").agg(F.max("b").alias("b")))  # little more than `places` organizations a question and family
+    found = best.groupBy("question", "family").agg(F.count("*").alias("organizations"))  # all of them, or `places` at least
+    chosen = chosen.drop("last").join(F.broadcast(found), ["question", "family"])
 
     at = Window.partitionBy("question", "family").orderBy(F.desc("likeness"), "id")
-    top = best.join(F.broadcast(chosen), ["question", "family"]).withColumn("b", pick("b")).where("b IS NOT NULL").withColumn("l", F.round(F.col("b") / room).cast("decimal(7,0)"))
+    top = best.join(F.broadcast(found), ["question", "family"]).withColumn("l", F.round(F.col("b") / room).cast("decimal(7,0)"))
     top = top.select("question", "family", "organization", "organizations", (F.col("l") * room - F.col("b")).cast("long").alias("id"), F.col("l").cast("long").alias("likeness"))
     top = top.withColumn("k", F.row_number().over(at)).where(F.col("k") <= most)
 

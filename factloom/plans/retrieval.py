@@ -22,11 +22,11 @@ _REC = f"""rec AS (SELECT r.id, r.organization_name, r.workflow, r.business_func
   FROM records r JOIN notes n ON n.id = r.id LEFT JOIN (SELECT record_id, list_distinct(list(metric_category)) AS outcomes FROM metrics GROUP BY 1) m ON m.record_id = r.id)"""
 
 
-def _rec(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _rec(spark: SparkSession, sf_dir: str, only: str = "true") -> DataFrame:
     m = metrics(spark, sf_dir).groupBy(F.col("record_id").alias("id")).agg(F.collect_set("metric_category").alias("outcomes"))
     pick = lambda n, *values: F.get(F.array(*map(F.lit, values)), (F.col("id") % n).cast("int"))
-    r = records(spark, sf_dir).select("id", "organization_name", "workflow", "business_function", "geography", "employee_count", "result_status", "industry")
-    r = r.join(notes(spark, sf_dir), "id").join(m, "id", "left")
+    r = records(spark, sf_dir).where(only).select("id", "organization_name", "workflow", "business_function", "geography", "employee_count", "result_status", "industry")
+    r = spread(r, "id").join(notes(spark, sf_dir), "id").join(m, "id", "left")  # what meets by broadcast is in as many tasks
     return r.select(
         "id", "organization_name", "workflow", "business_function", "geography", "employee_count", "result_status", F.array("industry").alias("industries"), F.col("note").alias("text"), families(F.col("note")).alias("families"),
         F.coalesce("outcomes", F.array().cast("array<string>")).alias("outcomes"), pick(4, "software", "ai", "", "staffing").alias("category"), pick(3, "cars", "", "trucks").alias("subsector"),

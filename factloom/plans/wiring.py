@@ -11,7 +11,7 @@ from factloom.plans.catalog import query
 from factloom.plans.coverage import _R
 from factloom.plans.decision import _DIM, _FAM, _PROFILES
 from factloom.plans.retrieval import _REC, _rec
-from factloom.sources.tables import records, saved
+from factloom.sources.tables import saved
 
 #: Questions: the work, and what is known of it.
 ASKED = [
@@ -82,8 +82,7 @@ _SQL = f"""WITH {_REC}, q(question, asked, aw, awu, phrases, fn, trade, people,
 @query(_SQL)
 def evidence_wiring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five decisions over all families: what comparable records were found for each and how far conditions had to be relaxed, and the ranking that follows."""
-    published = records(spark, sf_dir).where("publication_status = 'published'").select("id")
-    rows = saved(_rec(spark, sf_dir).join(published, "id", "left_semi")).where(F.size("families") > 0)  # families are found once, and not again for the condition
+    rows = saved(_rec(spark, sf_dir, "publication_status = 'published'")).where(F.size("families") > 0)  # families are found once, and not again for the condition
     chosen, found = W.comparables(rows, ASKED)
     schema = "question int, constraint string, volume long, exception_rate double, stability double, risk_level double, budget double, weeks double, urgency double, readiness double"
     asked = spark.createDataFrame([(i, *s) for i, s in enumerate(SITUATIONS)], schema)

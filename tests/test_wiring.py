@@ -78,3 +78,19 @@ def test_evidence_changes_the_ranking(spark):
     got = {r["family"]: r for r in W.with_evidence(decided, chosen, found, score).collect()}
     assert (got["Hybrid"]["rank"], got["Hybrid"]["was"], got["Hybrid"]["step"]) == (1, 2, 2)
     assert got["AI"]["limit"] == "no comparable implementation" and got["AI"]["confidence"] == "low" and got["No_Action"]["limit"] is None
+
+
+def test_no_row_is_kept_for_each_organization(spark, monkeypatch):
+    """With thousands of organizations the aggregates hold a fixed number of rows, and the places stay the same as by a plain walk."""
+    df = spark.createDataFrame(rows(5, 3000, [f"org {i}" for i in range(2500)] + ["", None]), SCHEMA)
+    sizes, save = [], W.saved
+    monkeypatch.setattr(W, "saved", lambda x: (out := save(x), sizes.append(out.count()))[0])
+    chosen, found = W.comparables(df, ASKED, subtypes={"AI": "generative_ai"})
+    assert max(sizes[1:]) < 100, sizes  # after the factors, of which there is a row a record
+    made = [r.asDict() for r in W.pairs(W.factors(df, ASKED, {"AI": "generative_ai"}), W.LADDER).collect()]
+    steps, got = {r["question"]: (r["step"], r["reached"]) for r in chosen.collect()}, {}
+    for r in found.collect():
+        got.setdefault(r["question"], []).append((r["id"], r["likeness"]))
+    for q in range(len(ASKED)):
+        step, want, reached = walk([p for p in made if p["question"] == q], len(W.LADDER), 5, 10)
+        assert sorted(got.get(q, [])) == sorted(want) and steps.get(q, (None, 0)) == (step, reached)
