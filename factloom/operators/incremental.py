@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from factloom.functions.rules import blank
 from factloom.operators import coverage as C
-from factloom.sources.tables import saved
 from factloom.sources.versions import VersionedTable
 
 #: Between the parts of a category's key.
@@ -18,11 +18,12 @@ class GapReport:
     """The need for evidence by category, from batches of changed records.
 
     Two versioned tables are kept: what each record counts for at present, and
-    the counts of each category. A batch takes out of the counts what its
-    records counted for, and puts in what they count for now; only the files
-    that have these records or categories are read. The counts are merged first,
-    then the records, both under the batch's number: a stop in between is made
-    good by the replay, which finds the counts done and the records not.
+    the counts of each category. A batch takes out of the counts what the files
+    of records that it replaces counted for, and puts in what the new files count
+    for, so that records and changes meet only once; only the files that have
+    these records or categories are read. The counts are merged first, then the
+    records, both under the batch's number: a stop in between is made good by the
+    replay, which finds the counts done and the records not.
     """
 
     NUMBERS = ["total", "gold", "decision_grade", *(f"filled_{f}" for f in C.FIELDS)]
@@ -49,18 +50,15 @@ class GapReport:
         """
         if self.counts.versions() and self.records.versions() and self.records.head()["applied"].get("changes", -1) >= number:
             return
-        named = ["category", *self.NUMBERS]
-        last = self._counted(changes).groupBy("id").agg(F.max(F.struct("seq", *named)).alias("r")).select("id", "r.*")
-        new = saved(last)
-        self.records.create(new.schema)
-        if self.counts.head()["applied"].get("changes", -1) < number:
-            old = self.records.matching(new.select(F.col("id").alias("key")))
-            before = old.select("id", F.col("seq").alias("old_seq"), F.struct(*named).alias("old"))
-            moved = new.join(before, "id", "left").where(F.col("old_seq").isNull() | (F.col("seq") > F.col("old_seq")))
-            out = moved.where("old IS NOT NULL").select("old.category", *((-F.col(f"old.{n}")).alias(n) for n in self.NUMBERS))
-            delta = moved.select(*named).unionByName(out).where("category IS NOT NULL").groupBy("category").agg(*(F.sum(n).alias(n) for n in self.NUMBERS))
-            self.counts.merge(delta, "add", batch=("changes", number))
-        self.records.merge(new, "replace", newer="seq", batch=("changes", number))
+        rows = self._counted(changes)
+        self.records.create(T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema]))
+
+        def count(going: DataFrame, coming: DataFrame) -> None:
+            if self.counts.head()["applied"].get("changes", -1) < number:
+                out = going.select("category", *((-F.col(n)).alias(n) for n in self.NUMBERS))
+                self.counts.merge(coming.select("category", *self.NUMBERS).unionByName(out).where("category IS NOT NULL"), "add", batch=("changes", number))
+
+        self.records.merge(rows, "replace", newer="seq", batch=("changes", number), before=count)
 
     def on_batch(self, batch: DataFrame, number: int) -> None:
         """For foreachBatch of a stream of changes."""

@@ -59,3 +59,20 @@ def test_as_a_stream(spark, tmp_path):
     stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     stream.writeStream.foreachBatch(report.on_batch).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
     assert sorted(str(r) for r in report.report(F.lit(0.4)).collect()) == full(spark, rows)
+
+
+def test_records_and_changes_meet_once(spark, tmp_path, monkeypatch):
+    """A batch looks once for the records' files that it touches; a stop after the counts are merged, before the records' version is made, is made good."""
+    rows, report, looked = changes(5, 60), GapReport(spark, str(tmp_path / "r")), []
+    find = report.records.touched
+    monkeypatch.setattr(report.records, "touched", lambda *a: looked.append(1) or find(*a))
+    report.apply(spark.createDataFrame(rows[:30], SCHEMA), 0)
+    assert len(looked) == 1
+    second = spark.createDataFrame(rows[30:], SCHEMA)
+    with monkeypatch.context() as m:
+        m.setattr(report.records, "_publish", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            report.apply(second, 1)
+    assert (report.counts.head()["applied"], report.records.head()["applied"]) == ({"changes": 1}, {"changes": 0})
+    report.apply(second, 1)
+    assert sorted(str(r) for r in report.report(F.lit(0.4)).collect()) == full(spark, rows)

@@ -116,3 +116,17 @@ def test_replays_do_nothing(spark, tmp_path):
     rows = spark.createDataFrame([(1, "b", 2, 2)], SCHEMA)
     assert t.merge(rows, batch=("s", 4)) == 2 == t.merge(spark.createDataFrame([(1, "no", 2, 2)], SCHEMA), batch=("s", 4)) and content(t) == [(1, "b", 2, 2)]
     assert t.merge(rows, batch=("other", 0)) == 3
+
+
+def test_filters_are_asked_for_few_keys_only(spark, tmp_path, monkeypatch):
+    """Many keys in a file's range always hit its filter, so it is taken as it is; filters hold the places of all keys of their file."""
+    t = made(spark, tmp_path / "t", [(i * 2, "r", i, 0) for i in range(3000)], 1500, monkeypatch)
+    files = t.manifest(t.head()).collect()
+    for f in files:
+        keys = spark.read.parquet(f"{t.path}/data/{f['file']}").select(F.pmod(F.xxhash64("id"), F.lit(f["bits"])).alias("at"))
+        bits = {n * V.BITMAP + i * 8 + b for n, m in f["filter"].items() for i, x in enumerate(m) for b in range(8) if x >> b & 1}
+        assert bits == {r["at"] for r in keys.collect()} and f["rows"] == keys.count()
+    manifest = t.manifest
+    monkeypatch.setattr(t, "manifest", lambda head: manifest(head).withColumn("filter", F.expr("CAST(map() AS MAP<BIGINT, BINARY>)")))  # nothing hits
+    odd = lambda n: spark.createDataFrame([(i * 2 + 1,) for i in range(n)], "key long")
+    assert t.touched(t.head(), odd(2 * 256)) == [min(files, key=lambda f: f["low"])["file"]] and t.touched(t.head(), odd(256)) == []
