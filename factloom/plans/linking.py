@@ -9,7 +9,7 @@ from factloom.functions.rules import families
 from factloom.operators import linking as L
 from factloom.plans.catalog import query
 from factloom.plans.extraction import _FAMILIES, _T
-from factloom.sources.tables import metrics, notes, records, saved, table
+from factloom.sources.tables import metrics, notes, records, table
 
 #: Aliases and keywords of kinds of parts.
 ALIASES = {"standard anodized": "standard", "promo": "promotional", "economy plated": "economy"}
@@ -28,10 +28,8 @@ def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
   l AS (SELECT a AS class, count(*) AS k FROM (SELECT a, b FROM p UNION ALL SELECT b, a FROM p) GROUP BY 1) SELECT doc_id, class, coalesce(k, 0) AS linked_classes FROM c LEFT JOIN l USING (class)""".replace("\\\\", "\\"))
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's class of equal word sets, and how many other classes share 85 % of the larger one's words with it."""
-    classes = saved(L.token_classes(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text"))
-    links = L.token_links(classes, 85)
-    both = links.select(F.col("a").alias("class")).unionAll(links.select("b")).groupBy("class").agg(F.count("*").alias("k"))
-    return classes.join(both, "class", "left").select(F.col("id").alias("doc_id"), "class", F.coalesce("k", F.lit(0)).alias("linked_classes"))
+    found = L.near_classes(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text", 85)
+    return found.select(F.col("id").alias("doc_id"), "class", F.col("links").alias("linked_classes"))
 
 
 @query("WITH r AS (SELECT id, lower(organization_name) AS org FROM records WHERE organization_name <> ''), f AS (SELECT org, min(id) AS first FROM r GROUP BY org HAVING count(*) > 1) SELECT first, id AS other FROM r JOIN f USING (org) WHERE id > first")

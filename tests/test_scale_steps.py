@@ -85,6 +85,38 @@ def test_links_of_word_sets_against_a_loop(spark):
     assert "resta" in out._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_classes_that_nearly_match_in_cells(spark):
+    """As a loop over all pairs, with families in one cell and in many; a cell has its sets once, not once a pair, and texts aren't written as words."""
+    import random
+
+    rng = random.Random(17)
+    base = [[f"w{rng.randint(0, 400)}" for _ in range(n)] for n in (1, 3, 6, 7, 20, 60, 120)]
+    docs = [(i, " ".join(w if rng.random() > 0.03 else f"W{rng.randint(0, 400)}" for w in base[i % 7])) for i in range(280)] + [(300, ""), (301, None), (302, "lone"), (303, " \n"), (304, base[6][0])]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    first, links = {}, {}
+    for i, t in docs:
+        first.setdefault(frozenset((t or "").lower().split()), i)
+    reps = [(i, s) for s, i in first.items() if s]
+    for a, x in reps:
+        for b, y in reps:
+            if a < b and 100 * len(x & y) >= 85 * max(len(x), len(y)):
+                links[a], links[b] = links.get(a, 0) + 1, links.get(b, 0) + 1
+    want = {(i, c := first[frozenset((t or "").lower().split())], links.get(c, 0)) for i, t in docs}
+    assert len(links) > 60 and max(links.values()) > 15
+    old = {n: getattr(L, n) for n in ("CELL", "PAIRS", "SENT_IDS", "COUNTERS")}
+    for new in ({}, {"CELL": 4, "PAIRS": 8, "SENT_IDS": 0, "COUNTERS": 64}):
+        vars(L).update(old | new)
+        try:
+            out = L.near_classes(frame, "doc_id", "text", 85)
+            assert sorted(tuple(r) for r in out.collect()) == sorted(want)
+            assert "array_intersect" not in out._jdf.queryExecution().optimizedPlan().toString()
+        finally:
+            vars(L).update(old)
+    met = spark.createDataFrame([(b, list(range(b))) for b in range(1, 40)] + [(50, [45])], "b long, a array<long>")
+    dealt, asked = L.in_cells(met)
+    assert dealt.count() == 40 and asked.count() == 42 and sum(len(r["a"]) for r in dealt.collect()) == 781
+
+
 def test_variants_of_a_profile_share_their_factors(spark, sf_dir):
     """Five profiles that differ in one field each ask eleven different questions, not thirty; words are cut once a record."""
     from factloom.operators import retrieval as S
