@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import cache, reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -101,48 +104,132 @@ EVIDENCE: dict[str, str] = {
 }
 
 
-def found(text: Column, pattern: str, group: int = 1, flags: str = "(?i)") -> Column:
-    """A group of the pattern's first match, or null. Not by nullif: its argument is worked out beforehand, for all of coalesced patterns."""
-    return F.get(F.filter(F.array(F.regexp_extract(text, flags + pattern, group)), lambda x: x != ""), 0)
+def _split(pattern: str) -> list[str]:
+    """The alternatives of a pattern that stand outside of its groups; none of these patterns has a bracket or bar in a class."""
+    parts, depth = [""], 0
+    for piece in re.findall(r"\\.|.", pattern):
+        depth += {"(": 1, ")": -1}.get(piece, 0)
+        if piece == "|" and not depth:
+            parts.append("")
+        else:
+            parts[-1] += piece
+    return parts
+
+
+def _starts(pattern: str) -> list[str] | None:
+    """What the alternatives of a pattern begin with, if each begins with letters, with one of some signs or with a group of such."""
+    out = []
+    for part in _split(pattern):
+        if literal := re.match(r"[A-Za-z0-9 %-]+(?![?*{])", part):
+            out.append(literal[0])
+        elif signs := re.match(r"\[((?:\\?[^\w\\\]^-])+)\](?![?*{])", part):
+            out += re.findall(r"[^\\]", signs[1])
+        elif (group := re.match(r"\((?:\?:)?", part)) and (inner := _group(part, group.end())) is not None and (more := _starts(inner)):
+            out += more
+        else:
+            return None
+    return out
+
+
+def _group(pattern: str, at: int) -> str | None:
+    """What stands in a group whose inside begins at a place, if the group has to occur."""
+    depth, place = 1, at
+    for piece in re.findall(r"\\.|.", pattern[at:]):
+        depth += {"(": 1, ")": -1}.get(piece, 0)
+        if not depth:
+            return None if pattern[place + 1 : place + 2] in ("?", "*", "{") else pattern[at:place]
+        place += len(piece)
+    return None
+
+
+@cache
+def needed(pattern: str) -> list[list[str]]:
+    """Lists of lower-case words: a text that matches has one of each list. From the groups of a pattern that have to occur; words of one letter tell nothing."""
+    found = [_starts(pattern)]
+    if len(_split(pattern)) == 1:
+        outer = [m.end() for m in re.finditer(r"(?<!\\)\((?:\?:)?", pattern) if _depth(pattern[: m.start()]) == 0]
+        found += [_starts(inner) for at in outer if (inner := _group(pattern, at)) is not None]
+    if re.search(r"\*%(?=\\|$)", pattern):  # outside of groups
+        found.append(["%"])
+    words = [tuple(dict.fromkeys(w.lower() for w in x)) for x in found if x and all(len(w) > 1 or not w.isalnum() for w in x)]
+    return [list(x) for x in dict.fromkeys(words)]
+
+
+def _depth(pattern: str) -> int:
+    bare = re.sub(r"\\.", "", pattern)
+    return bare.count("(") - bare.count(")")
+
 
+@cache
+def quick(pattern: str) -> str:
+    """The same pattern, looked for only where one of the letters stands that it begins with."""
+    starts = _starts(pattern)
+    return f"(?=[{''.join(sorted({x[0] for x in starts}))}])(?:{pattern})" if starts and all(x[0].isalnum() for x in starts) else pattern
 
-def number(text: Column, patterns: list[str]) -> Column:
+
+def may_match(low: Column, pattern: str) -> Column:
+    """Whether lower-cased text has the words that a match needs."""
+    return reduce(lambda x, words: x & has_any(low, words), needed(pattern), F.lit(True))
+
+
+def found(text: Column, pattern: str, group: int = 1, flags: str = "(?i)", low: Column | None = None) -> Column:
+    """A group of the pattern's first match, or null; with low, the text in lower case, only texts are searched that have the words that a match needs.
+
+    Not by nullif: its argument is worked out beforehand, for all of coalesced patterns. Nor by a lambda, under which nothing is compiled.
+    """
+    x = F.get(F.array_remove(F.array(F.regexp_extract(text, flags + quick(pattern), group)), ""), 0)
+    return F.when(may_match(low, pattern), x) if low is not None and needed(pattern) else x
+
+
+def matches(text: Column, pattern: str, low: Column) -> Column:
+    """Whether the pattern occurs, without regard to case; alternatives by themselves, each in texts that have what it needs."""
+    return reduce(lambda x, y: x | y, (may_match(low, p) & F.rlike(text, F.lit(f"(?i){quick(p)}")) for p in _split(pattern)))
+
+
+def number(text: Column, patterns: list[str], low: Column | None = None, kind: str = "double") -> Column:
     """The number that the first pattern with one finds."""
-    return F.coalesce(*(F.regexp_replace(found(text, p), ",", "").try_cast("double") for p in patterns))
+    return F.coalesce(*(F.regexp_replace(found(text, p, low=low), ",", "").try_cast(kind) for p in patterns))
 
 
 def stripped(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
-def named(text: Column, words: dict[str, list[str]]) -> Column:
-    """The names of which a word is in the lower-cased text, in order; words with capitals never are."""
-    low = F.lower(text)
-    return F.array_compact(F.array(*(F.when(has_any(low, w), F.lit(n)) for n, w in words.items())))
+def those(items: dict[str, Column]) -> Column:
+    """The names, none of which is empty, of the conditions that hold, in order. Not by array_compact: it is a lambda."""
+    return F.array_remove(F.array(*(F.when(c, F.lit(n)).otherwise("") for n, c in items.items())), "")
+
+
+def named(low: Column, words: dict[str, list[str]]) -> Column:
+    """The names of which a word is in lower-cased text, in order; words with capitals never are."""
+    return those({n: has_any(low, [x for x in w if x == x.lower()]) for n, w in words.items()})
 
 
-def organization(text: Column) -> Column:
+def organization(text: Column, low: Column | None = None) -> Column:
     """The organization that acts: a name that ends as organizations' names do, of 4 to 99 characters, without an article."""
     ok = lambda n: (F.length(n) > 3) & (F.length(n) < 100) & ~F.rlike(F.lower(n), F.lit("^(the|a|an) "))
-    name = lambda p: F.get(F.filter(F.array(stripped(found(text, p, 1, ""))), ok), 0)
+    name = lambda p: F.get(F.filter(F.array(stripped(found(text, p.replace(ends, f"(?=[A-Z]){ends}"), 1, ""))), ok), 0)
+    ends = f"(?:{_KINDS})"
     helped, acts = ORGANIZATION
     # The name's end stands before the verb; only texts with both are searched for where the name begins.
-    return F.coalesce(name(helped), F.when(F.rlike(text, F.lit(f"(?:{_KINDS}){_ACTS}")), name(acts)))
+    by_others = F.when(may_match(low, helped), name(helped)) if low is not None else name(helped)
+    return F.coalesce(by_others, F.when(F.rlike(text, F.lit(f"(?=[A-Z]){ends}{_ACTS}")), name(acts)))
 
 
-def cost(text: Column) -> Column:
+def cost(text: Column, low: Column | None = None) -> Column:
     """An amount of money, scaled by the word or letter after it."""
 
     def of(p: str) -> Column:
-        unit = F.lower(F.regexp_extract(text, f"(?i){p}", 2))
-        scale = F.when(unit.isin("million", "m"), 1e6).when(unit.isin("billion", "b"), 1e9).when(unit == "k", 1e3).otherwise(1.0)
-        return F.regexp_replace(found(text, p), ",", "").try_cast("double") * scale
+        amount = F.regexp_replace(found(text, p, low=low), ",", "").try_cast("double")
+        unit = F.lower(F.regexp_extract(text, f"(?i){quick(p)}", 2))
+        # The unit is looked for only where there is an amount.
+        return F.when(amount.isNotNull(), amount * F.when(unit.isin("million", "m"), 1e6).when(unit.isin("billion", "b"), 1e9).when(unit == "k", 1e3).otherwise(1.0))
 
     return F.coalesce(*map(of, COST))
 
 
-def duration_unit(text: Column) -> Column:
-    return F.regexp_replace(F.coalesce(*(found(text, p, 2) for p in DURATION)), "s+$", "")
+def duration_unit(text: Column, low: Column | None = None) -> Column:
+    return F.regexp_replace(F.coalesce(*(found(text, p, 2, low=low) for p in DURATION)), "s+$", "")
 
 
 def band(count: Column) -> Column:
@@ -153,30 +240,30 @@ def band(count: Column) -> Column:
     return out.otherwise(LARGEST)
 
 
-def problem_statement(text: Column) -> Column:
+def problem_statement(text: Column, low: Column | None = None) -> Column:
     """What comes after a word for problem, else the first of five sentences with such a word, else the first sentence."""
     sentences = F.slice(F.split(text, r"\."), 1, 5)
     cued = F.get(F.filter(sentences, lambda s: has_any(F.lower(s), PROBLEM_CUES)), 0)
-    return F.coalesce(*(stripped(found(text, p, 1, "(?is)")) for p in PROBLEM), stripped(cued), stripped(F.get(sentences, 0)))
+    cued = cued if low is None else F.when(has_any(low, PROBLEM_CUES), cued)
+    return F.coalesce(*(stripped(found(text, p, 1, "(?is)", low)) for p in PROBLEM), stripped(cued), stripped(F.get(sentences, 0)))
 
 
-def captures(text: Column, patterns: list[str], group: int = 1, flags: str = "(?is)") -> Column:
+def captures(text: Column, patterns: list[str], group: int = 1, flags: str = "(?is)", low: Column | None = None) -> Column:
     """What each pattern finds, of those that find something."""
-    return F.array_compact(F.array(*(stripped(found(text, p, group, flags)) for p in patterns)))
+    return F.array_compact(F.array(*(stripped(found(text, p, group, flags, low)) for p in patterns)))
 
 
-def fields(text: Column) -> dict[str, Column]:
-    """The fields by name; the employee band is band() of the count."""
-    employees = F.coalesce(*(F.regexp_replace(found(text, p), ",", "").try_cast("bigint") for p in EMPLOYEES))
-    low = F.lower(text)
+def fields(text: Column, low: Column | None = None) -> dict[str, Column]:
+    """The fields by name; the employee band is band() of the count. low is the text in lower case, best a column of its own: it is used some hundred times."""
+    low = F.lower(text) if low is None else low
     return {
-        "organization_name": organization(text), "organization_industry": named(text, INDUSTRIES), "organization_employee_count": employees,
-        "problem_business_function": named(text, FUNCTIONS), "problem_statement": problem_statement(text), "implementation_cost": cost(text),
-        "implementation_time_value": number(text, DURATION), "implementation_time_unit": duration_unit(text), "baseline_value": number(text, BASELINE), "outcome_value": number(text, OUTCOME), "outcome_percentage": number(text, PERCENT),
-        **{n: F.rlike(text, F.lit(f"(?i){p}")) for n, p in EVIDENCE.items()},
-        "sample_size": F.coalesce(*(F.regexp_replace(found(text, p), ",", "").try_cast("bigint") for p in SAMPLE)), "measurement_period": F.coalesce(*(found(text, p, 0) for p in PERIOD)),
-        "teams_involved": captures(text, TEAMS, 0, "(?i)"), "software": F.array_compact(F.array(*(F.when(F.contains(low, F.lit(w.lower())), F.lit(w)) for w in SOFTWARE))),
-        "success_factors": captures(text, SUCCESS), "failure_conditions": captures(text, FAILURE),
+        "organization_name": organization(text, low), "organization_industry": named(low, INDUSTRIES), "organization_employee_count": number(text, EMPLOYEES, low, "bigint"),
+        "problem_business_function": named(low, FUNCTIONS), "problem_statement": problem_statement(text, low), "implementation_cost": cost(text, low),
+        "implementation_time_value": number(text, DURATION, low), "implementation_time_unit": duration_unit(text, low), "baseline_value": number(text, BASELINE, low), "outcome_value": number(text, OUTCOME, low), "outcome_percentage": number(text, PERCENT, low),
+        **{n: matches(text, p, low) for n, p in EVIDENCE.items()},
+        "sample_size": number(text, SAMPLE, low, "bigint"), "measurement_period": F.coalesce(*(found(text, p, 0, low=low) for p in PERIOD)),
+        "teams_involved": captures(text, TEAMS, 0, "(?i)", low), "software": those({w: F.contains(low, F.lit(w.lower())) for w in SOFTWARE}),
+        "success_factors": captures(text, SUCCESS, low=low), "failure_conditions": captures(text, FAILURE, low=low),
     }
 
 

@@ -9,7 +9,7 @@ from factloom.functions import fields as E
 from factloom.functions.rules import half_up
 from factloom.operators import linking as L
 from factloom.plans.catalog import query
-from factloom.sources.tables import metrics, records, stories, table
+from factloom.sources.tables import metrics, records, spread, stories, table
 
 
 def _q(p: str) -> str:
@@ -73,17 +73,27 @@ _FIELDS = {
 _ARRAYS = ["organization_industry", "problem_business_function", "teams_involved", "software", "success_factors", "failure_conditions"]
 
 
-def _story_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = stories(spark, sf_dir)
-    found = s.select("id", "story", *(c.alias(n) for n, c in E.fields(F.col("story")).items()))
+_KEYS = ["k", "h"]
+
+
+def _keyed(texts: DataFrame) -> DataFrame:
+    """With the keys by which a story is found again: 96 bits of hashes."""
+    return texts.withColumns({"k": F.xxhash64("story"), "h": F.hash("story")})
+
+
+def _with_fields(texts: DataFrame) -> DataFrame:
+    """texts (story and others) with keys and the fields of each story. They are dealt out by the keys, since few bytes may be much work."""
+    s = spread(_keyed(texts), *_KEYS).withColumn("low", F.lower("story"))
+    found = s.select(*texts.columns, *_KEYS, *(c.alias(n) for n, c in E.fields(F.col("story"), F.col("low")).items()))
     return found.withColumn("organization_employee_band", E.band(F.col("organization_employee_count")))
 
 
 @query("SELECT id, " + ", ".join((f"array_to_string({x}, '|')" if n in _ARRAYS else x) + f" AS {n}" for n, x in _FIELDS.items()) + " FROM stories")
 def field_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All 23 fields of each story; lists joined by bars."""
-    f = _story_fields(spark, sf_dir)
-    return f.select("id", *(F.array_join(n, "|").alias(n) if n in _ARRAYS else F.col(n) for n in _FIELDS))
+    """All 23 fields of each story; lists joined by bars. A text is searched once, however many records have it."""
+    s = stories(spark, sf_dir)
+    f = _with_fields(s.select("story").distinct()).select(*_KEYS, *(F.array_join(n, "|").alias(n) if n in _ARRAYS else F.col(n) for n in _FIELDS))
+    return _keyed(s).select("id", *_KEYS).join(f, _KEYS).select("id", *_FIELDS)
 
 
 @query(f"""WITH f AS (SELECT story, {', '.join(f'{_FIELDS[n]} AS {n}' for n in ('organization_name', 'implementation_cost', 'has_baseline', 'vendor_reported', 'sample_size'))} FROM stories)
@@ -91,8 +101,8 @@ def field_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
   CASE WHEN vendor_reported THEN 'vendor_reported' END, CASE WHEN coalesce(sample_size, 0) = 0 THEN 'no_sample_size' END, CASE WHEN contains(lower(story), 'projected') THEN 'projected_rather_than_observed' END]) AS flag FROM f) WHERE flag IS NOT NULL GROUP BY flag""")
 def field_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Histogram of the doubts about stories' fields."""
-    f = _story_fields(spark, sf_dir).withColumnRenamed("story", "note")
-    return f.select(F.explode(E.field_flags()).alias("flag")).groupBy("flag").agg(F.count("*").alias("n"))
+    f = _with_fields(stories(spark, sf_dir).groupBy("story").agg(F.count("*").alias("n"))).withColumnRenamed("story", "note")
+    return f.select("n", F.explode(E.field_flags()).alias("flag")).groupBy("flag").agg(F.sum("n").alias("n"))
 
 
 _GEO = [r"\b(?:based|headquartered|headquarters) in ([A-Z][a-z]+(?:\s[A-Z][a-z]+)?)", r"\b(U\.S\.|USA|United States|UK|Germany|Canada|Japan|Australia|India|China|Singapore|Brazil|Netherlands|Sweden|Switzerland|France|Spain|Italy)\b"]

@@ -67,6 +67,58 @@ def test_fields_of_a_small_file_are_found_in_many_tasks(spark, sf_dir):
     assert got == ["Then Acme Corp", None, "Northern Retail", None, None, None, None, None]
 
 
+def test_fields_are_searched_once_a_text(spark, tmp_path, monkeypatch):
+    """Two orders with one text give two rows and one search; a pattern is only tried on texts with the words that it needs, with the same result as without."""
+    from factloom.functions import fields as E
+    from factloom.plans import fields as plans
+    from factloom.sources.tables import stories
+
+    orders = spark.createDataFrame([(k, 7) for k in (2, 2522, 5042, 3, 2523, 5)], "o_orderkey long, o_custkey long")
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    searched, real = [], plans._with_fields
+    monkeypatch.setattr(plans, "_with_fields", lambda texts: searched.append(texts.count()) or real(texts))
+    rows = {r["id"]: tuple(r)[1:] for r in plans.field_extraction(spark, str(tmp_path)).collect()}
+    assert set(rows) == {2, 2522, 5042, 3, 2523, 5} and searched == [stories(spark, str(tmp_path)).select("story").distinct().count()] == [3]
+    assert rows[2] == rows[2522] == rows[5042] and rows[3] == rows[2523] != rows[2]
+    flags = {r["flag"]: r["n"] for r in plans.field_flags(spark, str(tmp_path)).collect()}
+    assert searched == [3, 3] and flags["missing_implementation_cost"] == sum(not r[list(plans._FIELDS).index("implementation_cost")] for r in rows.values())
+    assert E.needed(E.TEAMS[1]) == [["involved", "engaged", "assigned", "dedicated"], ["team", "group", "people", "member", "staff"]] and E.needed(E.SAMPLE[0]) == [] and E.needed(E.PERCENT[3]) == [["%"]]
+
+
+def test_guards_of_patterns_lose_no_match(spark):
+    """Every pattern on texts made of what the patterns are made of: words, their beginnings, numbers, signs, in either case."""
+    import random
+    import re
+
+    from factloom.functions import fields as E
+
+    many = [(p, "(?i)") for x in (E.EMPLOYEES, E.DURATION, E.COST, E.BASELINE, E.OUTCOME, E.PERCENT, E.SAMPLE, E.PERIOD, E.TEAMS, list(E.EVIDENCE.values())) for p in x]
+    many += [(p, "(?is)") for x in (E.PROBLEM, E.SUCCESS, E.FAILURE) for p in x] + [(E.ORGANIZATION[0], "")]
+    rng = random.Random(5)
+    signs = {r"\[A-Z\]\[A-Za-z\\s&\.,\]\{3,50\}\?": "Acme Big ", r"\.\{10,\d+\}": "something said at length", r"\[\\d,\]\+|\\d\[\\d,\]\*|\\d\+": "12", r"\\s[*+]": " ", r"\[[^]]*-[^]]*\]": "-", r"\[\\\$[^]]*\]\??": "$", r"\[,:\]\?": ":", r"\\\.": ".", r"\?": ""}
+
+    def made(pattern):
+        pattern = re.sub(r"\(\?:\\\.\\d\+\)\?", "", rng.choice(E._split(pattern)))
+        while m := re.search(r"\((?:\?:)?([^()]*)\)(\??)", pattern):
+            pattern = pattern[: m.start()] + rng.choice([*m[1].split("|"), *[""] * bool(m[2])]) + pattern[m.end() :]
+        for sign, text in signs.items():
+            pattern = re.sub(sign, text, pattern)
+        return pattern
+
+    case = lambda x: rng.choice([str, str, str, str.upper, str.title])(x)
+    pieces = lambda: [rng.choice([lambda: made(rng.choice(many)[0]), lambda: made(rng.choice(many)[0])[: rng.randint(1, 12)], lambda: rng.choice(["1,200", "$3", "9 %", "\u0130", "\u212a", "\n"])])() for _ in range(rng.randint(1, 4))]
+    texts = [made(p) for p, _ in many for _ in range(3)] + [rng.choice(["", " "]).join(map(case, pieces())) for _ in range(1500)] + [None, ""]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("low", F.lower("t")).cache()
+    plain = lambda p, f: F.get(F.filter(F.array(F.regexp_extract("t", f + p, 0)), lambda x: x != ""), 0)
+    guarded = frame.select(*(E.found(F.col("t"), p, 0, f, F.col("low")).alias(f"p{i}") for i, (p, f) in enumerate(many))).collect()
+    want = frame.select(*(plain(p, f).alias(f"p{i}") for i, (p, f) in enumerate(many))).collect()
+    assert [many[i] for i in range(len(many)) if [r[i] for r in guarded] != [r[i] for r in want]] == []
+    assert [many[i] for i in range(len(many)) if not any(r[i] for r in want)] == []
+    evidence = frame.select(*(E.matches(F.col("t"), p, F.col("low")).eqNullSafe(F.rlike("t", F.lit(f"(?i){p}"))) for p in E.EVIDENCE.values())).collect()
+    assert all(all(r) for r in evidence)
+    frame.unpersist()
+
+
 def test_links_of_word_sets_against_a_loop(spark):
     """Only pairs of which enough comes after the first shared word are held against each other."""
     import random
